@@ -39,6 +39,12 @@ def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs.select("doc_id", "text"), model).select("doc_id", "_quality.*")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.line_dedup import dedup_lines
 
@@ -59,7 +65,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_simhash, op3_url_filter, op4_quality_crf, op6_line_dedup, op7_mixing, op8_token_counts)}
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.secrets import scan
+
+    n = lambda kind: F.size(kind).cast("long").alias(f"n_{kind}")
+    return scan(table(spark, sf_dir, "documents")).select("doc_id", n("assign"), n("access"), n("hex"), F.sha2("_base", 256).alias("base_sha256"), F.col("_all").alias("spans"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.pii import find
+
+    n = lambda kind: F.size(kind).cast("long").alias(f"n_{kind}")
+    return find(table(spark, sf_dir, "documents")).select("doc_id", n("email"), n("ip"), n("card"), n("phone"), F.sha2("_base", 256).alias("base_sha256"), F.col("_all").alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_simhash, op3_url_filter, op4_quality_crf, op5_decontaminate, op6_line_dedup, op7_mixing, op8_token_counts, op9_secrets, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_archive": """
