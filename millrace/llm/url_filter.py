@@ -45,10 +45,12 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def seed_table() -> list[tuple[str, int]]:
-    """The default labelled URLs: each word in a few usual shapes; 1 is block."""
-    shapes = ("https://www.{w}.example/", "http://{w}-online.example/en/{n}", "https://example.org/{w}/{n}.html", "https://blog.example.net/de/{w}", "http://m.{w}{n}.example.com/page")
-    rows = [(s.format(w=w, n=17 * i + 3), label) for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for i, w in enumerate(words) for s in shapes]
-    plain = [(f"https://{h}.example.{t}/{p}/{31 * n}", 0) for h in ("www", "blog", "m", "site") for t in ("com", "net", "org") for n, p in enumerate(("en", "de", "fr", "es", "about", "item"))]
+    """The default labelled URLs: each word in the same shapes, so that shapes
+    alone tell nothing, and some plain addresses; 1 is block."""
+    hosts = ("www.{w}.example.com", "{w}-online.example.net", "m.{w}{n}.example.org", "blog.example.com", "example.net", "www.example.org")
+    paths = ("/", "/en/{n}", "/page?id={n}", "/de/{w}", "/{w}/{n}.html", "/fr/{n}-{w}/")
+    rows = [(f"https://{h}{p}".format(w=w, n=17 * i + 3), label) for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for i, w in enumerate(words) for h, p in zip(hosts, paths)]
+    plain = [(f"http://{h}.example.{t}/{p}/{31 * n}", 0) for h in ("www", "blog") for t in ("com", "net", "org") for n, p in enumerate(("en", "de", "fr", "es", "about", "item"))]
     return rows + plain
 
 
@@ -69,7 +71,7 @@ def features(host: str, path: str, buckets: int, sizes: tuple[int, ...] = (3, 4,
     return np.array(where, dtype=np.int64), 1 / np.sqrt(max(len(where), 1))
 
 
-def train(labelled: list[tuple[str | None, int]], buckets: int = 1 << 14, rounds: int = 300, rate: float = 8.0, ridge: float = 1e-4) -> Model:
+def train(labelled: list[tuple[str | None, int]], buckets: int = 1 << 14, rounds: int = 1500, rate: float = 3.0, ridge: float = 1e-4) -> Model:
     """Full-batch gradient descent from zero: the same table gives the same
     model. An empty table gives the model that allows all."""
     if len(labelled) > MAX_LABELLED:

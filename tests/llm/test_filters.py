@@ -1,0 +1,198 @@
+"""URL filter, quality rules and token counts."""
+
+import itertools
+import re
+
+import numpy as np
+import pytest
+
+from millrace.llm import quality_crf, token_counts, url_filter
+from millrace.llm.queries import op3_url_filter, op4_quality_crf, op8_token_counts
+from millrace.llm.url_filter import Rule
+
+SF, SF2 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
+RULES = [Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Rule("allow", "net", "/de/"), Rule("block", "example.net", "/de/8"), Rule("block", "org", "/es/")]
+
+
+def slow_rule(host, path):
+    fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits, key=lambda r: len(r.host + r.path), default=None)
+
+
+def test_url_query_equals_brute_force(spark):
+    model = url_filter.train(url_filter.seed_table())
+    pages = {r[0]: r[1] for r in spark.read.parquet(f"{SF2}/pages.parquet").select("page_id", "url").collect()}
+    rows = op3_url_filter(spark, SF2).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        url = pages[r["page_id"]]
+        rest = url.partition("://")[2] if "://" in url else ""
+        host = re.match("[^/?#]*", rest)[0].lower()
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        rule = slow_rule(host, path)
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule and rule.host + rule.path)
+        assert r["verdict"] == (rule.action if rule else "block" if model.block(host, path) else "allow")
+    assert {r["rule"] for r in rows} >= {None, "com/en/", "net/de/"}
+
+
+def test_odd_urls(spark):
+    urls = [None, "", "no scheme", "HTTP://EXAMPLE.com/en/7x", "a://b://c/d", "http://x?q=/p#f", "http://ÄB.com/en/", "x://" + "a." * 5000 + "com/en/" + "y" * 50_000, "http://notcom/en/", "http://com/en/"]
+    rows = spark.createDataFrame([(i, u, "h", "v") for i, u in enumerate(urls)], "page_id long, url string, host string, verdict string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(rows.union(rows.limit(1)), RULES).collect()}
+    assert [(got[i]["host"], got[i]["path"]) for i in (0, 1, 2)] == [("", "")] * 3
+    assert (got[3]["host"], got[3]["rule"], got[3]["verdict"]) == ("example.com", "example.com/en/7", "allow")
+    assert (got[4]["host"], got[4]["path"]) == ("b:", "//c/d") and (got[5]["host"], got[5]["path"]) == ("x", "")
+    assert got[6]["host"] == "Äb.com" and got[6]["rule"] == "com/en/" and got[7]["rule"] == "com/en/"
+    assert got[8]["rule"] is None and got[9]["rule"] == "com/en/"
+    assert url_filter.filter_urls(rows.limit(0), RULES).count() == 0
+    with pytest.raises(ValueError):
+        url_filter.train([("u", 1)] * (url_filter.MAX_LABELLED + 1))
+
+
+def test_url_model_on_held_out_rows():
+    rows = url_filter.seed_table()
+    model = url_filter.train([r for i, r in enumerate(rows) if i % 7])
+    held = [r for i, r in enumerate(rows) if not i % 7]
+    right = np.mean([model.block(*url_filter.split_url(u)) == bool(y) for u, y in held])
+    assert right >= 0.9
+    again = url_filter.train([r for i, r in enumerate(rows) if i % 7])
+    assert np.array_equal(model.weights, again.weights)
+    assert not url_filter.train([]).block("casino.com", "/")
+
+
+def slow_base(text):
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search("[^\x20\x09-\x0d]", line):
+            dup += line in seen
+            seen.add(line)
+    three = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    cover = {i + k for i, w in enumerate(three) if three.count(w) > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(cover)
+
+
+TEXTS = [None, "", " \n\t", "a b c a b c", "a a a a", "é ü ß\x0bx\x0cy\rz", "# * $\n# * $\n\n# * $", "x y\u00a0z \u2003 w", "one\ntwo\none\none ", "ab " * 60, " ".join(f"w{i}" for i in range(300)), "|<>| " * 9]
+
+
+def test_base_rules_equal_brute_force(spark):
+    docs = spark.createDataFrame([(i, t, "c", True) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_words string, kept boolean")
+    rows = quality_crf.judge(docs, quality_crf.NO_MODEL).select("doc_id", "kept", "_quality.*").toDF("doc_id", "was", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_content_words", "kept").collect()
+    for r in rows:
+        want = slow_base(TEXTS[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+    assert quality_crf.judge(docs.limit(0), quality_crf.NO_MODEL).count() == 0
+
+
+def test_quality_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op4_quality_crf(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        if len(docs[r["doc_id"]]) < 6000:
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == slow_base(docs[r["doc_id"]])
+
+
+def test_viterbi_equals_enumeration():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        crf = quality_crf.Crf(rng.normal(size=(quality_crf.N_FEATURES, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
+        x = rng.integers(0, 2, size=(rng.integers(1, 9), quality_crf.N_FEATURES)).astype(float)
+        e = x @ crf.emit
+
+        def score(y):
+            return crf.start[y[0]] + sum(e[t, y[t]] for t in range(len(y))) + sum(crf.step[a, b] for a, b in zip(y, y[1:]))
+
+        best = max(itertools.product((0, 1), repeat=len(x)), key=score)
+        assert score(crf.decode(x).tolist()) == pytest.approx(score(best))
+
+
+def test_training_raises_the_likelihood_and_is_repeatable():
+    good = "Some plain words stand here in a row.\nAnd another line of them, quite unlike."
+    bad = "SHOUTED!! WORDS!! ALL!! DAY!!\n### $$$ %%% ### $$$\na | b | c | d | e"
+    samples = [(good, 1), (bad, 0)] * 5
+    model = quality_crf.train(samples)
+    again = quality_crf.train(samples)
+    assert np.array_equal(model.emit, again.emit)
+    assert model.decode(quality_crf.line_features(good)[0]).tolist() == [1, 1]
+    assert model.decode(quality_crf.line_features(bad)[0]).tolist() == [0, 0, 0]
+    assert quality_crf.train([(good, 1)]) is quality_crf.NO_MODEL and quality_crf.train([]) is quality_crf.NO_MODEL
+
+
+def test_quality_on_held_out_documents(spark):
+    docs, labels = spark.read.parquet(f"{SF2}/documents.parquet"), spark.read.parquet(f"{SF2}/labels.parquet")
+    even, odd = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    model = quality_crf.train(quality_crf.training_sample(docs, even))
+    rows = quality_crf.judge(docs.join(odd, "doc_id"), model).where("not _quality.base_failed").select("quality", "_quality.kept").collect()
+    good = [r["kept"] for r in rows if r["quality"] == 1]
+    bad = [r["kept"] for r in rows if r["quality"] == 0]
+    assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.4
+
+
+def test_training_sample_is_bounded_and_survives_odd_labels(spark):
+    docs = spark.createDataFrame([(i, "t " * (i + 1)) for i in range(30)] + [(None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(30)] + [(2, 1, 0), (None, 1, 0), (5, None, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = quality_crf.training_sample(docs, labels, per_class=4)
+    assert len(rows) == 8 and sum(g for _, g in rows) == 4
+    assert quality_crf.training_sample(docs.limit(0), labels) == []
+
+
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return path, Tokenizer.from_file(path)
+
+
+def test_counts_equal_the_library(spark):
+    path, tok = library()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in op8_token_counts(spark, SF).collect():
+        text = docs[r["doc_id"]]
+        n = len(tok.encode(text, add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 2048)
+    odd = [None, "", "<|endoftext|>a<|startoftext|>", "ΑΣ ΣΑΣ İ ǅ ﬁ K Å", "don't I'LL 'tis's", "\x1cx\x00\x85y\u00a0z\u3000", "e\u0301 가각 日本語 한국어 🎉½²", "\u0558\u0378 \U0001f9ff", "w" * 30_000, "a " * 20_000, "'" * 99, "\n\r\t"]
+    rows = spark.createDataFrame([(i, t, 1) for i, t in enumerate(odd)] + [(None, "x", 1)], "doc_id long, text string, n_tokens int")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(rows, path).collect()}
+    assert got.pop(None) == 1
+    assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(odd)}
+    assert token_counts.count_tokens(rows.limit(0), path).count() == 0
+
+
+def test_proven_strings_are_one_token():
+    path, tok = library()
+    whole = sorted(token_counts.prove(path))
+    assert len(whole) > 30_000
+    assert all(len(e.ids) == 1 for e in tok.encode_batch(whole, add_special_tokens=False))
+
+
+def test_random_texts_equal_the_library():
+    import random
+
+    path, tok = library()
+    counter, rng = token_counts.Counter(path, token_counts.prove(path)), random.Random(6)
+    letters = "abcXYZéßΣσİ'’-_.,!?0129²½ \n\t\u00a0\u200b€日한ば\u0301" + "stremld"
+    for _ in range(1500):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 40)))
+        assert counter.count(text) == len(tok.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_the_fast_alphabet_agrees_with_the_library():
+    """Each of its characters between letters splits and lower-cases alike."""
+    import unicodedata
+
+    path, tok = library()
+    import regex
+
+    pattern = regex.compile(token_counts.PRE_TOKEN)
+    for cp in range(0x3100):
+        c = chr(cp)
+        if token_counts.FAST.fullmatch(c):
+            assert len(tok.pre_tokenizer.pre_tokenize_str(f"a{c}{c}a")) == len(pattern.findall(f"a{c}{c}a")), hex(cp)
+            ours = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", f"a{c}b").replace("Σ", "σ").lower())
+            assert tok.normalizer.normalize_str(f"a{c}b") == ours, hex(cp)
