@@ -19,9 +19,12 @@ MAX_LABELLED = 10_000
 MAX_RULES = 10_000
 
 #: Words that a labelled URL table can be made of. Fixed values.
-BLOCK_WORDS = "casino poker slots jackpot betting porn xxx nudes escort viagra cialis pills pharma-cheap replica warez cracked keygen torrent payday-loan quick-cash miracle-diet click-here free-prize winbig hotsingles".split()
+BLOCK_WORDS = "casino poker slots bets adult sex spam linkfarm adserver ad-track tracker popunder cheap-meds pills jackpot betting porn xxx nudes escort viagra cialis pills pharma-cheap replica warez cracked keygen torrent payday-loan quick-cash miracle-diet click-here free-prize winbig hotsingles".split()
 ALLOW_WORDS = "library museum university science history news weather recipes garden docs manual wiki archive travel school health-service parliament music journal maps sports theatre forum guide".split()
 
+#: Letter groups that are frequent in European languages; made-up hosts consist of them.
+SYLLABLES = "th he in er an re on at en nd ti es or te ed is it al ar st nt ou le de ch ei ra la co se qu io tion ing ment ung".split()
+
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 
@@ -46,11 +49,14 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def seed_table() -> list[tuple[str, int]]:
     """The default labelled URLs: each word in the same shapes, so that shapes
-    alone tell nothing, and some plain addresses; 1 is block."""
-    hosts = ("www.{w}.example.com", "{w}-online.example.net", "m.{w}{n}.example.org", "blog.example.com", "example.net", "www.example.org")
-    paths = ("/", "/en/{n}", "/page?id={n}", "/de/{w}", "/{w}/{n}.html", "/fr/{n}-{w}/")
-    rows = [(f"https://{h}{p}".format(w=w, n=17 * i + 3), label) for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for i, w in enumerate(words) for h, p in zip(hosts, paths)]
-    plain = [(f"http://{h}.example.{t}/{p}/{31 * n}", 0) for h in ("www", "blog") for t in ("com", "net", "org") for n, p in enumerate(("en", "de", "fr", "es", "about", "item"))]
+    alone tell nothing, and made-up plain addresses, which are allowed; 1 is block."""
+    tails = [f"{p}{q}" for p in ("/en/{n}", "/de/{n}.html", "/fr/{n}/", "/es/{n}") for q in ("", "?page=2&ref=x", "?utm_source=feed", "#top")]
+    fronts = ("www.{w}.example.com", "{w}-online.example.net", "m.{w}{n}.example.org", "blog.my-{w}.example.com", "{w}.example.org", "www.{w}-{w}.example.net", "example.org/{w}", "blog.example.com/{n}-{w}")
+    word = lambda i, j: f"https://{fronts[j]}{tails[(3 * i + j) % len(tails)]}"
+    rows = [(word(i, j).format(w=w, n=(17 * i + 31 * j) % 997), label) for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for i, w in enumerate(words) for j in range(len(fronts))]
+    n = len(SYLLABLES)
+    names = ["".join(SYLLABLES[(i * k + i // n + k) % n] for k in (1, 5, 7)[: 2 + i % 2]) for i in range(20 * n)]
+    plain = [(f"http://{('www.', 'blog.', 'm.', '')[i % 4]}{name}.example.{('com', 'net', 'org')[i % 3]}{tails[i % len(tails)]}".format(n=31 * i % 9973), 0) for i, name in enumerate(names)]
     return rows + plain
 
 
@@ -71,7 +77,7 @@ def features(host: str, path: str, buckets: int, sizes: tuple[int, ...] = (3, 4,
     return np.array(where, dtype=np.int64), 1 / np.sqrt(max(len(where), 1))
 
 
-def train(labelled: list[tuple[str | None, int]], buckets: int = 1 << 14, rounds: int = 1500, rate: float = 3.0, ridge: float = 1e-4) -> Model:
+def train(labelled: list[tuple[str | None, int]], buckets: int = 1 << 14, rounds: int = 2000, rate: float = 4.0, ridge: float = 1e-5) -> Model:
     """Full-batch gradient descent from zero: the same table gives the same
     model. An empty table gives the model that allows all."""
     if len(labelled) > MAX_LABELLED:
@@ -83,9 +89,11 @@ def train(labelled: list[tuple[str | None, int]], buckets: int = 1 << 14, rounds
     row = np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows])
     col, val = np.concatenate([w for w, _ in rows]), np.concatenate([np.full(len(w), s) for w, s in rows])
     goal = np.array([y for _, y in labelled], dtype=float)
+    # both classes weigh the same, however many rows they have
+    even = np.where(goal == 1, 0.5 / max(goal.sum(), 1), 0.5 / max((1 - goal).sum(), 1))
     for _ in range(rounds):
         z = bias + np.bincount(row, val * weights[col], len(rows))
-        off = (1 / (1 + np.exp(-z)) - goal) / len(rows)
+        off = (1 / (1 + np.exp(-z)) - goal) * even
         weights -= rate * (np.bincount(col, val * off[row], buckets) + ridge * weights)
         bias -= rate * off.sum()
     return Model(weights, bias)
