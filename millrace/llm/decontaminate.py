@@ -12,6 +12,7 @@ benchmark at all; windows that provably cannot are not fingerprinted.
 from __future__ import annotations
 
 import math
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,23 +33,13 @@ RADIUS, BLOCKS = 20, 8
 #: benchmark is applied in as many passes as it takes.
 PASS_ITEMS, PASS_CHARS = 5_000, 8_000_000
 
-_STRIP = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»“”„‘’…–—"
+_PUNCTUATION = string.punctuation.encode()
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, without case and outer punctuation; a bounded memo."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        text = word.decode("utf-8", "surrogatepass")
-        plain = (text.strip(_STRIP) or text).lower()
-        self[word] = h = xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass"), 42)
-        return h
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").split()
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words, without case and ASCII punctuation."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION).split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -63,9 +54,18 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def simhashes(h: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the windows of ``size`` hashes at ``starts`` (ascending):
+    bits that over half of a window's hashes have."""
+    part = h[starts[0] : starts[-1] + size]
+    sums = np.zeros((len(part) + 1, 64), dtype=np.int32)
+    np.cumsum(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, out=sums[1:])
+    at = starts - starts[0]
+    return np.packbits(2 * (sums[at + size] - sums[at]) > size, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def simhash(h: np.ndarray) -> int:
-    total = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)[0])
+    return int(simhashes(h, np.array([0]), len(h))[0])
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -80,10 +80,11 @@ def flips(width: int, most: int) -> list[int]:
 
 @dataclass
 class Index:
-    """One pass's benchmark items, by the words in them."""
+    """One pass's benchmark items. ``blocks`` holds, by the items' words, the
+    block and its bits, the items whose block differs by at most two bits."""
 
     items: list[tuple[int, int, Counter, int]] = field(default_factory=list)  # id, words, shingles, fingerprint
-    blocks: dict = field(default_factory=lambda: defaultdict(list))  # (words, block, bits) to items
+    blocks: dict = field(default_factory=lambda: defaultdict(list))
     known: dict = field(default_factory=dict)  # shingle length to sorted hashes
 
     def lengths(self) -> list[int]:
@@ -91,9 +92,10 @@ class Index:
 
 
 def build(rows: list[tuple[int, str]]) -> Index:
-    index, hashes, known = Index(), WordHashes(), defaultdict(set)
+    index, known = Index(), defaultdict(set)
+    near = flips(64 // BLOCKS, RADIUS // BLOCKS)
     for key, text in rows:
-        words = hashes.of(text)
+        words = word_hashes(text)
         if not len(words):
             continue
         h = shingles(words, SHINGLE)
@@ -101,7 +103,8 @@ def build(rows: list[tuple[int, str]]) -> Index:
         index.items.append((key, len(words), Counter(h.tolist()), mark))
         known[min(SHINGLE, len(words))].update(h.tolist())
         for b in range(BLOCKS):
-            index.blocks[len(words), b, mark >> (8 * b) & 255].append(at)
+            for flip in near:
+                index.blocks[len(words), b, mark >> (8 * b) & 255 ^ flip].append(at)
     index.known = {k: np.array(sorted(s), dtype=np.uint64) for k, s in known.items()}
     index.blocks = dict(index.blocks)
     return index
@@ -111,67 +114,68 @@ class Finder:
     """Finds the items of an index in whole texts; one per Python worker."""
 
     def __init__(self, index: Index, least: float = SIMILARITY):
-        self.index, self.least, self.hashes = index, least, WordHashes()
-        self.near = flips(64 // BLOCKS, RADIUS // BLOCKS)
+        self.index, self.least = index, least
+        self.lengths = index.lengths()
         self.filters = {}
         for k, known in index.known.items():
             bits = np.zeros(1 << 20, dtype=bool)
             bits[known >> np.uint64(44)] = True
             self.filters[k] = bits
 
-    def _known(self, h: np.ndarray, k: int) -> np.ndarray:
-        out = self.filters[k][h >> np.uint64(44)]
-        some = np.flatnonzero(out)
-        if len(some):
-            known = self.index.known[k]
-            at = np.minimum(np.searchsorted(known, h[some]), len(known) - 1)
-            out[some] = known[at] == h[some]
-        return out
+    def _hits(self, h: np.ndarray, k: int) -> np.ndarray:
+        """Positions of shingles that occur in the benchmark."""
+        some = np.flatnonzero(self.filters[k][h >> np.uint64(44)])
+        known = self.index.known[k]
+        at = np.minimum(np.searchsorted(known, h[some]), len(known) - 1)
+        return some[known[at] == h[some]]
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """``(item, similarity, first word, words, distance)`` of the best
         window for each item that some window matches; the first of equals."""
-        words = self.hashes.of(text)
-        best: dict[int, tuple] = {}
-        if not len(words):
-            return []
-        of = {}
+        words, best = word_hashes(text), {}
         for k in self.index.known:
-            h = shingles(words, k)
-            # a text shorter than the shingle is one shingle of its own
-            hit = self._known(h, k) if len(words) >= k else self._known(h, k) & False
-            of[k] = h, np.concatenate([[0], np.cumsum(hit)])
-        if not any(sums[-1] for _, sums in of.values()):
-            return []
-        for n in self.index.lengths():
-            k = min(SHINGLE, n)
-            h, sums = of[k]
-            if not sums[-1]:
+            # a text shorter than the shingle has none of this length
+            h = shingles(words, k) if len(words) >= k else words[:0]
+            hits = self._hits(h, k)
+            if not len(hits):
                 continue
-            size = min(n - k + 1, len(h))
-            # shared of a window's and an item's shingles for the similarity
-            need = math.ceil(self.least / (1 + self.least) * (size + n - k + 1) - 1e-9)
-            for at in np.flatnonzero(sums[size:] - sums[:-size] >= need).tolist():
-                self._window(h[at : at + size], at, n, size + k - 1, best)
+            lengths = [n for n in self.lengths if min(SHINGLE, n) == k]
+            # nothing further than the longest window from a hit matters
+            low, high = max(0, int(hits[0]) - lengths[-1]), min(len(h), int(hits[-1]) + lengths[-1])
+            marked = np.zeros(high - low, dtype=np.int32)
+            marked[hits - low] = 1
+            sums = np.concatenate([[0], np.cumsum(marked)])
+            for n in lengths:
+                size = min(n - k + 1, len(h))
+                # shared of a window's and an item's shingles for the similarity
+                need = math.ceil(self.least / (1 + self.least) * (size + n - k + 1) - 1e-9)
+                if len(hits) < need:
+                    continue
+                starts = np.flatnonzero(sums[size:] - sums[:-size] >= need) + low
+                if len(starts):
+                    self._windows(h, starts, n, size, size + k - 1, best)
         return [(key, *found) for key, found in sorted(best.items())]
 
-    def _window(self, h: np.ndarray, at: int, n: int, words: int, best: dict) -> None:
-        mark, bag, tried = simhash(h), None, set()
+    def _windows(self, h: np.ndarray, starts: np.ndarray, n: int, size: int, words: int, best: dict) -> None:
+        for i in range(0, len(starts), 512):
+            some = starts[i : i + 512]
+            cut = np.flatnonzero(np.diff(some) > 256) + 1
+            for part in np.split(some, cut):
+                for at, mark in zip(part.tolist(), simhashes(h, part, size).tolist()):
+                    self._verify(h[at : at + size], mark, at, n, words, best)
+
+    def _verify(self, h: np.ndarray, mark: int, at: int, n: int, words: int, best: dict) -> None:
+        found, bag = set(), None
         for b in range(BLOCKS):
-            block = mark >> (8 * b) & 255
-            for flip in self.near:
-                for i in self.index.blocks.get((n, b, block ^ flip), ()):
-                    if i in tried:
-                        continue
-                    tried.add(i)
-                    key, _, item, other = self.index.items[i]
-                    apart = (mark ^ other).bit_count()
-                    if apart > RADIUS:
-                        continue
-                    bag = Counter(h.tolist()) if bag is None else bag
-                    s = similarity(bag, item)
-                    if s >= self.least and (key not in best or s > best[key][0]):
-                        best[key] = s, at, words, apart
+            found.update(self.index.blocks.get((n, b, mark >> (8 * b) & 255), ()))
+        for i in sorted(found):
+            key, _, item, other = self.index.items[i]
+            apart = (mark ^ other).bit_count()
+            if apart <= RADIUS:
+                bag = Counter(h.tolist()) if bag is None else bag
+                s = similarity(bag, item)
+                if s >= self.least and (key not in best or s > best[key][0]):
+                    best[key] = s, at, words, apart
 
 
 _FOUND = "array<struct<item_id:long,similarity:double,first_word:int,n_words:int,distance:int>>"

@@ -18,10 +18,9 @@ SF = "/root/testdata/sf0.001"
 
 def bags(text, items, least=0.8):
     """Brute force: every window of a text against every item, on hashed words."""
-    hashes = decontaminate.WordHashes()
-    words, out = hashes.of(text).tolist(), {}
+    words, out = decontaminate.word_hashes(text).tolist(), {}
     for key, item in items:
-        want = hashes.of(item).tolist()
+        want = decontaminate.word_hashes(item).tolist()
         if not want or not words:
             continue
         n, k = len(want), min(5, len(want))
