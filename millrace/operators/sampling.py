@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.functions.hashing import hash01, hash_digits
+from millrace.operators.packing import running_start
+from millrace.operators.ranking import ranked
 
 
-def lowest(df: DataFrame, keep: Column | int, salt: str, by: tuple[str, ...] = (), key: str = "content_hash", ties: tuple[str, ...] = ()) -> DataFrame:
-    """Per group the ``keep`` rows with the lowest salted hash; Spark limits
-    the groups before the shuffle where ``keep`` is a number."""
-    order = [hash_digits(salt, F.col(key)), F.col(key), *map(F.col, ties)]
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= keep).drop("_rank")
+def lowest(df: DataFrame, keep: int, salt: str, by: tuple[str, ...] = (), key: str = "content_hash", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Per group the ``keep`` rows with the lowest salted hash."""
+    return ranked(df, hash_digits(salt, F.col(key)), (key, *ties), by).where(F.col("_rank") <= keep).drop("_rank", "_size")
 
 
 def sample_documents(docs: DataFrame, fraction: float, seed: int, key: str = "doc_id") -> DataFrame:
@@ -26,24 +24,24 @@ def first_documents(docs: DataFrame, most: int | None, by: tuple[str, ...] = ("d
     """The first documents of each origin, in reading order."""
     if most is None:
         return docs
-    return docs.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= most).drop("_rank")
+    placed = running_start(docs.withColumn("_one", F.lit(1)), list(by), *order, "_one")
+    return placed.where(F.col("start") < most).drop("start", "_one")
 
 
 def split_holdout(blocks: DataFrame, fraction: float, seed: int = 42, floor: int = 0, by: tuple[str, ...] = ("domain", "origin")) -> DataFrame:
     """``split``: per group the blocks with the lowest hash are held out.
 
     Their number is the fraction, rounded up, or the floor; at most a fifth of
-    the group but one at least, and never the whole group. Sizes are counted
-    with map-side combining; the ranks are of hashes alone, without tokens.
+    the group but one at least, and never the whole group.
     """
     if not 0.0 <= fraction < 1.0:
         raise ValueError(f"holdout fraction must be in [0, 1), got {fraction}")
-    n = F.count("*").over(Window.partitionBy(*by))
+    n = F.col("_size")
     k = F.greatest(F.ceil(n * F.lit(float(fraction))), F.least(F.lit(floor), n))
     k = F.least(k, F.greatest(F.lit(1), F.floor(n * F.lit(0.2))))
     k = F.when(k >= n, F.greatest(F.lit(0), n - 1)).otherwise(k)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(hash_digits(str(seed), F.col("content_hash")), "content_hash", "block"))
-    return blocks.withColumn("split", F.when(rank <= k, "holdout").otherwise("train"))
+    rows = ranked(blocks, hash_digits(str(seed), F.col("content_hash")), ("content_hash", "block"), by)
+    return rows.withColumn("split", F.when(F.col("_rank") <= k, "holdout").otherwise("train")).drop("_rank", "_size")
 
 
 def balance_replay(blocks: DataFrame, seed: int = 42) -> DataFrame:

@@ -15,6 +15,7 @@ from millrace.operators.cache import dedup_cache, join_ref_loss
 from millrace.operators.curriculum import build_curriculum, trace_rows
 from millrace.operators.metrics import by_origin, long_table, rho_percentiles, score_metrics, selection_metrics
 from millrace.operators.mixer import choose_domains, shuffled, train_rows, validation_rows, with_fallback
+from millrace.operators.ranking import ranked
 from millrace.operators.scoring import Scorer, with_rho, with_target_loss
 from millrace.operators.selection import flagged, select, usable
 from millrace.operators.validation import corpus_means, corpus_sums, loss_by_origin, validation_loss
@@ -47,30 +48,24 @@ def prepare(spark: SparkSession, cfg: MixerConfig) -> tuple[DataFrame, DataFrame
     return train, shuffled(val, cfg.seed)
 
 
-def pools(rows: DataFrame, size: int, salt: str | None) -> DataFrame:
-    """``rows`` with ``step`` and ``block_id``: whole pools of ``size``, in a
-    salted order, or in curriculum order (phase, step, pos) without a salt.
-
-    Places come from counts per range of the order, so that no single task
-    orders all rows.
-    """
+def pools(rows: DataFrame, size: int, salt: str | None, whole: bool = True) -> DataFrame:
+    """``rows`` with ``step`` and ``block_id``: pools of ``size``, in a salted
+    order, or in curriculum order (phase, step, pos) without a salt. A last
+    pool that is short is dropped, unless ``whole`` is false."""
     if salt is None:
-        keyed = rows.withColumnRenamed("step", "_step").withColumn("_major", F.col("phase")).withColumn("_range", F.col("_step")).withColumn("_order", F.struct("pos"))
+        counts = rows.groupBy("phase", "step").agg(F.count("*").alias("_n"))
+        before = F.sum("_n").over(Window.orderBy("phase", "step").rowsBetween(Window.unboundedPreceding, -1))
+        counts = counts.select("phase", "step", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_size"))
+        placed = rows.join(counts, ["phase", "step"]).withColumn("block_id", F.col("_before") + F.col("pos")).drop("_before", "step")
     else:
-        keyed = rows.withColumn("_major", F.lit(0)).withColumn("_h", hash_digits(salt, F.col("content_hash")))
-        keyed = keyed.withColumn("_range", F.conv(F.substring("_h", 1, 3), 16, 10).cast("long")).withColumn("_order", F.struct("_h", "content_hash", "origin", "block")).drop("_h")
-    counts = keyed.groupBy("_major", "_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_major", "_range").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("_major", "_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    place = F.col("_before") + F.row_number().over(Window.partitionBy("_major", "_range").orderBy("_order")) - 1
-    out = keyed.join(F.broadcast(counts), ["_major", "_range"]).withColumn("block_id", place).withColumn("step", F.floor(F.col("block_id") / size))
-    return out.where((F.col("step") + 1) * size <= F.col("_total")).drop("_major", "_range", "_order", "_before", "_total", "_step")
+        placed = ranked(rows, hash_digits(salt, F.col("content_hash")), ("content_hash", "origin", "block")).withColumn("block_id", F.col("_rank") - 1).drop("_rank")
+    out = placed.withColumn("step", F.floor(F.col("block_id") / size))
+    return (out.where((F.col("step") + 1) * size <= F.col("_size")) if whole else out).drop("_size")
 
 
 def validate(val: DataFrame, scorer: Scorer, cfg: TrainConfig, batch: int) -> DataFrame:
     """``metric, value`` of a validation pass."""
-    placed = val.withColumn("_place", F.row_number().over(Window.orderBy(hash_digits(f"valshuf:{cfg.seed}", F.col("content_hash")), "content_hash", "origin", "block")) - 1)
-    rows = placed.withColumn("batch", F.floor(F.col("_place") / batch)).withColumn("sample_mask", F.lit(1.0))
+    rows = pools(val, batch, f"valshuf:{cfg.seed}", whole=False).withColumnRenamed("step", "batch").withColumn("sample_mask", F.lit(1.0))
     rows = rows.where(F.col("batch") < cfg.val_batches) if cfg.val_batches > 0 else rows
     rows = with_target_loss(rows if "ref_loss" in rows.columns else rows.withColumn("ref_loss", F.lit(None).cast("double")), scorer).cache()
     means = corpus_means(corpus_sums(rows, ("batch",)))
@@ -121,6 +116,7 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
         placed = pools(rows, cfg.pool_size, salt).withColumn("sample_mask", F.lit(1.0)).persist()
         steps = (placed.agg(F.max("step")).first()[0] or -1) + 1 if placed.limit(1).count() else 0
         while state.step < steps:
+            step_began = time.time()
             pool, chosen = one_step(placed.where(F.col("step") == state.step), scorer, cfg)
             pool = pool.persist()
             n = pool.where(usable() if cfg.enable_selection else F.lit(True)).count()
@@ -129,6 +125,7 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
                 chosen = pool.where("selected").join(chosen.select("step", "block_id", "sel_rank"), ["step", "block_id"])
                 tokens = chosen.agg(F.sum(F.size("token_ids"))).first()[0]
                 scorer.update(chosen)
+                log(spark.createDataFrame([(state.total_steps + 1, "timing", "valid_tokens_per_sec", (tokens or 0) / max(time.time() - step_began, 1e-9))], "step long, prefix string, metric string, value double"))
                 state.total_steps += 1
                 state.total_valid_tokens += tokens or 0
                 if cfg.enable_selection:
