@@ -7,9 +7,12 @@ original records byte for byte; the digest is verified on every read.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import store
@@ -99,3 +102,46 @@ def describe(records: DataFrame) -> DataFrame:
         field(r"WARC-Type: (\w+)").alias("record_type"),
         field(r"WARC-Refers-To: <urn:x-page:([^>]*)>").alias("refers_to_id"),
     )
+
+
+def write_files(records: DataFrame, path: str, per_file: int = 20_000) -> None:
+    """WARC files of :func:`read`'s records, compressed, at most ``per_file``
+    records each; for payloads that are UTF-8, as those of :func:`write` are.
+    A record ends with two line breaks, which stand in as the line separator."""
+    end = CRLF * 2
+    text = F.col("record").cast("string")
+    rows = records.select(F.substring(text, F.lit(1), F.length(text) - len(end)).alias("value"))
+    rows.write.option("lineSep", end).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+
+
+def parse(content: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """``warc_header, block`` of each record of a WARC file, also of one that
+    is compressed in any number of members."""
+    while content[:2] == b"\x1f\x8b":
+        plain, rest = [], content
+        while rest:
+            member = zlib.decompressobj(31)
+            plain.append(member.decompress(rest) + member.flush())
+            rest = member.unused_data
+        content = b"".join(plain)
+    at = 0
+    while at < len(content):
+        stop = content.index(b"\r\n\r\n", at) + 4
+        header = content[at:stop]
+        length = next(int(line.split(b":", 1)[1]) for line in header.split(b"\r\n") if line.lower().startswith(b"content-length:"))
+        yield header, content[stop : stop + length]
+        at = stop + length + 4
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """``warc_header, block`` of every record in the WARC files under
+    ``path``; a task holds one file at a time."""
+
+    def records(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for content in part["content"]:
+                found = list(parse(content))
+                for i in range(0, len(found), 1000):
+                    yield pd.DataFrame(found[i : i + 1000], columns=["warc_header", "block"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(records, "warc_header binary, block binary")

@@ -68,3 +68,11 @@ def test_repeated_rows_and_empty_table(spark):
     _, found = told(spark, [(1, "u", "x"), (1, "u", "x"), (2, "u", "x")])
     assert sorted(r["record_type"] for r in found) == ["response", "response", "revisit"]
     assert told(spark, [])[1] == []
+
+
+def test_warc_files_round_trip(spark, tmp_path):
+    archive, _ = told(spark, [(1, "http://x/", "WARC/1.1\r\n\r\n\r\n\r\nnot a record é"), (2, None, ""), (3, "http://y/", None), (4, "u", "line\n" * 9)])
+    records = warc_archive.read(archive)
+    warc_archive.write_files(records, str(tmp_path / "warc"), per_file=2)
+    got = {bytes(r["warc_header"]) + bytes(r["block"]) + b"\r\n\r\n" for r in warc_archive.read_files(spark, str(tmp_path / "warc")).collect()}
+    assert got == {bytes(r["record"]) for r in records.collect()} and len(got) == 4
