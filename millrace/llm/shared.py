@@ -41,9 +41,18 @@ def drop(df: DataFrame) -> None:
     """Remove a table that :func:`store` wrote, once nothing reads it any more."""
     path = getattr(df, "_millrace_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that operators left in the shared folder. Results that
+    still read them must be written first."""
+    _delete(spark, f"{shared_dir(spark)}/millrace")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
