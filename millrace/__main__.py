@@ -1,4 +1,4 @@
-"""Command line: ``python -m millrace ingest|precompute|train|merge ...``."""
+"""Command line: ``python -m millrace stage|ingest|precompute|train|merge ...``."""
 
 from __future__ import annotations
 
@@ -34,6 +34,12 @@ def _made(kind: type, args: argparse.Namespace):
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="millrace")
     sub = out.add_subparsers(dest="command", required=True)
+    p = sub.add_parser("stage", help="copy evenly spread files of each origin")
+    p.add_argument("--spec", required=True, help="JSON list of origin, repo, prefix, capability, n_shards")
+    p.add_argument("--out", required=True)
+    p.add_argument("--capability-map-out")
+    p.add_argument("--shards-scale", type=float, default=1.0)
+    p.add_argument("--dry-run", action="store_true")
     _options(sub.add_parser("ingest", help="raw text to a blocks table"), config.IngestConfig)
     p = sub.add_parser("precompute", help="reference losses of one domain, by the count model")
     for name in ("blocks", "domain", "cache"):
@@ -61,7 +67,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from millrace.operators.scoring import UnigramScorer
     from millrace.sources import corpus
 
-    if args.command == "ingest":
+    if args.command == "stage":
+        with open(args.spec, encoding="utf-8") as f:
+            spec = json.load(f)
+        corpus.stage(spark, spec, args.out, args.shards_scale, args.dry_run).orderBy("origin").show(1000, False)
+        if args.capability_map_out:
+            corpus.write_map({s["origin"]: s.get("capability", s["origin"]) for s in spec}, args.capability_map_out)
+    elif args.command == "ingest":
         from millrace.plans.ingest import build_corpus
 
         build_corpus(spark, _made(config.IngestConfig, args)).orderBy("domain", "origin").show(1000, False)

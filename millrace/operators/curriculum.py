@@ -31,7 +31,7 @@ def restarted(trace: DataFrame) -> DataFrame:
     order = Window.partitionBy("phase", "file").orderBy("line")
     ends = trace.groupBy("phase", "file").agg(F.max_by("step", "line").alias("_end"))
     ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("phase").orderBy("file"))).select("phase", "file", "_before")
-    rows = trace.join(F.broadcast(ends), ["phase", "file"]).withColumn("_prev", F.coalesce(F.lag("step").over(order), "_before"))
+    rows = trace.join(ends, ["phase", "file"]).withColumn("_prev", F.coalesce(F.lag("step").over(order), "_before"))
     rows = rows.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("step")), F.struct("file", "line")))
     begin = rows.groupBy("phase", "step").agg(F.max("_new").alias("_begin"))
     kept = rows.join(begin, ["phase", "step"]).where(F.struct("file", "line") >= F.col("_begin"))

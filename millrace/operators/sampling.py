@@ -46,10 +46,10 @@ def split_holdout(blocks: DataFrame, fraction: float, seed: int = 42, floor: int
 
 def balance_replay(blocks: DataFrame, seed: int = 42) -> DataFrame:
     """All adaptation blocks, and of more replay blocks about as many."""
-    counts = blocks.agg(F.count(F.when(F.col("origin_tag") == 0, 1)).alias("_adapt"), F.count("*").alias("_all"))
-    replay = F.col("_all") - F.col("_adapt")
-    keep = (F.col("origin_tag") == 0) | (replay <= F.col("_adapt")) | (hash01(f"pool:{seed}", F.col("content_hash")) < F.col("_adapt") / replay)
-    return blocks.crossJoin(F.broadcast(counts)).where(keep).drop("_adapt", "_all")
+    adapt = F.count(F.when(F.col("origin_tag") == 0, 1))
+    # share of the replay blocks to keep; over 1, or null without any, keeps all
+    share = blocks.agg(F.try_divide(adapt, F.count("*") - adapt).alias("share")).scalar()
+    return blocks.where((F.col("origin_tag") == 0) | (F.coalesce(share, F.lit(2.0)) >= 1) | (hash01(f"pool:{seed}", F.col("content_hash")) < share))
 
 
 def cap_per_origin(rows: DataFrame, cap: int | None, seed: int = 42) -> DataFrame:

@@ -148,3 +148,26 @@ def staging_plan(spec: DataFrame, files: DataFrame, scale: float = 1.0) -> DataF
     listed = hits.groupBy("origin", "repo", "prefix", "capability", "n_shards").agg(F.array_sort(F.collect_list("path")).alias("_files"))
     n = F.greatest(F.lit(1), F.bround(F.col("n_shards") * F.lit(float(scale))).cast("int"))
     return listed.select("origin", "repo", "capability", F.size("_files").alias("n_available"), pick_spread(F.col("_files"), n).alias("chosen"))
+
+
+def stage(spark: SparkSession, spec: list[dict], out: str, scale: float = 1.0, dry_run: bool = False) -> DataFrame:
+    """Copies the planned files of each origin to ``out/origin/`` and returns
+    the plan. A ``repo`` is any folder that Spark can read; origins without a
+    file are left out of the copy."""
+    roots = {s["repo"].rstrip("/") for s in spec}
+    listed = []
+    for root in sorted(roots):
+        try:
+            listed += [(root, f.split(root.split("://")[-1] + "/", 1)[1]) for f in list_files(spark, f"{root}/**")]
+        except FileNotFoundError:
+            continue
+    rows = [(s["origin"], s["repo"].rstrip("/"), s.get("prefix", ""), s.get("capability", s["origin"]), int(s["n_shards"])) for s in spec]
+    plan = staging_plan(spark.createDataFrame(rows, "origin string, repo string, prefix string, capability string, n_shards int"), spark.createDataFrame(listed, "repo string, path string"), scale)
+    if not dry_run:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for row in plan.collect():
+            for f in row["chosen"]:
+                a = jvm.org.apache.hadoop.fs.Path(f"{row['repo']}/{f}")
+                b = jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/{row['origin']}/{f.rsplit('/', 1)[-1]}")
+                jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+    return plan

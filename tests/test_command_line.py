@@ -52,3 +52,17 @@ def test_ingest_precompute_train(spark, tmp_path):
     main(["train", "--config", f"{tmp_path}/run.json", f"{tmp_path}/over.json", "--out", f"{tmp_path}/run", "--vocabulary", "1000"], spark)
     assert corpus.read_trace(spark, [f"{tmp_path}/run/trace"]).count() == 8
     assert np.isfinite(spark.read.parquet(f"{tmp_path}/run/metrics").where("metric = 'val_loss'").first()["value"])
+
+
+def test_stage(spark, tmp_path):
+    for i in range(10):
+        put(f"{tmp_path}/repo/high", {f"p{i}.parquet": b"x", "readme.md": b""})
+    spec = [{"origin": "high", "repo": f"{tmp_path}/repo", "prefix": "high/", "capability": "web", "n_shards": 6}, {"origin": "none", "repo": f"{tmp_path}/repo", "prefix": "low/", "n_shards": 2}]
+    with open(f"{tmp_path}/spec.json", "w") as f:
+        json.dump(spec, f)
+    args = ["stage", "--spec", f"{tmp_path}/spec.json", "--out", f"{tmp_path}/out", "--shards-scale", "0.5", "--capability-map-out", f"{tmp_path}/caps.json"]
+    main([*args, "--dry-run"], spark)
+    assert not os.path.exists(f"{tmp_path}/out")
+    main(args, spark)
+    assert sorted(f for f in os.listdir(f"{tmp_path}/out/high") if not f.startswith(".")) == ["p0.parquet", "p3.parquet", "p6.parquet"]
+    assert corpus.read_map(f"{tmp_path}/caps.json") == {"high": "web", "none": "none"}
