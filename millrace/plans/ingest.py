@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import with_bos, word_tokens
+from millrace.functions.arrays import with_bos, word_count, word_tokens
 from millrace.operators.packing import pack, tag
 from millrace.operators.sampling import balance_replay, cap_blocks, first_documents, report, sample_documents, split_holdout
 from millrace.plans.config import IngestConfig
@@ -24,11 +24,16 @@ def documents(spark: SparkSession, cfg: IngestConfig, adapt: bool) -> DataFrame:
 
 def blocks_of(docs: DataFrame, cfg: IngestConfig, tokenizer: Callable[[Column], Column] = word_tokens) -> DataFrame:
     """Blocks of (domain, origin, part, doc, text), capped and split."""
-    tokens = docs.select("domain", "origin", "part", "doc", with_bos(tokenizer(F.col("text")), cfg.bos_id).alias("tokens"))
-    packed = pack(tokens, cfg.block_size, cfg.eod_id)
-    spark = docs.sparkSession
+    spark, text = docs.sparkSession, F.col("text")
+    tokens = docs.select("domain", "origin", "part", "doc", with_bos(tokenizer(text), cfg.bos_id).alias("tokens"), text)
+    if tokenizer is word_tokens:
+        n = word_count(text) + (0 if cfg.bos_id is None else 1)
+        packed = pack(tokens.withColumn("n", n), cfg.block_size, cfg.eod_id, length="n")
+    else:
+        # tokenize once: offsets and blocks both read the tokens
+        packed = pack(_kept(tokens.drop("text")), cfg.block_size, cfg.eod_id)
     capabilities = spark.createDataFrame(sorted(cfg.capability_map.items()), "origin string, capability string") if cfg.capability_map else None
-    rows = tag(packed, cfg.adapt_domain, None if capabilities is None else F.broadcast(capabilities))
+    rows = _kept(tag(packed, cfg.adapt_domain, None if capabilities is None else F.broadcast(capabilities)))
     rows = cap_blocks(rows, cfg.max_blocks_per_origin, cfg.seed, ("domain", "origin"))
     for domain, own in ((cfg.adapt_domain, cfg.max_blocks_adapt), (cfg.replay_domain, cfg.max_blocks_replay)):
         cap = own if own is not None else cfg.max_blocks_per_domain
@@ -38,6 +43,11 @@ def blocks_of(docs: DataFrame, cfg: IngestConfig, tokenizer: Callable[[Column],
     return balance_replay(rows, cfg.seed) if cfg.balance_replay else rows
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A checkpoint, where a folder for these is set: what follows reads it more than once."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def assert_disjoint(docs: DataFrame) -> None:
     """Origins must not be shared by domains: hashes don't hold the domain."""
     both = docs.select("domain", "origin").distinct().groupBy("origin").count().where("count > 1").limit(5).collect()
