@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import components, drop, store
+from millrace.llm.shared import components, store
 
 #: Fingerprints of one bucket that a task compares by itself; the distinct
 #: fingerprints of larger ones are dealt out as pairs of blocks.
