@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.hashing import hash_digits
-
 STRATEGIES = ("top_k", "fixed_ratio", "replay_only_rho", "fixed_ratio_rho")
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, names
-from millrace.functions.hashing import hash01
 from millrace.operators import cache as caching
 from millrace.operators import curriculum, merge, metrics, mixer, packing, sampling, selection, validation
 from millrace.operators.scoring import UnigramScorer, token_counts, with_rho, with_target_loss
