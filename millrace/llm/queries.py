@@ -21,7 +21,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.simhash_dedup import near_duplicates
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("lo"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ Fingerprints are cut into fewer segments than the radius would need for an
 equal one, so few that of two fingerprints within the radius one segment
 differs by at most one bit. Each segment is indexed under its variants with
 one bit left out; an equality join on these finds every pair within the
-radius, and the full Hamming distance verifies it.
+radius, and the full Hamming distance verifies it. Schemes with a ``least``
+similarity take a wide radius and verify their pairs by exact shingle sets.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import components, store
@@ -24,24 +25,42 @@ from millrace.llm.shared import components, store
 #: Fingerprints of one bucket that a task compares by itself; the distinct
 #: fingerprints of larger ones are dealt out as pairs of blocks.
 BLOCK = 4096
+#: Fingerprints of a bucket whose pairs all come out; larger ones give forests.
+ALL_PAIRS = 32
 
 
 @dataclass(frozen=True)
 class Scheme:
     """``words`` 64-bit words, each with ``per_word`` segments of ``width``
     bits. Every pair within ``radius`` bits is found if radius is less than
-    twice the number of segments and these cover all bits."""
+    twice the number of segments and these cover all bits. ``steps`` are
+    smaller radii whose pairs large buckets take first, ``forests`` the number
+    of spanning forests these give: without ``least`` one is enough for the
+    same components. With ``least``, pairs also need that Jaccard similarity
+    of their shingle sets."""
 
     words: int = 1
     per_word: int = 2
     width: int = 32
     radius: int = 3
     shingle: int = 3
+    steps: tuple[int, ...] = ()
+    forests: int = 1
+    least: float | None = None
 
     @property
     def variants(self) -> int:
         return self.words * self.per_word * self.width
 
+    @property
+    def marks(self) -> list[str]:
+        """Columns of a fingerprint."""
+        return [f"w{k}" for k in range(self.words)]
+
+    @property
+    def radii(self) -> tuple[int, ...]:
+        return (*self.steps, self.radius)
+
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
     """XXH64 with seed 42 of each n-word shingle of the A-Z-lower-cased text."""
@@ -73,85 +92,125 @@ def majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(h: np.ndarray, words: int) -> list[int]:
+    out = [majority(h)]
+    while len(out) < words:
+        h = mix(h)
+        out.append(majority(h))
+    return out
+
+
+def hashes_of(text: str | None, n: int) -> np.ndarray:
+    return shingle_hashes(text, n) if text else np.empty(0, dtype=np.uint64)
+
+
 def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lo, hi`` per row; ``hi`` is zero in schemes of one word."""
+    """``doc_id, w0, w1 ...`` per row: the words of the fingerprint."""
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            lo, hi = [], []
-            for text in part["_text"]:
-                h = shingle_hashes(text, scheme.shingle) if text else np.empty(0, dtype=np.uint64)
-                lo.append(majority(h))
-                hi.append(majority(mix(h)) if scheme.words > 1 else 0)
-            yield pd.DataFrame({"_id": part["_id"], "lo": lo, "hi": hi})
-
-    out = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(batches, "_id string, lo long, hi long")
-    return out.select(F.col("_id").cast("long").alias("doc_id"), "lo", "hi")
-
-
-def distance(a: np.ndarray, b, c: np.ndarray, d) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64) + np.bitwise_count(c ^ d)
-
-
-def forest(lo: np.ndarray, hi: np.ndarray, radius: int) -> tuple[list, list]:
-    """A spanning forest of the pairs within ``radius``, as index pairs: each
-    fingerprint that is reached is compared with those not reached yet."""
-    left, a, b = np.arange(len(lo)), [], []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            near = distance(lo[left], lo[at], hi[left], hi[at]) <= radius
-            hit = left[near]
-            if len(hit):
-                a += [at] * len(hit)
-                b += hit.tolist()
-                queue += hit.tolist()
-                left = left[~near]
+            marks = [fingerprint(hashes_of(t, scheme.shingle), scheme.words) for t in part["_text"]]
+            yield pd.DataFrame(marks, columns=scheme.marks, dtype="int64").assign(_id=part["_id"].to_numpy())
+
+    out = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(batches, ", ".join(["_id string", *(f"{w} long" for w in scheme.marks)]))
+    return out.select(F.col("_id").cast("long").alias("doc_id"), *scheme.marks)
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, the words in the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def forest(marks: np.ndarray, radii: tuple[int, ...], taken: dict[int, list] | None = None) -> tuple[list, list]:
+    """A spanning forest of the pairs within the last radius that aren't
+    ``taken`` yet, as index pairs; it takes them.
+
+    Each fingerprint that is reached is compared with those not reached yet.
+    Pairs within smaller radii come first; what these join is one part from
+    then on and is reached as a whole."""
+    part, a, b = np.arange(len(marks)), [], []
+    taken = {} if taken is None else taken
+    for radius in radii:
+        left = np.arange(len(marks))
+        while len(left):
+            own = part[left] == part[left[0]]
+            root, queue, left = part[left[0]], left[own].tolist(), left[~own]
+            while queue and len(left):
+                at = queue.pop()
+                hit = left[distance(marks[left], marks[at]) <= radius]
+                if at in taken:
+                    hit = hit[~np.isin(hit, taken[at])]
+                if len(hit):
+                    parts, one = np.unique(part[hit], return_index=True)
+                    a += [at] * len(one)
+                    b += hit[one].tolist()
+                    own = np.isin(part[left], parts)
+                    queue += left[own].tolist()
+                    part[left[own]] = root
+                    left = left[~own]
+    for x, y in zip(a, b):
+        taken.setdefault(x, []).append(y)
+        taken.setdefault(y, []).append(x)
     return a, b
 
 
+def forests(marks: np.ndarray, scheme: Scheme) -> Iterator[tuple[list, list, bool]]:
+    """``scheme.forests`` spanning forests without common pairs; the first one
+    is the tree. Any pair left out is joined by a path in each of them."""
+    taken: dict[int, list] = {}
+    for k in range(scheme.forests):
+        a, b = forest(marks, scheme.radii, taken)
+        if a:
+            yield a, b, k == 0
+
+
 def _bucket_links(scheme: Scheme):
     """Rows sorted by key to links; the rows of a bucket of over BLOCK
-    fingerprints come out as they are, with their key."""
-    out_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+    fingerprints come out as they are, with their key. ``tree`` marks links
+    that, together, hold a bucket of near-duplicates together."""
+    longs = ["a", "b", "key", *scheme.marks]
+    out_schema = pa.schema([("tree", pa.bool_()), *((n, pa.int64()) for n in longs)])
     segment = np.uint64((1 << scheme.width) - 1)
 
-    def rows(a, b, key=None, lo=None, hi=None) -> pa.RecordBatch:
-        empty = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), empty if b is None else pa.array(b, pa.int64()), *(empty if x is None else pa.array(x, pa.int64()) for x in (key, lo, hi))], schema=out_schema)
+    def links_of(a, b, tree: bool) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([tree] * len(a), pa.bool_()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[none] * (1 + scheme.words)], schema=out_schema)
+
+    def rows(key, rep, marks) -> pa.RecordBatch:
+        signed = marks.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.bool_()), pa.array(rep), pa.nulls(len(key), pa.int64()), pa.array(key), *(pa.array(np.ascontiguousarray(signed[:, k])) for k in range(scheme.words))], schema=out_schema)
 
-    def whole(key, lo, hi, rep) -> Iterator[pa.RecordBatch]:
+    def whole(key, rep, marks) -> Iterator[pa.RecordBatch]:
         """Links within buckets that are all here."""
         cut = np.flatnonzero(np.diff(key)) + 1
         start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-        size = (end - start)
-        short = np.repeat(size <= 32, size)
-        ulo, uhi = lo.view(np.uint64), hi.view(np.uint64)
+        size = end - start
+        short = np.repeat(size <= ALL_PAIRS, size)
         here = np.flatnonzero(short[:-1] & (key[:-1] == key[1:]))
         d = 1
         while len(here):
             v = key[here] >> scheme.width
             seg, pos = v // scheme.width, v % scheme.width
-            x = np.where(seg < scheme.per_word, ulo[here] ^ ulo[here + d], uhi[here] ^ uhi[here + d])
+            word = seg // scheme.per_word
+            x = marks[here, word] ^ marks[here + d, word]
             same = ((x >> (seg % scheme.per_word * scheme.width).astype(np.uint64)) & segment) == 0
             # equal segments meet under every variant: only the first counts
-            good = (distance(ulo[here], ulo[here + d], uhi[here], uhi[here + d]) <= scheme.radius) & (~same | (pos == 0))
+            good = (distance(marks[here], marks[here + d]) <= scheme.radius) & (~same | (pos == 0))
             if good.any():
-                yield rows(rep[here[good]], rep[here[good] + d])
+                yield links_of(rep[here[good]], rep[here[good] + d], d == 1)
             d += 1
             here = here[here + d < len(key)]
             here = here[key[here] == key[here + d]]
-        for i in np.flatnonzero(size > 32):
+        for i in np.flatnonzero(size > ALL_PAIRS):
             s = slice(start[i], end[i])
-            a, b = forest(ulo[s], uhi[s], scheme.radius)
-            if a:
-                yield rows(rep[s][a], rep[s][b])
+            for a, b, tree in forests(marks[s], scheme):
+                yield links_of(rep[s][a], rep[s][b], tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, hot = None, None
         for batch in batches:
-            cols = [np.array(batch.column(n)) for n in ("_key", "lo", "hi", "rep")]
+            marks = np.stack([np.array(batch.column(n)).view(np.uint64) for n in scheme.marks], axis=1)
+            cols = [np.array(batch.column("_key")), np.array(batch.column("rep")), marks]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             kept = None
@@ -159,7 +218,7 @@ def _bucket_links(scheme: Scheme):
                 first = int(np.searchsorted(cols[0], cols[0][0], side="right"))
                 if cols[0][0] == hot or first > BLOCK:
                     hot = cols[0][0]
-                    yield rows(cols[3][:first], None, *(c[:first] for c in cols[:3]))
+                    yield rows(*(c[:first] for c in cols))
                     cols = [c[first:] for c in cols]
                     continue
                 # up to the next large bucket; the last one may go on in the next batch
@@ -175,22 +234,24 @@ def _bucket_links(scheme: Scheme):
                     break
             kept = cols if len(cols[0]) else None
         if kept is not None:
-            yield from whole(*kept) if len(kept[0]) <= BLOCK else [rows(kept[3], None, *kept[:3])]
+            yield from whole(*kept) if len(kept[0]) <= BLOCK else [rows(*kept)]
 
     return run
 
 
 def links(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links ``a, b`` between the representatives of distinct fingerprints
-    (``lo, hi, rep``) whose graph has the same components as all pairs within
-    the radius: small buckets give their pairs, larger ones a spanning forest."""
-    v = "cast(floor(_v / {w}) as int)".format(w=scheme.width)
-    word = f"if({v} < {scheme.per_word}, lo, hi)"
-    at = f"({v} % {scheme.per_word}) * {scheme.width}"
+    """Links ``a, b, tree`` between the representatives of distinct
+    fingerprints (``w0 ..., rep``) whose graph has the same components as all
+    pairs within the radius: small buckets give their pairs, larger ones
+    spanning forests."""
+    segment = f"cast(floor(_v / {scheme.width}) as int)"
+    word = f"element_at(array({', '.join(scheme.marks)}), cast(floor({segment} / {scheme.per_word}) as int) + 1)"
+    at = f"({segment} % {scheme.per_word}) * {scheme.width}"
     key = f"shiftleft(cast(_v as bigint), {scheme.width}) | (shiftrightunsigned({word}, {at}) & {(1 << scheme.width) - 1}L & ~shiftleft(1L, _v % {scheme.width}))"
-    index = fps.where("rep is not null").select("lo", "hi", "rep", F.explode(F.sequence(F.lit(0), F.lit(scheme.variants - 1))).alias("_v")).select(F.expr(key).alias("_key"), "lo", "hi", "rep")
-    found = store(index.repartition("_key").sortWithinPartitions("_key", "lo", "hi").mapInArrow(_bucket_links(scheme), "a long, b long, key long, lo long, hi long"), "simhash-links")
-    pairs, hot = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", "lo", "hi", F.col("a").alias("rep"))
+    index = fps.where("rep is not null").select(*scheme.marks, "rep", F.explode(F.sequence(F.lit(0), F.lit(scheme.variants - 1))).alias("_v")).select(F.expr(key).alias("_key"), *scheme.marks, "rep")
+    schema = ", ".join(["tree boolean", "a long", "b long", "key long", *(f"{w} long" for w in scheme.marks)])
+    found = store(index.repartition("_key").sortWithinPartitions("_key", *scheme.marks).mapInArrow(_bucket_links(scheme), schema), "simhash-links")
+    pairs, hot = found.where("key is null").select("a", "b", "tree"), found.where("key is not null").select("key", *scheme.marks, F.col("a").alias("rep"))
     if hot.limit(1).count():
         pairs = pairs.union(_hot_links(hot, scheme))
     return pairs
@@ -200,20 +261,59 @@ def _hot_links(hot: DataFrame, scheme: Scheme) -> DataFrame:
     """Large buckets, block against block: no task holds more than about two
     blocks, and each pair of fingerprints meets in one of them."""
     counts = hot.groupBy(F.col("key").alias("_k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
-    dealt = hot.join(counts, F.col("key") == F.col("_k")).withColumn("_i", F.pmod(F.xxhash64("lo", "hi"), F.col("_n")).cast("int"))
-    dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("key", "lo", "hi", "rep", F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"))
+    dealt = hot.join(counts, F.col("key") == F.col("_k")).withColumn("_i", F.pmod(F.xxhash64(*scheme.marks), F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("key", *scheme.marks, "rep", F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"))
 
     def block_pair(part: pd.DataFrame) -> pd.DataFrame:
         rep = part["rep"].to_numpy()
-        a, b = forest(part["lo"].to_numpy().view(np.uint64), part["hi"].to_numpy().view(np.uint64), scheme.radius)
-        return pd.DataFrame({"a": rep[a], "b": rep[b]}, dtype="int64")
+        marks = np.ascontiguousarray(part[scheme.marks].to_numpy(dtype=np.int64)).view(np.uint64)
+        found = [pd.DataFrame({"a": rep[a], "b": rep[b], "tree": tree}) for a, b, tree in forests(marks, scheme)]
+        return pd.concat(found) if found else pd.DataFrame({"a": rep[:0], "b": rep[:0], "tree": np.zeros(0, dtype=bool)})
+
+    return dealt.groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long, tree boolean")
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those of ``pairs`` (``a, b, tree``) whose texts have the least
+    similarity, but for pairs that others connect anyway.
+
+    The tree's pairs come first; of the rest only those are looked at that
+    still lie in different components, so that a group of copies costs about
+    a comparison per copy and not one per pair. Only the texts of documents
+    in pairs are read again.
+    """
+    pairs = store(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("tree").alias("tree")), "simhash-candidates")
+    nodes = store(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "simhash-nodes")
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"_id": part["_id"], "_set": [np.unique(hashes_of(t, scheme.shingle)).view(np.int64) for t in part["_text"]]})
+
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(nodes, F.col("_id") == F.col("_node"), "left_semi").distinct()
+    sets = store(texts.mapInPandas(batches, "_id long, _set array<bigint>"), "simhash-shingles")
+
+    def similar(some: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            some = some.join(sets.select(F.col("_id").alias(f"_{side}"), F.col("_set").alias(f"_of_{side}")), F.col(side) == F.col(f"_{side}"))
+        return store(some.where(_jaccard(F.col("_of_a"), F.col("_of_b")) >= scheme.least).select("a", "b"), "simhash-verified")
 
-    return dealt.groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long")
+    first = similar(pairs.where("tree"))
+    rest, roots = pairs.where("not tree"), components(first)
+    for side in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(f"_n{side}"), F.col("root").alias(f"_r{side}")), F.col(side) == F.col(f"_n{side}"), "left")
+    rest = rest.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b"))
+    return first.union(similar(rest.select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, lo, hi, component_id`` per row of ``docs``; ``component_id``
-    is the smallest id reachable over links within the radius.
+    """``doc_id, w0 ..., component_id`` per row of ``docs``; ``component_id``
+    is the smallest id reachable over links within the radius, which with
+    ``scheme.least`` are also that similar.
 
     A null text has no words and, like an empty one, the fingerprint zero.
     Rows of one fingerprint, repeated rows too, share a component; a row with
@@ -224,10 +324,11 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
     built, so a hot group is one row there.
     """
     marked = store(fingerprints(docs, scheme, id_col, text_col), "simhash-fingerprints")
-    distinct = store(marked.groupBy("lo", "hi").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    roots = components(links(distinct, scheme))
-    named = distinct.join(roots, F.col("rep") == F.col("node"), "left").select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(named, (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi"))).select("doc_id", "lo", "hi", "component_id")
+    distinct = store(marked.groupBy(*scheme.marks).agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    pairs = links(distinct, scheme)
+    roots = components(pairs if scheme.least is None else verified(pairs, docs, scheme, id_col, text_col))
+    named = distinct.join(roots, F.col("rep") == F.col("node"), "left").select(*scheme.marks, F.coalesce("root", "rep").alias("component_id"))
+    return marked.join(named, scheme.marks).select("doc_id", *scheme.marks, "component_id")
 
 
 def keep_one(docs: DataFrame, scheme: Scheme) -> DataFrame:

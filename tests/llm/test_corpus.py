@@ -198,16 +198,17 @@ def test_odd_mixing(spark):
 
 
 def slow_near(texts, scheme):
-    marks = {}
+    marks, bag = {}, {}
     for i, t in texts.items():
         h = simhash_dedup.shingle_hashes(t, scheme.shingle)
-        marks[i] = [m % 2**64 for m in (simhash_dedup.majority(h), simhash_dedup.majority(simhash_dedup.mix(h)))]
+        marks[i], bag[i] = [m % 2**64 for m in simhash_dedup.fingerprint(h, scheme.words)], set(h.tolist())
     pairs, ids = [], sorted(texts)
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
             apart = [a ^ b for a, b in zip(marks[i], marks[j])]
             if sum(x.bit_count() for x in apart) <= scheme.radius and any((x >> (scheme.width * s) & (1 << scheme.width) - 1).bit_count() <= 1 for x in apart for s in range(scheme.per_word)):
-                pairs.append((i, j))
+                if len(bag[i] & bag[j]) >= scheme.least * len(bag[i] | bag[j]):
+                    pairs.append((i, j))
     return union(pairs, ids)
 
 

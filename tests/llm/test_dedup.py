@@ -58,7 +58,7 @@ def test_query_equals_brute_force(spark):
 
 def link_components(spark, values, scheme=simhash_dedup.Scheme()):
     signed = [int(np.uint64(v).view(np.int64)) for v in values]
-    rows = spark.createDataFrame([(s, 0, i) for i, s in enumerate(signed)], "lo long, hi long, rep long")
+    rows = spark.createDataFrame([(s, i) for i, s in enumerate(signed)], "w0 long, rep long")
     found = {r["node"]: r["root"] for r in components(simhash_dedup.links(rows, scheme)).collect()}
     return {i: found.get(i, i) for i in range(len(values))}
 
@@ -83,12 +83,12 @@ def test_links_lose_no_pair(spark, monkeypatch, block):
 
 def test_odd_documents(spark):
     rows = [(5, None), (3, ""), (9, " \n"), (4, "One Two three four"), (4, "One Two three four"), (2, "one two THREE four"), (None, "one two three four"), (None, "no id at all here"), (8, "w " * 40_000)]
-    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, lo int, rep int")
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, w0 int, rep int")
     got = simhash_dedup.near_duplicates(docs).collect()
     assert len(got) == len(rows)
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in got) == [(-1, -1), (-1, 2), (2, 2), (3, 3), (4, 2), (4, 2), (5, 3), (8, 8), (9, 3)]
     kept = simhash_dedup.keep_one(docs, simhash_dedup.Scheme()).collect()
-    assert sorted(r["doc_id"] or -1 for r in kept) == [-1, -1, 2, 3, 8] and "lo" in kept[0].asDict()
+    assert sorted(r["doc_id"] or -1 for r in kept) == [-1, -1, 2, 3, 8] and "w0" in kept[0].asDict()
     assert simhash_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -134,3 +134,32 @@ def test_repeated_rows_and_null_ids_of_lines(spark):
     got = sorted((r["doc_id"] or -1, r["_lines"]["text"]) for r in line_dedup.dedup_lines(docs).collect())
     assert got == [(-1, "d"), (-1, "q"), (1, "a\nb\nc"), (1, "a\nb\nc")]
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_similarity_verifies_what_the_wide_radius_proposes(spark):
+    """Families of edited copies, also large ones: the components are those of
+    all candidate pairs at the similarity, and nearly those of all pairs."""
+    rng, scheme = random.Random(6), simhash_dedup.Scheme(words=4, per_word=3, width=21, radius=56, shingle=5, steps=tuple(range(24, 56, 4)), forests=3, least=0.8)
+    rows = []
+    for family, copies in enumerate([1, 1, 2, 3, 8, 60]):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+        for _ in range(copies):
+            own = list(words)
+            for k in rng.sample(range(300), rng.choice([0, 2, 4, 5])):
+                own[k] = f"x{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(own), family))
+        half = words[:230] + [f"y{rng.randint(0, 10**6)}" for _ in range(70)]
+        rows.append((len(rows), " ".join(half), -1))
+    hashes = {i: simhash_dedup.shingle_hashes(t, 5) for i, t, _ in rows}
+    bags, marks = {i: set(h.tolist()) for i, h in hashes.items()}, {i: [m % 2**64 for m in simhash_dedup.fingerprint(h, 4)] for i, h in hashes.items()}
+    pairs = [(i, j) for i in bags for j in bags if i < j and len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])]
+
+    def candidate(i, j):
+        apart = [a ^ b for a, b in zip(marks[i], marks[j])]
+        return sum(x.bit_count() for x in apart) <= 56 and any((x >> (21 * s) & (1 << 21) - 1).bit_count() <= 1 for x in apart for s in range(3))
+
+    want, all_ = union([p for p in pairs if candidate(*p)], bags), union(pairs, bags)
+    assert sum(want[i] != all_[i] for i in bags) <= 1
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, scheme).collect()} == want
+    assert [r["doc_id"] for r in simhash_dedup.keep_one(docs.limit(0), scheme).collect()] == []
