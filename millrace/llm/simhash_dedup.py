@@ -121,14 +121,15 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def forest(marks: np.ndarray, radii: tuple[int, ...], taken: dict[int, list] | None = None) -> tuple[list, list]:
+def forest(marks: np.ndarray, radii: tuple[int, ...], taken: dict[int, list] | None = None, part: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[list, list, np.ndarray]:
     """A spanning forest of the pairs within the last radius that aren't
-    ``taken`` yet, as index pairs; it takes them.
+    ``taken`` yet, as index pairs, which it takes, and the parts it leaves.
 
     Each fingerprint that is reached is compared with those not reached yet.
     Pairs within smaller radii come first; what these join is one part from
-    then on and is reached as a whole."""
-    part, a, b = np.arange(len(marks)), [], []
+    then on and is reached as a whole. It starts from the parts ``part`` and,
+    with ``side``, takes only pairs of different sides."""
+    part, a, b = np.arange(len(marks)) if part is None else part.copy(), [], []
     taken = {} if taken is None else taken
     for radius in radii:
         left = np.arange(len(marks))
@@ -138,6 +139,8 @@ def forest(marks: np.ndarray, radii: tuple[int, ...], taken: dict[int, list] | N
             while queue and len(left):
                 at = queue.pop()
                 hit = left[distance(marks[left], marks[at]) <= radius]
+                if side is not None:
+                    hit = hit[side[hit] != side[at]]
                 if at in taken:
                     hit = hit[~np.isin(hit, taken[at])]
                 if len(hit):
@@ -151,15 +154,28 @@ def forest(marks: np.ndarray, radii: tuple[int, ...], taken: dict[int, list] | N
     for x, y in zip(a, b):
         taken.setdefault(x, []).append(y)
         taken.setdefault(y, []).append(x)
-    return a, b
+    return a, b, part
 
 
-def forests(marks: np.ndarray, scheme: Scheme) -> Iterator[tuple[list, list, bool]]:
-    """``scheme.forests`` spanning forests without common pairs; the first one
-    is the tree. Any pair left out is joined by a path in each of them."""
+def forests(marks: np.ndarray, key: int, scheme: Scheme) -> Iterator[tuple[list, list, bool]]:
+    """``scheme.forests`` spanning forests of a bucket without common pairs;
+    the first one is the tree.
+
+    Fingerprints whose whole segment is equal meet in the bucket of the first
+    variant, which links them. The other variants' buckets only link those
+    that differ in the bit left out; the more frequent value's members are
+    one part there as far as the first variant's bucket joins them."""
     taken: dict[int, list] = {}
+    part, side = None, None
+    segment, bit = divmod(int(key) >> scheme.width, scheme.width)
+    if bit:
+        word, at = divmod(segment, scheme.per_word)
+        side = marks[:, word] >> np.uint64(at * scheme.width + bit) & np.uint64(1)
+        more = np.flatnonzero(side == int(2 * int(side.sum()) > len(side)))
+        part = np.arange(len(marks))
+        part[more] = more[forest(marks[more], (scheme.radius,))[2]]
     for k in range(scheme.forests):
-        a, b = forest(marks, scheme.radii, taken)
+        a, b, _ = forest(marks, scheme.radii, taken, part, side)
         if a:
             yield a, b, k == 0
 
@@ -203,7 +219,7 @@ def _bucket_links(scheme: Scheme):
             here = here[key[here] == key[here + d]]
         for i in np.flatnonzero(size > ALL_PAIRS):
             s = slice(start[i], end[i])
-            for a, b, tree in forests(marks[s], scheme):
+            for a, b, tree in forests(marks[s], key[start[i]], scheme):
                 yield links_of(rep[s][a], rep[s][b], tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +283,7 @@ def _hot_links(hot: DataFrame, scheme: Scheme) -> DataFrame:
     def block_pair(part: pd.DataFrame) -> pd.DataFrame:
         rep = part["rep"].to_numpy()
         marks = np.ascontiguousarray(part[scheme.marks].to_numpy(dtype=np.int64)).view(np.uint64)
-        found = [pd.DataFrame({"a": rep[a], "b": rep[b], "tree": tree}) for a, b, tree in forests(marks, scheme)]
+        found = [pd.DataFrame({"a": rep[a], "b": rep[b], "tree": tree}) for a, b, tree in forests(marks, part["key"].iloc[0], scheme)]
         return pd.concat(found) if found else pd.DataFrame({"a": rep[:0], "b": rep[:0], "tree": np.zeros(0, dtype=bool)})
 
     return dealt.groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long, tree boolean")
