@@ -25,6 +25,8 @@ from millrace.llm.shared import components, store
 #: Fingerprints of one bucket that a task compares by itself; the distinct
 #: fingerprints of larger ones are dealt out as pairs of blocks.
 BLOCK = 4096
+#: The same where all pairs of different components come out.
+CROSS_BLOCK = 1024
 #: Fingerprints of a bucket whose pairs all come out; larger ones give forests.
 ALL_PAIRS = 32
 
@@ -37,7 +39,8 @@ class Scheme:
     smaller radii whose pairs large buckets take first, ``forests`` the number
     of spanning forests these give: without ``least`` one is enough for the
     same components. With ``least``, pairs also need that Jaccard similarity
-    of their shingle sets."""
+    of their shingle sets; what the forests leave apart is then looked at pair
+    by pair (see :func:`verified_roots`)."""
 
     words: int = 1
     per_word: int = 2
@@ -157,6 +160,16 @@ def forest(marks: np.ndarray, radii: tuple[int, ...], taken: dict[int, list] | N
     return a, b, part
 
 
+def sides(marks: np.ndarray, key: int, scheme: Scheme) -> np.ndarray | None:
+    """The bit that a bucket's variant leaves out; none for a first variant,
+    whose bucket links both equal and different ones."""
+    segment, bit = divmod(int(key) >> scheme.width, scheme.width)
+    if not bit:
+        return None
+    word, at = divmod(segment, scheme.per_word)
+    return marks[:, word] >> np.uint64(at * scheme.width + bit) & np.uint64(1)
+
+
 def forests(marks: np.ndarray, key: int, scheme: Scheme) -> Iterator[tuple[list, list, bool]]:
     """``scheme.forests`` spanning forests of a bucket without common pairs;
     the first one is the tree.
@@ -164,13 +177,12 @@ def forests(marks: np.ndarray, key: int, scheme: Scheme) -> Iterator[tuple[list,
     Fingerprints whose whole segment is equal meet in the bucket of the first
     variant, which links them. The other variants' buckets only link those
     that differ in the bit left out; the more frequent value's members are
-    one part there as far as the first variant's bucket joins them."""
+    one part there as far as the first variant's bucket joins them. With
+    ``least`` they aren't, since those links may fail: the tree then spans all
+    that the bucket proposes."""
     taken: dict[int, list] = {}
-    part, side = None, None
-    segment, bit = divmod(int(key) >> scheme.width, scheme.width)
-    if bit:
-        word, at = divmod(segment, scheme.per_word)
-        side = marks[:, word] >> np.uint64(at * scheme.width + bit) & np.uint64(1)
+    part, side = None, sides(marks, key, scheme)
+    if side is not None and scheme.least is None:
         more = np.flatnonzero(side == int(2 * int(side.sum()) > len(side)))
         part = np.arange(len(marks))
         part[more] = more[forest(marks[more], (scheme.radius,))[2]]
@@ -182,15 +194,16 @@ def forests(marks: np.ndarray, key: int, scheme: Scheme) -> Iterator[tuple[list,
 
 def _bucket_links(scheme: Scheme):
     """Rows sorted by key to links; the rows of a bucket of over BLOCK
-    fingerprints come out as they are, with their key. ``tree`` marks links
-    that, together, hold a bucket of near-duplicates together."""
+    fingerprints come out as they are, with their key and without ``tree``.
+    ``tree`` marks links that, together, hold a bucket of near-duplicates
+    together; with ``least``, those of a bucket that gives forests have its key."""
     longs = ["a", "b", "key", *scheme.marks]
     out_schema = pa.schema([("tree", pa.bool_()), *((n, pa.int64()) for n in longs)])
     segment = np.uint64((1 << scheme.width) - 1)
 
-    def links_of(a, b, tree: bool) -> pa.RecordBatch:
+    def links_of(a, b, tree: bool, key: int | None = None) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([tree] * len(a), pa.bool_()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[none] * (1 + scheme.words)], schema=out_schema)
+        return pa.RecordBatch.from_arrays([pa.array([tree] * len(a), pa.bool_()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([key] * len(a), pa.int64()), *[none] * scheme.words], schema=out_schema)
 
     def rows(key, rep, marks) -> pa.RecordBatch:
         signed = marks.view(np.int64)
@@ -220,7 +233,7 @@ def _bucket_links(scheme: Scheme):
         for i in np.flatnonzero(size > ALL_PAIRS):
             s = slice(start[i], end[i])
             for a, b, tree in forests(marks[s], key[start[i]], scheme):
-                yield links_of(rep[s][a], rep[s][b], tree)
+                yield links_of(rep[s][a], rep[s][b], tree, int(key[start[i]]) if tree and scheme.least is not None else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, hot = None, None
@@ -255,38 +268,75 @@ def _bucket_links(scheme: Scheme):
     return run
 
 
-def links(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links ``a, b, tree`` between the representatives of distinct
-    fingerprints (``w0 ..., rep``) whose graph has the same components as all
-    pairs within the radius: small buckets give their pairs, larger ones
-    spanning forests."""
+def _index(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """``_key, w0 ..., rep``: each fingerprint under its variants."""
     segment = f"cast(floor(_v / {scheme.width}) as int)"
     word = f"element_at(array({', '.join(scheme.marks)}), cast(floor({segment} / {scheme.per_word}) as int) + 1)"
     at = f"({segment} % {scheme.per_word}) * {scheme.width}"
     key = f"shiftleft(cast(_v as bigint), {scheme.width}) | (shiftrightunsigned({word}, {at}) & {(1 << scheme.width) - 1}L & ~shiftleft(1L, _v % {scheme.width}))"
-    index = fps.where("rep is not null").select(*scheme.marks, "rep", F.explode(F.sequence(F.lit(0), F.lit(scheme.variants - 1))).alias("_v")).select(F.expr(key).alias("_key"), *scheme.marks, "rep")
+    return fps.where("rep is not null").select(*scheme.marks, "rep", F.explode(F.sequence(F.lit(0), F.lit(scheme.variants - 1))).alias("_v")).select(F.expr(key).alias("_key"), *scheme.marks, "rep")
+
+
+def links(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links ``a, b, tree, key`` between the representatives of distinct
+    fingerprints (``w0 ..., rep``) whose graph has the same components as all
+    pairs within the radius: small buckets give their pairs, larger ones
+    spanning forests. With ``least``, the tree's links of these have a key."""
     schema = ", ".join(["tree boolean", "a long", "b long", "key long", *(f"{w} long" for w in scheme.marks)])
-    found = store(index.repartition("_key").sortWithinPartitions("_key", *scheme.marks).mapInArrow(_bucket_links(scheme), schema), "simhash-links")
-    pairs, hot = found.where("key is null").select("a", "b", "tree"), found.where("key is not null").select("key", *scheme.marks, F.col("a").alias("rep"))
+    found = store(_index(fps, scheme).repartition("_key").sortWithinPartitions("_key", *scheme.marks).mapInArrow(_bucket_links(scheme), schema), "simhash-links")
+    pairs, hot = found.where("tree is not null").select("a", "b", "tree", "key"), found.where("tree is null").select("key", *scheme.marks, F.col("a").alias("rep"))
     if hot.limit(1).count():
-        pairs = pairs.union(_hot_links(hot, scheme))
+        more = _hot_links(hot, scheme)
+        pairs = pairs.union(more if scheme.least is None else store(more, "simhash-hot-links"))
     return pairs
 
 
+def _dealt(rows: DataFrame, scheme: Scheme, block: int, *more: str) -> DataFrame:
+    """Buckets (``key, w0 ..., rep`` and ``more``), block against block: no
+    group of ``key, _i, _j`` holds more than about two blocks, and each pair
+    of fingerprints meets in one of them."""
+    counts = rows.groupBy(F.col("key").alias("_k")).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = rows.join(counts, F.col("key") == F.col("_k")).withColumn("_i", F.pmod(F.xxhash64(*scheme.marks), F.col("_n")).cast("int"))
+    return dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("key", *scheme.marks, "rep", *more, F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"))
+
+
 def _hot_links(hot: DataFrame, scheme: Scheme) -> DataFrame:
-    """Large buckets, block against block: no task holds more than about two
-    blocks, and each pair of fingerprints meets in one of them."""
-    counts = hot.groupBy(F.col("key").alias("_k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_n"))
-    dealt = hot.join(counts, F.col("key") == F.col("_k")).withColumn("_i", F.pmod(F.xxhash64(*scheme.marks), F.col("_n")).cast("int"))
-    dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("key", *scheme.marks, "rep", F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"))
+    """Links of large buckets, as :func:`links` gives them."""
 
     def block_pair(part: pd.DataFrame) -> pd.DataFrame:
-        rep = part["rep"].to_numpy()
+        rep, key = part["rep"].to_numpy(), part["key"].iloc[0]
         marks = np.ascontiguousarray(part[scheme.marks].to_numpy(dtype=np.int64)).view(np.uint64)
-        found = [pd.DataFrame({"a": rep[a], "b": rep[b], "tree": tree}) for a, b, tree in forests(marks, part["key"].iloc[0], scheme)]
-        return pd.concat(found) if found else pd.DataFrame({"a": rep[:0], "b": rep[:0], "tree": np.zeros(0, dtype=bool)})
+        found = [pd.DataFrame({"a": rep[a], "b": rep[b], "tree": tree, "key": pd.array([key if tree and scheme.least is not None else None] * len(a), "Int64")}) for a, b, tree in forests(marks, key, scheme)]
+        return pd.concat(found) if found else pd.DataFrame({"a": rep[:0], "b": rep[:0], "tree": np.zeros(0, dtype=bool), "key": pd.array([], "Int64")})
 
-    return dealt.groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long, tree boolean")
+    return _dealt(hot, scheme, BLOCK).groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long, tree boolean, key long")
+
+
+def _cross_pairs(keys: DataFrame, fps: DataFrame, roots: DataFrame, scheme: Scheme, every: bool) -> DataFrame:
+    """Pairs ``a, b`` within the radius and of different components in the
+    buckets ``keys``: all, or of each fingerprint the nearest by component."""
+    rows = _index(fps, scheme).join(keys, F.col("_key") == F.col("key"), "left_semi").withColumnRenamed("_key", "key")
+    rows = rows.join(roots, F.col("rep") == F.col("node"), "left").select("key", *scheme.marks, "rep", F.coalesce("root", "rep").alias("_root"))
+
+    def block_pair(part: pd.DataFrame) -> pd.DataFrame:
+        rep, root = part["rep"].to_numpy(), part["_root"].to_numpy()
+        marks = np.ascontiguousarray(part[scheme.marks].to_numpy(dtype=np.int64)).view(np.uint64)
+        side, a, b = sides(marks, part["key"].iloc[0], scheme), [], []
+        for i in range(len(rep) - 1):
+            apart = distance(marks[i + 1 :], marks[i])
+            good = (apart <= scheme.radius) & (root[i + 1 :] != root[i])
+            if side is not None:
+                good &= side[i + 1 :] != side[i]
+            hit = np.flatnonzero(good)
+            if not every and len(hit):
+                hit = hit[np.argsort(apart[hit], kind="stable")]
+                hit = hit[np.unique(root[i + 1 :][hit], return_index=True)[1]]
+            a.append(np.full(len(hit), rep[i]))
+            b.append(rep[i + 1 :][hit])
+        a, b = (np.concatenate([rep[:0], *x]) for x in (a, b))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return _dealt(rows, scheme, CROSS_BLOCK, "_root").groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long").distinct()
 
 
 def _jaccard(a: Column, b: Column) -> Column:
@@ -294,16 +344,21 @@ def _jaccard(a: Column, b: Column) -> Column:
     return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those of ``pairs`` (``a, b, tree``) whose texts have the least
-    similarity, but for pairs that others connect anyway.
+def verified_roots(found: DataFrame, fps: DataFrame, docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components ``node, root`` of all candidates of ``fps`` whose texts have
+    the least similarity; ``found`` are the :func:`links`.
 
     The tree's pairs come first; of the rest only those are looked at that
     still lie in different components, so that a group of copies costs about
-    a comparison per copy and not one per pair. Only the texts of documents
-    in pairs are read again.
+    a comparison per copy and not one per pair. A tree spans what its bucket
+    proposes: only where it still leads from one component to another can the
+    bucket hold a pair that would join them. Of these buckets the nearest
+    pairs across components follow, then all that are left, so that no
+    candidate across the components given stays unverified. Only the texts of
+    documents in pairs are read again.
     """
-    pairs = store(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("tree").alias("tree")), "simhash-candidates")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree", "key")
+    pairs = store(found.groupBy("a", "b").agg(F.max("tree").alias("tree")), "simhash-candidates")
     nodes = store(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "simhash-nodes")
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -318,12 +373,25 @@ def verified(pairs: DataFrame, docs: DataFrame, scheme: Scheme, id_col: str = "d
             some = some.join(sets.select(F.col("_id").alias(f"_{side}"), F.col("_set").alias(f"_of_{side}")), F.col(side) == F.col(f"_{side}"))
         return store(some.where(_jaccard(F.col("_of_a"), F.col("_of_b")) >= scheme.least).select("a", "b"), "simhash-verified")
 
-    first = similar(pairs.where("tree"))
-    rest, roots = pairs.where("not tree"), components(first)
-    for side in ("a", "b"):
-        rest = rest.join(roots.select(F.col("node").alias(f"_n{side}"), F.col("root").alias(f"_r{side}")), F.col(side) == F.col(f"_n{side}"), "left")
-    rest = rest.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b"))
-    return first.union(similar(rest.select("a", "b")))
+    def apart(some: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            some = some.join(roots.select(F.col("node").alias(f"_n{side}"), F.col("root").alias(f"_r{side}")), F.col(side) == F.col(f"_n{side}"), "left")
+        return some.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
+
+    def joined(some: DataFrame) -> DataFrame:
+        good = similar(some)
+        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(good)) if good.limit(1).count() else roots
+
+    roots = components(similar(pairs.where("tree")))
+    roots = joined(apart(pairs.where("not tree")))
+    seen = pairs.select("a", "b")
+    for every in (False, True):
+        keys = store(found.where("key is not null").join(apart(pairs.where("tree")), ["a", "b"], "left_semi").select("key").distinct(), "simhash-open")
+        if not keys.limit(1).count():
+            break
+        more = store(_cross_pairs(keys, fps, roots, scheme, every).join(seen, ["a", "b"], "left_anti"), "simhash-cross")
+        roots, seen = joined(more), seen.union(more)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,7 +410,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
     marked = store(fingerprints(docs, scheme, id_col, text_col), "simhash-fingerprints")
     distinct = store(marked.groupBy(*scheme.marks).agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     pairs = links(distinct, scheme)
-    roots = components(pairs if scheme.least is None else verified(pairs, docs, scheme, id_col, text_col))
+    roots = components(pairs) if scheme.least is None else verified_roots(pairs, distinct, docs, scheme, id_col, text_col)
     named = distinct.join(roots, F.col("rep") == F.col("node"), "left").select(*scheme.marks, F.coalesce("root", "rep").alias("component_id"))
     return marked.join(named, scheme.marks).select("doc_id", *scheme.marks, "component_id")
 

@@ -163,3 +163,37 @@ def test_similarity_verifies_what_the_wide_radius_proposes(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, scheme).collect()} == want
     assert [r["doc_id"] for r in simhash_dedup.keep_one(docs.limit(0), scheme).collect()] == []
+
+
+def near_components(texts, scheme):
+    """Components of all candidate pairs at the similarity, by brute force; the
+    fingerprints are those of the distinct shingles."""
+    bags = {i: np.unique(simhash_dedup.shingle_hashes(t, scheme.shingle)) for i, t in texts.items()}
+    marks = {i: np.array(simhash_dedup.fingerprint(b, scheme.words)).view(np.uint64) for i, b in bags.items()}
+
+    def pair(i, j):
+        apart = marks[i] ^ marks[j]
+        if np.bitwise_count(apart).sum() > scheme.radius or not any((int(x) >> (scheme.width * s) & (1 << scheme.width) - 1).bit_count() <= 1 for x in apart for s in range(scheme.per_word)):
+            return False
+        both = len(np.intersect1d(bags[i], bags[j]))
+        return both >= scheme.least * (len(bags[i]) + len(bags[j]) - both)
+
+    return union([(i, j) for i in texts for j in texts if i < j and pair(i, j)], texts)
+
+
+def test_large_families_are_verified_across_components(spark):
+    """A hundred edited copies, most pairs of which lie within the radius but
+    below the similarity: no forest of unverified links replaces the pairs."""
+    scheme = simhash_dedup.Scheme(words=4, per_word=3, width=21, radius=56, shingle=5, steps=tuple(range(24, 56, 4)), forests=3, least=0.8)
+    rng, texts = random.Random(12), {}
+    for family in range(3):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+        for _ in range(100):
+            own = list(words)
+            for k in rng.sample(range(300), rng.randint(3, 7)):
+                own[k] = f"x{rng.randint(0, 10**6)}"
+            texts[len(texts)] = " ".join(own)
+    want = near_components(texts, scheme)
+    assert len(set(want.values())) > 10
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, scheme).collect()} == want
