@@ -108,11 +108,13 @@ def hashes_of(text: str | None, n: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, w0, w1 ...`` per row: the words of the fingerprint."""
+    """``doc_id, w0, w1 ...`` per row: the words of the fingerprint, over all
+    shingles; with ``least``, which compares sets, over the distinct ones."""
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            marks = [fingerprint(hashes_of(t, scheme.shingle), scheme.words) for t in part["_text"]]
+            hashes = (hashes_of(t, scheme.shingle) for t in part["_text"])
+            marks = [fingerprint(h if scheme.least is None else np.unique(h), scheme.words) for h in hashes]
             yield pd.DataFrame(marks, columns=scheme.marks, dtype="int64").assign(_id=part["_id"].to_numpy())
 
     out = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(batches, ", ".join(["_id string", *(f"{w} long" for w in scheme.marks)]))

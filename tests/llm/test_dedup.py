@@ -197,3 +197,20 @@ def test_large_families_are_verified_across_components(spark):
     assert len(set(want.values())) > 10
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, scheme).collect()} == want
+
+
+def test_repeated_passages_dont_hide_near_copies(spark):
+    """Copies that differ in how often a passage repeats, against brute-force
+    similarity."""
+    scheme = simhash_dedup.Scheme(words=4, per_word=3, width=21, radius=56, shingle=5, steps=tuple(range(24, 56, 4)), forests=3, least=0.8)
+    rng, texts = random.Random(3), {}
+    for _ in range(10):
+        line = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300))
+        phrase = " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(5))
+        for t in (line, f"{line}\n{' '.join([phrase] * 50)}"):
+            texts[len(texts)] = t
+    bags = {i: set(simhash_dedup.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
+    want = union([(i, j) for i in bags for j in bags if i < j and len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])], bags)
+    assert want == {i: i - i % 2 for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, scheme).collect()} == want
