@@ -424,13 +424,17 @@ def merge_weights(spark, sf):
 
 @query
 def training_loop(spark, sf):
-    """Steps of the loop with the unigram scorer: what each one selected."""
+    """An epoch of the loop with the unigram scorer: what each step selected.
+    Pools of at least 256 grow with the table, up to 32 of them; fewer rows
+    than there are pools are left over."""
     rows = blocks(spark, sf)
     replay = UnigramScorer(1000, rows.where("origin_tag = 1"))
     both = UnigramScorer(1000, rows)
     scored = with_target_loss(rows, both).withColumnRenamed("target_loss", "ref_loss").drop("sample_mask")
     path = scratch(spark, "trace")
-    train_loop(scored, None, replay, TrainConfig(pool_size=256, top_k=64, max_steps=3, log_selected=True), trace_path=path)
+    n = rows.count()
+    size = n // max(1, min(32, n // 256))
+    train_loop(scored, None, replay, TrainConfig(pool_size=size, top_k=64 * max(1, size // 256), log_selected=True), trace_path=path)
     return spark.read.schema(corpus.TRACE_SCHEMA).json(path)
 
 

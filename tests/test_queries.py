@@ -23,6 +23,20 @@ def test_loop_traces_whole_batches(spark):
     assert rows and all(r["count"] == 64 for r in rows)
 
 
+def test_training_loop_goes_through_all_pools(spark):
+    from millrace.plans.queries import blocks
+    from millrace.plans.train import pools
+
+    n = blocks(spark, SF).count()
+    placed = pools(blocks(spark, SF), n // (n // 256), "epoch:42:0").select("step", "content_hash").collect()
+    pool = {}
+    for r in placed:
+        pool.setdefault(r["step"] + 1, set()).add(r["content_hash"])
+    got = QUERIES["training_loop"](spark, SF).collect()
+    assert len(placed) > n - 32 and len(pool) > 3 and {r["step"] for r in got} == set(pool)
+    assert all(r["content_hash"] in pool[r["step"]] for r in got)
+
+
 def test_entry(spark):
     import __spark_entry__
 
