@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Elements that a fold over an array takes in one piece.
+WIDTH = 64
 EMPTY = "array<struct<s:int,e:int,v:string,before:string,after:string>>"
 
 
@@ -14,6 +18,35 @@ def gaps(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.split(text, pattern, -1))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def sums_before(lengths: Column, levels: int = 3) -> Column:
+    """For each element the sum of those before it.
+
+    A fold that appends to an array copies it each time, so it only runs over
+    pieces of WIDTH elements; the pieces' totals are summed likewise. The work
+    is linear up to WIDTH ** levels elements, and beyond that the square only
+    of their number divided by WIDTH ** (levels - 1)."""
+
+    def fold(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("a"))
+        return F.aggregate(part, start, lambda acc, n: F.struct((acc["p"] + n).alias("p"), F.concat(acc["a"], F.array(acc["p"])).alias("a")))
+
+    if levels == 1:
+        return fold(lengths)["a"]
+
+    def pieces(every: Column) -> Column:
+        n = F.ceil(F.size(every) / WIDTH).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: fold(F.slice(every, i * WIDTH + 1, F.lit(WIDTH))))
+        joined = let(cut, lambda c: F.flatten(F.zip_with(c, sums_before(F.transform(c, lambda x: x["p"]), levels - 1), lambda x, t: F.transform(x["a"], lambda v: v + t))))
+        return F.when(n > 1, joined).otherwise(fold(every)["a"])
+
+    return let(lengths, pieces)
+
+
 def spans(text: Column, pattern: str, parts: Column, context: int = 0) -> Column:
     """Array of structs: start, end (exclusive, in code points), value, and
     ``context`` characters on either side up to the neighbouring match.
@@ -22,21 +55,17 @@ def spans(text: Column, pattern: str, parts: Column, context: int = 0) -> Column
     sums of the lengths of gaps and matches; matches must not be empty.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.slice(parts, 1, F.size(parts) - 1), lambda m, g: F.struct(m.alias("v"), g.alias("g")))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,v:string>>").alias("a"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["p"] + F.length(x["g"])
-        return F.struct((at + F.length(x["v"])).alias("p"), F.concat(acc["a"], F.array(F.struct(at.alias("s"), x["v"].alias("v")))).alias("a"))
 
-    placed = F.aggregate(pairs, start, step, lambda acc: acc["a"])
+    def place(values: Column) -> Column:
+        lengths = F.zip_with(values, F.slice(parts, 1, F.size(values)), lambda m, g: F.length(g) + F.length(m))
+        return F.zip_with(values, F.zip_with(sums_before(lengths), F.slice(parts, 1, F.size(values)), lambda at, g: at + F.length(g)), lambda m, at: F.struct(m.alias("v"), at.alias("s")))
 
     def full(x: Column, i: Column) -> Column:
         before = F.right(F.get(parts, i), F.lit(context)) if context else F.lit("")
         after = F.left(F.get(parts, i + 1), F.lit(context)) if context else F.lit("")
         return F.struct(x["s"].alias("s"), (x["s"] + F.length(x["v"])).alias("e"), x["v"].alias("v"), before.alias("before"), after.alias("after"))
 
-    return F.coalesce(F.transform(placed, full), F.array().cast(EMPTY))
+    return F.coalesce(F.transform(let(found, place), full), F.array().cast(EMPTY))
 
 
 def named(found: Column, kind: str, order: int, keep=None) -> Column:
