@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The session's setting is used as it is. Only where none is set (local
-    tests) a temporary folder is created and remembered in the session.
+    The session's setting is used as it is. Where none is set, a local session
+    (tests) gets a temporary folder, remembered in the session; on a cluster
+    that folder would be another one on each machine, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns in one struct ``_row``, so that no name of
+    theirs meets one of an operator's; ``select("_row.*")`` unpacks them."""
+    return docs.select(F.struct("*").alias("_row"))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
@@ -63,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph with long node ids.
 
     ``edges`` has columns ``a, b``. Returns ``node, root`` for every node that
-    has an edge to another one; ``root`` is the smallest id reachable.
+    can reach a smaller one; ``root`` is the smallest id reachable.
     Alternates the large-star and small-star steps (Kiveris et al. 2014) until
     the edge set no longer changes. Each step groups by node with map-side
     combining and joins the minimum back, so a hub is never gathered in one
