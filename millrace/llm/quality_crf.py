@@ -4,6 +4,7 @@ labels, and the share of words in content lines decides retention."""
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,8 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample: documents of each class, characters of each.
-TRAIN_DOCS, TRAIN_CHARS = 400, 20_000
+from millrace.llm.shared import rows_of
+
+log = logging.getLogger(__name__)
+
+#: Bounds of the training sample: documents of each class; pieces of each, and
+#: lines of a piece. Of a longer document the pieces at even distances count.
+TRAIN_DOCS, TRAIN_PIECES, PIECE = 400, 32, 64
 #: Least share of a document's words in content lines.
 MIN_SHARE = 0.5
 
@@ -116,26 +122,73 @@ class Crf:
         return labels
 
 
-#: Used where no labelled document of both classes exists: content everywhere.
-NO_MODEL = Crf(np.repeat([[0.0, 1.0]], N_FEATURES, 0) * (np.arange(N_FEATURES) == 0)[:, None], np.zeros((2, 2)), np.zeros(2))
-
-
-def train(samples: list[tuple[str, int]], rounds: int = 150, rate: float = 1.0, ridge: float = 1e-3) -> Crf:
-    """Maximum likelihood by gradient ascent from zero; all sequences at once.
-
-    The labels are of documents: in a good one every line counts as content
-    unless it is a notice or repeats an earlier line; in a bad one each line
-    with a sign of trouble counts as boilerplate and plain lines as content.
+@dataclass(frozen=True)
+class Sample:
+    """A labelled document: features and word counts of its lines with words,
+    as pieces of consecutive lines."""
+
+    good: int
+    lines: tuple[np.ndarray, ...]
+    sizes: tuple[np.ndarray, ...]
+
+
+def sample_of(text: str, good: int) -> Sample:
+    x, sizes = line_features(text)
+    x, sizes = x[sizes > 0], sizes[sizes > 0]
+    n = -(-len(x) // PIECE)
+    some = sorted({i * n // TRAIN_PIECES for i in range(TRAIN_PIECES)} if n > TRAIN_PIECES else range(n))
+    cut = [slice(PIECE * i, PIECE * (i + 1)) for i in some]
+    return Sample(good, tuple(x[c] for c in cut), tuple(sizes[c] for c in cut))
+
+
+def guessed(sample: Sample, odds: np.ndarray, share: float = MIN_SHARE) -> np.ndarray:
+    """Labels of a document's lines from their odds of being content, held to
+    what its own label says: in a good document content has at least ``share``
+    of the words, in a bad one boilerplate has more than the rest. Lines that
+    must change side for that are those nearest to it."""
+    sizes = np.concatenate(sample.sizes)
+    label, total = (odds >= 0).astype(int), sizes.sum()
+    order = np.argsort(-odds if sample.good else odds, kind="stable")
+    reached = np.cumsum(sizes[order])
+    needed = share * total if sample.good else (1 - share) * total + 1
+    n = int(np.searchsorted(reached, needed)) + 1
+    label[order[:n]] = sample.good
+    return label
+
+
+def train(samples: list[Sample], turns: int = 2) -> Crf | None:
+    """A model from documents' labels alone; which of their lines are
+    boilerplate isn't told but found in turns.
+
+    First each line has its document's label, and lines are told apart one by
+    one. Then the labels of lines are guessed from the model (:func:`guessed`)
+    and the chain is fitted to these. No model without documents of both
+    classes.
     """
-    seqs, tags = [], []
-    for text, good in samples:
-        x, sizes = line_features(text)
-        trouble = x[:, 5:].any(axis=1)
-        y = np.where(x[:, 13] > 0, 0, 1) if good else np.where(trouble, 0, 1)
-        seqs.append(x[sizes > 0] if (sizes > 0).any() else x)
-        tags.append(y[sizes > 0] if (sizes > 0).any() else y)
-    if len({int(g) for _, g in samples}) < 2:
-        return NO_MODEL
+    samples = [s for s in samples if s.lines]
+    if {s.good for s in samples} != {0, 1}:
+        return None
+    seqs = [x for s in samples for x in s.lines]
+    ends = np.cumsum([sum(map(len, s.lines)) for s in samples])
+    every, of = np.concatenate(seqs), np.repeat([s.good for s in samples], np.diff(ends, prepend=0))
+    # both classes weigh the same, however many lines they have
+    weight = np.where(of == 1, 0.5 / max((of == 1).sum(), 1), 0.5 / max((of == 0).sum(), 1))
+    lean = np.zeros(N_FEATURES)
+    for _ in range(300):
+        lean += 2.0 * (every.T @ (weight * (of - 1 / (1 + np.exp(-every @ lean)))) - 1e-4 * lean)
+    model = Crf(np.stack([-lean / 2, lean / 2], axis=1), np.zeros((2, 2)), np.zeros(2))
+    cuts = np.cumsum([len(x) for x in seqs])[:-1]
+    for _ in range(turns):
+        scores = every @ model.emit
+        odds = np.split(scores[:, 1] - scores[:, 0], ends[:-1])
+        labels = np.concatenate([guessed(s, o) for s, o in zip(samples, odds)])
+        model = fit(seqs, np.split(labels, cuts))
+    return model
+
+
+def fit(seqs: list[np.ndarray], tags: list[np.ndarray], rounds: int = 100, rate: float = 1.0, ridge: float = 1e-3) -> Crf:
+    """Maximum likelihood of the labels ``tags`` by gradient ascent from zero;
+    all sequences at once."""
     order = np.argsort([-len(x) for x in seqs], kind="stable")
     seqs, tags = [seqs[i] for i in order], [tags[i] for i in order]
     long, total = len(seqs[0]), sum(map(len, seqs))
@@ -171,43 +224,74 @@ def train(samples: list[tuple[str, int]], rounds: int = 150, rate: float = 1.0,
     return Crf(emit, step, start)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> list[tuple[str, int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> list[Sample]:
     """At most ``per_class`` labelled documents of each class, those with the
-    smallest hash of their id; documents of over ``max_chars`` characters or
-    without text are passed over. Conflicting labels of one id: bad wins."""
-    labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_good"))
-    picked = None
-    for good in (0, 1):
-        # four times as many ids, as some documents are too long or missing
-        ids = labels.where(F.col("_good") == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(4 * per_class)
-        picked = ids if picked is None else picked.union(ids)
-    found = docs.where(F.length("text").between(1, max_chars)).select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_good").distinct()
-    parts = [found.where(F.col("_good") == good).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class) for good in (0, 1)]
-    return [(r["text"], r["_good"]) for r in parts[0].union(parts[1]).collect()]
-
-
-def judge(docs: DataFrame, model: Crf, min_share: float = MIN_SHARE) -> DataFrame:
-    """All columns of ``docs`` come back, followed by ``n_words, word_chars,
-    n_symbols, n_dup_lines, n_repeat_words, base_failed, n_content_words,
-    kept`` in one struct column ``_quality``.
+    smallest hash of their id; of texts that share an id that with the
+    smallest hash. Documents without a word can't be labelled by line and are
+    passed over. Conflicting labels of one id: bad wins.
+
+    Features are computed on the executors, so that no text goes to the driver.
+    """
+    labels = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_key")).agg(F.min("quality").alias("_good"))
+    worded = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_t"))
+    there = labels.join(worded.groupBy("_id").agg(F.min("_t").alias("_t")), F.col("_key") == F.col("_id"))
+    parts = [there.where(F.col("_good") == good).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for good in (0, 1)]
+    picked = parts[0].unionByName(parts[1]).select("_id", "_t", "_good")
+
+    @F.pandas_udf("array<struct<lines:array<int>,sizes:array<long>>>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        told = (sample_of(t, 0) for t in texts)
+        return pd.Series([[{"lines": packed(x), "sizes": n} for x, n in zip(s.lines, s.sizes)] for s in told])
+
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_t"))).dropDuplicates(["_id"])
+    rows = texts.select("_id", "_good", pieces("text").alias("_pieces")).collect()
+    rows.sort(key=lambda r: r["_id"])
+    found = [Sample(r["_good"], tuple(unpacked(p["lines"]) for p in r["_pieces"]), tuple(np.array(p["sizes"]) for p in r["_pieces"])) for r in rows]
+    if {s.good for s in found} != {0, 1}:
+        log.warning("labels of both classes are needed to train on; the base rules alone decide")
+    return found
+
+
+def packed(x: np.ndarray) -> np.ndarray:
+    """A line's 0/1 features as the bits of one number."""
+    return (x.astype(np.int32) << np.arange(N_FEATURES, dtype=np.int32)).sum(axis=1, dtype=np.int32)
+
+
+def unpacked(codes) -> np.ndarray:
+    return (np.asarray(codes, dtype=np.int32)[:, None] >> np.arange(N_FEATURES) & 1).astype(float)
+
+
+def judged_rows(docs: DataFrame, model: Crf | None, min_share: float = MIN_SHARE) -> DataFrame:
+    """``_row`` (struct of all columns of ``docs``, whatever their names) and
+    ``_quality``: struct of ``n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, n_content_words, kept``.
 
     No shuffle. A null text has no words and so fails; very long texts are
     labelled whole, in memory linear in their lines; repeated rows each give a
-    row; an empty table gives an empty one. Columns that are named like the
-    results do no harm, as these stand inside the struct.
+    row; an empty table gives an empty one. Without a model (no labels to
+    train one) every line is content and the base rules alone decide.
     """
     judged = _judge(model, min_share)
-    return docs.withColumn("_quality", judged(F.coalesce(F.col("text"), F.lit(""))))
+    return rows_of(docs).withColumn("_quality", judged(F.coalesce(F.col("_row.text"), F.lit(""))))
+
+
+def judge(docs: DataFrame, model: Crf | None, min_share: float = MIN_SHARE) -> DataFrame:
+    """All columns of ``docs`` and ``_quality``, see :func:`judged_rows`. A
+    column of ``docs`` that has that name already gives way to the result."""
+    found = judged_rows(docs, model, min_share)
+    return found.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() != "_quality"), "_quality")
 
 
-def _judge(model: Crf, min_share: float):
+def _judge(model: Crf | None, min_share: float):
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_content_words long, kept boolean")
     def judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for text in part:
                 base, content = base_rules(text), 0
-                if base.n_words:
+                if model is None:
+                    content = base.n_words
+                elif base.n_words:
                     x, sizes = line_features(text)
                     content = int(sizes[model.decode(x) == 1].sum())
                 out.append((base.n_words, base.word_chars, base.n_symbols, base.n_dup_lines, base.n_repeat_words, base.failed, content, not base.failed and content >= min_share * base.n_words))
