@@ -4,8 +4,11 @@ Fingerprints are cut into fewer segments than the radius would need for an
 equal one, so few that of two fingerprints within the radius one segment
 differs by at most one bit. Each segment is indexed under its variants with
 one bit left out; an equality join on these finds every pair within the
-radius, and the full Hamming distance verifies it. Schemes with a ``least``
-similarity take a wide radius and verify their pairs by exact shingle sets.
+radius, and the full Hamming distance verifies it.
+
+Schemes with a ``least`` similarity take wide fingerprints and a wide radius.
+What their candidates connect is a family; within each family the exact
+shingle sets are compared, and only pairs that similar are links.
 """
 
 from __future__ import annotations
@@ -20,40 +23,43 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import components, store
+from millrace.llm.shared import components, rows_of, store
 
-#: Fingerprints of one bucket that a task compares by itself; the distinct
-#: fingerprints of larger ones are dealt out as pairs of blocks.
+#: Fingerprints of one bucket that a task compares by itself; those of larger
+#: ones are dealt out as pairs of blocks.
 BLOCK = 4096
-#: The same where all pairs of different components come out.
-CROSS_BLOCK = 1024
-#: Fingerprints of a bucket whose pairs all come out; larger ones give forests.
-ALL_PAIRS = 32
+#: Fingerprints of a bucket that are compared pair by pair, many buckets at
+#: once; larger ones give a spanning forest.
+ALL_PAIRS = 128
+#: Texts, and shingles of all of them, in a block of a family.
+FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 2_000_000
 
 
 @dataclass(frozen=True)
 class Scheme:
     """``words`` 64-bit words, each with ``per_word`` segments of ``width``
-    bits. Every pair within ``radius`` bits is found if radius is less than
-    twice the number of segments and these cover all bits. ``steps`` are
-    smaller radii whose pairs large buckets take first, ``forests`` the number
-    of spanning forests these give: without ``least`` one is enough for the
-    same components. With ``least``, pairs also need that Jaccard similarity
-    of their shingle sets; what the forests leave apart is then looked at pair
-    by pair (see :func:`verified_roots`)."""
+    bits. Pairs that differ in at most ``radius`` bits of the first
+    ``compared`` words, and by at most one bit in some segment, are candidates.
+    With all words compared, segments that cover all bits and a radius of less
+    than twice their number these are all pairs within the radius. With
+    ``least``, texts in candidates' families are linked that have at least that
+    Jaccard similarity of their shingle sets; without, candidates are links."""
 
     words: int = 1
     per_word: int = 2
     width: int = 32
     radius: int = 3
     shingle: int = 3
-    steps: tuple[int, ...] = ()
-    forests: int = 1
+    compared: int = 1
     least: float | None = None
 
+    @property
+    def segments(self) -> int:
+        return self.words * self.per_word
+
     @property
     def variants(self) -> int:
-        return self.words * self.per_word * self.width
+        return self.segments * self.width
 
     @property
     def marks(self) -> list[str]:
@@ -61,8 +67,9 @@ class Scheme:
         return [f"w{k}" for k in range(self.words)]
 
     @property
-    def radii(self) -> tuple[int, ...]:
-        return (*self.steps, self.radius)
+    def seen(self) -> list[str]:
+        """Columns that the index carries."""
+        return self.marks[: self.compared]
 
 
 def shingle_hashes(text: str, n: int) -> np.ndarray:
@@ -126,122 +133,119 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def forest(marks: np.ndarray, radii: tuple[int, ...], taken: dict[int, list] | None = None, part: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[list, list, np.ndarray]:
-    """A spanning forest of the pairs within the last radius that aren't
-    ``taken`` yet, as index pairs, which it takes, and the parts it leaves.
-
-    Each fingerprint that is reached is compared with those not reached yet.
-    Pairs within smaller radii come first; what these join is one part from
-    then on and is reached as a whole. It starts from the parts ``part`` and,
-    with ``side``, takes only pairs of different sides."""
-    part, a, b = np.arange(len(marks)) if part is None else part.copy(), [], []
-    taken = {} if taken is None else taken
-    for radius in radii:
-        left = np.arange(len(marks))
-        while len(left):
-            own = part[left] == part[left[0]]
-            root, queue, left = part[left[0]], left[own].tolist(), left[~own]
-            while queue and len(left):
-                at = queue.pop()
-                hit = left[distance(marks[left], marks[at]) <= radius]
-                if side is not None:
-                    hit = hit[side[hit] != side[at]]
-                if at in taken:
-                    hit = hit[~np.isin(hit, taken[at])]
-                if len(hit):
-                    parts, one = np.unique(part[hit], return_index=True)
-                    a += [at] * len(one)
-                    b += hit[one].tolist()
-                    own = np.isin(part[left], parts)
-                    queue += left[own].tolist()
-                    part[left[own]] = root
-                    left = left[~own]
-    for x, y in zip(a, b):
-        taken.setdefault(x, []).append(y)
-        taken.setdefault(y, []).append(x)
-    return a, b, part
-
-
-def sides(marks: np.ndarray, key: int, scheme: Scheme) -> np.ndarray | None:
-    """The bit that a bucket's variant leaves out; none for a first variant,
-    whose bucket links both equal and different ones."""
-    segment, bit = divmod(int(key) >> scheme.width, scheme.width)
-    if not bit:
-        return None
-    word, at = divmod(segment, scheme.per_word)
-    return marks[:, word] >> np.uint64(at * scheme.width + bit) & np.uint64(1)
-
-
-def forests(marks: np.ndarray, key: int, scheme: Scheme) -> Iterator[tuple[list, list, bool]]:
-    """``scheme.forests`` spanning forests of a bucket without common pairs;
-    the first one is the tree.
-
-    Fingerprints whose whole segment is equal meet in the bucket of the first
-    variant, which links them. The other variants' buckets only link those
-    that differ in the bit left out; the more frequent value's members are
-    one part there as far as the first variant's bucket joins them. With
-    ``least`` they aren't, since those links may fail: the tree then spans all
-    that the bucket proposes."""
-    taken: dict[int, list] = {}
-    part, side = None, sides(marks, key, scheme)
-    if side is not None and scheme.least is None:
-        more = np.flatnonzero(side == int(2 * int(side.sum()) > len(side)))
-        part = np.arange(len(marks))
-        part[more] = more[forest(marks[more], (scheme.radius,))[2]]
-    for k in range(scheme.forests):
-        a, b, _ = forest(marks, scheme.radii, taken, part, side)
-        if a:
-            yield a, b, k == 0
+def forest(marks: np.ndarray, radius: int, part: np.ndarray) -> tuple[list, list]:
+    """Index pairs within the radius that join the parts which such pairs
+    connect, as a spanning forest. Each fingerprint that is reached is
+    compared with those not reached yet; a part is reached as a whole."""
+    a, b, left = [], [], np.arange(len(marks))
+    while len(left):
+        own = part[left] == part[left[0]]
+        queue, left = left[own].tolist(), left[~own]
+        while queue and len(left):
+            at = queue.pop()
+            hit = left[distance(marks[left], marks[at]) <= radius]
+            if len(hit):
+                parts, one = np.unique(part[hit], return_index=True)
+                a += [at] * len(one)
+                b += hit[one].tolist()
+                own = np.isin(part[left], parts)
+                queue += left[own].tolist()
+                left = left[~own]
+    return a, b
+
+
+def _index(fps: DataFrame, scheme: Scheme, wild: bool) -> DataFrame:
+    """``_key``, the compared words, ``rep`` and ``root``: each fingerprint
+    under its segments or, if ``wild``, under their variants."""
+    each = scheme.width if wild else 1
+    segment = f"cast(floor(_v / {each}) as int)"
+    word = f"element_at(array({', '.join(scheme.marks)}), cast(floor({segment} / {scheme.per_word}) as int) + 1)"
+    at = f"({segment} % {scheme.per_word}) * {scheme.width}"
+    left_out = f" & ~shiftleft(1L, _v % {scheme.width})" if wild else ""
+    key = f"shiftleft(cast(_v as bigint), {scheme.width}) | (shiftrightunsigned({word}, {at}) & {(1 << scheme.width) - 1}L{left_out})"
+    spread = F.explode(F.sequence(F.lit(0), F.lit(scheme.segments * each - 1))).alias("_v")
+    return fps.select(*scheme.marks, "rep", "root", spread).select(F.expr(key).alias("_key"), *scheme.seen, "rep", "root")
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR)
+
+
+def _arrays(batch: pa.RecordBatch, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    marks = np.stack([np.asarray(batch.column(n)).view(np.uint64) for n in names], axis=1)
+    return np.array(batch.column("_key")), marks
+
+
+def seeds(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Components ``node, root`` of some of the pairs within the radius: those
+    of neighbours, and with the first fingerprint, among such as share a whole
+    segment, in order. Two links a row at most and no more than that: what
+    they join, the index need not link again bucket by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            key, marks = _arrays(batch, scheme.seen)
+            rep = np.array(batch.column("rep"))
+            if last is not None:
+                key, rep, marks = (np.concatenate(x) for x in zip(last, (key, rep, marks)))
+            first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+            first = np.repeat(first, np.diff(first, append=len(key)))
+            for other in (np.maximum(np.arange(len(key)) - 1, first), first):
+                good = np.flatnonzero((rep != rep[other]) & (distance(marks, marks[other]) <= scheme.radius))
+                if len(good):
+                    yield _pairs(rep[good], rep[other[good]])
+            # the last bucket may go on: its first row and its last one stay
+            stay = np.unique([first[-1], len(key) - 1])
+            last = key[stay], rep[stay], marks[stay]
+
+    near = _index(fps.withColumn("root", F.col("rep")), scheme, False).repartition("_key").sortWithinPartitions("_key", *scheme.seen)
+    return components(near.mapInArrow(run, "a long, b long"))
 
 
 def _bucket_links(scheme: Scheme):
-    """Rows sorted by key to links; the rows of a bucket of over BLOCK
-    fingerprints come out as they are, with their key and without ``tree``.
-    ``tree`` marks links that, together, hold a bucket of near-duplicates
-    together; with ``least``, those of a bucket that gives forests have its key."""
-    longs = ["a", "b", "key", *scheme.marks]
-    out_schema = pa.schema([("tree", pa.bool_()), *((n, pa.int64()) for n in longs)])
-    segment = np.uint64((1 << scheme.width) - 1)
-
-    def links_of(a, b, tree: bool, key: int | None = None) -> pa.RecordBatch:
+    """Rows sorted by key to links between different roots; the rows of a
+    bucket of over BLOCK fingerprints come out as they are, with their key."""
+    out_schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "key", "root", *scheme.seen)])
+
+    def links_of(a, b) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([tree] * len(a), pa.bool_()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([key] * len(a), pa.int64()), *[none] * scheme.words], schema=out_schema)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[none] * (2 + scheme.compared)], schema=out_schema)
 
-    def rows(key, rep, marks) -> pa.RecordBatch:
+    def rows(key, rep, root, marks) -> pa.RecordBatch:
         signed = marks.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.nulls(len(key), pa.bool_()), pa.array(rep), pa.nulls(len(key), pa.int64()), pa.array(key), *(pa.array(np.ascontiguousarray(signed[:, k])) for k in range(scheme.words))], schema=out_schema)
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(root), *(pa.array(np.ascontiguousarray(signed[:, k])) for k in range(scheme.compared))], schema=out_schema)
 
-    def whole(key, rep, marks) -> Iterator[pa.RecordBatch]:
+    def whole(key, rep, root, marks) -> Iterator[pa.RecordBatch]:
         """Links within buckets that are all here."""
-        cut = np.flatnonzero(np.diff(key)) + 1
-        start, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
-        size = end - start
-        short = np.repeat(size <= ALL_PAIRS, size)
-        here = np.flatnonzero(short[:-1] & (key[:-1] == key[1:]))
-        d = 1
+        start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+        size = np.diff(start, append=len(key))
+        apart = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+        here = np.flatnonzero(np.repeat(apart & (size <= ALL_PAIRS), size))
+        here, d = here[:-1] if len(here) and here[-1] == len(key) - 1 else here, 1
+        here = here[key[here] == key[here + 1]]
         while len(here):
-            v = key[here] >> scheme.width
-            seg, pos = v // scheme.width, v % scheme.width
-            word = seg // scheme.per_word
-            x = marks[here, word] ^ marks[here + d, word]
-            same = ((x >> (seg % scheme.per_word * scheme.width).astype(np.uint64)) & segment) == 0
-            # equal segments meet under every variant: only the first counts
-            good = (distance(marks[here], marks[here + d]) <= scheme.radius) & (~same | (pos == 0))
-            if good.any():
-                yield links_of(rep[here[good]], rep[here[good] + d], d == 1)
+            good = here[(root[here] != root[here + d])]
+            good = good[distance(marks[good], marks[good + d]) <= scheme.radius]
+            if len(good):
+                yield links_of(rep[good], rep[good + d])
             d += 1
             here = here[here + d < len(key)]
             here = here[key[here] == key[here + d]]
-        for i in np.flatnonzero(size > ALL_PAIRS):
-            s = slice(start[i], end[i])
-            for a, b, tree in forests(marks[s], key[start[i]], scheme):
-                yield links_of(rep[s][a], rep[s][b], tree, int(key[start[i]]) if tree and scheme.least is not None else None)
+        for i in np.flatnonzero(apart & (size > ALL_PAIRS)):
+            s = slice(start[i], start[i] + size[i])
+            a, b = forest(marks[s], scheme.radius, root[s])
+            if a:
+                yield links_of(rep[s][a], rep[s][b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, hot = None, None
         for batch in batches:
-            marks = np.stack([np.array(batch.column(n)).view(np.uint64) for n in scheme.marks], axis=1)
-            cols = [np.array(batch.column("_key")), np.array(batch.column("rep")), marks]
+            key, marks = _arrays(batch, scheme.seen)
+            cols = [key, np.array(batch.column("rep")), np.array(batch.column("root")), marks]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             kept = None
@@ -270,136 +274,131 @@ def _bucket_links(scheme: Scheme):
     return run
 
 
-def _index(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """``_key, w0 ..., rep``: each fingerprint under its variants."""
-    segment = f"cast(floor(_v / {scheme.width}) as int)"
-    word = f"element_at(array({', '.join(scheme.marks)}), cast(floor({segment} / {scheme.per_word}) as int) + 1)"
-    at = f"({segment} % {scheme.per_word}) * {scheme.width}"
-    key = f"shiftleft(cast(_v as bigint), {scheme.width}) | (shiftrightunsigned({word}, {at}) & {(1 << scheme.width) - 1}L & ~shiftleft(1L, _v % {scheme.width}))"
-    return fps.where("rep is not null").select(*scheme.marks, "rep", F.explode(F.sequence(F.lit(0), F.lit(scheme.variants - 1))).alias("_v")).select(F.expr(key).alias("_key"), *scheme.marks, "rep")
-
-
-def links(fps: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links ``a, b, tree, key`` between the representatives of distinct
-    fingerprints (``w0 ..., rep``) whose graph has the same components as all
-    pairs within the radius: small buckets give their pairs, larger ones
-    spanning forests. With ``least``, the tree's links of these have a key."""
-    schema = ", ".join(["tree boolean", "a long", "b long", "key long", *(f"{w} long" for w in scheme.marks)])
-    found = store(_index(fps, scheme).repartition("_key").sortWithinPartitions("_key", *scheme.marks).mapInArrow(_bucket_links(scheme), schema), "simhash-links")
-    pairs, hot = found.where("tree is not null").select("a", "b", "tree", "key"), found.where("tree is null").select("key", *scheme.marks, F.col("a").alias("rep"))
-    if hot.limit(1).count():
-        more = _hot_links(hot, scheme)
-        pairs = pairs.union(more if scheme.least is None else store(more, "simhash-hot-links"))
-    return pairs
-
+def candidates(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """Components ``node, root`` of all candidate pairs of the distinct
+    fingerprints ``w0 ..., rep``.
 
-def _dealt(rows: DataFrame, scheme: Scheme, block: int, *more: str) -> DataFrame:
-    """Buckets (``key, w0 ..., rep`` and ``more``), block against block: no
-    group of ``key, _i, _j`` holds more than about two blocks, and each pair
-    of fingerprints meets in one of them."""
-    counts = rows.groupBy(F.col("key").alias("_k")).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    dealt = rows.join(counts, F.col("key") == F.col("_k")).withColumn("_i", F.pmod(F.xxhash64(*scheme.marks), F.col("_n")).cast("int"))
-    return dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("key", *scheme.marks, "rep", *more, F.least("_i", "_j").alias("_i"), F.greatest("_i", "_j").alias("_j"))
+    :func:`seeds` joins the bulk of a group of near copies by a few rows each.
+    The index of variants then only gives links between what these left apart:
+    in small buckets all of them, in larger ones a spanning forest.
+    """
+    fps = fps.where("rep is not null")
+    some = seeds(fps, scheme)
+    fps = fps.join(some.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    schema = ", ".join(f"{n} long" for n in ("a", "b", "key", "root", *scheme.seen))
+    found = store(_index(fps, scheme, True).repartition("_key").sortWithinPartitions("_key", *scheme.seen).mapInArrow(_bucket_links(scheme), schema), "simhash-links")
+    links, hot = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", "root", *scheme.seen, F.col("a").alias("rep"))
+    if hot.limit(1).count():
+        links = links.union(_hot_links(hot, scheme))
+    return components(some.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
 
 
 def _hot_links(hot: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links of large buckets, as :func:`links` gives them."""
-
-    def block_pair(part: pd.DataFrame) -> pd.DataFrame:
-        rep, key = part["rep"].to_numpy(), part["key"].iloc[0]
-        marks = np.ascontiguousarray(part[scheme.marks].to_numpy(dtype=np.int64)).view(np.uint64)
-        found = [pd.DataFrame({"a": rep[a], "b": rep[b], "tree": tree, "key": pd.array([key if tree and scheme.least is not None else None] * len(a), "Int64")}) for a, b, tree in forests(marks, key, scheme)]
-        return pd.concat(found) if found else pd.DataFrame({"a": rep[:0], "b": rep[:0], "tree": np.zeros(0, dtype=bool), "key": pd.array([], "Int64")})
-
-    return _dealt(hot, scheme, BLOCK).groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long, tree boolean, key long")
-
-
-def _cross_pairs(keys: DataFrame, fps: DataFrame, roots: DataFrame, scheme: Scheme, every: bool) -> DataFrame:
-    """Pairs ``a, b`` within the radius and of different components in the
-    buckets ``keys``: all, or of each fingerprint the nearest by component."""
-    rows = _index(fps, scheme).join(keys, F.col("_key") == F.col("key"), "left_semi").withColumnRenamed("_key", "key")
-    rows = rows.join(roots, F.col("rep") == F.col("node"), "left").select("key", *scheme.marks, "rep", F.coalesce("root", "rep").alias("_root"))
+    """Links ``a, b`` of buckets of over BLOCK fingerprints, block against
+    block; buckets that are of one root have none."""
 
     def block_pair(part: pd.DataFrame) -> pd.DataFrame:
-        rep, root = part["rep"].to_numpy(), part["_root"].to_numpy()
-        marks = np.ascontiguousarray(part[scheme.marks].to_numpy(dtype=np.int64)).view(np.uint64)
-        side, a, b = sides(marks, part["key"].iloc[0], scheme), [], []
-        for i in range(len(rep) - 1):
-            apart = distance(marks[i + 1 :], marks[i])
-            good = (apart <= scheme.radius) & (root[i + 1 :] != root[i])
-            if side is not None:
-                good &= side[i + 1 :] != side[i]
-            hit = np.flatnonzero(good)
-            if not every and len(hit):
-                hit = hit[np.argsort(apart[hit], kind="stable")]
-                hit = hit[np.unique(root[i + 1 :][hit], return_index=True)[1]]
-            a.append(np.full(len(hit), rep[i]))
-            b.append(rep[i + 1 :][hit])
-        a, b = (np.concatenate([rep[:0], *x]) for x in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return _dealt(rows, scheme, CROSS_BLOCK, "_root").groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long").distinct()
-
-
-def _jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1))
-
-
-def verified_roots(found: DataFrame, fps: DataFrame, docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components ``node, root`` of all candidates of ``fps`` whose texts have
-    the least similarity; ``found`` are the :func:`links`.
-
-    The tree's pairs come first; of the rest only those are looked at that
-    still lie in different components, so that a group of copies costs about
-    a comparison per copy and not one per pair. A tree spans what its bucket
-    proposes: only where it still leads from one component to another can the
-    bucket hold a pair that would join them. Of these buckets the nearest
-    pairs across components follow, then all that are left, so that no
-    candidate across the components given stays unverified. Only the texts of
-    documents in pairs are read again.
+        rep = part["rep"].to_numpy()
+        marks = np.ascontiguousarray(part[scheme.seen].to_numpy(dtype=np.int64)).view(np.uint64)
+        a, b = forest(marks, scheme.radius, part["root"].to_numpy())
+        return pd.DataFrame({"a": rep[a], "b": rep[b]})
+
+    counts = hot.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
+    counts = counts.select(F.col("key").alias("_k"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_n"))
+    rows = hot.join(counts, F.col("key") == F.col("_k"))
+    return _dealt(rows, F.xxhash64("rep")).groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long")
+
+
+def _dealt(rows: DataFrame, place: Column) -> DataFrame:
+    """Rows in ``_n`` blocks by ``place``, block against block: no group of
+    ``_i, _j`` holds more than about two blocks (``_b``), and each two rows
+    meet in one of them."""
+    dealt = rows.withColumn("_b", F.pmod(place, F.col("_n")).cast("int"))
+    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return dealt.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_o", "_n")
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> tuple[list, list]:
+    """A spanning forest of the pairs with at least that Jaccard similarity,
+    as indices; with two sides, of the pairs between them.
+
+    A pair's shared shingles are at most those of one set less the bits that
+    only its own bitmap has, since each such bit stands for at least one
+    shingle that the other lacks. Pairs that this, or their sizes, rule out
+    are not intersected, nor those that are connected already."""
+    n = np.array([len(x) for x in sets])
+    bits = 1024
+    while bits < 4 * np.median(n) and bits < 1 << 14:
+        bits *= 2
+    maps = np.zeros((len(sets), bits), dtype=bool)
+    for row, x in zip(maps, sets):
+        row[(x >> np.uint64(40)) % np.uint64(bits)] = True
+    maps = np.packbits(maps, axis=1).view(np.uint64)
+    root, two = np.arange(len(sets)), len(np.unique(side)) > 1
+    a, b = [], []
+    for i in range(len(sets) - 1):
+        some = np.arange(i + 1, len(sets))
+        some = some[root[some] != root[i]]
+        if two:
+            some = some[side[some] != side[i]]
+        need = least / (1 + least) * (n[some] + n[i]) - 1e-9
+        ok = np.minimum(n[some], n[i]) >= need
+        some, need = some[ok], need[ok]
+        for k in range(0, len(some), 4096):
+            these, goal = some[k : k + 4096], need[k : k + 4096]
+            most = np.minimum(n[i] - np.bitwise_count(maps[i] & ~maps[these]).sum(axis=1, dtype=np.int64), n[these] - np.bitwise_count(maps[these] & ~maps[i]).sum(axis=1, dtype=np.int64))
+            order = np.argsort(goal - most, kind="stable")
+            order = order[most[order] >= goal[order]]
+            these, goal = these[order], goal[order]
+            while len(these):
+                j = these[0]
+                if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= goal[0]:
+                    a.append(i)
+                    b.append(int(j))
+                    root[root == root[j]] = root[i]
+                    rest = root[these] != root[i]
+                    these, goal = these[rest], goal[rest]
+                else:
+                    these, goal = these[1:], goal[1:]
+    return a, b
+
+
+def verified(families: DataFrame, fps: DataFrame, docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components ``node, root`` of the texts in one family (``node, root``)
+    that have the least similarity.
+
+    Texts are read again for the members of families alone, and become sets of
+    shingles. A family is compared as a whole by one task, or in blocks pair
+    by pair if it is large; only a spanning forest of links comes out, never
+    all pairs.
     """
-    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "tree", "key")
-    pairs = store(found.groupBy("a", "b").agg(F.max("tree").alias("tree")), "simhash-candidates")
-    nodes = store(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), "simhash-nodes")
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"_id": part["_id"], "_set": [np.unique(hashes_of(t, scheme.shingle)).view(np.int64) for t in part["_text"]]})
-
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(nodes, F.col("_id") == F.col("_node"), "left_semi").distinct()
-    sets = store(texts.mapInPandas(batches, "_id long, _set array<bigint>"), "simhash-shingles")
-
-    def similar(some: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            some = some.join(sets.select(F.col("_id").alias(f"_{side}"), F.col("_set").alias(f"_of_{side}")), F.col(side) == F.col(f"_{side}"))
-        return store(some.where(_jaccard(F.col("_of_a"), F.col("_of_b")) >= scheme.least).select("a", "b"), "simhash-verified")
-
-    def apart(some: DataFrame) -> DataFrame:
-        for side in ("a", "b"):
-            some = some.join(roots.select(F.col("node").alias(f"_n{side}"), F.col("root").alias(f"_r{side}")), F.col(side) == F.col(f"_n{side}"), "left")
-        return some.where(F.coalesce("_ra", "a") != F.coalesce("_rb", "b")).select("a", "b")
-
-    def joined(some: DataFrame) -> DataFrame:
-        good = similar(some)
-        return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(good)) if good.limit(1).count() else roots
-
-    roots = components(similar(pairs.where("tree")))
-    roots = joined(apart(pairs.where("not tree")))
-    seen = pairs.select("a", "b")
-    for every in (False, True):
-        keys = store(found.where("key is not null").join(apart(pairs.where("tree")), ["a", "b"], "left_semi").select("key").distinct(), "simhash-open")
-        if not keys.limit(1).count():
-            break
-        more = store(_cross_pairs(keys, fps, roots, scheme, every).join(seen, ["a", "b"], "left_anti"), "simhash-cross")
-        roots, seen = joined(more), seen.union(more)
-    return roots
+            sets = [np.unique(hashes_of(t, scheme.shingle)) for t in part["_text"]]
+            marks = pd.DataFrame([fingerprint(h, scheme.words) for h in sets], columns=scheme.marks, dtype="int64")
+            yield marks.assign(_id=part["_id"].to_numpy(), _set=[h.view(np.int64) for h in sets])
+
+    def block_pair(part: pa.Table) -> pa.Table:
+        rep, column = part.column("rep").to_numpy(), part.column("_set").combine_chunks()
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+        a, b = similar_pairs([values[x:y] for x, y in zip(ends, ends[1:])], part.column("_b").to_numpy(), scheme.least)
+        return pa.Table.from_batches([_pairs(rep[a], rep[b])])
+
+    families = families.union(families.select(F.col("root").alias("node"), "root").distinct())
+    members = store(fps.join(families, F.col("rep") == F.col("node")).select(*scheme.marks, "rep", "root"), "simhash-members")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(members.select("rep"), F.col("_id") == F.col("rep"), "left_semi")
+    sets = texts.mapInPandas(batches, ", ".join(["_id long", *(f"{w} long" for w in scheme.marks), "_set array<bigint>"])).dropDuplicates(["_id", *scheme.marks])
+    rows = sets.withColumnRenamed("_id", "rep").join(members, ["rep", *scheme.marks]).select("root", "rep", "_set")
+    rows = store(rows, "simhash-sets")
+    sizes = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum(F.size("_set")) / FAMILY_SHINGLES)).cast("int").alias("_n"))
+    dealt = _dealt(rows.join(sizes, "root"), F.xxhash64("rep"))
+    return components(dealt.groupBy("root", "_i", "_j").applyInArrow(block_pair, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, w0 ..., component_id`` per row of ``docs``; ``component_id``
-    is the smallest id reachable over links within the radius, which with
-    ``scheme.least`` are also that similar.
+    is the smallest id reachable over links.
 
     A null text has no words and, like an empty one, the fingerprint zero.
     Rows of one fingerprint, repeated rows too, share a component; a row with
@@ -411,16 +410,19 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
     """
     marked = store(fingerprints(docs, scheme, id_col, text_col), "simhash-fingerprints")
     distinct = store(marked.groupBy(*scheme.marks).agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    pairs = links(distinct, scheme)
-    roots = components(pairs) if scheme.least is None else verified_roots(pairs, distinct, docs, scheme, id_col, text_col)
+    roots = candidates(distinct, scheme)
+    if scheme.least is not None:
+        roots = verified(roots, distinct, docs, scheme, id_col, text_col)
     named = distinct.join(roots, F.col("rep") == F.col("node"), "left").select(*scheme.marks, F.coalesce("root", "rep").alias("component_id"))
     return marked.join(named, scheme.marks).select("doc_id", *scheme.marks, "component_id")
 
 
 def keep_one(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the
-    document with the smallest id stays, once; rows without an id stay."""
+    """The rows of ``docs``, with all their columns, without near-duplicates:
+    of each component the document with the smallest id stays, once; rows
+    without an id stay."""
     marked = near_duplicates(docs, scheme)
     kept = marked.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    some = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return some.unionByName(docs.where("doc_id is null"))
+    rows = rows_of(docs).withColumn("_id", F.col("_row.doc_id"))
+    some = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])
+    return some.unionByName(rows.where("_id is null")).select("_row.*")

@@ -4,13 +4,14 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from millrace.llm import decontaminate, mixing, quality_crf, simhash_dedup
+from millrace.llm import decontaminate, line_dedup, mixing, quality_crf, shared, simhash_dedup, spans
 from millrace.llm.queries import ORACLE_SQL, op5_decontaminate, op7_mixing
-from tests.llm.test_dedup import line_brute, union
+from tests.llm.test_dedup import line_brute, near_components
 from tests.oracle import same
 
 SF = "/root/testdata/sf0.001"
@@ -197,21 +198,6 @@ def test_odd_mixing(spark):
             mixing.MAX_PATTERNS = most
 
 
-def slow_near(texts, scheme):
-    marks, bag = {}, {}
-    for i, t in texts.items():
-        h = simhash_dedup.shingle_hashes(t, scheme.shingle)
-        marks[i], bag[i] = [m % 2**64 for m in simhash_dedup.fingerprint(h, scheme.words)], set(h.tolist())
-    pairs, ids = [], sorted(texts)
-    for k, i in enumerate(ids):
-        for j in ids[k + 1 :]:
-            apart = [a ^ b for a, b in zip(marks[i], marks[j])]
-            if sum(x.bit_count() for x in apart) <= scheme.radius and any((x >> (scheme.width * s) & (1 << scheme.width) - 1).bit_count() <= 1 for x in apart for s in range(scheme.per_word)):
-                if len(bag[i] & bag[j]) >= scheme.least * len(bag[i] | bag[j]):
-                    pairs.append((i, j))
-    return union(pairs, ids)
-
-
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
 
@@ -226,7 +212,7 @@ def test_pipeline_equals_brute_force(spark):
             kept.append((i, t))
     before = dict(kept)
     left = {i: t for i, t in line_brute(kept).items() if t == before[i] or t.split()}
-    roots = slow_near(left, corpus_pipeline.NEAR)
+    roots = near_components(left, corpus_pipeline.NEAR)
     left = {i: t for i, t in left.items() if roots[i] == i}
     left = {i: t for i, t in left.items() if not bags(t, items)}
     size = {i: len(re.findall("[^\x20\x09-\x0d]+", t)) for i, t in left.items()}
@@ -262,6 +248,35 @@ def test_pipeline_equals_brute_force(spark):
     assert smallest
 
 
+def internal_names():
+    """Every name that the operators' code writes as a column of its own."""
+    import corpus_pipeline
+
+    modules = (corpus_pipeline, decontaminate, line_dedup, mixing, quality_crf, shared, simhash_dedup, spans)
+    found = {n for m in modules for n in re.findall(r"""["'](_[a-z][a-z0-9_]*|[a-z][a-z0-9_]*)["']""", Path(m.__file__).read_text())}
+    return sorted(found - {"doc_id", "text", "lang", "source", "n_chars"})
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Each stage given columns named like all its internal ones."""
+    import corpus_pipeline
+
+    names = internal_names()
+    assert {"_row", "_lines", "_t", "_kept", "_leaks", "_quality", "rep", "root", "w0", "_id"} <= {*names, "w0"}
+    names = sorted({*names, "w0", "w5"})
+    rows = [(i, " ".join(f"v{i // 2}x{k}" for k in range(80)) + ("\na line\nand more\nhere it is\n" if i < 4 else ""), "en", "src0", 200, *(f"{n}{i}" for n in names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names), name
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sum(r["taken"] for r in mixed) > 0
+    for found, column in ((line_dedup.dedup_lines(docs), "_lines"), (quality_crf.judge(docs, None), "_quality")):
+        assert found.columns.count(column) == 1 and set(found.columns) == {*docs.columns, column} and found.count() == len(rows)
+
+
 def test_stages_keep_the_columns_and_survive_odd_rows(spark):
     import corpus_pipeline
 

@@ -59,14 +59,19 @@ def test_query_equals_brute_force(spark):
 def link_components(spark, values, scheme=simhash_dedup.Scheme()):
     signed = [int(np.uint64(v).view(np.int64)) for v in values]
     rows = spark.createDataFrame([(s, i) for i, s in enumerate(signed)], "w0 long, rep long")
-    found = {r["node"]: r["root"] for r in components(simhash_dedup.links(rows, scheme)).collect()}
+    found = {r["node"]: r["root"] for r in simhash_dedup.candidates(rows, scheme).collect()}
     return {i: found.get(i, i) for i in range(len(values))}
 
 
-@pytest.mark.parametrize("block", [4096, 40])
-def test_links_lose_no_pair(spark, monkeypatch, block):
-    """Clouds of fingerprints, also with blocks so small that buckets are dealt out."""
+@pytest.mark.parametrize("block, all_pairs", [(4096, 128), (4096, 4), (40, 8)])
+def test_links_lose_no_pair(spark, monkeypatch, block, all_pairs):
+    """Clouds of fingerprints, also with large buckets and with blocks so small
+    that buckets are dealt out; without seeds, so that the index finds all."""
     monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(simhash_dedup, "ALL_PAIRS", all_pairs)
+    if all_pairs < 128:
+        none = spark.createDataFrame([], "node long, root long")
+        monkeypatch.setattr(simhash_dedup, "seeds", lambda fps, scheme: none)
     rng, values = random.Random(2), set()
     for _ in range(4):
         centre = rng.getrandbits(64)
@@ -124,11 +129,22 @@ def test_lines_equal_brute_force(spark):
     rows = [(i, "\n".join(rng.choice(["a", "b", "c", "", " ", "a b", "long line " * 5]) for _ in range(rng.randint(0, 12)))) for i in range(120)]
     rows += [(500, None), (501, "a\na\na\na\na\na"), (502, "\n".join(map(str, range(3000)))), (503, "\n".join(map(str, range(3000))))]
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, _t string, n_lines int")
-    got = line_dedup.dedup_lines(docs.withColumnRenamed("_t", "t_")).collect()
+    got = line_dedup.dedup_lines(docs).collect()
+    assert all(r["_t"] == "x" for r in got)
     assert {r["doc_id"]: r["_lines"]["text"] for r in got} == line_brute(rows)
     assert all(r["_lines"]["n_lines"] == (r["text"] or "").count("\n") + 1 for r in got)
 
 
+def test_hot_windows(spark, monkeypatch):
+    """Passages that most documents share, beside others, with a low bound on
+    what counts as hot."""
+    monkeypatch.setattr(line_dedup, "HOT", 20)
+    rng = random.Random(5)
+    rows = [(i, "\n".join([f"own {i}", *(["top", "mid", "low"] if i % 3 else []), *(["rare a", "rare b", f"rare {i // 30}"] if i % 7 == 0 else []), f"end {rng.randint(0, 50)}"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["_lines"]["text"] for r in line_dedup.dedup_lines(docs).collect()} == line_brute(rows)
+
+
 def test_repeated_rows_and_null_ids_of_lines(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc\nd"), (None, "q")], "doc_id long, text string")
     got = sorted((r["doc_id"] or -1, r["_lines"]["text"]) for r in line_dedup.dedup_lines(docs).collect())
@@ -136,81 +152,144 @@ def test_repeated_rows_and_null_ids_of_lines(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-def test_similarity_verifies_what_the_wide_radius_proposes(spark):
-    """Families of edited copies, also large ones: the components are those of
-    all candidate pairs at the similarity, and nearly those of all pairs."""
-    rng, scheme = random.Random(6), simhash_dedup.Scheme(words=4, per_word=3, width=21, radius=56, shingle=5, steps=tuple(range(24, 56, 4)), forests=3, least=0.8)
-    rows = []
-    for family, copies in enumerate([1, 1, 2, 3, 8, 60]):
-        words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
-        for _ in range(copies):
-            own = list(words)
-            for k in rng.sample(range(300), rng.choice([0, 2, 4, 5])):
-                own[k] = f"x{rng.randint(0, 10**6)}"
-            rows.append((len(rows), " ".join(own), family))
-        half = words[:230] + [f"y{rng.randint(0, 10**6)}" for _ in range(70)]
-        rows.append((len(rows), " ".join(half), -1))
-    hashes = {i: simhash_dedup.shingle_hashes(t, 5) for i, t, _ in rows}
-    bags, marks = {i: set(h.tolist()) for i, h in hashes.items()}, {i: [m % 2**64 for m in simhash_dedup.fingerprint(h, 4)] for i, h in hashes.items()}
-    pairs = [(i, j) for i in bags for j in bags if i < j and len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])]
-
-    def candidate(i, j):
-        apart = [a ^ b for a, b in zip(marks[i], marks[j])]
-        return sum(x.bit_count() for x in apart) <= 56 and any((x >> (21 * s) & (1 << 21) - 1).bit_count() <= 1 for x in apart for s in range(3))
-
-    want, all_ = union([p for p in pairs if candidate(*p)], bags), union(pairs, bags)
-    assert sum(want[i] != all_[i] for i in bags) <= 1
-    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, scheme).collect()} == want
-    assert [r["doc_id"] for r in simhash_dedup.keep_one(docs.limit(0), scheme).collect()] == []
-
-
-def near_components(texts, scheme):
-    """Components of all candidate pairs at the similarity, by brute force; the
-    fingerprints are those of the distinct shingles."""
-    bags = {i: np.unique(simhash_dedup.shingle_hashes(t, scheme.shingle)) for i, t in texts.items()}
-    marks = {i: np.array(simhash_dedup.fingerprint(b, scheme.words)).view(np.uint64) for i, b in bags.items()}
+NEAR = simhash_dedup.Scheme(words=6, per_word=3, width=20, radius=46, shingle=5, compared=3, least=0.8)
+
 
-    def pair(i, j):
-        apart = marks[i] ^ marks[j]
-        if np.bitwise_count(apart).sum() > scheme.radius or not any((int(x) >> (scheme.width * s) & (1 << scheme.width) - 1).bit_count() <= 1 for x in apart for s in range(scheme.per_word)):
-            return False
-        both = len(np.intersect1d(bags[i], bags[j]))
-        return both >= scheme.least * (len(bags[i]) + len(bags[j]) - both)
-
-    return union([(i, j) for i in texts for j in texts if i < j and pair(i, j)], texts)
-
-
-def test_large_families_are_verified_across_components(spark):
-    """A hundred edited copies, most pairs of which lie within the radius but
-    below the similarity: no forest of unverified links replaces the pairs."""
-    scheme = simhash_dedup.Scheme(words=4, per_word=3, width=21, radius=56, shingle=5, steps=tuple(range(24, 56, 4)), forests=3, least=0.8)
-    rng, texts = random.Random(12), {}
-    for family in range(3):
-        words = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
-        for _ in range(100):
-            own = list(words)
-            for k in rng.sample(range(300), rng.randint(3, 7)):
-                own[k] = f"x{rng.randint(0, 10**6)}"
-            texts[len(texts)] = " ".join(own)
-    want = near_components(texts, scheme)
-    assert len(set(want.values())) > 10
+def jaccard(a, b):
+    both = len(np.intersect1d(a, b))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def near_components(texts, scheme=NEAR):
+    """Brute force: families of all candidate pairs, and in each of them all
+    pairs at the similarity."""
+    bags = {i: np.unique(simhash_dedup.hashes_of(t, scheme.shingle)) for i, t in texts.items()}
+    marks = {i: np.array(simhash_dedup.fingerprint(b, scheme.words)).view(np.uint64) for i, b in bags.items()}
+    ids = sorted(texts)
+    every = np.stack([marks[i] for i in ids])
+    part = np.stack([every[:, k] >> np.uint64(s * scheme.width) & np.uint64((1 << scheme.width) - 1) for k in range(scheme.words) for s in range(scheme.per_word)], axis=1)
+    pairs = []
+    for k, i in enumerate(ids[:-1]):
+        near = np.bitwise_count(every[k + 1 :, : scheme.compared] ^ every[k, : scheme.compared]).sum(axis=1) <= scheme.radius
+        near &= (np.bitwise_count(part[k + 1 :] ^ part[k]) <= 1).any(axis=1)
+        pairs += [(i, ids[k + 1 + j]) for j in np.flatnonzero(near)]
+    family = union(pairs, ids)
+    members = {}
+    for i in ids:
+        members.setdefault(family[i], []).append(i)
+    return union([(i, j) for own in members.values() for k, i in enumerate(own) for j in own[k + 1 :] if jaccard(bags[i], bags[j]) >= scheme.least], ids)
+
+
+def found_components(spark, texts, scheme=NEAR):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, scheme).collect()} == want
+    return {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, scheme).collect()}
+
+
+def all_pairs_components(texts, least=0.8):
+    """Of all pairs at the similarity, whether candidates or not."""
+    bags = {i: np.unique(simhash_dedup.hashes_of(t, 5)) for i, t in texts.items()}
+    holders = {}
+    for i, b in bags.items():
+        for h in b.tolist():
+            holders.setdefault(h, []).append(i)
+    pairs = {(i, j) for own in holders.values() for k, i in enumerate(own) for j in own[k + 1 :]}
+    return union([p for p in pairs if jaccard(bags[p[0]], bags[p[1]]) >= least], texts)
+
+
+def edited(rng, words, changes):
+    own = list(words)
+    for k in rng.sample(range(len(own)), changes):
+        own[k] = f"x{rng.randint(0, 10**9)}"
+    return own
+
+
+def family_texts(rng, copies, low, high, words=300):
+    """Copies of one text with some words changed each."""
+    first = [f"w{rng.randint(0, 10**9)}" for _ in range(words)]
+    return [" ".join(edited(rng, first, rng.randint(low, high))) for _ in range(copies)]
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_families_equal_all_pairs(spark, monkeypatch, block):
+    """Groups of edited copies, most of whose pairs are near but below the
+    similarity: the components are those of all pairs at the similarity, also
+    with families of many blocks."""
+    monkeypatch.setattr(simhash_dedup, "FAMILY_BLOCK", block)
+    rng, texts = random.Random(12), []
+    for copies, low, high in ((100, 3, 7), (100, 4, 9), (60, 0, 5), (8, 0, 4), (3, 1, 2), (2, 2, 3), (2, 40, 60), (1, 0, 0)):
+        texts += family_texts(rng, copies, low, high)
+    texts = dict(enumerate(texts))
+    want = near_components(texts)
+    assert want == all_pairs_components(texts) and 20 < len(set(want.values())) < 240
+    assert found_components(spark, texts) == want
+
+
+def test_documents_equal_all_pairs(spark):
+    """The test table's documents of 50 words or more: no pair at the
+    similarity is lost, and none below it is linked."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    texts = {r[0]: r[1] for r in rows if len((r[1] or "").split()) >= 50}
+    assert found_components(spark, texts) == near_components(texts) == all_pairs_components(texts)
+
+
+def test_recall_by_similarity(spark):
+    """Isolated pairs just above the similarity, by bands of it."""
+    rng, texts, bands = random.Random(21), {}, {}
+    for _ in range(1500):
+        n = rng.choice([60, 120, 250, 600])
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+        copy = edited(rng, words, max(1, round(n * rng.uniform(0.012, 0.025))))
+        pair = [np.unique(simhash_dedup.shingle_hashes(" ".join(t), 5)) for t in (words, copy)]
+        at = jaccard(*pair)
+        if at >= 0.8:
+            bands.setdefault("0.80" if at < 0.82 else "0.82" if at < 0.85 else "0.85", []).append(len(texts))
+            texts |= {len(texts): " ".join(words), len(texts) + 1: " ".join(copy)}
+    found = found_components(spark, texts)
+    recall = {k: np.mean([found[i + 1] == i for i in own]) for k, own in sorted(bands.items())}
+    print({k: (len(own), round(float(recall[k]), 3)) for k, own in sorted(bands.items())})
+    assert len(bands["0.80"]) > 100 and recall["0.80"] >= 0.93 and recall["0.82"] >= 0.96 and recall["0.85"] >= 0.98
+    assert all(found[i] == i for i in texts if i % 2 == 0)
+
+
+def test_a_forest_of_similar_sets_equals_all_pairs():
+    rng = np.random.default_rng(4)
+    for size in (3, 30, 150, 3000):
+        pool = rng.integers(0, 2**63, size=3 * size, dtype=np.uint64)
+        sets, base = [], [rng.choice(pool, size, replace=False) for _ in range(3)]
+        for _ in range(60):
+            x = base[rng.integers(3)].copy()
+            n = rng.integers(0, max(2, size // 6))
+            x[:n] = rng.choice(pool, n)
+            sets.append(np.unique(x[: size - rng.integers(0, max(1, size // 5))]))
+        for side in (np.zeros(60, dtype=int), rng.integers(0, 2, 60)):
+            a, b = simhash_dedup.similar_pairs(sets, side, 0.8)
+            two = len(set(side.tolist())) > 1
+            links = [(i, j) for i in range(60) for j in range(i + 1, 60) if (not two or side[i] != side[j]) and jaccard(sets[i], sets[j]) >= 0.8]
+            assert union(list(zip(a, b)), range(60)) == union(links, range(60)) and len(a) < 60
+            assert all(jaccard(sets[i], sets[j]) >= 0.8 for i, j in zip(a, b))
 
 
 def test_repeated_passages_dont_hide_near_copies(spark):
     """Copies that differ in how often a passage repeats, against brute-force
     similarity."""
-    scheme = simhash_dedup.Scheme(words=4, per_word=3, width=21, radius=56, shingle=5, steps=tuple(range(24, 56, 4)), forests=3, least=0.8)
     rng, texts = random.Random(3), {}
     for _ in range(10):
         line = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300))
         phrase = " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(5))
         for t in (line, f"{line}\n{' '.join([phrase] * 50)}"):
             texts[len(texts)] = t
-    bags = {i: set(simhash_dedup.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}
-    want = union([(i, j) for i in bags for j in bags if i < j and len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])], bags)
+    want = all_pairs_components(texts)
     assert want == {i: i - i % 2 for i in texts}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs, scheme).collect()} == want
+    assert found_components(spark, texts) == want
+
+
+def test_odd_documents_of_a_similarity(spark):
+    """Rows that share an id, null ids and texts without words."""
+    base = " ".join(f"w{k}" for k in range(100))
+    rows = [(5, None), (3, ""), (9, " \n"), (4, base), (4, base), (4, "another text of that id"), (2, base + " more"), (None, base), (None, "no id at all here"), (8, "w " * 40_000), (7, base.upper())]
+    docs = spark.createDataFrame([(i, t, "_row", 2) for i, t in rows], "doc_id long, text string, _row string, root int")
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1) for r in simhash_dedup.near_duplicates(docs, NEAR).collect())
+    assert got == [(-1, -1), (-1, 2), (2, 2), (3, 3), (4, 2), (4, 2), (4, 2), (5, 3), (7, 2), (8, 8), (9, 3)]
+    kept = simhash_dedup.keep_one(docs, NEAR).collect()
+    assert sorted(r["doc_id"] or -1 for r in kept) == [-1, -1, 2, 3, 8] and kept[0]["_row"] == "_row"
+    assert simhash_dedup.keep_one(docs.limit(0), NEAR).collect() == []
