@@ -12,38 +12,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, mixing, quality_crf, simhash_dedup
-from millrace.llm.shared import store, table
+from millrace.llm.shared import rows_of, store, table
 
-#: Four words of 64 bits from five-word shingles, twelve segments of 21 bits.
-#: Pairs of similarity 0.8 differ in 39 of 256 bits (standard deviation under
-#: 6); those within 56 are candidates, which exact shingle sets verify.
-NEAR = simhash_dedup.Scheme(words=4, per_word=3, width=21, radius=56, shingle=5, steps=tuple(range(24, 56, 4)), forests=3, least=0.8)
+#: Six words of 64 bits from five-word shingles, eighteen segments of 20 bits.
+#: Pairs of similarity 0.8 differ in 29 of the 192 compared bits (standard
+#: deviation 5); those within 46 with a segment that differs by one bit at most
+#: are candidates (97 % of such pairs), and exact shingle sets decide.
+NEAR = simhash_dedup.Scheme(words=6, per_word=3, width=20, radius=46, shingle=5, compared=3, least=0.8)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the base rules or the line labels reject."""
     model = quality_crf.train(quality_crf.training_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return quality_crf.judge(docs, model).where("_quality.kept").select(*docs.columns)
+    return quality_crf.judged_rows(docs, model).where("_quality.kept").select("_row.*")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated three-line passages out of the texts; documents that
     consist of such alone go."""
-    told = line_dedup.dedup_lines(docs)
+    told = line_dedup.deduped(docs)
     told = told.where((F.col("_lines.n_removed") == 0) | F.col("_lines.text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("_lines.text"), "n_chars": F.when(F.col("_lines.n_removed") == 0, F.col("n_chars")).otherwise(F.length("_lines.text").cast("long")) if "n_chars" in docs.columns else None}
-    return told.select(*(new[c].alias(c) if new.get(c) is not None else F.col(c) for c in docs.columns))
+    new = {"text": F.col("_lines.text"), "n_chars": F.when(F.col("_lines.n_removed") == 0, F.col("_row.n_chars")).otherwise(F.length("_lines.text").cast("long")) if "n_chars" in docs.columns else None}
+    return told.select(*(new[c].alias(c) if new.get(c) is not None else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash_dedup.keep_one(docs, NEAR).select(*docs.columns)
+    return simhash_dedup.keep_one(docs, NEAR)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    held = docs.withColumn("_leaks", decontaminate.leaks(table(spark, sf_dir, "benchmark"), F.col("text")))
-    return held.where(F.size("_leaks") == 0).select(*docs.columns)
+    held = rows_of(docs).withColumn("_leaks", decontaminate.leaks(table(spark, sf_dir, "benchmark"), F.col("_row.text")))
+    return held.where(F.size("_leaks") == 0).select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
