@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import json
+import os
 
 from millrace.plans import config
 
@@ -24,11 +25,35 @@ def _options(parser: argparse.ArgumentParser, kind: type) -> None:
             parser.add_argument(name, type=parse, required=needed, default=None if needed else f.default)
 
 
-def _made(kind: type, args: argparse.Namespace):
+def _made(spark, kind: type, args: argparse.Namespace):
     from millrace.sources.corpus import read_map
 
     values = {f.name: getattr(args, f.name) for f in dataclasses.fields(kind)}
-    return kind(**{f.name: read_map(values[f.name]) if "dict" in f.type else tuple(values[f.name]) if "tuple" in f.type else values[f.name] for f in dataclasses.fields(kind)})
+    return kind(**{f.name: read_map(spark, values[f.name]) if "dict" in f.type else tuple(values[f.name]) if "tuple" in f.type else values[f.name] for f in dataclasses.fields(kind)})
+
+
+#: What a reference pass must be told, by options, environment or settings.
+PRECOMPUTE = ("blocks", "domain", "cache")
+
+
+def _variable(name: str) -> str:
+    return f"MILLRACE_PRECOMPUTE_{name.upper()}"
+
+
+def _layers(args: argparse.Namespace) -> dict:
+    """Settings of the files, defaults first (MILLRACE_DEFAULTS), and overrides."""
+    defaults = [os.environ["MILLRACE_DEFAULTS"]] if os.environ.get("MILLRACE_DEFAULTS") else []
+    return config.merged(*map(config.read_settings, [*defaults, *args.config]), *map(config.override, args.overrides))
+
+
+def _precompute_settings(args: argparse.Namespace) -> dict[str, str]:
+    mixer = _layers(args).get("mixer", {})
+    given = {"blocks": mixer.get("corpus_path"), "domain": mixer.get("adapt_domain"), "cache": mixer.get("ref_loss_cache_path")}
+    found = {n: getattr(args, n) or os.environ.get(_variable(n)) or given[n] for n in PRECOMPUTE}
+    lost = [f"--{n} or {_variable(n)}" for n, v in found.items() if not v]
+    if lost:
+        raise SystemExit(f"precompute needs {'; '.join(lost)}")
+    return found
 
 
 def parser() -> argparse.ArgumentParser:
@@ -42,12 +67,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dry-run", action="store_true")
     _options(sub.add_parser("ingest", help="raw text to a blocks table"), config.IngestConfig)
     p = sub.add_parser("precompute", help="reference losses of one domain, by the count model")
-    for name in ("blocks", "domain", "cache"):
-        p.add_argument(f"--{name}", required=True)
+    for name in PRECOMPUTE:
+        p.add_argument(f"--{name}", help=f"or {_variable(name)} in the environment")
+    p.add_argument("--config", nargs="+", default=[], help="JSON or YAML files whose mixer settings name the blocks and the cache")
     p.add_argument("--vocabulary", type=int, default=1 << 16)
     p.add_argument("--max-rows", type=int, default=-1)
-    p = sub.add_parser("train", help="score, select, learn and log")
-    p.add_argument("--config", nargs="+", required=True, help="JSON files; later ones override")
+    p.add_argument("--set", dest="overrides", nargs="+", default=[], metavar="NAME=VALUE", help="settings over the files")
+    p = sub.add_parser("train", help="score, select, learn and log; goes on from the last checkpoint in --out")
+    p.add_argument("--config", nargs="+", required=True, help="JSON or YAML files; later ones override")
+    p.add_argument("--set", dest="overrides", nargs="+", default=[], metavar="NAME=VALUE", help="settings over the files, like train.top_k=64")
     p.add_argument("--strict", action="store_true")
     p.add_argument("--vocabulary", type=int, default=1 << 16)
     p.add_argument("--out", required=True)
@@ -72,23 +100,24 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             spec = json.load(f)
         corpus.stage(spark, spec, args.out, args.shards_scale, args.dry_run).orderBy("origin").show(1000, False)
         if args.capability_map_out:
-            corpus.write_map({s["origin"]: s.get("capability", s["origin"]) for s in spec}, args.capability_map_out)
+            corpus.write_map(spark, {s["origin"]: s.get("capability", s["origin"]) for s in spec}, args.capability_map_out)
     elif args.command == "ingest":
         from millrace.plans.ingest import build_corpus
 
-        build_corpus(spark, _made(config.IngestConfig, args)).orderBy("domain", "origin").show(1000, False)
+        build_corpus(spark, _made(spark, config.IngestConfig, args)).orderBy("domain", "origin").show(1000, False)
     elif args.command == "precompute":
         from millrace.plans.precompute import precompute
 
-        blocks = corpus.read_blocks(spark, args.blocks)
-        precompute(blocks, args.domain, UnigramScorer(args.vocabulary, blocks.where(blocks.domain == args.domain)), args.cache, args.max_rows)
+        told = _precompute_settings(args)
+        blocks = corpus.read_blocks(spark, told["blocks"])
+        precompute(blocks, told["domain"], UnigramScorer(args.vocabulary, blocks.where(blocks.domain == told["domain"])), told["cache"], args.max_rows)
     elif args.command == "train":
-        from millrace.plans.train import prepare, train_loop
+        from millrace.plans.train import prepare, resume, train_loop
 
-        layers = [json.load(open(f, encoding="utf-8")) for f in args.config]
-        run = config.build(config.RunConfig, config.merged(*layers), args.strict)
+        run = config.build(config.RunConfig, _layers(args), args.strict)
         rows, val = prepare(spark, run.mixer)
-        print(train_loop(rows, val, UnigramScorer(args.vocabulary), run.train, None, f"{args.out}/trace", f"{args.out}/metrics", f"{args.out}/state"))
+        scorer, at = UnigramScorer(args.vocabulary), f"{args.out}/state"
+        print(train_loop(rows, val, scorer, run.train, resume(spark, at, scorer), f"{args.out}/trace", f"{args.out}/metrics", at))
     else:
         from millrace.operators.merge import merge_weights
         from millrace.sources.tensors import copy_others, read_tensors, write_tensors

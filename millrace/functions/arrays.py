@@ -13,11 +13,6 @@ def word_tokens(text: Column) -> Column:
     return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % 900 + 10))
 
 
-def word_count(text: Column) -> Column:
-    """Number of :func:`word_tokens`, without hashing them."""
-    return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-
-
 def with_bos(tokens: Column, bos: int | None) -> Column:
     return tokens if bos is None else F.concat(F.array(F.lit(bos)), tokens)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import store
+
 
 def dedup_cache(cache: DataFrame, order: tuple[str, ...] = ("part", "row")) -> DataFrame:
     """One loss per hash: of several the first in file and row order."""
@@ -22,10 +24,14 @@ def missing(rows: DataFrame, cache: DataFrame) -> DataFrame:
 
 def join_ref_loss(rows: DataFrame, cache: DataFrame, allow_missing: float = 0.0) -> DataFrame:
     """``rows`` with ``ref_loss``; rows without one go, and more of these than
-    allowed end with an error. ``cache`` holds each hash once."""
-    joined = rows.join(cache.select("content_hash", F.col("ref_loss").cast("double").alias("ref_loss")), "content_hash", "left")
-    n, lost = rows.join(cache.select("content_hash", F.lit(1).alias("_hit")), "content_hash", "left").agg(F.count("*"), F.count(F.when(F.col("_hit").isNull(), 1))).first()
+    allowed end with an error. ``cache`` holds each hash once.
+
+    The join runs once: its result is stored, and counted there."""
+    hits = cache.select(F.col("content_hash").alias("_hash"), F.col("ref_loss").cast("double").alias("ref_loss"))
+    joined = rows.join(hits, F.col("content_hash") == F.col("_hash"), "left").withColumn("_hit", F.col("_hash").isNotNull()).drop("_hash")
+    joined = store(joined, "ref-loss")
+    n, lost = joined.agg(F.count("*"), F.count(F.when(~F.col("_hit"), 1))).first()
     if lost and lost / max(n, 1) > allow_missing:
-        some = [r[0] for r in missing(rows, cache).select("content_hash").limit(10).collect()]
+        some = [r[0] for r in joined.where("not _hit").select("content_hash").limit(10).collect()]
         raise RuntimeError(f"reference loss missing for {lost} of {n} rows ({100 * lost / n:.2f}%), more than the allowed fraction {allow_missing}: {some}")
-    return joined.where(F.col("ref_loss").isNotNull())
+    return joined.where(F.col("ref_loss").isNotNull()).drop("_hit")

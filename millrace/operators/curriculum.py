@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.sources.shared import store
+
 
 def trace_rows(selected: DataFrame, period: int = 1) -> DataFrame:
     """What a trace holds of the selected rows, in every ``period``-th step."""
@@ -41,16 +43,20 @@ def restarted(trace: DataFrame) -> DataFrame:
 def build_curriculum(blocks: DataFrame, trace: DataFrame, batch_size: int | None = None) -> DataFrame:
     """Blocks in recorded order: ``phase, step, pos`` and the block's columns,
     repeats and all. Of blocks that share a hash the last counts; a step of
-    another size, or a hash without a block, ends with an error."""
-    steps = last_batch(trace, batch_size) if batch_size else restarted(trace)
-    if batch_size:
-        odd = steps.groupBy("phase", "step").count().where(F.col("count") != batch_size).orderBy("phase", "step").first()
-        if odd:
-            raise ValueError(f"step {odd['step']} of phase {odd['phase']} has {odd['count']} samples, the batch size is {batch_size}")
+    another size, or a hash without a block, ends with an error.
+
+    Only blocks that the trace names are gathered by hash. The result is
+    stored once, and checked there by one aggregate."""
+    steps = store((last_batch(trace, batch_size) if batch_size else restarted(trace)).select("phase", "step", "pos", "content_hash"), "curriculum-steps")
     rest = [c for c in blocks.columns if c != "content_hash"]
-    one = blocks.groupBy("content_hash").agg(F.max_by(F.struct(*rest), F.struct("domain", "origin", "block")).alias("_row"))
-    joined = steps.select("phase", "step", "pos", "content_hash").join(one, "content_hash", "left")
-    lost = joined.where(F.col("_row").isNull()).count()
+    named = blocks.join(steps.select("content_hash").distinct(), "content_hash", "left_semi")
+    one = named.groupBy("content_hash").agg(F.max_by(F.struct(*rest), F.struct("domain", "origin", "block")).alias("_row"))
+    joined = store(steps.join(one, "content_hash", "left"), "curriculum")
+    told = joined.groupBy("phase", "step").agg(F.count("*").alias("n"), F.count(F.when(F.col("_row").isNull(), 1)).alias("lost"))
+    wrong = F.col("n") != (batch_size or F.col("n"))
+    odd, lost = told.agg(F.min(F.when(wrong, F.struct("phase", "step", "n"))), F.coalesce(F.sum("lost"), F.lit(0))).first()
+    if odd is not None:
+        raise ValueError(f"step {odd['step']} of phase {odd['phase']} has {odd['n']} samples, the batch size is {batch_size}")
     if lost:
         raise RuntimeError(f"{lost} curriculum samples are not in the blocks table")
     return joined.select("phase", "step", "pos", "content_hash", "_row.*").orderBy("phase", "step", "pos")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.hashing import content_hash
+from millrace.sources.shared import store
 
 #: Documents whose lengths one task sums in order.
 STRIDE = 1 << 16
@@ -28,21 +29,20 @@ def running_start(df: DataFrame, group: list[str], major: str, minor: str, n: st
     return keyed.withColumn("_within", F.coalesce(within, F.lit(0))).join(sums, [*group, major, "_stride"]).withColumn("start", F.col("_before") + F.col("_within")).drop("_stride", "_within", "_before")
 
 
-def pack(docs: DataFrame, block_size: int, eod: int, keep_partial: bool = False, group: tuple[str, ...] = ("domain", "origin"), major: str = "part", minor: str = "doc", tokens: str = "tokens", length: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, block_size: int, eod: int, keep_partial: bool = False, group: tuple[str, ...] = ("domain", "origin"), major: str = "part", minor: str = "doc", tokens: str = "tokens") -> DataFrame:
     """``group..., block, token_ids``: an end-of-document token follows every
     document, also an empty one; the stream of each group, by (major, minor),
     is cut into blocks. A last block that is short goes unless kept.
 
-    ``length`` names a column with the number of tokens, if that is cheaper
-    to get than the tokens: offsets are found from lengths alone."""
+    Tokens are stored once with their number, so that a tokenizer runs once:
+    offsets are found from the numbers alone."""
     if block_size <= 0:
         raise ValueError(f"block_size must be positive, got {block_size}")
     group = list(group)
-    ended = docs.select(*group, major, minor, F.concat(tokens, F.array(F.lit(eod))).alias("_toks"))
-    n = F.size(tokens) if length is None else F.col(length)
+    kept = store(docs.select(*group, major, minor, F.concat(tokens, F.array(F.lit(eod))).alias("_toks")).withColumn("_len", F.size("_toks").cast("long")), "tokens")
     # the tokens join their offsets again by document
-    spans = running_start(docs.select(*group, major, minor, (n + 1).cast("long").alias("_len")), group, major, minor, "_len")
-    placed = ended.join(spans, [*group, major, minor])
+    spans = running_start(kept.select(*group, major, minor, "_len"), group, major, minor, "_len")
+    placed = kept.drop("_len").join(spans, [*group, major, minor])
     size = F.lit(block_size)
     first, last = F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("_len") - 1) / size)
     cut = placed.select("*", F.explode(F.sequence(first, last)).alias("block"))

@@ -6,12 +6,12 @@ language model; any object with the same two methods plugs in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import target_loss
@@ -21,6 +21,9 @@ MAX_VOCABULARY = 1 << 20
 
 
 class Scorer(Protocol):
+    """A scorer that learns may also have ``save(spark, path)`` and
+    ``load(spark, path)``; a checkpoint then holds its model."""
+
     def logprobs(self, blocks: DataFrame) -> DataFrame:
         """``blocks`` with ``token_logprobs``: one per token of ``token_ids``."""
 
@@ -51,6 +54,16 @@ class UnigramScorer:
         found = token_counts(selected).where(F.col("token").between(0, len(self.counts) - 1)).toPandas()
         np.add.at(self.counts, found["token"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        there = np.flatnonzero(self.counts)
+        rows = pd.DataFrame({"token": there, "n": self.counts[there]})
+        spark.createDataFrame(rows, "token int, n long").coalesce(1).write.parquet(path)
+
+    def load(self, spark: SparkSession, path: str) -> None:
+        found = spark.read.schema("token int, n long").parquet(path).toPandas()
+        self.counts[:] = 0
+        self.counts[found["token"].to_numpy()] = found["n"].to_numpy()
+
     def logprobs(self, blocks: DataFrame) -> DataFrame:
         table = np.log((self.counts + 1.0) / (self.counts.sum() + len(self.counts)))
 
@@ -62,6 +75,19 @@ class UnigramScorer:
         return blocks.withColumn("token_logprobs", score("token_ids"))
 
 
+class FixedScorer:
+    """Log-probabilities by an expression over each token id; it never learns."""
+
+    def __init__(self, logprob: Callable[[Column], Column]):
+        self.logprob = logprob
+
+    def update(self, selected: DataFrame) -> None:
+        pass
+
+    def logprobs(self, blocks: DataFrame) -> DataFrame:
+        return blocks.withColumn("token_logprobs", F.transform("token_ids", self.logprob))
+
+
 def with_target_loss(blocks: DataFrame, scorer: Scorer) -> DataFrame:
     """``target_loss`` over all tokens; padding rows (sample_mask 0) get 0."""
     rows = blocks if "sample_mask" in blocks.columns else blocks.withColumn("sample_mask", F.lit(1.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import json
 import logging
 import os
 from dataclasses import MISSING, dataclass, field, fields, is_dataclass
@@ -16,6 +17,7 @@ class IngestConfig:
     adapt_glob: str
     replay_glob: str
     out: str
+    tokenizer: str | None = None
     block_size: int = 4096
     eod_id: int = 2
     bos_id: int | None = None
@@ -72,6 +74,7 @@ class TrainConfig:
     val_at_start: bool = False
     save_period: int = 0
     timeout_s: float | None = None
+    devices: int = 1
     curriculum: bool = False
     shuffle: bool = True
     seed: int = 42
@@ -90,6 +93,37 @@ class RunConfig:
     env: dict[str, Any] = field(default_factory=dict)
 
 
+def read_settings(path: str) -> dict:
+    """A JSON or YAML file of nested settings; an empty one has none."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise RuntimeError(f"{path}: YAML settings need the yaml package; JSON needs none") from e
+            found = yaml.safe_load(f)
+        else:
+            found = json.load(f)
+    if found is not None and not isinstance(found, dict):
+        raise ValueError(f"{path} holds no settings")
+    return found or {}
+
+
+def override(text: str) -> dict:
+    """``a.b=value`` as nested settings; the value is JSON where it can be
+    (numbers, true, null, lists) and else a string. A leading ``+`` is allowed."""
+    name, sign, value = text.lstrip("+").partition("=")
+    if not sign or not name:
+        raise ValueError(f"an override is name=value, not {text!r}")
+    try:
+        found: Any = json.loads(value)
+    except ValueError:
+        found = value
+    for part in reversed(name.split(".")):
+        found = {part: found}
+    return found
+
+
 def merged(*layers: dict) -> dict:
     """Nested settings, later layers over earlier ones, ``${NAME}`` from the
     environment in strings."""

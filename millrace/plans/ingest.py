@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import with_bos, word_count, word_tokens
+from millrace.functions import tokenizers
+from millrace.functions.arrays import with_bos, word_tokens
 from millrace.operators.packing import pack, tag
 from millrace.operators.sampling import balance_replay, cap_blocks, first_documents, report, sample_documents, split_holdout
 from millrace.plans.config import IngestConfig
 from millrace.sources.corpus import read_documents, write_blocks
+from millrace.sources.shared import store
 
 
 def documents(spark: SparkSession, cfg: IngestConfig, adapt: bool) -> DataFrame:
@@ -22,18 +24,14 @@ def documents(spark: SparkSession, cfg: IngestConfig, adapt: bool) -> DataFrame:
     return first_documents(docs, most)
 
 
-def blocks_of(docs: DataFrame, cfg: IngestConfig, tokenizer: Callable[[Column], Column] = word_tokens) -> DataFrame:
-    """Blocks of (domain, origin, part, doc, text), capped and split."""
-    spark, text = docs.sparkSession, F.col("text")
-    tokens = docs.select("domain", "origin", "part", "doc", with_bos(tokenizer(text), cfg.bos_id).alias("tokens"), text)
-    if tokenizer is word_tokens:
-        n = word_count(text) + (0 if cfg.bos_id is None else 1)
-        packed = pack(tokens.withColumn("n", n), cfg.block_size, cfg.eod_id, length="n")
-    else:
-        # tokenize once: offsets and blocks both read the tokens
-        packed = pack(_kept(tokens.drop("text")), cfg.block_size, cfg.eod_id)
+def blocks_of(docs: DataFrame, cfg: IngestConfig, tokenizer: Callable[[Column], Column] = word_tokens, byte_lengths: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Blocks of (domain, origin, part, doc, text), capped and split. With a
+    decoder's ``byte_lengths`` they know how many bytes their text has."""
+    spark = docs.sparkSession
+    packed = pack(docs.select("domain", "origin", "part", "doc", with_bos(tokenizer(F.col("text")), cfg.bos_id).alias("tokens")), cfg.block_size, cfg.eod_id)
     capabilities = spark.createDataFrame(sorted(cfg.capability_map.items()), "origin string, capability string") if cfg.capability_map else None
-    rows = _kept(tag(packed, cfg.adapt_domain, None if capabilities is None else F.broadcast(capabilities)))
+    n_bytes = None if byte_lengths is None else byte_lengths(F.col("token_ids"))
+    rows = store(tag(packed, cfg.adapt_domain, None if capabilities is None else F.broadcast(capabilities), n_bytes), "blocks")
     rows = cap_blocks(rows, cfg.max_blocks_per_origin, cfg.seed, ("domain", "origin"))
     for domain, own in ((cfg.adapt_domain, cfg.max_blocks_adapt), (cfg.replay_domain, cfg.max_blocks_replay)):
         cap = own if own is not None else cfg.max_blocks_per_domain
@@ -43,11 +41,6 @@ def blocks_of(docs: DataFrame, cfg: IngestConfig, tokenizer: Callable[[Column],
     return balance_replay(rows, cfg.seed) if cfg.balance_replay else rows
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A checkpoint, where a folder for these is set: what follows reads it more than once."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def assert_disjoint(docs: DataFrame) -> None:
     """Origins must not be shared by domains: hashes don't hold the domain."""
     both = docs.select("domain", "origin").distinct().groupBy("origin").count().where("count > 1").limit(5).collect()
@@ -55,9 +48,12 @@ def assert_disjoint(docs: DataFrame) -> None:
         raise ValueError(f"origins in more than one domain: {sorted(r['origin'] for r in both)}")
 
 
-def build_corpus(spark: SparkSession, cfg: IngestConfig, tokenizer: Callable[[Column], Column] = word_tokens) -> DataFrame:
-    """Writes the blocks table to ``cfg.out`` and returns its report."""
+def build_corpus(spark: SparkSession, cfg: IngestConfig) -> DataFrame:
+    """Writes the blocks table to ``cfg.out`` and returns its report. Texts go
+    through the tokenizer file, or the built-in word hash where none is given,
+    which has no decoder and so leaves ``n_bytes`` null."""
     docs = documents(spark, cfg, True).unionByName(documents(spark, cfg, False))
     assert_disjoint(docs)
-    write_blocks(blocks_of(docs, cfg, tokenizer), cfg.out, cfg.shard_rows)
+    encode, lengths = (word_tokens, None) if cfg.tokenizer is None else (tokenizers.tokenizer(cfg.tokenizer), tokenizers.byte_lengths(cfg.tokenizer))
+    write_blocks(blocks_of(docs, cfg, encode, lengths), cfg.out, cfg.shard_rows)
     return report(spark.read.parquet(cfg.out))

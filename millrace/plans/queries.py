@@ -7,19 +7,18 @@ candidates in whole milli-units, so that sums are exact.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, names
 from millrace.operators import cache as caching
-from millrace.operators import curriculum, merge, metrics, mixer, packing, sampling, selection, validation
-from millrace.operators.scoring import UnigramScorer, token_counts, with_rho, with_target_loss
-from millrace.plans.config import TrainConfig
-from millrace.plans.train import pools, train_loop
+from millrace.operators import collate, curriculum, merge, metrics, mixer, packing, sampling, selection, validation
+from millrace.operators.scoring import FixedScorer, UnigramScorer, token_counts, with_rho, with_target_loss
+from millrace.plans.config import IngestConfig, TrainConfig
+from millrace.plans.precompute import precompute
+from millrace.plans.train import load_state, pools, resume, train_loop, validate
 from millrace.sources import corpus
+from millrace.sources.shared import new_path, store
 
 BLOCK, EOD, SEED, POOL, K = 64, 2, 42, 64, 16
 ADAPT = "german"
@@ -45,7 +44,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", "domain", "origin", "part", "doc", arrays.word_tokens(F.col("text")).alias("tokens"), arrays.word_count(F.col("text")).alias("n_words"))
+    return documents(spark, sf).select("doc_id", "domain", "origin", "part", "doc", arrays.word_tokens(F.col("text")).alias("tokens"))
 
 
 def capabilities(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,23 +54,33 @@ def capabilities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.tag(packing.pack(tokens(spark, sf), BLOCK, EOD, length="n_words"), ADAPT, capabilities(spark, sf))
+    """The blocks table; stored, so that what reads it twice packs once."""
+    return store(packing.tag(packing.pack(tokens(spark, sf), BLOCK, EOD), ADAPT, capabilities(spark, sf)), "blocks")
 
 
-def split(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.split_holdout(blocks(spark, sf), 0.05, SEED, 3)
+def split(rows: DataFrame) -> DataFrame:
+    return sampling.split_holdout(rows, 0.05, SEED, 3)
 
 
-def cache(spark: SparkSession, sf: str) -> DataFrame:
+def cache(rows: DataFrame) -> DataFrame:
     """A cache of two files: nine in ten blocks, then one in ten again, half of
     these with another loss."""
     digit = lambda salt: F.conv(F.substring(F.sha2(F.concat(F.lit(salt), "content_hash"), 256), 1, 8), 16, 10).cast("long")
-    rows = blocks(spark, sf).select("content_hash", (digit("loss:") % 4000 / 1000).cast("double").alias("ref_loss"), digit("cov:").alias("_c"), F.concat_ws("/", "domain", "origin").alias("_o"), F.col("block").alias("row"))
+    rows = rows.select("content_hash", (digit("loss:") % 4000 / 1000).cast("double").alias("ref_loss"), digit("cov:").alias("_c"), F.concat_ws("/", "domain", "origin").alias("_o"), F.col("block").alias("row"))
     first = rows.where("_c % 10 < 9").select("content_hash", "ref_loss", F.concat(F.lit("f0/"), "_o").alias("part"), "row")
     again = rows.where("_c % 10 = 0").select("content_hash", (F.col("ref_loss") + F.when(F.col("_c") % 20 == 0, 0.5).otherwise(0.0)).alias("ref_loss"), F.concat(F.lit("f1/"), "_o").alias("part"), "row")
     return first.unionByName(again)
 
 
+def fixed() -> FixedScorer:
+    """Losses in whole numbers: an id's remainder stands for its loss."""
+    return FixedScorer(lambda t: -(t % 7).cast("double"))
+
+
+def with_reference(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ref_loss", (F.get("token_ids", F.lit(0)) % 5).cast("double"))
+
+
 def pool(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     rows = e.select(
@@ -94,11 +103,6 @@ def trace(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.lit(0).alias("phase"), F.format_string("f%05d", F.floor(F.col("i") / 3005)).alias("file"), (F.col("i") % 3005).alias("line"), (F.floor(F.col("i") / 10) % 40).alias("step"), F.sha2(F.col("i").cast("string"), 256).alias("content_hash"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or tempfile.mkdtemp(prefix='millrace-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def listed(column: str):
     return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
 
@@ -118,12 +122,12 @@ def tokenize_bos(spark, sf):
 
 @query
 def pack_blocks(spark, sf):
-    return packing.pack(tokens(spark, sf), BLOCK, EOD, length="n_words").select(*BLOCK_KEY, listed("token_ids"))
+    return packing.pack(tokens(spark, sf), BLOCK, EOD).select(*BLOCK_KEY, listed("token_ids"))
 
 
 @query
 def pack_blocks_keep_partial(spark, sf):
-    return packing.pack(tokens(spark, sf), BLOCK, EOD, True, length="n_words").select(*BLOCK_KEY, F.size("token_ids").cast("long").alias("n_tokens"), listed("token_ids"))
+    return packing.pack(tokens(spark, sf), BLOCK, EOD, True).select(*BLOCK_KEY, F.size("token_ids").cast("long").alias("n_tokens"), listed("token_ids"))
 
 
 @query
@@ -135,7 +139,7 @@ def content_hashes(spark, sf):
 def block_bytes(spark, sf):
     """Byte counts with a decoder: here ids joined by blanks."""
     text = F.array_join(F.col("token_ids").cast("array<string>"), " ")
-    return packing.tag(packing.pack(tokens(spark, sf), BLOCK, EOD, length="n_words"), ADAPT, n_bytes=F.octet_length(text)).select(*BLOCK_KEY, "n_bytes")
+    return packing.tag(packing.pack(tokens(spark, sf), BLOCK, EOD), ADAPT, n_bytes=F.octet_length(text)).select(*BLOCK_KEY, "n_bytes")
 
 
 @query
@@ -155,12 +159,12 @@ def max_docs_per_origin(spark, sf):
 
 @query
 def holdout_split(spark, sf):
-    return split(spark, sf).select(*BLOCK_KEY, "content_hash", "split")
+    return split(blocks(spark, sf)).select(*BLOCK_KEY, "content_hash", "split")
 
 
 @query
 def balance_replay(spark, sf):
-    return sampling.balance_replay(split(spark, sf), SEED).select(*BLOCK_KEY, "content_hash", "split")
+    return sampling.balance_replay(split(blocks(spark, sf)), SEED).select(*BLOCK_KEY, "content_hash", "split")
 
 
 @query
@@ -176,7 +180,7 @@ def cap_per_domain(spark, sf):
 
 @query
 def corpus_report(spark, sf):
-    return sampling.report(split(spark, sf))
+    return sampling.report(split(blocks(spark, sf)))
 
 
 @query
@@ -215,33 +219,35 @@ def staging_plan(spark, sf):
 
 @query
 def ref_cache_dedup(spark, sf):
-    return caching.dedup_cache(cache(spark, sf))
+    return caching.dedup_cache(cache(blocks(spark, sf)))
 
 
 @query
 def cache_conflicts(spark, sf):
-    return caching.conflicts(cache(spark, sf))
+    return caching.conflicts(cache(blocks(spark, sf)))
 
 
 @query
 def join_ref_loss(spark, sf):
-    return caching.join_ref_loss(split(spark, sf), caching.dedup_cache(cache(spark, sf)), 0.2).select(*BLOCK_KEY, "content_hash", "ref_loss")
+    rows = blocks(spark, sf)
+    return caching.join_ref_loss(split(rows), caching.dedup_cache(cache(rows)), 0.2).select(*BLOCK_KEY, "content_hash", "ref_loss")
 
 
 @query
 def missing_ref_loss(spark, sf):
-    return caching.missing(split(spark, sf), caching.dedup_cache(cache(spark, sf))).select(*BLOCK_KEY, "content_hash")
+    rows = blocks(spark, sf)
+    return caching.missing(split(rows), caching.dedup_cache(cache(rows))).select(*BLOCK_KEY, "content_hash")
 
 
 def mixed(spark, sf, share=1.0):
-    rows = split(spark, sf)
+    rows = store(split(blocks(spark, sf)), "split")
     return rows, mixer.choose_domains(rows, ADAPT, share, SEED)
 
 
 @query
 def mix_train(spark, sf):
-    _, kept = mixed(spark, sf)
-    return caching.join_ref_loss(mixer.train_rows(kept), caching.dedup_cache(cache(spark, sf)), 0.2).select(*BLOCK_KEY, "ref_loss", "capability")
+    rows, kept = mixed(spark, sf)
+    return caching.join_ref_loss(mixer.train_rows(kept), caching.dedup_cache(cache(rows)), 0.2).select(*BLOCK_KEY, "ref_loss", "capability")
 
 
 @query
@@ -263,7 +269,7 @@ def precompute_slice(spark, sf):
 @query
 def read_cap_fallback(spark, sf):
     """A read cap that leaves no held-out rows: the first train rows stand in."""
-    rows = split(spark, sf).where("split = 'train'")
+    rows = store(split(blocks(spark, sf)), "split").where("split = 'train'")
     return mixer.with_fallback(rows.where("split = 'holdout'"), rows, True, 64).select(*BLOCK_KEY, "content_hash")
 
 
@@ -328,9 +334,30 @@ def select_fixed_ratio_rho(spark, sf):
 
 @query
 def select_backfill(spark, sf):
-    """A replay share that the pool can't fill: adaptation rows fill it up."""
-    rows = pool(spark, sf).where("origin_tag = 0 or block_id % 11 = 0")
-    return selection.select(rows, K, "fixed_ratio_rho", 0.9, SEED).select("step", "block_id", "origin_tag", "sel_rank")
+    """A replay share that no pool can fill: adaptation rows fill it up."""
+    return selection.select(pool(spark, sf), 48, "fixed_ratio_rho", 0.95, SEED).select("step", "block_id", "origin_tag", "sel_rank")
+
+
+@query
+def gather_selected(spark, sf):
+    """What a step trains on: the selected rows with their losses, in order."""
+    return selection.select(pool(spark, sf), K).select("step", (F.col("sel_rank") - 1).cast("int").alias("pos"), "block_id", "content_hash", "target_loss", "ref_loss")
+
+
+@query
+def collate_samples(spark, sf):
+    """Block rows of which some lack an origin, a tag or a loss."""
+    gaps = {"origin": 4, "origin_tag": 3, "content_hash": 7}
+    rows = with_reference(blocks(spark, sf)).select("token_ids", "block", F.col("content_hash").alias("key"), F.when(F.col("block") % 2 == 0, F.col("ref_loss")).alias("ref_loss"), *(F.when(F.col("block") % n != 0, F.col(c)).alias(c) for c, n in gaps.items()))
+    found = collate.samples(rows, "block")
+    return found.select("idx", "length", "origin", "origin_tag", "content_hash", "loss_multiplier", "ref_loss", arrays.total(F.col("token_mask")).alias("n_trained"))
+
+
+@query
+def collate_batches(spark, sf):
+    """Batches of which every other has no reference losses."""
+    rows = pool(spark, sf).withColumn("ref_loss", F.when(F.col("step") % 2 == 0, F.col("ref_loss"))).withColumn("origin", F.when(F.col("block_id") % 3 > 0, F.col("origin")))
+    return collate.collated(rows).select("step", "block_id", "origin", "origin_tag", "content_hash", "ref_loss")
 
 
 @query
@@ -340,7 +367,16 @@ def selection_metrics(spark, sf):
 
 @query
 def metrics_long(spark, sf):
-    return metrics.long_table(metrics.selection_metrics(flagged(spark, sf))).where("metric like 'selection/n_%' or metric like 'selection_sanity/rho%'")
+    return metrics.long_table(metrics.selection_metrics(flagged(spark, sf)))
+
+
+@query
+def metric_log(spark, sf):
+    """Metrics that two kinds of steps append to one log."""
+    path, rows = new_path(spark, "metrics"), pool(spark, sf)
+    for odd in (0, 1):
+        metrics.long_table(metrics.score_metrics(rows.where(F.col("step") % 2 == odd)), ("train", "score")[odd]).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 @query
@@ -372,8 +408,25 @@ def batched(spark, sf):
 
 @query
 def val_loss_weighted(spark, sf):
-    found = validation.validation_loss(batched(spark, sf), 10)
-    return found.select(F.round("val_loss", 4).alias("val_loss"), "n_batches")
+    """Over all batches, and over the first ten as a run may be told."""
+    rows = batched(spark, sf)
+    every, some = validation.validation_loss(rows), validation.validation_loss(rows, 10)
+    cut = lambda found, name: found.select(F.lit(name).alias("batches"), F.round("val_loss", 4).alias("val_loss"), "n_batches")
+    return cut(every, "all").unionByName(cut(some, "first"))
+
+
+@query
+def validation_pass(spark, sf):
+    """All that a validation pass logs, over the held-out rows."""
+    rows = with_reference(split(blocks(spark, sf)).where("split = 'holdout'"))
+    return validate(rows, fixed(), TrainConfig(pool_size=32, top_k=32), 32).select("metric", F.round("value", 6).alias("value"))
+
+
+@query
+def val_shuffle(spark, sf):
+    """Places of the held-out rows in the order of every run."""
+    rows = split(blocks(spark, sf)).where("split = 'holdout'")
+    return pools(rows, 32, f"valshuf:{SEED}", whole=False).select(*BLOCK_KEY, F.col("step").alias("batch"), F.col("block_id").alias("pos"))
 
 
 @query
@@ -407,19 +460,51 @@ def trace_restart(spark, sf):
     return curriculum.restarted(trace(spark, sf)).select("step", "pos", "content_hash")
 
 
+@query
+def trace_round_trip(spark, sf):
+    """Two recorded phases, read back line by line."""
+    rows, paths = pool(spark, sf), [new_path(spark, f"trace-{n}") for n in (0, 1)]
+    for path, strategy in zip(paths, ("top_k", "fixed_ratio_rho")):
+        corpus.append_trace(curriculum.trace_rows(selection.select(rows, K, strategy, 0.25, SEED)), path)
+    return curriculum.last_batch(corpus.read_trace(spark, paths), K).select("phase", "step", "pos", "content_hash")
+
+
 @query
 def build_curriculum(spark, sf):
     rows = blocks(spark, sf)
-    recorded = pools(rows.where("content_hash < '2'"), 8, "cur").select(F.lit(0).alias("phase"), F.lit("f").alias("file"), F.col("block_id").alias("line"), "step", "content_hash")
+    recorded = pools(rows, 8, "cur").select(F.lit(0).alias("phase"), F.lit("f").alias("file"), F.col("block_id").alias("line"), "step", "content_hash")
     return curriculum.build_curriculum(rows, recorded, 8).select("step", F.col("pos").cast("long").alias("pos"), "content_hash", *BLOCK_KEY)
 
 
+@query
+def curriculum_order(spark, sf):
+    """Pools that replay a curriculum: steps of eight rows, sixteen to a pool."""
+    rows = blocks(spark, sf)
+    recorded = pools(rows, 8, "cur").select(F.lit(0).alias("phase"), F.lit("f").alias("file"), F.col("block_id").alias("line"), "step", "content_hash")
+    return pools(curriculum.build_curriculum(rows, recorded, 8), 16, None).select("step", "block_id", "content_hash")
+
+
 @query
 def merge_weights(spark, sf):
-    base = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.when(F.col("vec_id") % 7 == 0, "int8").otherwise("float32").alias("dtype"), F.array(F.size("embedding")).alias("shape"), F.col("embedding").alias("values"))
-    other = table(spark, sf, "embeddings").where("vec_id % 5 <> 0").select(F.col("vec_id").cast("string").alias("name"), F.lit("float32").alias("dtype"), F.when(F.col("vec_id") % 3 == 0, F.array(F.lit(1))).otherwise(F.array(F.size("embedding"))).alias("shape"), F.transform("embedding", lambda x: x * 3).alias("values"))
-    found = merge.merge_weights(base, other, 0.25)
-    return found.select(F.col("name"), "merged", F.transform("values", lambda x: F.round(x.cast("double"), 4)).alias("v")).select("name", "merged", (F.round(F.get("v", F.lit(0)), 3) + F.lit(0.0)).alias("first"), F.size("v").cast("long").alias("n"))
+    """A third of the other model's tensors have another shape, a fifth another
+    name; a digest tells all values."""
+    digest = lambda v: F.md5(F.array_join(F.transform(v, lambda x: F.floor(x.cast("double") * 1000).cast("string")), ","))
+    found = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("name"), "vec_id", "embedding")
+    base = found.select("name", F.when(F.col("vec_id") % 7 == 0, "int8").otherwise("float32").alias("dtype"), F.array(F.size("embedding")).alias("shape"), F.col("embedding").alias("values"))
+    renamed = F.when(F.col("vec_id") % 5 == 0, F.concat(F.lit("x"), "name")).otherwise(F.col("name"))
+    other = found.select(renamed.alias("name"), F.lit("float32").alias("dtype"), F.when(F.col("vec_id") % 3 == 0, F.array(F.lit(1))).otherwise(F.array(F.size("embedding"))).alias("shape"), F.transform("embedding", lambda x: x * 3).alias("values"))
+    return merge.merge_weights(base, other, 0.25).select("name", "merged", digest(F.col("values")).alias("digest"), F.size("values").cast("long").alias("n"))
+
+
+@query
+def tensors_round_trip(spark, sf):
+    from millrace.sources.tensors import read_tensors, write_tensors
+
+    path = new_path(spark, "tensors")
+    found = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.array(F.size("embedding")).alias("shape"), F.lit("float32").alias("dtype"), F.col("embedding").alias("values"))
+    write_tensors(found, path)
+    values = F.array_join(F.transform("values", lambda x: F.floor(x.cast("double") * 1000).cast("string")), ",")
+    return read_tensors(spark, path).select("name", "dtype", F.get("shape", F.lit(0)).alias("length"), F.md5(values).alias("digest"))
 
 
 @query
@@ -431,33 +516,142 @@ def training_loop(spark, sf):
     replay = UnigramScorer(1000, rows.where("origin_tag = 1"))
     both = UnigramScorer(1000, rows)
     scored = with_target_loss(rows, both).withColumnRenamed("target_loss", "ref_loss").drop("sample_mask")
-    path = scratch(spark, "trace")
+    path = new_path(spark, "trace")
     n = rows.count()
     size = n // max(1, min(32, n // 256))
     train_loop(scored, None, replay, TrainConfig(pool_size=size, top_k=64 * max(1, size // 256), log_selected=True), trace_path=path)
     return spark.read.schema(corpus.TRACE_SCHEMA).json(path)
 
 
+def pool_size(rows: DataFrame) -> int:
+    """Eight pools an epoch."""
+    return max(K, rows.count() // 8)
+
+
+@query
+def loop_resume(spark, sf):
+    """Two epochs with a scorer that doesn't learn; the run stops within the
+    first one and goes on from its checkpoint."""
+    rows = with_reference(blocks(spark, sf))
+    trace, at, size = new_path(spark, "trace"), new_path(spark, "state"), pool_size(rows)
+    for most in (3, None):
+        cfg = TrainConfig(pool_size=size, top_k=K, max_steps=most, max_epochs=2, log_selected=True)
+        train_loop(rows, None, fixed(), cfg, resume(spark, at, fixed()), trace_path=trace, state_path=at)
+    return spark.read.schema(corpus.TRACE_SCHEMA).json(trace).select("step", "content_hash", "origin", "rho", "rank")
+
+
+@query
+def loop_plain(spark, sf):
+    """Without selection: whole pools, no reference losses."""
+    rows, path = blocks(spark, sf), new_path(spark, "trace")
+    size = pool_size(rows)
+    train_loop(rows, None, fixed(), TrainConfig(pool_size=size, top_k=size, enable_selection=False, log_selected=True), trace_path=path)
+    return spark.read.schema(corpus.TRACE_SCHEMA).json(path).select("step", "content_hash", F.col("rank").cast("long").alias("block_id"))
+
+
+@query
+def loop_counters(spark, sf):
+    """The state after an epoch in which every third pool has no candidate."""
+    rows = with_reference(blocks(spark, sf))
+    at, size = new_path(spark, "state"), pool_size(rows)
+    placed = pools(rows, size, f"epoch:{SEED}:0").withColumn("ref_loss", F.when(F.col("step") % 3 == 1, float("nan")).otherwise(F.col("ref_loss"))).drop("step", "block_id")
+    train_loop(placed, None, fixed(), TrainConfig(pool_size=size, top_k=K), state_path=at)
+    return spark.createDataFrame([load_state(spark, at)], "epoch long, step long, total_steps long, consumed_samples long, total_valid_tokens long")
+
+
+@query
+def cache_passes(spark, sf):
+    """Two passes into one cache: replay rows, then adaptation rows."""
+    rows, path = blocks(spark, sf), new_path(spark, "cache")
+    for domain in ("general", ADAPT):
+        precompute(rows, domain, fixed(), path)
+    return caching.dedup_cache(corpus.read_cache(spark, path)).select("content_hash", F.col("ref_loss").cast("double").alias("ref_loss"))
+
+
+@query
+def cache_pass_cap(spark, sf):
+    """A pass that stops after the first rows, as a trial run may."""
+    path = new_path(spark, "cache")
+    precompute(blocks(spark, sf), ADAPT, fixed(), path, 100)
+    return spark.read.schema(corpus.CACHE_SCHEMA).parquet(path).select("content_hash", "origin", "origin_tag", "n_response_tokens")
+
+
+@query
+def read_documents(spark, sf):
+    """A tree of files by language, one of which has no texts."""
+    path = new_path(spark, "raw")
+    docs = table(spark, sf, "documents")
+    docs.select(F.concat(F.lit("Nemotron-CC-"), "lang").alias("folder"), "text", "n_chars").write.partitionBy("folder").parquet(path)
+    docs.select("doc_id").write.parquet(f"{path}/Metadata")
+    found = corpus.read_documents(spark, f"{path}/**/*.parquet", "general")
+    return found.select("origin", F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"))
+
+
+@query
+def read_blocks_cap(spark, sf):
+    """A read cap counts rows in the files' order, whatever these hold."""
+    path = new_path(spark, "blocks")
+    corpus.write_blocks(split(blocks(spark, sf)), path, 500)
+    return corpus.read_blocks(spark, path, 300).agg(F.count("*").alias("n_rows"), F.count_distinct("domain").alias("n_domains"))
+
+
+@query
+def cap_gate(spark, sf):
+    """No cap, and a cap of nothing, leave all rows."""
+    rows = blocks(spark, sf)
+    both = sampling.cap_per_origin(rows, None).unionByName(sampling.cap_per_origin(rows, 0))
+    return both.groupBy("origin").agg(F.count("*").alias("n"))
+
+
+@query
+def map_round_trip(spark, sf):
+    path = f"{new_path(spark, 'map')}.json"
+    corpus.write_map(spark, {r["origin"]: r["capability"] for r in capabilities(spark, sf).collect()}, path)
+    return spark.createDataFrame(sorted(corpus.read_map(spark, path).items()), "origin string, capability string")
+
+
+@query
+def ingest_tokenizer(spark, sf):
+    """Blocks of a public tokenizer's tokens with their decoded length."""
+    import public_tokenizers
+
+    from millrace.functions import tokenizers
+    from millrace.plans.ingest import blocks_of
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    cfg = IngestConfig("", "", "", block_size=BLOCK, eod_id=EOD, holdout_fraction=0.05, adapt_domain=ADAPT, seed=SEED)
+    found = blocks_of(documents(spark, sf), cfg, tokenizers.tokenizer(path), tokenizers.byte_lengths(path))
+    return found.select(*BLOCK_KEY, listed("token_ids"), "n_bytes", "content_hash", "split")
+
+
 @query
 def streaming_loop(spark, sf):
-    """The same by Structured Streaming, a micro-batch per step."""
+    """The same by Structured Streaming: whole steps in each file, a file per
+    micro-batch."""
     from millrace.streaming.loop import run
 
-    source, out, at = (scratch(spark, n) for n in ("pools", "out", "checkpoint"))
-    pool(spark, sf).where("step < 4").drop("rho").repartitionByRange(4, "step").write.parquet(source)
+    source, out, at = (new_path(spark, n) for n in ("pools", "out", "checkpoint"))
+    pool(spark, sf).drop("rho").repartitionByRange(8, "step").write.parquet(source)
     run(spark, source, out, at, K).awaitTermination()
     return spark.read.parquet(f"{out}/trace").drop("batch")
 
 
+@query
+def stream_consumed(spark, sf):
+    from millrace.streaming.loop import consumed
+
+    return consumed(curriculum.trace_rows(selection.select(pool(spark, sf), K)), POOL)
+
+
 @query
 def jsonl_round_trip(spark, sf):
-    path = scratch(spark, "rows")
+    path = new_path(spark, "rows")
     corpus.write_rows(blocks(spark, sf), path)
     return corpus.read_rows(spark, path).groupBy("origin", "origin_tag", "capability").agg(F.count("*").alias("n"), F.count_distinct("content_hash").alias("n_hashes"))
 
 
 @query
 def blocks_round_trip(spark, sf):
-    path = scratch(spark, "blocks")
-    corpus.write_blocks(split(spark, sf), path, 500)
-    return corpus.read_blocks(spark, path).where("split = 'holdout'").select(*BLOCK_KEY, "content_hash")
+    path = new_path(spark, "blocks")
+    corpus.write_blocks(split(blocks(spark, sf)), path, 500)
+    return corpus.read_blocks(spark, path).select(*BLOCK_KEY, "content_hash", "split")

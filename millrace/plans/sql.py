@@ -62,16 +62,41 @@ _KEY = "domain, origin, block"
 _CHANCE = "('0x' || substr(sha256('sel:42:' || step::VARCHAR || ':' || block_id::VARCHAR), 1, 8))::BIGINT::DOUBLE"
 
 
-def _quota(order: str, ratio: float, where: str = "true", columns: str = "step, block_id, origin_tag, rho, sel_rank") -> str:
+def _quota(order: str, ratio: float, columns: str = "step, block_id, origin_tag, rho, sel_rank", k: int = 16) -> str:
     return _with("pool", f"""
-        , good AS (SELECT * FROM pool WHERE sample_mask > 0 AND {where}),
-        n AS (SELECT step, count(*) FILTER (origin_tag = 0) AS na, count(*) FILTER (origin_tag = 1) AS nr, least(16, count(*)) AS k FROM good GROUP BY step),
+        , good AS (SELECT * FROM pool WHERE sample_mask > 0),
+        n AS (SELECT step, count(*) FILTER (origin_tag = 0) AS na, count(*) FILTER (origin_tag = 1) AS nr, least({k}, count(*)) AS k FROM good GROUP BY step),
         q0 AS (SELECT *, least(round_even(k * {ratio}::DOUBLE, 0)::BIGINT, nr) AS r0 FROM n),
         q AS (SELECT *, least(k - r0, na) AS ka, least(k - least(k - r0, na), nr) AS kr FROM q0),
         r AS (SELECT g.*, row_number() OVER (PARTITION BY step, origin_tag ORDER BY {order}, block_id) AS i FROM good g)
         SELECT {columns} FROM (SELECT r.*, (i + CASE WHEN origin_tag = 1 THEN ka ELSE 0 END)::INT AS sel_rank FROM r JOIN q USING (step) WHERE i <= CASE WHEN origin_tag = 0 THEN ka ELSE kr END)""")
 
 
+#: Losses of :func:`millrace.plans.queries.fixed` and the made-up references.
+_LOSS = "list_sum(list_transform(token_ids, lambda t: t % 7))::DOUBLE / len(token_ids)"
+_REF = "(token_ids[1] % 5)::DOUBLE"
+
+
+def _loop(sql: str) -> str:
+    """``whole``: the rows of two epochs' whole pools, with their losses."""
+    order = lambda e: f"{_digits(f'epoch:42:{e}', 'content_hash')}, content_hash, origin, block"
+    epoch = lambda e: f"SELECT {e} AS epoch, content_hash, origin, token_ids, row_number() OVER (ORDER BY {order(e)}) - 1 AS i, count(*) OVER () AS n FROM blocks"
+    return _with("blocks", f""", placed AS ({epoch(0)} UNION ALL {epoch(1)}), sizes AS (SELECT *, greatest(16, n // 8) AS size FROM placed),
+        whole AS (SELECT *, i // size AS pool, {_LOSS} - {_REF} AS rho FROM sizes WHERE (i // size + 1) * size <= n) {sql}""")
+
+
+def _phases() -> str:
+    """Two traces: the joint ranking, then shares by rank."""
+    quota = _quota("-rho", 0.25, "step, sel_rank, content_hash")
+    return f"SELECT 0 AS phase, step, sel_rank - 1 AS pos, content_hash FROM ({_with('topk', 'SELECT * FROM topk')}) UNION ALL SELECT 1, step, sel_rank - 1, content_hash FROM ({quota})"
+
+
+def _family(metric: str) -> str:
+    if "_mean_" in metric and metric.endswith(("_selected", "_dropped")):
+        return "selection_sanity"
+    return {"tar": "loss", "ref": "loss", "rho": "rho"}.get(metric[:3], "rho" if metric.startswith("frac_rho") else "selection")
+
+
 def _mean(value: str, where: str) -> str:
     return f"coalesce(avg({value}) FILTER ({where}), 'NaN'::DOUBLE)"
 
@@ -141,26 +166,57 @@ ORACLE_SQL = {
     "select_fixed_ratio": _quota(_CHANCE, 0.25),
     "select_replay_only_rho": _quota(f"CASE WHEN origin_tag = 1 THEN -rho ELSE {_CHANCE} END", 0.25),
     "select_fixed_ratio_rho": _quota("-rho", 0.25),
-    "select_backfill": _quota("-rho", 0.9, "(origin_tag = 0 OR block_id % 11 = 0)", "step, block_id, origin_tag, sel_rank"),
+    "select_backfill": _quota("-rho", 0.95, "step, block_id, origin_tag, sel_rank", 48),
+    "gather_selected": _with("topk", "SELECT step, sel_rank - 1 AS pos, block_id, content_hash, target_loss, ref_loss FROM topk"),
+    "collate_samples": _with("blocks", """SELECT block AS idx, len(token_ids)::INT AS length, CASE WHEN block % 4 = 0 THEN 'unknown' ELSE origin END AS origin, CASE WHEN block % 3 = 0 THEN 0 ELSE origin_tag END AS origin_tag,
+        CASE WHEN block % 7 = 0 THEN '' ELSE content_hash END AS content_hash, 1.0::DOUBLE AS loss_multiplier, CASE WHEN block % 2 = 0 THEN (token_ids[1] % 5)::DOUBLE END AS ref_loss, len(token_ids)::DOUBLE AS n_trained FROM blocks"""),
+    "collate_batches": _with("pool", "SELECT step, block_id, CASE WHEN block_id % 3 = 0 THEN 'unknown' ELSE origin END AS origin, origin_tag, content_hash, CASE WHEN step % 2 = 0 THEN ref_loss END AS ref_loss FROM pool"),
     "selection_metrics": _with("valid", "SELECT step, " + ", ".join(f"{v} AS {k}" for k, v in _SELECTION.items()) + " FROM valid GROUP BY step"),
-    "metrics_long": _with("valid", ", m AS (SELECT step, " + ", ".join(f"({_SELECTION[k]})::DOUBLE AS \"{n}\"" for k, n in (("n_selected_adapt", "selection/n_selected_adapt"), ("n_selected_replay", "selection/n_selected_replay"), ("rho_mean_selected", "selection_sanity/rho_mean_selected"), ("rho_mean_dropped", "selection_sanity/rho_mean_dropped"))) + " FROM valid GROUP BY step) SELECT step, 'train' AS prefix, metric, value FROM (UNPIVOT m ON COLUMNS(* EXCLUDE step) INTO NAME metric VALUE value)"),
+    "metrics_long": _with("valid", ", m AS (SELECT step, " + ", ".join(f"({v})::DOUBLE AS \"{_family(k)}/{k}\"" for k, v in _SELECTION.items()) + " FROM valid GROUP BY step) SELECT step, 'train' AS prefix, metric, value FROM (UNPIVOT m ON COLUMNS(* EXCLUDE step) INTO NAME metric VALUE value)"),
+    "metric_log": _with("by_step", ", m AS (SELECT batch AS step, v AS candidate_loss, w::DOUBLE AS num_valid_candidates FROM by_step) SELECT step, CASE WHEN step % 2 = 0 THEN 'train' ELSE 'score' END AS prefix, metric, value FROM (UNPIVOT m ON COLUMNS(* EXCLUDE step) INTO NAME metric VALUE value)"),
     "rho_percentiles": _with("pool", "SELECT step, CASE origin_tag WHEN 0 THEN 'adapt' ELSE 'replay' END AS corpus, " + ", ".join(f"round(quantile_cont(rho, {q}), 3) AS {n}" for q, n in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90"), (0.99, "p99"))) + " FROM pool WHERE sample_mask > 0 AND step % 5 = 0 GROUP BY step, origin_tag"),
     "selection_by_origin": _with("valid", "SELECT step, CASE origin_tag WHEN 0 THEN 'adapt' ELSE 'replay' END AS corpus, origin, count(*) AS n_candidate, count(*) FILTER (selected) AS n_selected, count(*) FILTER (selected) / count(*)::DOUBLE AS frac_selected, avg(rho) AS rho_mean, avg(CASE WHEN rho > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS frac_above_zero FROM valid GROUP BY step, origin_tag, origin"),
     "reduce_train_metrics": "WITH e AS (SELECT event_id // 64 AS step, CASE WHEN event_type = 'click' THEN 'lr' ELSE event_type END AS metric, floor(value)::DOUBLE AS value FROM events) SELECT step, metric, CASE WHEN metric = 'lr' THEN avg(value) ELSE sum(value) END AS value FROM e GROUP BY step, metric",
     "merge_microbatch_metrics": "WITH e AS (SELECT event_id // 64 AS batch, CASE WHEN event_type = 'click' THEN 'global_valid_seqs' ELSE event_type END AS metric, floor(value)::DOUBLE AS value FROM events) SELECT batch, metric, CASE WHEN metric = 'global_valid_seqs' THEN avg(value) ELSE sum(value) END AS value FROM e GROUP BY batch, metric",
-    "val_loss_weighted": _with("by_step", "SELECT round(sum(v * w) / sum(w), 4) AS val_loss, count(*) AS n_batches FROM by_step WHERE batch < 10"),
+    "val_loss_weighted": _with("by_step", "SELECT 'all' AS batches, round(sum(v * w) / sum(w), 4) AS val_loss, count(*) AS n_batches FROM by_step UNION ALL SELECT 'first', round(sum(v * w) / sum(w), 4), count(*) FROM by_step WHERE batch < 10"),
+    "validation_pass": _with("split", f""", v AS (SELECT origin, origin_tag, {_LOSS} AS t, {_REF} AS r FROM split WHERE split = 'holdout'),
+        c AS (SELECT CASE origin_tag WHEN 0 THEN 'adapt' ELSE 'replay' END AS c, sum(t) AS t, sum(r) AS r, sum(t - r) AS d, count(*) AS n FROM v GROUP BY origin_tag),
+        every AS (SELECT a.c, coalesce(t, 0) AS t, coalesce(r, 0) AS r, coalesce(d, 0) AS d, coalesce(n, 0) AS n FROM (VALUES ('adapt'), ('replay')) a(c) LEFT JOIN c USING (c)),
+        o AS (SELECT origin, avg(t) AS t, avg(r) AS r, count(*)::DOUBLE AS n FROM v GROUP BY origin),
+        m AS (SELECT 'val_loss' AS metric, avg(t) AS value FROM v
+            UNION ALL SELECT k || c, s / greatest(n, 1) FROM (SELECT c, n, unnest(['target_loss_', 'ref_loss_', 'rho_mean_']) AS k, unnest([t, r, d]) AS s FROM every)
+            UNION ALL SELECT 'frac_rho_replay_above_zero', count(*) FILTER (origin_tag = 1 AND t > r) / greatest(count(*) FILTER (origin_tag = 1), 1)::DOUBLE FROM v
+            UNION ALL SELECT 'loss_by_origin_' || origin || k, x FROM (SELECT origin, unnest(['/target_loss', '/ref_loss', '/n']) AS k, unnest([t, r, n]) AS x FROM o))
+        SELECT metric, round(value, 6) AS value FROM m"""),
+    "val_shuffle": _with("split", f"SELECT {_KEY}, (row_number() OVER (ORDER BY {_digits('valshuf:42', 'content_hash')}, content_hash, origin, block) - 1) // 32 AS batch, row_number() OVER (ORDER BY {_digits('valshuf:42', 'content_hash')}, content_hash, origin, block) - 1 AS pos FROM split WHERE split = 'holdout'"),
     "corpus_sums": _with("pool", f"SELECT step AS batch, {_SUMS} FROM pool GROUP BY step"),
     "corpus_means": _with("pool", f", s AS (SELECT step, {_SUMS} FROM pool GROUP BY step) SELECT {_MEANS}, sum(n_rho_replay_above_zero) / greatest(sum(n_replay), 1)::DOUBLE AS frac_rho_replay_above_zero FROM s"),
     "val_loss_by_origin": _with("pool", "SELECT origin, avg(target_loss) AS target_loss, avg(ref_loss) AS ref_loss, count(*) AS n FROM pool WHERE sample_mask > 0 GROUP BY origin"),
     "trace_period": _with("topk", "SELECT step, content_hash, origin, origin_tag, rho, target_loss, sel_rank AS rank FROM topk WHERE step % 3 = 0"),
     "trace_last_batch": _with("trace", "SELECT step, (row_number() OVER (PARTITION BY step ORDER BY i) - 1)::INT AS pos, content_hash FROM (SELECT * FROM trace QUALIFY row_number() OVER (PARTITION BY step ORDER BY i DESC) <= 10)"),
     "trace_restart": _with("trace", ", b AS (SELECT *, CASE WHEN lag(step) OVER (ORDER BY i) IS DISTINCT FROM step THEN i END AS begin_i FROM trace), l AS (SELECT *, max(begin_i) OVER (PARTITION BY step) AS last_i FROM b) SELECT step, (row_number() OVER (PARTITION BY step ORDER BY i) - 1)::INT AS pos, content_hash FROM l WHERE i >= last_i"),
-    "build_curriculum": _with("blocks", f""", p AS (SELECT content_hash, row_number() OVER (ORDER BY {_digits('cur', 'content_hash')}, content_hash, origin, block) - 1 AS i, count(*) OVER () AS n FROM blocks WHERE content_hash < '2'),
+    "trace_round_trip": _phases(),
+    "build_curriculum": _with("blocks", f""", p AS (SELECT content_hash, row_number() OVER (ORDER BY {_digits('cur', 'content_hash')}, content_hash, origin, block) - 1 AS i, count(*) OVER () AS n FROM blocks),
         one AS (SELECT content_hash, arg_max((domain, origin, block), (domain, origin, block)) AS b FROM blocks GROUP BY content_hash)
         SELECT i // 8 AS step, i % 8 AS pos, content_hash, b[1] AS domain, b[2] AS origin, b[3] AS block FROM p JOIN one USING (content_hash) WHERE (i // 8 + 1) * 8 <= n"""),
-    "merge_weights": """WITH b AS (SELECT vec_id, embedding, vec_id % 7 <> 0 AND vec_id % 5 <> 0 AND vec_id % 3 <> 0 AS merged FROM embeddings)
-        SELECT vec_id::VARCHAR AS name, merged, round(round(CASE WHEN merged THEN (embedding[1] * 0.75::FLOAT)::FLOAT + ((embedding[1] * 3::FLOAT)::FLOAT * 0.25::FLOAT)::FLOAT ELSE embedding[1] END::DOUBLE, 4), 3) + 0.0::DOUBLE AS first, len(embedding)::BIGINT AS n FROM b""",
-    "streaming_loop": _with("topk", "SELECT step, content_hash, origin, origin_tag, rho, target_loss, sel_rank AS rank FROM topk WHERE step < 4"),
+    "curriculum_order": _with("blocks", f""", p AS (SELECT content_hash, row_number() OVER (ORDER BY {_digits('cur', 'content_hash')}, content_hash, origin, block) - 1 AS i, count(*) OVER () // 8 * 8 AS n FROM blocks)
+        SELECT i // 16 AS step, i AS block_id, content_hash FROM p WHERE (i // 16 + 1) * 16 <= n"""),
+    "merge_weights": """WITH b AS (SELECT vec_id, embedding, vec_id % 7 <> 0 AND vec_id % 5 <> 0 AND vec_id % 3 <> 0 AS merged FROM embeddings),
+        m AS (SELECT vec_id, merged, CASE WHEN merged THEN list_transform(embedding, lambda x: (x * 0.75::FLOAT)::FLOAT + ((x * 3::FLOAT)::FLOAT * 0.25::FLOAT)::FLOAT) ELSE embedding END AS v FROM b)
+        SELECT vec_id::VARCHAR AS name, merged, md5(array_to_string(list_transform(v, lambda x: floor(x::DOUBLE * 1000)::BIGINT::VARCHAR), ',')) AS digest, len(v)::BIGINT AS n FROM m""",
+    "tensors_round_trip": "SELECT vec_id::VARCHAR AS name, 'float32' AS dtype, len(embedding)::INT AS length, md5(array_to_string(list_transform(embedding, lambda x: floor(x::DOUBLE * 1000)::BIGINT::VARCHAR), ',')) AS digest FROM embeddings",
+    "loop_resume": _loop(f""", r AS (SELECT *, row_number() OVER (PARTITION BY epoch, pool ORDER BY rho DESC, i) AS rank FROM whole)
+        SELECT epoch * (n // size) + pool + 1 AS step, content_hash, origin, rho, rank::INT AS rank FROM r WHERE rank <= 16"""),
+    "loop_plain": _loop("SELECT pool + 1 AS step, content_hash, i AS block_id FROM whole WHERE epoch = 0"),
+    "loop_counters": _loop(", s AS (SELECT count(DISTINCT pool) FILTER (pool % 3 <> 1) AS t, any_value(size) AS size FROM whole WHERE epoch = 0) SELECT 1::BIGINT AS epoch, 0::BIGINT AS step, t AS total_steps, (t * size)::BIGINT AS consumed_samples, (t * 16 * 64)::BIGINT AS total_valid_tokens FROM s"),
+    "cache_passes": _with("blocks", f"SELECT DISTINCT content_hash, {_LOSS} AS ref_loss FROM blocks"),
+    "cache_pass_cap": _with("blocks", ", d AS (SELECT content_hash, origin, origin_tag, min(block) AS block FROM blocks WHERE domain = 'german' GROUP BY ALL) SELECT content_hash, origin, origin_tag, 63 AS n_response_tokens FROM d ORDER BY origin, block LIMIT 100"),
+    "read_documents": "SELECT 'folder_nemotron_cc_' || lang AS origin, sha256(text) AS digest, length(text)::INT AS n_chars FROM documents WHERE text <> ''",
+    "read_blocks_cap": _with("blocks", ", s AS (SELECT domain FROM blocks) SELECT least(300, count(*)) AS n_rows, 1::BIGINT AS n_domains FROM s"),
+    "cap_gate": _with("blocks", "SELECT origin, 2 * count(*) AS n FROM blocks GROUP BY origin"),
+    "map_round_trip": "SELECT DISTINCT lang || '_' || source AS origin, 'cap_' || lang AS capability FROM documents WHERE lang IN ('de', 'en', 'fr')",
+    "streaming_loop": _with("topk", "SELECT step, content_hash, origin, origin_tag, rho, target_loss, sel_rank AS rank FROM topk"),
+    "stream_consumed": _with("topk", "SELECT step, row_number() OVER (ORDER BY step) * 64 AS consumed_samples FROM (SELECT DISTINCT step FROM topk)"),
     "jsonl_round_trip": _with("blocks", "SELECT origin, origin_tag, capability, count(*) AS n, count(DISTINCT content_hash) AS n_hashes FROM blocks GROUP BY ALL"),
-    "blocks_round_trip": _with("split", f"SELECT {_KEY}, content_hash FROM split WHERE split = 'holdout'"),
+    "blocks_round_trip": _with("split", f"SELECT {_KEY}, content_hash, split FROM split"),
 }

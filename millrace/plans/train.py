@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +19,13 @@ from millrace.operators.metrics import by_origin, long_table, rho_percentiles, s
 from millrace.operators.mixer import choose_domains, shuffled, train_rows, validation_rows, with_fallback
 from millrace.operators.ranking import ranked
 from millrace.operators.scoring import Scorer, with_rho, with_target_loss
-from millrace.operators.selection import flagged, select, usable
+from millrace.operators.selection import select, usable
 from millrace.operators.validation import corpus_means, corpus_sums, loss_by_origin, validation_loss
 from millrace.plans.config import MixerConfig, TrainConfig
 from millrace.sources.corpus import append_trace, read_blocks, read_cache, read_trace
+from millrace.sources.shared import delete, folders, new_path, rename, store
+
+METRIC_SCHEMA = "step long, prefix string, metric string, value double"
 
 
 @dataclass
@@ -64,10 +69,12 @@ def pools(rows: DataFrame, size: int, salt: str | None, whole: bool = True) -> D
 
 
 def validate(val: DataFrame, scorer: Scorer, cfg: TrainConfig, batch: int) -> DataFrame:
-    """``metric, value`` of a validation pass."""
+    """``metric, value`` of a validation pass. The losses are stored, as
+    several aggregates read them."""
     rows = pools(val, batch, f"valshuf:{cfg.seed}", whole=False).withColumnRenamed("step", "batch").withColumn("sample_mask", F.lit(1.0))
     rows = rows.where(F.col("batch") < cfg.val_batches) if cfg.val_batches > 0 else rows
-    rows = with_target_loss(rows if "ref_loss" in rows.columns else rows.withColumn("ref_loss", F.lit(None).cast("double")), scorer).cache()
+    rows = with_target_loss(rows if "ref_loss" in rows.columns else rows.withColumn("ref_loss", F.lit(None).cast("double")), scorer)
+    rows = store(rows.select("batch", "origin", "origin_tag", "sample_mask", "target_loss", "ref_loss"), "validation")
     means = corpus_means(corpus_sums(rows, ("batch",)))
     out = validation_loss(rows).select(F.lit("val_loss").alias("metric"), F.col("val_loss").alias("value"))
     out = out.unionByName(means.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in means.columns))).alias("m")).select("m.*"))
@@ -75,21 +82,41 @@ def validate(val: DataFrame, scorer: Scorer, cfg: TrainConfig, batch: int) -> Da
     return out.unionByName(per.select(F.explode(F.array(*(F.struct(F.concat(F.lit("loss_by_origin_"), "origin", F.lit(f"/{c}")).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("target_loss", "ref_loss", "n")))).alias("m")).select("m.*"))
 
 
-def one_step(pool: DataFrame, scorer: Scorer, cfg: TrainConfig) -> tuple[DataFrame, DataFrame]:
-    """The scored pool with ``selected``, and the selected rows."""
+def one_step(pool: DataFrame, scorer: Scorer, cfg: TrainConfig) -> DataFrame:
+    """The scored pool with ``sel_rank``, null where a row isn't ``selected``."""
     scored = with_rho(with_target_loss(pool, scorer))
     if not cfg.enable_selection:
-        chosen = scored.withColumn("sel_rank", F.col("block_id"))
-        return scored.withColumn("selected", F.lit(True)), chosen
+        return scored.withColumn("sel_rank", F.col("block_id")).withColumn("selected", F.lit(True))
     chosen = select(scored, cfg.top_k, cfg.selection_strategy, cfg.fixed_replay_ratio, cfg.seed)
-    return flagged(scored, chosen), chosen
+    return scored.join(chosen.select("block_id", "sel_rank"), "block_id", "left").withColumn("selected", F.col("sel_rank").isNotNull())
+
+
+class Epoch:
+    """An epoch's pools as a table with a folder per step: a step reads its own
+    rows alone, however many there are."""
+
+    def __init__(self, rows: DataFrame, cfg: TrainConfig, epoch: int):
+        salt = None if cfg.curriculum else f"epoch:{cfg.seed}:{epoch if cfg.shuffle else 0}"
+        placed = pools(rows, cfg.pool_size, salt).withColumn("sample_mask", F.lit(1.0))
+        self.spark, self.path = rows.sparkSession, new_path(rows.sparkSession, f"epoch-{epoch}")
+        self.schema = placed.drop("step").schema
+        placed.repartition("step").write.partitionBy("step").parquet(self.path)
+        self.steps = sum(name.startswith("step=") for name in folders(self.spark, self.path))
+
+    def pool(self, step: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/step={step}").withColumn("step", F.lit(step).cast("long"))
+
+    def drop(self) -> None:
+        delete(self.spark, self.path)
 
 
 def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: TrainConfig, state: State | None = None, trace_path: str | None = None, metrics_path: str | None = None, state_path: str | None = None) -> State:
     """Runs steps until the rows, ``max_steps``, ``max_epochs`` or the time end.
 
-    Each step's pool is read from a table written once per epoch by step, so
-    plans do not grow from step to step.
+    A step's pool is scored once and kept while the step lasts: one action
+    counts it, one lets the model learn, and one each writes its metrics and
+    its trace. A pool without a usable candidate is passed over: it counts as
+    a step of the epoch, but neither in the total nor as consumed.
     """
     spark = rows.sparkSession
     state, began = state or State(), time.time()
@@ -97,9 +124,9 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
         raise RuntimeError("selection needs ref_loss")
     rows = rows if "ref_loss" in rows.columns else rows.withColumn("ref_loss", F.lit(None).cast("double"))
 
-    def log(metrics: DataFrame) -> None:
+    def log(*metrics: DataFrame) -> None:
         if metrics_path:
-            metrics.write.mode("append").parquet(metrics_path)
+            reduce(DataFrame.unionByName, metrics).coalesce(1).write.mode("append").parquet(metrics_path)
 
     def check(step: int) -> None:
         if val is not None:
@@ -107,55 +134,86 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
 
     def save() -> None:
         if state_path:
-            spark.createDataFrame([(json.dumps(asdict(state)),)], "value string").coalesce(1).write.mode("overwrite").text(state_path)
+            checkpoint(spark, state, scorer, state_path)
 
     if cfg.val_at_start and state.total_steps == 0:
         check(0)
     while state.epoch < cfg.max_epochs:
-        salt = None if cfg.curriculum else f"epoch:{cfg.seed}:{state.epoch if cfg.shuffle else 0}"
-        placed = pools(rows, cfg.pool_size, salt).withColumn("sample_mask", F.lit(1.0)).persist()
-        steps = (placed.agg(F.max("step")).first()[0] or -1) + 1 if placed.limit(1).count() else 0
-        while state.step < steps:
-            step_began = time.time()
-            pool, chosen = one_step(placed.where(F.col("step") == state.step), scorer, cfg)
-            pool = pool.persist()
-            n = pool.where(usable() if cfg.enable_selection else F.lit(True)).count()
-            state.consumed_samples += cfg.pool_size
-            if n:
-                chosen = pool.where("selected").join(chosen.select("step", "block_id", "sel_rank"), ["step", "block_id"])
-                tokens = chosen.agg(F.sum(F.size("token_ids"))).first()[0]
-                scorer.update(chosen)
-                log(spark.createDataFrame([(state.total_steps + 1, "timing", "valid_tokens_per_sec", (tokens or 0) / max(time.time() - step_began, 1e-9))], "step long, prefix string, metric string, value double"))
-                state.total_steps += 1
-                state.total_valid_tokens += tokens or 0
-                if cfg.enable_selection:
-                    log(long_table(selection_metrics(pool)))
-                    log(long_table(score_metrics(pool), "score"))
-                    log(_named(by_origin(pool), "selection_by_origin", ("n_candidate", "n_selected", "frac_selected")))
-                    if state.total_steps % max(cfg.rich_log_period, 1) == 0:
-                        log(_named(by_origin(pool), "rho_by_origin", ("rho_mean", "frac_above_zero")))
-                        log(_named(rho_percentiles(pool), "rho_dist", ("p10", "p50", "p90", "p99")))
-                if trace_path and cfg.log_selected:
-                    append_trace(trace_rows(chosen.withColumn("step", F.lit(state.total_steps).cast("long")), cfg.log_selected_period), trace_path)
-            pool.unpersist()
-            state.step += 1
-            late = cfg.timeout_s is not None and time.time() - began > cfg.timeout_s
-            last = cfg.max_steps is not None and state.total_steps >= cfg.max_steps or state.step == steps and state.epoch == cfg.max_epochs - 1
-            if n and (last or cfg.val_period and state.total_steps % cfg.val_period == 0):
-                check(state.total_steps)
-            if last or late or cfg.save_period and state.total_steps % cfg.save_period == 0:
-                save()
-            if late or cfg.max_steps is not None and state.total_steps >= cfg.max_steps:
-                placed.unpersist()
-                return state
-        placed.unpersist()
+        epoch = Epoch(rows, cfg, state.epoch)
+        try:
+            while state.step < epoch.steps:
+                step_began = time.time()
+                pool = one_step(epoch.pool(state.step), scorer, cfg).persist()
+                try:
+                    usable_rows, tokens = pool.agg(F.count(F.when(usable() if cfg.enable_selection else F.lit(True), 1)), F.coalesce(F.sum(F.when(F.col("selected"), F.size("token_ids"))), F.lit(0))).first()
+                    if usable_rows:
+                        scorer.update(pool.where("selected"))
+                        state.total_steps += 1
+                        state.total_valid_tokens += tokens
+                        state.consumed_samples += cfg.pool_size
+                        named = pool.withColumn("step", F.lit(state.total_steps).cast("long"))
+                        rate = tokens / max(time.time() - step_began, 1e-9) / cfg.devices
+                        log(spark.createDataFrame([(state.total_steps, "timing", "valid_tokens_per_sec_per_gpu", rate)], METRIC_SCHEMA), *(step_metrics(named, cfg, state.total_steps) if cfg.enable_selection else ()))
+                        if trace_path and cfg.log_selected:
+                            append_trace(trace_rows(named.where("selected"), cfg.log_selected_period), trace_path)
+                finally:
+                    pool.unpersist()
+                state.step += 1
+                late = cfg.timeout_s is not None and time.time() - began > cfg.timeout_s
+                full = cfg.max_steps is not None and state.total_steps >= cfg.max_steps
+                last = full or state.step == epoch.steps and state.epoch == cfg.max_epochs - 1
+                if usable_rows and (last or cfg.val_period and state.total_steps % cfg.val_period == 0):
+                    check(state.total_steps)
+                if last or late or cfg.save_period and state.total_steps % cfg.save_period == 0:
+                    save()
+                if late or full:
+                    return state
+        finally:
+            epoch.drop()
         state.epoch, state.step = state.epoch + 1, 0
     save()
     return state
 
 
-def load_state(spark: SparkSession, path: str) -> State:
-    return State(**json.loads(spark.read.text(path).first()[0]))
+def step_metrics(pool: DataFrame, cfg: TrainConfig, step: int) -> list[DataFrame]:
+    """Long rows of what a step logs; the rich ones in every so many steps."""
+    origins = by_origin(pool)
+    out = [long_table(selection_metrics(pool)), long_table(score_metrics(pool), "score"), _named(origins, "selection_by_origin", ("n_candidate", "n_selected", "frac_selected"))]
+    if step % max(cfg.rich_log_period, 1) == 0:
+        out += [_named(origins, "rho_by_origin", ("rho_mean", "frac_above_zero")), _named(rho_percentiles(pool), "rho_dist", ("p10", "p50", "p90", "p99"))]
+    return out
+
+
+def checkpoint(spark: SparkSession, state: State, scorer: Scorer, path: str) -> None:
+    """State and model under ``path``: written beside it and renamed, so that a
+    checkpoint is there as a whole or not at all."""
+    name = f"at-{state.total_steps:09d}-{state.epoch:05d}-{state.step:09d}"
+    if name in folders(spark, path):
+        return
+    part = f"{path}/part-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(asdict(state)),)], "value string").coalesce(1).write.text(f"{part}/state")
+    if hasattr(scorer, "save"):
+        scorer.save(spark, f"{part}/model")
+    rename(spark, part, f"{path}/{name}")
+
+
+def _latest(spark: SparkSession, path: str) -> str | None:
+    found = [f for f in folders(spark, path) if f.startswith("at-")]
+    return f"{path}/{found[-1]}" if found else None
+
+
+def load_state(spark: SparkSession, path: str) -> State | None:
+    """The state of the last checkpoint; none before the first."""
+    found = _latest(spark, path)
+    return State(**json.loads(spark.read.text(f"{found}/state").first()[0])) if found else None
+
+
+def resume(spark: SparkSession, path: str, scorer: Scorer) -> State | None:
+    """The last checkpoint's state, its model loaded into ``scorer``."""
+    found = _latest(spark, path)
+    if found and hasattr(scorer, "load"):
+        scorer.load(spark, f"{found}/model")
+    return load_state(spark, path)
 
 
 def _named(table: DataFrame, family: str, columns: tuple[str, ...]) -> DataFrame:

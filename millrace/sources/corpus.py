@@ -10,8 +10,10 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions.names import clean_origin
+from millrace.sources.shared import put
 
 BLOCK_SCHEMA = "token_ids array<int>, origin string, origin_tag int, domain string, capability string, n_bytes long, content_hash string, block long, split string"
 CACHE_SCHEMA = "content_hash string, origin string, origin_tag int, ref_loss float, n_response_tokens int"
@@ -67,12 +69,10 @@ def origin_of(path: Column, root: str, coarse: str, per_subset: bool = True, ori
 
 def read_documents(spark: SparkSession, pattern: str, coarse_origin: str, per_subset: bool = True, origin_map: dict[str, str] | None = None, text_column: str = "text") -> DataFrame:
     """``origin, part, doc, text`` of all non-empty texts; ``part`` is the
-    file, ``doc`` the row in it. Files without the column are passed over."""
-    files = list_files(spark, pattern)
-    having = [f for f in files if text_column in spark.read.parquet(f).columns] if len(files) <= 1000 else files
-    if not having:
-        return spark.createDataFrame([], "origin string, part string, doc long, text string")
-    rows = spark.read.option("mergeSchema", len(files) > 1000).parquet(*having)
+    file, ``doc`` the row in it. The text column is all that is asked of a
+    file, so no file's schema is read beforehand: one without it has nulls,
+    and so no rows."""
+    rows = spark.read.schema(StructType([StructField(text_column, StringType())])).parquet(*list_files(spark, pattern))
     rows = rows.select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("doc"), F.col(text_column).alias("text")).where("text is not null and text <> ''")
     return rows.select(origin_of(F.col("part"), glob_root(pattern), coarse_origin, per_subset, origin_map).alias("origin"), "part", "doc", "text")
 
@@ -111,12 +111,16 @@ def append_trace(rows: DataFrame, path: str) -> None:
 
 
 def read_trace(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``phase, file, line, step, content_hash``: recorded rows with their
-    true place; one phase per path; blank lines count but give no row."""
+    """``phase, file, line, step, content_hash``: recorded rows in their true
+    order; one phase per path; blank lines give no row.
+
+    Files are read line by line and may be split: ``line`` is the place of the
+    split in the file and of the line in the split, which sorts like the line."""
     out = None
     for phase, path in enumerate(paths):
-        text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path, wholetext=True)
-        lines = text.select(F.lit(phase).alias("phase"), F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "_text")).where(F.trim("_text") != "")
+        text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path)
+        place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+        lines = text.select(F.lit(phase).alias("phase"), F.col("_metadata.file_path").alias("file"), place.alias("line"), F.col("value").alias("_text")).where(F.trim("_text") != "")
         rows = lines.withColumn("_r", F.from_json("_text", TRACE_SCHEMA)).select("phase", "file", "line", "_r.step", "_r.content_hash")
         out = rows if out is None else out.unionByName(rows)
     if out is None or out.limit(1).count() == 0:
@@ -124,19 +128,18 @@ def read_trace(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def read_map(path: str | None) -> dict[str, str] | None:
+def read_map(spark: SparkSession, path: str | None) -> dict[str, str] | None:
+    """A JSON object of strings, from any store."""
     if path is None:
         return None
-    with open(path, encoding="utf-8") as f:
-        found = json.load(f)
+    found = json.loads(spark.read.text(path, wholetext=True).first()[0])
     if not isinstance(found, dict):
         raise ValueError(f"{path} holds no JSON object")
     return {str(k): str(v) for k, v in found.items()}
 
 
-def write_map(found: dict[str, str], path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(found, f, indent=2, ensure_ascii=False)
+def write_map(spark: SparkSession, found: dict[str, str], path: str) -> None:
+    put(spark, path, json.dumps(found, indent=2, ensure_ascii=False).encode("utf-8"))
 
 
 def staging_plan(spec: DataFrame, files: DataFrame, scale: float = 1.0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.corpus import list_files
+from millrace.sources.shared import put
 
 SCHEMA = "name string, shape array<int>, dtype string, values array<float>"
 #: Names of types in the format, the table's names, numpy's types.
@@ -86,25 +87,17 @@ def write_tensors(tensors: DataFrame, folder: str, per_shard: int = 256) -> list
     """Writes shards of ``per_shard`` tensors and their index through Hadoop.
     The driver holds one shard at a time, as a model's tensors are few."""
     spark = tensors.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = folder.rstrip("/")
     names = [r[0] for r in tensors.select("name").orderBy("name").collect()]
     files, total = {}, max(1, -(-len(names) // per_shard))
 
-    def put(name: str, content: bytes) -> None:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
-        out = path.getFileSystem(conf).create(path, True)
-        try:
-            out.write(content)
-        finally:
-            out.close()
-
     for i in range(total):
         part = names[i * per_shard : (i + 1) * per_shard]
         rows = [tuple(r) for r in tensors.where(F.col("name").isin(part)).select("name", "shape", "dtype", "values").collect()]
         shard = f"model-{i + 1:05d}-of-{total:05d}.safetensors"
-        put(shard, encode(rows))
+        put(spark, f"{folder}/{shard}", encode(rows))
         files |= dict.fromkeys(part, shard)
-    put("model.safetensors.index.json", json.dumps({"weight_map": files}).encode())
+    put(spark, f"{folder}/model.safetensors.index.json", json.dumps({"weight_map": files}).encode())
     return sorted(set(files.values()))
 
 

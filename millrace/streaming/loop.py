@@ -2,7 +2,8 @@
 
 Pools arrive as Parquet files (step, block_id, content_hash, origin,
 origin_tag, sample_mask, target_loss, ref_loss). Every step's rows must arrive
-in one micro-batch: write a file per step and read one file per trigger.
+in one micro-batch: write whole steps per file, one or more, and read whole
+files per trigger.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ def run(spark: SparkSession, pools: str, out: str, checkpoint: str, k: int, stra
 
     def step(batch: DataFrame, batch_id: int) -> None:
         pool = with_rho(batch).persist()
-        chosen = select(pool, k, strategy, ratio, seed)
-        trace_rows(chosen).write.mode("overwrite").parquet(f"{out}/trace/batch={batch_id}")
-        long_table(selection_metrics(flagged(pool, chosen))).write.mode("overwrite").parquet(f"{out}/metrics/batch={batch_id}")
-        pool.unpersist()
+        try:
+            chosen = select(pool, k, strategy, ratio, seed)
+            trace_rows(chosen).write.mode("overwrite").parquet(f"{out}/trace/batch={batch_id}")
+            long_table(selection_metrics(flagged(pool, chosen))).write.mode("overwrite").parquet(f"{out}/metrics/batch={batch_id}")
+        finally:
+            pool.unpersist()
 
     source = spark.readStream.schema(POOL_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(pools)
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -51,6 +51,8 @@ def test_ingest_precompute_train(spark, tmp_path):
         json.dump({"train": {"max_steps": 1, "log_selected": True}}, f)
     main(["train", "--config", f"{tmp_path}/run.json", f"{tmp_path}/over.json", "--out", f"{tmp_path}/run", "--vocabulary", "1000"], spark)
     assert corpus.read_trace(spark, [f"{tmp_path}/run/trace"]).count() == 8
+    main(["train", "--config", f"{tmp_path}/run.json", f"{tmp_path}/over.json", "--set", "train.max_steps=2", "train.top_k=4", "--out", f"{tmp_path}/run", "--vocabulary", "1000"], spark)
+    assert corpus.read_trace(spark, [f"{tmp_path}/run/trace"]).groupBy("step").count().orderBy("step").collect() == [(1, 8), (2, 4)]
     assert np.isfinite(spark.read.parquet(f"{tmp_path}/run/metrics").where("metric = 'val_loss'").first()["value"])
 
 
@@ -65,4 +67,29 @@ def test_stage(spark, tmp_path):
     assert not os.path.exists(f"{tmp_path}/out")
     main(args, spark)
     assert sorted(f for f in os.listdir(f"{tmp_path}/out/high") if not f.startswith(".")) == ["p0.parquet", "p3.parquet", "p6.parquet"]
-    assert corpus.read_map(f"{tmp_path}/caps.json") == {"high": "web", "none": "none"}
+    assert corpus.read_map(spark, f"{tmp_path}/caps.json") == {"high": "web", "none": "none"}
+
+
+def test_precompute_settings(monkeypatch):
+    from millrace.__main__ import _precompute_settings, parser
+
+    read = lambda *args: _precompute_settings(parser().parse_args(["precompute", *args]))
+    with pytest.raises(SystemExit, match="--domain or MILLRACE_PRECOMPUTE_DOMAIN"):
+        read("--blocks", "b")
+    monkeypatch.setenv("MILLRACE_PRECOMPUTE_DOMAIN", "legal")
+    assert read("--blocks", "b", "--set", "mixer.ref_loss_cache_path=c") == {"blocks": "b", "domain": "legal", "cache": "c"}
+
+
+def test_ingestion_with_a_library_tokenizer(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    for domain in ("legal", "general"):
+        spark.createDataFrame([(f"some {domain} words, number {i}. " * 9,) for i in range(20)], "text string").coalesce(1).write.parquet(f"{tmp_path}/raw/{domain}/Sub-{domain}")
+    main(["ingest", "--adapt-glob", f"{tmp_path}/raw/legal/**/*.parquet", "--replay-glob", f"{tmp_path}/raw/general/**/*.parquet", "--out", f"{tmp_path}/blocks", "--block-size", "32", "--eod-id", "50256", "--tokenizer", public_tokenizers.path("byte_bpe_50k.json")], spark)
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = corpus.read_blocks(spark, f"{tmp_path}/blocks").orderBy("domain", "origin", "block").collect()
+    ids = [t for i in range(20) for t in [*tok.encode(f"some general words, number {i}. " * 9).ids, 50256]]
+    own = [r for r in rows if r["domain"] == "general"]
+    assert [t for r in own for t in r["token_ids"]] == ids[: 32 * (len(ids) // 32)]
+    assert all(r["n_bytes"] == len(tok.decode(r["token_ids"], skip_special_tokens=False).encode()) for r in rows)

@@ -73,8 +73,14 @@ def test_training_trace_resume_and_curriculum(spark, built):
     assert (state.total_steps, state.consumed_samples, state.step, state.total_valid_tokens) == (2, 128, 2, 2 * 16 * 16)
     assert train.load_state(spark, where["state_path"]) == state
     go_on = config.TrainConfig(pool_size=64, top_k=16, max_steps=3, log_selected=True)
-    after = train.train_loop(rows, None, UnigramScorer(1000), go_on, state, **where)
-    assert after.total_steps == 3
+    scorer = UnigramScorer(1000)
+    saved = train.resume(spark, where["state_path"], scorer)
+    assert saved == state and scorer.counts.sum() == 2 * 16 * 16
+    after = train.train_loop(rows, None, scorer, go_on, saved, **where)
+    assert after.total_steps == 3 and train.load_state(spark, where["state_path"]) == after
+    straight = UnigramScorer(1000)
+    train.train_loop(rows, None, straight, go_on)
+    assert (straight.counts == scorer.counts).all()
     logged = spark.read.parquet(where["metrics_path"])
     names = {r[0] for r in logged.select("metric").distinct().collect()}
     assert {"selection/k_effective", "candidate_loss", "val_loss", "target_loss_adapt"} <= names and any(n.startswith("selection_by_origin/adapt/") for n in names) and any(n.startswith("rho_dist/") for n in names)
@@ -120,3 +126,91 @@ def test_stream_goes_on_after_a_stop(spark, tmp_path):
     trace = spark.read.parquet(str(tmp_path / "out" / "trace"))
     assert sorted((r["step"], r["rank"], r["content_hash"]) for r in trace.collect()) == [(s, k + 1, f"h{7 - k}") for s in range(3) for k in range(3)]
     assert [r["consumed_samples"] for r in loop.consumed(trace, 8).orderBy("step").collect()] == [8, 16, 24]
+
+
+def test_checkpoints_are_whole_or_absent(spark, tmp_path):
+    class Broken(UnigramScorer):
+        def save(self, spark, path):
+            raise OSError("full")
+
+    path = str(tmp_path / "state")
+    assert train.load_state(spark, path) is None and train.resume(spark, path, UnigramScorer(5)) is None
+    train.checkpoint(spark, train.State(0, 1, 1, 8, 9), UnigramScorer(5), path)
+    with pytest.raises(OSError):
+        train.checkpoint(spark, train.State(0, 2, 2, 16, 18), Broken(5), path)
+    assert train.load_state(spark, path) == train.State(0, 1, 1, 8, 9)
+    train.checkpoint(spark, train.State(0, 10, 10, 80, 90), UnigramScorer(5), path)
+    train.checkpoint(spark, train.State(0, 10, 10, 80, 90), UnigramScorer(5), path)
+    assert train.load_state(spark, path).step == 10
+
+
+def test_settings_files_and_overrides(tmp_path):
+    (tmp_path / "a.yaml").write_text("train:\n  pool_size: 8\n  top_k: 2\nmixer:\n  corpus_path: x\n")
+    (tmp_path / "b.json").write_text('{"train": {"top_k": 3}}')
+    (tmp_path / "c.yml").write_text("")
+    layers = [config.read_settings(str(tmp_path / n)) for n in ("a.yaml", "b.json", "c.yml")]
+    told = config.merged(*layers, *map(config.override, ["train.top_k=4", "+mixer.adapt_domain=legal", "train.timeout_s=null", "mixer.seed=7"]))
+    run = config.build(config.RunConfig, told, strict=True)
+    assert (run.train.pool_size, run.train.top_k, run.train.timeout_s, run.mixer.adapt_domain, run.mixer.seed) == (8, 4, None, "legal", 7)
+    for bad in ("train.top_k", "=3"):
+        with pytest.raises(ValueError, match="name=value"):
+            config.override(bad)
+    (tmp_path / "d.json").write_text("[1]")
+    with pytest.raises(ValueError):
+        config.read_settings(str(tmp_path / "d.json"))
+
+
+def test_traces_are_read_in_order_across_splits(spark, tmp_path):
+    rows = [(i // 10, f"h{i}", "o", 0, 0.5, 1.0, i % 10) for i in range(3000)]
+    lines = [json.dumps(dict(zip(("step", "content_hash", "origin", "origin_tag", "rho", "target_loss", "rank"), r))) for r in rows]
+    for part in (0, 1):
+        (tmp_path / f"p{part}.jsonl").write_text("\n".join([*lines[1500 * part : 1500 * part + 700], "", *lines[1500 * part + 700 : 1500 * part + 1500]]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        found = corpus.read_trace(spark, [str(tmp_path)])
+        assert found.rdd.getNumPartitions() > 4
+        assert [r["content_hash"] for r in found.orderBy("phase", "file", "line").collect()] == [r[1] for r in rows]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_collate_needs_tags_and_losses_on_all_rows_or_none(spark):
+    from millrace.operators import collate
+
+    schema = "step long, block_id long, origin string, origin_tag int, content_hash string, ref_loss double"
+    good = spark.createDataFrame([(0, 1, None, 0, "a", 1.0), (0, 2, "o", 1, None, 2.0), (1, 3, "o", 1, "c", None), (None, 4, "o", 0, "d", None)], schema)
+    got = {r["block_id"]: r for r in collate.collated(good).collect()}
+    assert got[1]["origin"] == "unknown" and got[2]["content_hash"] == "" and got[3]["ref_loss"] is None and len(got) == 4
+    assert collate.collated(good.limit(0)).count() == 0
+    for row, what in (((0, 5, "o", 1, "e", None), "ref_loss"), ((0, 5, "o", None, "e", 1.0), "origin_tag")):
+        with pytest.raises(Exception, match=f"{what} is missing"):
+            collate.collated(good.union(spark.createDataFrame([row], schema))).collect()
+    bare = collate.samples(spark.createDataFrame([(7, [1, 2, 3])], "block_id long, token_ids array<int>")).first()
+    assert (bare["idx"], bare["length"], bare["origin"], bare["origin_tag"], bare["content_hash"], bare["ref_loss"], bare["token_mask"]) == (7, 3, "unknown", 0, "", None, [1.0] * 3)
+
+
+def test_cluster_sessions_need_a_shared_folder():
+    from millrace.sources import shared
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+
+
+def test_files_without_the_text_column_have_no_rows(spark, tmp_path):
+    spark.createDataFrame([("a",), (None,), ("",)], "text string").coalesce(1).write.parquet(f"{tmp_path}/one")
+    spark.createDataFrame([(1,)], "other int").coalesce(1).write.parquet(f"{tmp_path}/two")
+    assert [tuple(r)[0::3] for r in corpus.read_documents(spark, f"{tmp_path}/**/*.parquet", "all").collect()] == [("one", "a")]
