@@ -18,28 +18,35 @@ from pyspark.sql.window import Window
 
 from millrace.llm.shared import store
 
-#: Membership patterns beyond which the flow isn't solved on the driver.
-MAX_PATTERNS = 10_000
-#: Rounds that fill what the last document that fitted left open.
-ROUNDS = 4
+#: Patterns of sources that overlap, whose flow is solved on the driver.
+MAX_PATTERNS = 200_000
+#: Documents that may still fit, from which on the driver goes through them.
+FEW = 50_000
 _BUCKET_BITS = 12
 _HASH_BITS = 60
 
 
-def water_fill(sizes: dict, weights: dict, total: int, most: int = 3) -> dict:
-    """Targets by weight that stop at ``most`` times a source's size; the
-    excess goes to the others by weight until none is above. A source is
-    capped exactly if its cap per weight is below the level that the others
-    reach, so one pass by cap per weight finds the fixed point."""
-    out, rest, weight = {}, total, sum(weights.values())
-    for s in sorted(sizes, key=lambda s: most * sizes[s] / weights[s]):
-        if most * sizes[s] * weight <= weights[s] * rest:
-            out[s] = float(most * sizes[s])
-            rest -= most * sizes[s]
-            weight -= weights[s]
-        else:
-            break
-    return out | {s: weights[s] * rest / weight for s in sizes if s not in out}
+def water_fill(sizes: DataFrame, total: int, weights=(1, 2, 3), most: int = 3) -> DataFrame:
+    """``_s, _source_size, target`` by source from ``_s, _source_size``.
+
+    A source's weight is the next of ``weights``, repeated, in code point
+    order, null last. Targets share out ``total`` by weight and stop at
+    ``most`` times a source's size; the excess goes to the others by weight
+    until none is above. A source is capped exactly if its cap per weight is
+    below the level that the others reach, so one pass in the order of caps
+    per weight finds the fixed point. One task orders the sources, a row each.
+    """
+    place = F.row_number().over(Window.orderBy(F.col("_s").asc_nulls_last())) - 1
+    share = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double")
+    rows = sizes.select("_s", "_source_size", share.alias("_w"), (F.col("_source_size") * most).cast("double").alias("_cap"))
+    order, every = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("_s").asc_nulls_last()), Window.partitionBy()
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    level = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    capped = F.col("_cap") * (F.sum("_w").over(every) - level("_w")) <= F.col("_w") * (F.lit(float(total)) - level("_cap"))
+    rows = rows.withColumn("_capped", capped)
+    rest = F.lit(float(total)) - F.coalesce(F.sum(F.when(F.col("_capped"), F.col("_cap"))).over(every), F.lit(0.0))
+    weight = F.sum(F.when(F.col("_capped"), 0.0).otherwise(F.col("_w"))).over(every)
+    return rows.select("_s", "_source_size", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("_w") * rest / weight).alias("target"))
 
 
 @dataclass(frozen=True)
@@ -48,61 +55,80 @@ class Flow:
 
     tokens: dict
 
-    def of_pattern(self, pattern) -> int:
-        return sum(n for (p, _), n in self.tokens.items() if p == pattern)
+    def by_pattern(self) -> dict:
+        out: dict = {}
+        for (p, _), n in self.tokens.items():
+            out[p] = out.get(p, 0) + n
+        return out
 
 
 def min_cost_flow(capacity: dict, quotas: dict, copies: int = 3) -> Flow:
-    """Successive shortest paths over source, patterns, sources, sink.
+    """The largest flow from patterns to sources, at least cost.
 
     ``capacity``: tokens by pattern (a tuple of source keys); a copy's cost
     per token is its number, 1 to ``copies``. ``quotas``: whole tokens by
-    source. Reaches the largest flow, at least cost; ties go to the smaller
-    node number, so equal input gives equal flow.
+    source. Only the arcs into patterns cost anything, so a shortest path costs
+    what its first arc does: paths that begin with a first copy come first,
+    then those with a second one, and so on. Each copy is therefore a largest
+    flow of its own (Dinic's blocking flows) on top of the flow so far. Nodes
+    are taken in order, so equal input gives equal flow.
     """
     patterns, sources = sorted(capacity, key=repr), sorted(quotas, key=repr)
-    node = {("p", p): 1 + i for i, p in enumerate(patterns)} | {("s", s): 1 + len(patterns) + i for i, s in enumerate(sources)}
-    end = 1 + len(node)
-    arcs: list[list[int]] = []  # to, left, cost
-    of: list[list[int]] = [[] for _ in range(end + 1)]
-
-    def arc(a: int, b: int, cap: int, cost: int) -> int:
-        of[a].append(len(arcs))
-        arcs.append([b, cap, cost])
-        of[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
-        return len(arcs) - 2
-
-    for p in patterns:
-        for k in range(1, copies + 1):
-            arc(0, node["p", p], capacity[p], k)
-    carried = {(p, s): arc(node["p", p], node["s", s], copies * capacity[p], 0) for p in patterns for s in p if s in quotas}
-    for s in sources:
-        arc(node["s", s], end, quotas[s], 0)
-    while True:
-        far, via = [float("inf")] * (end + 1), [-1] * (end + 1)
-        far[0], queue, waiting = 0, deque([0]), [False] * (end + 1)
-        while queue:
-            u = queue.popleft()
-            waiting[u] = False
-            for i in of[u]:
-                v, left, cost = arcs[i]
-                if left > 0 and far[u] + cost < far[v]:
-                    far[v], via[v] = far[u] + cost, i
-                    if not waiting[v]:
-                        waiting[v] = True
-                        queue.append(v)
-        if via[end] < 0:
-            break
-        path, v = [], end
-        while v:
-            path.append(via[v])
-            v = arcs[via[v] ^ 1][0]
-        n = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= n
-            arcs[i ^ 1][1] += n
-    return Flow({key: arcs[i ^ 1][1] for key, i in carried.items() if arcs[i ^ 1][1]})
+    at = {s: len(patterns) + i for i, s in enumerate(sources)}
+    to: list[int] = []
+    left: list[int] = []
+    of: list[list[int]] = [[] for _ in range(len(patterns) + len(sources))]
+    carried = {}
+    for i, p in enumerate(patterns):
+        for s in p:
+            if s in at:
+                carried[p, s] = len(to)
+                of[i].append(len(to))
+                of[at[s]].append(len(to) + 1)
+                to += [at[s], i]
+                left += [copies * capacity[p], 0]
+    room = {at[s]: n for s, n in quotas.items()}
+    for _ in range(copies):
+        supply = [capacity[p] for p in patterns]
+        while True:
+            far = [-1] * len(of)
+            queue = deque(i for i, n in enumerate(supply) if n)
+            for i in queue:
+                far[i] = 0
+            reached = False
+            while queue:
+                u = queue.popleft()
+                reached = reached or room.get(u, 0) > 0
+                for a in of[u]:
+                    if left[a] and far[to[a]] < 0:
+                        far[to[a]] = far[u] + 1
+                        queue.append(to[a])
+            if not reached:
+                break
+            tried = [0] * len(of)
+            for i in range(len(patterns)):
+                while supply[i]:
+                    path, u = [], i
+                    while room.get(u, 0) == 0:
+                        while tried[u] < len(of[u]) and not (left[of[u][tried[u]]] and far[to[of[u][tried[u]]]] == far[u] + 1):
+                            tried[u] += 1
+                        if tried[u] < len(of[u]):
+                            path.append(of[u][tried[u]])
+                            u = to[path[-1]]
+                        elif path:
+                            u = to[path.pop() ^ 1]
+                            tried[u] += 1
+                        else:
+                            break
+                    if room.get(u, 0) == 0:
+                        break
+                    n = min([supply[i], room[u], *(left[a] for a in path)])
+                    supply[i] -= n
+                    room[u] -= n
+                    for a in path:
+                        left[a] -= n
+                        left[a ^ 1] += n
+    return Flow({key: left[a ^ 1] for key, a in carried.items() if left[a ^ 1]})
 
 
 def seeded(seed: int, key: Column) -> Column:
@@ -110,48 +136,63 @@ def seeded(seed: int, key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
 
-def select_documents(sized: DataFrame, need: dict[str, tuple[int, int]]) -> DataFrame:
-    """``sized`` (_id, _pattern, _size, _h and more) with ``_taken``.
+def _greedy(rows: list) -> list[int]:
+    """``_u`` of the documents that fit, one after the other by pattern."""
+    order = sorted(rows, key=lambda r: (r["_p"], r["_h"], r["_id"] is not None, r["_id"], r["_size"], r["_u"]))
+    taken, rest = [], {r["_p"]: r["_rest"] for r in rows}
+    for r in order:
+        if r["_size"] <= rest[r["_p"]]:
+            rest[r["_p"]] -= r["_size"]
+            taken.append(r["_u"])
+    return taken
+
+
+def select_documents(sized: DataFrame, need: DataFrame) -> DataFrame:
+    """``sized`` (_id, _pattern, _size, _h, _u and more) with ``_taken``.
 
-    ``need``: by pattern the whole copies of every document, and the tokens on
-    top. The latter are filled in the seeded order up to the first document
-    that doesn't fit, then again among the smaller ones, ROUNDS times. The
-    running sums are taken over buckets of the seeded order; only the bucket
-    in which a pattern's tokens end is summed by document, so that a hot
-    pattern is never ordered in one task.
+    ``need`` (_p, _copies, _rest): by pattern the whole copies of every
+    document, and the tokens on top. The latter go to the documents that still
+    fit, one after the other in the seeded order. Up to the first that doesn't
+    fit this is a running sum; then it goes on behind that one, among those
+    that are small enough, until none is. Running sums are taken over buckets
+    of the order; only the bucket in which a pattern's tokens end is summed by
+    document, so that a hot pattern is never ordered in one task. Once at most
+    FEW documents may still fit, the driver goes through these.
     """
-    spark = sized.sparkSession
-    key = F.struct("_h", "_id", "_size")
-    flags = F.lit(False)
-    rest = {p: r for p, (_, r) in need.items()}
-    for _ in range(ROUNDS):
-        rest = {p: r for p, r in rest.items() if r > 0}
-        if not rest:
-            break
-        state = spark.createDataFrame([(p, r) for p, r in sorted(rest.items())], "_p string, _rest long")
-        open_ = sized.join(F.broadcast(state), F.col("_pattern") == F.col("_p")).where((F.col("_size") > 0) & (F.col("_size") <= F.col("_rest")) & ~flags)
-        bucket = F.shiftright("_h", _HASH_BITS - _BUCKET_BITS)
-        sums = open_.groupBy("_p", "_rest", bucket.alias("_b")).agg(F.sum("_size").alias("_n"), F.max(key).alias("_last"))
-        sums = sums.withColumn("_cum", F.sum("_n").over(Window.partitionBy("_p").orderBy("_b")))
-        sums = store(sums, "mix-buckets")
-        full = sums.where("_cum <= _rest").groupBy("_p").agg(F.max("_last").alias("_last"), F.max("_cum").alias("_used"))
-        edge = sums.where("_cum > _rest and _cum - _n < _rest").select(F.col("_p").alias("_ep"), F.col("_b").alias("_eb"), (F.col("_cum") - F.col("_n")).alias("_before"))
-        inside = open_.join(F.broadcast(edge), (F.col("_p") == F.col("_ep")) & (bucket == F.col("_eb")))
-        inside = inside.withColumn("_cum", F.col("_before") + F.sum("_size").over(Window.partitionBy("_p").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0)))
-        inside = inside.where("_cum <= _rest").groupBy("_p").agg(F.max(key).alias("_last"), F.max("_cum").alias("_used"))
-        ends = full.unionByName(inside).groupBy("_p").agg(F.max("_last").alias("_last"), F.max("_used").alias("_used")).collect()
-        if not ends:
+    key = F.struct("_h", "_id", "_size", "_u")
+    kind = dict(sized.select(key.alias("_k")).dtypes)["_k"]
+    bucket = F.shiftright("_h", _HASH_BITS - _BUCKET_BITS)
+    by_place = Window.partitionBy("_p").orderBy("_h", "_id", "_size", "_u").rowsBetween(Window.unboundedPreceding, 0)
+    state, rounds = need.where("_rest > 0").select("_p", "_rest", F.lit(None).cast(kind).alias("_low")), None
+    while True:
+        state = store(state, "mix-state")
+        fits = (F.col("_size") > 0) & (F.col("_size") <= F.col("_rest")) & (F.col("_low").isNull() | (key > F.col("_low")))
+        open_ = sized.join(state, F.col("_pattern") == F.col("_p")).where(fits).select("_p", "_rest", "_h", "_id", "_size", "_u")
+        sums = store(open_.groupBy("_p", "_rest", bucket.alias("_b")).agg(F.sum("_size").alias("_n"), F.count("*").alias("_rows"), F.max(key).alias("_last")), "mix-buckets")
+        if (sums.agg(F.sum("_rows")).first()[0] or 0) <= FEW:
+            last = _greedy(open_.collect())
             break
-        bound = spark.createDataFrame([(r["_p"], rest[r["_p"]], r["_last"]["_h"], r["_last"]["_id"], r["_last"]["_size"]) for r in ends], f"_q string, _r long, _lh long, _lid {sized.schema['_id'].dataType.simpleString()}, _ls long")
-        n = len([c for c in sized.columns if c.startswith("_round")])
-        bound = bound.select("_q", F.col("_r").alias("_r"), F.struct(F.col("_lh").alias("_h"), F.col("_lid").alias("_id"), F.col("_ls").alias("_size")).alias("_end"))
-        sized = sized.join(F.broadcast(bound), F.col("_pattern") == F.col("_q"), "left")
-        sized = sized.withColumn(f"_round{n}", F.coalesce((F.col("_size") > 0) & (F.col("_size") <= F.col("_r")) & (key <= F.col("_end")), F.lit(False)) & ~flags).drop("_q", "_r", "_end")
-        flags = flags | F.col(f"_round{n}")
-        rest = {r["_p"]: rest[r["_p"]] - r["_used"] for r in ends}
-    whole = spark.createDataFrame([(p, c) for p, (c, _) in sorted(need.items())], "_p string, _copies long")
-    sized = sized.join(F.broadcast(whole), F.col("_pattern") == F.col("_p"), "left")
-    return sized.withColumn("_taken", F.col("_size") * (F.coalesce("_copies", F.lit(0)) + flags.cast("long")))
+        cum = sums.withColumn("_cum", F.sum("_n").over(Window.partitionBy("_p").orderBy("_b")))
+        full = cum.where("_cum <= _rest").groupBy("_p").agg(F.max("_last").alias("_high"), F.max("_cum").alias("_used"))
+        edge = cum.where("_cum > _rest and _cum - _n < _rest").select(F.col("_p").alias("_ep"), F.col("_b").alias("_eb"), (F.col("_cum") - F.col("_n")).alias("_before"))
+        inside = open_.join(edge, (F.col("_p") == F.col("_ep")) & (bucket == F.col("_eb"))).withColumn("_cum", F.col("_before") + F.sum("_size").over(by_place))
+        inside = inside.where("_cum <= _rest").groupBy("_p").agg(F.max(key).alias("_high"), F.max("_cum").alias("_used"))
+        ends = full.unionByName(inside).groupBy(F.col("_p").alias("_q")).agg(F.max("_high").alias("_high"), F.max("_used").alias("_used"))
+        step = store(state.join(ends, F.col("_p") == F.col("_q")).drop("_q"), "mix-round")
+        rounds = step if rounds is None else rounds.unionByName(step)
+        state = step.where("_used < _rest").select("_p", (F.col("_rest") - F.col("_used")).alias("_rest"), F.col("_high").alias("_low"))
+    out = sized.join(need.select("_p", "_copies"), F.col("_pattern") == F.col("_p"), "left").drop("_p")
+    some = F.lit(False)
+    if rounds is not None:
+        told = rounds.groupBy(F.col("_p").alias("_q")).agg(F.collect_list(F.struct("_rest", "_low", "_high")).alias("_rounds"))
+        out = out.join(told, F.col("_pattern") == F.col("_q"), "left").drop("_q")
+        within = lambda r: (F.col("_size") <= r["_rest"]) & (key <= r["_high"]) & (r["_low"].isNull() | (key > r["_low"]))
+        some = some | ((F.col("_size") > 0) & F.coalesce(F.exists("_rounds", within), F.lit(False)))
+    if last:
+        ends = F.broadcast(sized.sparkSession.createDataFrame([(u,) for u in last], "_v long"))  # FEW at most
+        out = out.join(ends, F.col("_u") == F.col("_v"), "left")
+        some = some | F.col("_v").isNotNull()
+    return out.withColumn("_taken", F.col("_size") * (F.coalesce("_copies", F.lit(0).cast("long")) + some.cast("long")))
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 17, id_col: str = "doc_id", sources_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -167,60 +208,60 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 17, id_co
     particular order among each other; null ids come first in the order of
     their hash; other columns are ignored; an empty table gives an empty one.
 
-    Only patterns and sources are brought to the driver; more than
-    MAX_PATTERNS of them end with an error.
+    A pattern of one source that overlaps with no other carries what its
+    source wants, however many such sources there are. Only patterns of
+    sources that overlap go to the driver, where their flow is solved; more
+    than MAX_PATTERNS of these end with an error.
     """
+    spark = docs.sparkSession
     listed = F.col(sources_col) if dict(docs.dtypes)[sources_col].startswith("array") else F.array(sources_col)
     listed = F.array_sort(F.array_distinct(listed))
     listed = F.when(F.coalesce(F.size(listed), F.lit(0)) > 0, listed).otherwise(F.array(F.lit(None).cast("string")))
     words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    sized = docs.select(F.col(id_col).alias("_id"), listed.alias("_sources"), words.alias("_size"))
+    sized = docs.select(F.col(id_col).alias("_id"), listed.alias("_sources"), words.alias("_size"), F.monotonically_increasing_id().alias("_u"))
     sized = store(sized.select("*", F.to_json(F.struct("_sources"), {"ignoreNullFields": "false"}).alias("_pattern"), seeded(seed, F.col("_id")).alias("_h")), "mix-sized")
-    found = sized.groupBy("_pattern").agg(F.first("_sources").alias("_sources"), F.sum("_size").alias("_n")).orderBy("_pattern").limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    patterns = store(sized.groupBy("_pattern").agg(F.first("_sources").alias("_sources"), F.sum("_size").alias("_n")), "mix-patterns")
+    total = patterns.agg(F.sum("_n")).first()[0] or 0
+    sizes = patterns.select(F.explode("_sources").alias("_s"), "_n").groupBy("_s").agg(F.sum("_n").alias("_source_size"))
+    targets = store(water_fill(sizes, total, weights, most), "mix-targets")
+    wanted = F.floor(F.coalesce("target", F.lit(0.0)) + 0.5).cast("long")
 
-    capacity = {tuple(r["_sources"]): r["_n"] for r in found}
-    sizes: dict = {}
-    for p, n in capacity.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    # code point order is UTF-8 byte order; null comes last
-    ordered = sorted(sizes, key=lambda s: (s is None, s or ""))
-    share = {s: weights[i % len(weights)] for i, s in enumerate(ordered)}
-    targets = water_fill(sizes, share, sum(capacity.values()), most) if any(sizes.values()) else dict.fromkeys(sizes, 0.0)
-    flow = min_cost_flow(capacity, {s: int(t + 0.5) for s, t in targets.items()}, most)
-    by_pattern: dict = {}
-    for (p, _), n in flow.tokens.items():
-        by_pattern[p] = by_pattern.get(p, 0) + n
-    need = {r["_pattern"]: divmod(by_pattern.get(tuple(r["_sources"]), 0), r["_n"]) if r["_n"] else (0, 0) for r in found}
-    spark = docs.sparkSession
-    first = spark.createDataFrame([(r["_pattern"], sizes[r["_sources"][0]], targets[r["_sources"][0]]) for r in found], "_f string, source_size long, target double")
-    out = select_documents(sized, need).join(F.broadcast(first), F.col("_pattern") == F.col("_f"))
+    shared = patterns.where(F.size("_sources") > 1).select(F.explode("_sources").alias("_o")).distinct()
+    overlaps = F.col("_s").eqNullSafe(F.col("_o"))
+    touched = patterns.select("_pattern", F.explode("_sources").alias("_s")).join(shared, overlaps, "left_semi").select("_pattern").distinct()
+    found = patterns.join(touched, "_pattern", "left_semi").orderBy("_pattern").limit(MAX_PATTERNS + 1).collect()
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns of overlapping sources")
+    alone = patterns.join(touched, "_pattern", "left_anti").select("_pattern", "_n", F.get("_sources", F.lit(0)).alias("_own"))
+    alone = alone.join(targets, F.col("_own").eqNullSafe(F.col("_s"))).select("_pattern", "_n", F.least(wanted, F.col("_n") * most).alias("_tokens"))
+    if found:
+        quotas = {r["_s"]: r["_wanted"] for r in targets.join(shared, overlaps, "left_semi").select("_s", wanted.alias("_wanted")).collect()}
+        carried = min_cost_flow({tuple(r["_sources"]): r["_n"] for r in found}, quotas, most).by_pattern()
+        alone = alone.unionByName(spark.createDataFrame([(r["_pattern"], r["_n"], carried.get(tuple(r["_sources"]), 0)) for r in found], "_pattern string, _n long, _tokens long"))
+    some = F.col("_n") > 0
+    need = store(alone.select(F.col("_pattern").alias("_p"), F.when(some, F.expr("_tokens div _n")).otherwise(0).cast("long").alias("_copies"), F.when(some, F.col("_tokens") % F.col("_n")).otherwise(0).cast("long").alias("_rest")), "mix-need")
+    first = patterns.select(F.col("_pattern").alias("_f"), F.get("_sources", F.lit(0)).alias("_first")).join(targets, F.col("_first").eqNullSafe(F.col("_s"))).select("_f", F.col("_source_size").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"))
+    out = select_documents(sized, need).join(first, F.col("_pattern") == F.col("_f"))
     return out.select(F.col("_id").alias(id_col), F.col("_sources").alias("sources"), F.col("_size").alias("size"), F.col("_taken").alias("taken"), "source_size", "target")
 
 
 def oracle(weights=(1, 2, 3), most: int = 3, seed: int = 17) -> str:
     """DuckDB SQL for :func:`mix` over ``documents`` where each document has
-    one source: then every pattern's flow is its source's rounded target."""
+    one source: then every pattern's flow is its source's rounded target. The
+    tokens on top of whole copies go to one document after the other."""
     n = len(weights)
     cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
-    rounds, taken = [], []
-    for r in range(ROUNDS):
-        gone = "".join(f" AND NOT EXISTS (SELECT 1 FROM e{k} WHERE e{k}.k = z.k)" for k in range(r))
-        left = f"(SELECT p.src, p.rest{''.join(f' - coalesce((SELECT sum(size) FROM e{k} WHERE e{k}.src IS NOT DISTINCT FROM p.src), 0)' for k in range(r))} AS rest FROM need p)"
-        rounds.append(f"""e{r} AS (SELECT k, src, size FROM (SELECT z.k, z.src, z.size, l.rest, sum(z.size) OVER (PARTITION BY z.src ORDER BY z.h, z.doc_id, z.size, z.k ROWS UNBOUNDED PRECEDING) AS cum
-            FROM z JOIN {left} l ON z.src IS NOT DISTINCT FROM l.src WHERE z.size > 0 AND z.size <= l.rest{gone}) WHERE cum <= rest)""")
-        taken.append(f"SELECT k FROM e{r}")
+    fits = "z.size > 0 AND z.size <= g.rest"
     return f"""
-        WITH z AS (SELECT row_number() OVER () AS k, doc_id, source AS src, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-                ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+        WITH RECURSIVE z AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY h, doc_id NULLS FIRST, size, k) AS r FROM (SELECT row_number() OVER () AS k, doc_id, source AS src,
+                len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents)),
         s AS (SELECT src, sum(size)::BIGINT AS n, CASE (row_number() OVER (ORDER BY src NULLS LAST) - 1) % {n} {cases} END AS w FROM z GROUP BY src),
         c AS (SELECT *, {most} * n AS cap, sum(n) OVER () AS total, sum(w) OVER () AS all_w, coalesce(sum({most} * n) OVER o, 0) AS cap_before, coalesce(sum(w) OVER o, 0) AS w_before
             FROM s WINDOW o AS (ORDER BY {most} * n / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         d AS (SELECT *, cap * (all_w - w_before) <= w * (total - cap_before) AS capped FROM c),
         t AS (SELECT src, n, CASE WHEN capped THEN cap::DOUBLE ELSE (w * (total - coalesce(sum(cap) FILTER (capped) OVER (), 0)))::DOUBLE / (all_w - coalesce(sum(w) FILTER (capped) OVER (), 0)) END AS target FROM d),
         need AS (SELECT src, n, target, CASE WHEN n = 0 THEN 0 ELSE floor(target + 0.5)::BIGINT // n END AS copies, CASE WHEN n = 0 THEN 0 ELSE floor(target + 0.5)::BIGINT % n END AS rest FROM t),
-        {', '.join(rounds)}
-        SELECT z.doc_id, z.size, need.n AS source_size, need.target, (z.size * (need.copies + CASE WHEN z.k IN ({' UNION ALL '.join(taken)}) THEN 1 ELSE 0 END))::BIGINT AS taken
+        g AS (SELECT src, 0::BIGINT AS r, rest::BIGINT AS rest, 0::BIGINT AS k FROM need
+            UNION ALL SELECT g.src, z.r, CASE WHEN {fits} THEN g.rest - z.size ELSE g.rest END, CASE WHEN {fits} THEN z.k ELSE 0 END FROM g JOIN z ON z.src IS NOT DISTINCT FROM g.src AND z.r = g.r + 1)
+        SELECT z.doc_id, z.size, need.n AS source_size, need.target, (z.size * (need.copies + CASE WHEN z.k IN (SELECT k FROM g) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM z JOIN need ON z.src IS NOT DISTINCT FROM need.src"""

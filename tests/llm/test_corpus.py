@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -109,22 +110,28 @@ def test_mixing_query_equals_sql(spark):
     same(spark, SF, op7_mixing, ORACLE_SQL["op7_mixing"])
 
 
-def test_water_filling_is_the_fixed_point():
+def filled(sizes, weights, total):
+    """Targets by repeated sharing out, capping what lies above."""
+    caps, capped = {i: 3 * n for i, n in sizes.items()}, set()
+    while True:
+        rest, w = total - sum(caps[i] for i in capped), sum(weights[i] for i in sizes if i not in capped)
+        want = {i: caps[i] if i in capped else weights[i] * rest / w for i in sizes}
+        above = {i for i in sizes if i not in capped and want[i] > caps[i]}
+        if not above:
+            return want
+        capped |= above
+
+
+def test_water_filling_is_the_fixed_point(spark):
     rng = random.Random(2)
-    for _ in range(200):
-        sizes = {i: rng.choice([0, 1, 5, 40, 1000]) for i in range(rng.randint(1, 8))}
-        weights = {i: rng.randint(1, 3) for i in sizes}
-        total, caps = sum(sizes.values()), {i: 3 * n for i, n in sizes.items()}
-        got = mixing.water_fill(sizes, weights, total)
-        capped: set = set()
-        while True:
-            rest, w = total - sum(caps[i] for i in capped), sum(weights[i] for i in sizes if i not in capped)
-            want = {i: caps[i] if i in capped else weights[i] * rest / w for i in sizes}
-            above = {i for i in sizes if i not in capped and want[i] > caps[i]}
-            if not above:
-                break
-            capped |= above
-        assert got == pytest.approx(want, abs=1e-6) and sum(got.values()) == pytest.approx(total)
+    for _ in range(12):
+        names = rng.sample(["a", "b", "B", "é", "z", "zz", "😀", None], rng.randint(1, 8))
+        sizes = {i: rng.choice([0, 1, 5, 40, 1000]) for i in names}
+        ordered = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+        weights, total = {s: k % 3 + 1 for k, s in enumerate(ordered)}, sum(sizes.values())
+        rows = mixing.water_fill(spark.createDataFrame(list(sizes.items()), "_s string, _source_size long"), total).collect()
+        got = {r["_s"]: r["target"] or 0.0 for r in rows}
+        assert got == pytest.approx(filled(sizes, weights, total), abs=1e-6) and sum(got.values()) == pytest.approx(total)
 
 
 def best_cost(capacity, quotas, copies):
@@ -158,9 +165,7 @@ def test_flow_is_largest_and_cheapest():
         capacity = {p: rng.randint(0, 6) for p in patterns}
         quotas = {s: rng.randint(0, 12) for s in sources}
         flow = mixing.min_cost_flow(capacity, quotas, 3)
-        by = Counter()
-        for (p, _), n in flow.tokens.items():
-            by[p] += n
+        by = flow.by_pattern()
         cost = sum(sum(max(0, min(capacity[p], n - k * capacity[p])) * (k + 1) for k in range(3)) for p, n in by.items())
         assert (sum(by.values()), cost) == best_cost(capacity, quotas, 3)
         assert all(sum(n for (_, s), n in flow.tokens.items() if s == q) <= quotas[q] for q in quotas)
@@ -190,12 +195,52 @@ def test_odd_mixing(spark):
     assert sum(r["taken"] for r in got if r["sources"][0] == "é") == 12
     assert mixing.mix(docs.limit(0)).count() == 0
     assert all(r["taken"] == 0 for r in mixing.mix(docs.where("doc_id in (3, 5)")).collect())
-    with pytest.raises(ValueError):
-        try:
-            most, mixing.MAX_PATTERNS = mixing.MAX_PATTERNS, 2
-            mixing.mix(docs)
-        finally:
-            mixing.MAX_PATTERNS = most
+
+
+def test_overlaps_are_bounded_and_single_sources_are_not(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 2)
+    docs = spark.createDataFrame([(i, f"s{i % 40}", "w " * (1 + i % 5)) for i in range(200)], "doc_id long, source string, text string")
+    assert mixing.mix(docs).count() == 200
+    overlapping = spark.createDataFrame([(i, [f"s{i % 4}", f"s{i % 5}"], "w") for i in range(20)], "doc_id long, source array<string>, text string")
+    with pytest.raises(ValueError, match="more than 2 patterns"):
+        mixing.mix(overlapping)
+
+
+def test_the_flow_of_many_patterns_is_fast():
+    rng = random.Random(3)
+    sources = [f"s{i}" for i in range(60)]
+    patterns = {tuple(sorted(rng.sample(sources, rng.randint(1, 4)))): rng.randint(1, 10**6) for _ in range(20_000)}
+    quotas = {s: rng.randint(0, 10**9) for s in sources}
+    began = time.time()
+    flow = mixing.min_cost_flow(patterns, quotas, 3)
+    assert time.time() - began < 60 and sum(flow.by_pattern().values()) <= sum(quotas.values())
+    assert all(n <= 3 * patterns[p] for p, n in flow.by_pattern().items())
+
+
+def fill(sized, rest):
+    """Which of (key, size) fit, one after the other."""
+    out = set()
+    for key, size in sorted(sized):
+        if 0 < size <= rest:
+            rest -= size
+            out.add(key)
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 30, 50_000])
+def test_documents_are_filled_until_none_fits(spark, monkeypatch, few):
+    """Sizes with a heavy tail, in rounds and by the driver, against one
+    document after the other."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    rng = random.Random(few)
+    rows = [(i, f"p{i % 3}", max(0, int(rng.paretovariate(0.7)) - 1), rng.getrandbits(60), i) for i in range(900)]
+    rest = {"p0": 400, "p1": 3, "p2": 10**9}
+    need = spark.createDataFrame([(p, 1, n) for p, n in rest.items()], "_p string, _copies long, _rest long")
+    got = mixing.select_documents(spark.createDataFrame(rows, "_id long, _pattern string, _size long, _h long, _u long"), need).collect()
+    for p, n in rest.items():
+        want = fill([((h, i), size) for i, q, size, h, _ in rows if q == p], n)
+        assert {(r["_h"], r["_id"]) for r in got if r["_pattern"] == p and r["_taken"] > r["_size"]} == want
+        assert all(r["_taken"] in (r["_size"], 2 * r["_size"]) for r in got)
 
 
 def test_pipeline_equals_brute_force(spark):
@@ -220,12 +265,12 @@ def test_pipeline_equals_brute_force(spark):
     for i, n in size.items():
         of[source[i]] += n
     weights = {s: k % 3 + 1 for k, s in enumerate(sorted(of))}
-    targets = mixing.water_fill(dict(of), weights, sum(of.values()))
+    targets = filled(dict(of), weights, sum(of.values()))
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"] for r in got} <= set(left) and len({r["doc_id"] for r in got}) == len(got)
     taken = Counter()
     for r in got:
-        assert (r["size"], r["source"], r["source_size"], r["target"]) == (size[r["doc_id"]], source[r["doc_id"]], of[source[r["doc_id"]]], targets[source[r["doc_id"]]])
+        assert (r["size"], r["source"], r["source_size"], r["target"]) == (size[r["doc_id"]], source[r["doc_id"]], of[source[r["doc_id"]]], pytest.approx(targets[source[r["doc_id"]]]))
         taken[r["source"]] += r["taken"]
     smallest = {s: min(n for i, n in size.items() if source[i] == s) for s in of}
     assert all(taken[s] <= int(targets[s] + 0.5) for s in of)
@@ -235,15 +280,7 @@ def test_pipeline_equals_brute_force(spark):
         goal = int(targets[s] + 0.5)
         order = sorted((int(hashlib.md5(f"17:{i}".encode()).hexdigest()[:15], 16), i) for i in left if source[i] == s)
         copies, rest = divmod(goal, of[s])
-        extra = set()
-        for _ in range(mixing.ROUNDS):
-            used = 0
-            for _, i in [x for x in order if x[1] not in extra and 0 < size[x[1]] <= rest]:
-                if used + size[i] > rest:
-                    break
-                used += size[i]
-                extra.add(i)
-            rest -= used
+        extra = {i for _, i in fill([(x, size[x[1]]) for x in order], rest)}
         assert {r["doc_id"]: r["taken"] for r in got if r["source"] == s} == {i: size[i] * (copies + (i in extra)) for i in left if source[i] == s and copies + (i in extra)}
     assert smallest
 
