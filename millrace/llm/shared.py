@@ -1,28 +1,13 @@
-"""Shared folder, intermediate tables, and connected components."""
+"""Packed rows, tables, and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import clear, drop, store
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    The session's setting is used as it is. Where none is set, a local session
-    (tests) gets a temporary folder, remembered in the session; on a cluster
-    that folder would be another one on each machine, so there it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["clear", "components", "drop", "rows_of", "store", "table"]
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -31,39 +16,6 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("_row"))
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and
-    survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._millrace_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Remove a table that :func:`store` wrote, once nothing reads it any more."""
-    path = getattr(df, "_millrace_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Remove all tables that operators left in the shared folder. Results that
-    still read them must be written first."""
-    _delete(spark, f"{shared_dir(spark)}/millrace")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

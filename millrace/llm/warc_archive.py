@@ -17,14 +17,19 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import store
 
+#: Records of one payload that are joined with it in one task.
+PART = 10_000
+#: A payload is hot that over one in so many records have.
+HOT = 1000
 CRLF = "\r\n"
 HTTP_HEADER = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 
 
 @dataclass(frozen=True)
 class Archive:
-    """``headers``: record_id, warc_header, http_header, sha256, has_payload.
-    ``payloads``: sha256, payload."""
+    """``headers``: record_id, warc_header, http_header, sha256, has_payload,
+    copies. ``payloads``: sha256, payload, copies. ``copies`` is the number of
+    records that have the payload."""
 
     headers: DataFrame
     payloads: DataFrame
@@ -49,15 +54,20 @@ def write(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00
 
     Only ids and digests are shuffled to find the first record of a payload
     (map-side combined, so a hot payload is one row a task); payloads are
-    shuffled after each task has dropped its own repeats.
+    shuffled after each task has dropped its own repeats. The first records of
+    hot payloads, fewer than HOT, are broadcast to the others.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload")).withColumn("_sha256", F.unhex(F.sha2("_payload", 256)))
     found = store(rows.select("_id", "_url", "_sha256", F.sha1("_payload").alias("_sha1"), F.octet_length("_payload").cast("long").alias("_bytes")), "warc-digests")
-    payloads = store(rows.groupBy("_sha256").agg(F.first("_payload").alias("payload")).select(F.col("_sha256").alias("sha256"), "payload"), "warc-payloads")
-
-    first = found.where(F.col("_bytes") >= min_bytes).groupBy(F.col("_sha256").alias("_key")).agg(F.min("_id").alias("_first"))
-    told = found.join(first, F.col("_sha256") == F.col("_key"), "left")
+    payloads = store(rows.groupBy("_sha256").agg(F.first("_payload").alias("payload"), F.count("*").alias("copies")).select(F.col("_sha256").alias("sha256"), "payload", "copies"), "warc-payloads")
+
+    first = store(found.groupBy(F.col("_sha256").alias("_same")).agg(F.min("_id").alias("_first"), F.count("*").alias("copies")), "warc-first")
+    total = first.agg(F.sum("copies")).first()[0] or 0
+    hot, same = F.col("copies") * HOT > total, F.col("_sha256") == F.col("_same")
+    few = F.broadcast(first.where(hot))
+    rest = found.join(few.select("_same"), same, "left_anti").join(first.where(~hot), same)
+    told = found.join(few, same).unionByName(rest).withColumn("_key", F.when(F.col("_bytes") >= min_bytes, F.col("_same")))
     revisit = F.col("_key").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
     named = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -69,7 +79,7 @@ def write(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00
         F.when(revisit, F.concat(line("WARC-Refers-To", named(F.col("_first"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", length.cast("string")), F.lit(CRLF),
     )
-    headers = told.select(F.col("_id").cast("string").alias("record_id"), header.cast("binary").alias("warc_header"), F.lit(HTTP_HEADER.encode()).alias("http_header"), F.col("_sha256").alias("sha256"), (~revisit).alias("has_payload"))
+    headers = told.select(F.col("_id").cast("string").alias("record_id"), header.cast("binary").alias("warc_header"), F.lit(HTTP_HEADER.encode()).alias("http_header"), F.col("_sha256").alias("sha256"), (~revisit).alias("has_payload"), "copies")
     return Archive(store(headers, "warc-headers"), payloads)
 
 
@@ -80,8 +90,11 @@ def read(archive: Archive) -> DataFrame:
     ``payload`` the full payload, of revisits too. A payload that is missing
     or does not have its digest ends the query with an error.
     """
-    store_ = archive.payloads.select(F.col("sha256").alias("_key"), F.col("payload").alias("_payload"))
-    joined = archive.headers.join(store_, F.col("sha256") == F.col("_key"), "left")
+    # a payload of many records meets a part of them in each task
+    parts = F.ceil(F.col("copies") / PART)
+    store_ = archive.payloads.select(F.col("sha256").alias("_key"), F.col("payload").alias("_payload"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_at"))
+    headers = archive.headers.withColumn("_part", F.pmod(F.xxhash64("record_id", "warc_header"), parts))
+    joined = headers.join(store_, (F.col("sha256") == F.col("_key")) & (F.col("_part") == F.col("_at")), "left")
     sound = F.coalesce(F.unhex(F.sha2("_payload", 256)) == F.col("sha256"), F.lit(False))
     joined = joined.withColumn("payload", F.when(sound, F.col("_payload")).otherwise(F.raise_error(F.concat(F.lit("payload missing or damaged: "), F.hex("sha256"))).cast("binary")))
     body = F.when(F.col("has_payload"), F.col("payload")).otherwise(F.lit(b""))
@@ -89,17 +102,31 @@ def read(archive: Archive) -> DataFrame:
 
 
 def describe(records: DataFrame) -> DataFrame:
-    """What :func:`read` gave, by its own header lines and payload bytes:
-    ``record_id, payload_bytes, payload_digest, record_type, refers_to_id``."""
-    text = F.col("warc_header").cast("string")
-    field = lambda pattern: F.nullif(F.regexp_extract(text, rf"\r\n{pattern}\r\n", 1), F.lit(""))
+    """What :func:`read` gave, told from the records' bytes alone:
+    ``record_id, payload_bytes, payload_digest, record_type, refers_to_id``.
+
+    A record is taken apart into header, block and end; its length and its
+    payload's digest must be what the header says. Only of a revisit, whose
+    record has no payload, the joined one counts.
+    """
+    end = CRLF * 2
+    head = F.substring_index(F.col("record").cast("string"), end, 1)
+    rows = records.select("record", "payload", F.concat(head, F.lit(end)).alias("_head"))
+    at = F.octet_length("_head")
+    rows = rows.select("payload", "_head", F.substring("record", at + 1, F.octet_length("record") - at - len(end)).alias("_block"), F.col("record").cast("string").endswith(end).alias("_ended"))
+    rows = rows.withColumn("_http", F.concat(F.substring_index(F.col("_block").cast("string"), end, 1), F.lit(end)))
+    field = lambda pattern: F.nullif(F.regexp_extract("_head", rf"\r\n{pattern}\r\n", 1), F.lit(""))
+    kind = field(r"WARC-Type: (\w+)")
+    body = F.substring("_block", F.octet_length("_http") + 1, F.octet_length("_block"))
+    rows = rows.withColumn("_body", F.when(kind == "revisit", F.col("payload")).otherwise(body))
+    whole = F.col("_ended") & (field(r"Content-Length: ([0-9]+)").cast("long") == F.octet_length("_block"))
+    digest = base32(F.sha1("_body"))
     told = field(r"WARC-Payload-Digest: sha1:([A-Z2-7]+)")
-    digest = base32(F.sha1("payload"))
-    return records.select(
+    return rows.select(
         field(r"WARC-Record-ID: <urn:x-page:([^>]*)>").alias("record_id"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.when(told == digest, digest).otherwise(F.raise_error(F.lit("payload digest differs from the header's"))).alias("payload_digest"),
-        field(r"WARC-Type: (\w+)").alias("record_type"),
+        F.octet_length("_body").cast("long").alias("payload_bytes"),
+        F.when(whole & (told == digest), digest).otherwise(F.raise_error(F.lit("record's length or payload digest differs from its header's"))).alias("payload_digest"),
+        kind.alias("record_type"),
         field(r"WARC-Refers-To: <urn:x-page:([^>]*)>").alias("refers_to_id"),
     )
 

@@ -76,3 +76,28 @@ def test_warc_files_round_trip(spark, tmp_path):
     warc_archive.write_files(records, str(tmp_path / "warc"), per_file=2)
     got = {bytes(r["warc_header"]) + bytes(r["block"]) + b"\r\n\r\n" for r in warc_archive.read_files(spark, str(tmp_path / "warc")).collect()}
     assert got == {bytes(r["record"]) for r in records.collect()} and len(got) == 4
+
+
+def test_records_are_described_from_their_bytes(spark):
+    """A record that was cut, or whose payload changed, is noticed; so is a
+    payload of many records, joined in parts."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"http://é/{i}", "much the same") for i in range(40)] + [(100, "u", "\r\n\r\nodd é\r\n\r\n"), (101, None, None)]
+    archive, found = told(spark, rows)
+    assert {r["record_id"] for r in found if r["refers_to_id"] == "0"} == {str(i) for i in range(1, 40)}
+    assert {r["record_id"]: r["payload_bytes"] for r in found}["100"] == 14 and len(found) == 42
+    records = warc_archive.read(archive)
+    for bad in (F.expr("substring(record, 1, octet_length(record) - 5)"), F.expr("cast(replace(cast(record as string), 'much', 'such') as binary)")):
+        with pytest.raises(Exception, match="differs from its header"):
+            warc_archive.describe(records.withColumn("record", bad)).collect()
+
+
+def test_hot_payloads_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(warc_archive, "PART", 7)
+    monkeypatch.setattr(warc_archive, "HOT", 4)
+    rows = [(i, "u", "hot") for i in range(60)] + [(i, "u", f"own {i // 2}") for i in range(60, 90)]
+    archive, found = told(spark, rows)
+    got = {int(r["record_id"]): (r["record_type"], r["refers_to_id"]) for r in found}
+    assert got == {i: ("response", None) if i == 0 or i >= 60 and i % 2 == 0 else ("revisit", "0" if i < 60 else str(i - 1)) for i in range(90)}
+    assert sorted(r["copies"] for r in archive.payloads.collect()) == [2] * 15 + [60]
