@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -18,14 +19,11 @@ MAX_LABELLED = 10_000
 #: Most rules a filter holds; every task keeps them all.
 MAX_RULES = 10_000
 
-#: Words that a labelled URL table can be made of. Fixed values.
-BLOCK_WORDS = "casino poker slots bets adult sex spam linkfarm adserver ad-track tracker popunder cheap-meds pills jackpot betting porn xxx nudes escort viagra cialis pills pharma-cheap replica warez cracked keygen torrent payday-loan quick-cash miracle-diet click-here free-prize winbig hotsingles".split()
-ALLOW_WORDS = "library museum university science history news weather recipes garden docs manual wiki archive travel school health-service parliament music journal maps sports theatre forum guide".split()
-
-#: Letter groups that are frequent in European languages; made-up hosts consist of them.
-SYLLABLES = "th he in er an re on at en nd ti es or te ed is it al ar st nt ou le de ch ei ra la co se qu io tion ing ment ung".split()
+#: The default labelled table: label and URL by line.
+LABELS = Path(__file__).with_name("url_labels.tsv")
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_DIGIT = re.compile("[0-9]")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 
 
@@ -47,17 +45,30 @@ def split_url(url: str | None) -> tuple[str, str]:
     return (found[1].translate(_UPPER), found[2]) if found else ("", "")
 
 
-def seed_table() -> list[tuple[str, int]]:
-    """The default labelled URLs: each word in the same shapes, so that shapes
-    alone tell nothing, and made-up plain addresses, which are allowed; 1 is block."""
-    tails = [f"{p}{q}" for p in ("/en/{n}", "/de/{n}.html", "/fr/{n}/", "/es/{n}") for q in ("", "?page=2&ref=x", "?utm_source=feed", "#top")]
-    fronts = ("www.{w}.example.com", "{w}-online.example.net", "m.{w}{n}.example.org", "blog.my-{w}.example.com", "{w}.example.org", "www.{w}-{w}.example.net", "example.org/{w}", "blog.example.com/{n}-{w}")
-    word = lambda i, j: f"https://{fronts[j]}{tails[(3 * i + j) % len(tails)]}"
-    rows = [(word(i, j).format(w=w, n=(17 * i + 31 * j) % 997), label) for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for i, w in enumerate(words) for j in range(len(fronts))]
-    n = len(SYLLABLES)
-    names = ["".join(SYLLABLES[(i * k + i // n + k) % n] for k in (1, 5, 7)[: 2 + i % 2]) for i in range(20 * n)]
-    plain = [(f"http://{('www.', 'blog.', 'm.', '')[i % 4]}{name}.example.{('com', 'net', 'org')[i % 3]}{tails[i % len(tails)]}".format(n=31 * i % 9973), 0) for i, name in enumerate(names)]
-    return rows + plain
+def read_labels(path: str | Path = LABELS) -> list[tuple[str, int]]:
+    """Labelled URLs of a table of lines ``block`` or ``allow``, tab, URL; 1 is block."""
+    rows = [line.split("\t", 1) for line in Path(path).read_text(encoding="utf-8").splitlines() if line.strip()]
+    odd = [r[0] for r in rows if len(r) != 2 or r[0] not in ("block", "allow")]
+    if odd:
+        raise ValueError(f"{path}: neither block nor allow: {odd[:3]}")
+    return [(url, int(label == "block")) for label, url in rows]
+
+
+def spread(labelled: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """More rows from each labelled URL, by rule: its host under the same
+    prefixes and paths whatever its label, so that these tell nothing, and the
+    words of its host, where the other label has none of them, as hosts of
+    their own."""
+    out, words = list(labelled), {0: set(), 1: set()}
+    for url, label in labelled:
+        host = re.sub(r"^(www|blog|m)\.", "", split_url(url)[0])
+        out += [(f"http://{front}{host}{tail}", label) for front, tail in (("", "/en/1"), ("www.", "/de/2.html"), ("blog.", "/fr/3/"), ("m.", "/es/4"), ("", ""))]
+        words[label] |= set(re.findall("[a-z]{3,}", re.sub(r"(\.example)?\.(com|net|org)$", "", host)))
+    shapes = ("www.{}-online.example.com/en/1", "{}.example.net/de/2.html", "blog.my-{}.example.org/fr/3/", "m.{}24.example.com/es/4")
+    for label in (0, 1):
+        for i, word in enumerate(sorted(words[label] - words[1 - label])):
+            out += [(f"http://{shapes[i % len(shapes)].format(word)}", label), (f"http://{word}", label)]
+    return out
 
 
 @dataclass(frozen=True)
@@ -66,28 +77,37 @@ class Model:
     bias: float
 
     def block(self, host: str, path: str) -> bool:
-        where, scale = features(host, path, len(self.weights))
-        return bool(self.bias + scale * self.weights[where].sum() > 0)
+        where, values = features(host, path, len(self.weights))
+        return bool(self.bias + (values * self.weights[where]).sum() > 0)
 
 
-def features(host: str, path: str, buckets: int, sizes: tuple[int, ...] = (3, 4, 5)) -> tuple[np.ndarray, float]:
+def features(host: str, path: str, buckets: int, sizes: tuple[int, ...] = (3, 4, 5)) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of ``^host$`` and ``^path$``, which have hashes
-    of their own, and the scale that makes the vector's length about one."""
-    where = [crc32(f"{kind}{part[i : i + n]}".encode("utf-8", "surrogatepass")) % buckets for kind, text in (("h", host), ("p", path)) if text for part in (f"^{text}$",) for n in sizes for i in range(len(part) - n + 1)]
-    return np.array(where, dtype=np.int64), 1 / np.sqrt(max(len(where), 1))
-
-
-def train(labelled: list[tuple[str | None, int]], buckets: int = 1 << 14, rounds: int = 2000, rate: float = 4.0, ridge: float = 1e-5) -> Model:
+    of their own, and their values. Digits count alike. Host and path are each
+    scaled to a length, so that a long path doesn't drown the host, which
+    tells most."""
+    where, values = [], []
+    for kind, text, weight in (("h", host, 1.0), ("p", path, 0.3)):
+        part = _DIGIT.sub("0", f"^{text}$") if text else ""
+        own = [crc32(f"{kind}{part[i : i + n]}".encode("utf-8", "surrogatepass")) % buckets for n in sizes for i in range(len(part) - n + 1)]
+        where += own
+        values += [weight / max(len(own), 1) ** 0.5] * len(own)
+    return np.array(where, dtype=np.int64), np.array(values)
+
+
+def train(labelled: list[tuple[str | None, int]], buckets: int = 1 << 14, rounds: int = 3000, rate: float = 4.0, ridge: float = 1e-5, prior: float = 0.3) -> Model:
     """Full-batch gradient descent from zero: the same table gives the same
-    model. An empty table gives the model that allows all."""
+    model. The bias isn't fitted but stands for the share of URLs that are to
+    be blocked, so that a URL without any evidence is allowed. An empty table
+    gives the model that allows all."""
     if len(labelled) > MAX_LABELLED:
         raise ValueError(f"more than {MAX_LABELLED} labelled URLs")
-    weights, bias = np.zeros(buckets), 0.0
+    weights, bias = np.zeros(buckets), float(np.log(prior / (1 - prior)))
     if not labelled:
         return Model(weights, bias)
     rows = [features(*split_url(u), buckets) for u, _ in labelled]
     row = np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows])
-    col, val = np.concatenate([w for w, _ in rows]), np.concatenate([np.full(len(w), s) for w, s in rows])
+    col, val = np.concatenate([w for w, _ in rows]), np.concatenate([v for _, v in rows])
     goal = np.array([y for _, y in labelled], dtype=float)
     # both classes weigh the same, however many rows they have
     even = np.where(goal == 1, 0.5 / max(goal.sum(), 1), 0.5 / max((1 - goal).sum(), 1))
@@ -95,7 +115,6 @@ def train(labelled: list[tuple[str | None, int]], buckets: int = 1 << 14, rounds
         z = bias + np.bincount(row, val * weights[col], len(rows))
         off = (1 / (1 + np.exp(-z)) - goal) * even
         weights -= rate * (np.bincount(col, val * off[row], buckets) + ridge * weights)
-        bias -= rate * off.sum()
     return Model(weights, bias)
 
 
@@ -126,7 +145,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], labelled: list[tuple[str |
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
-    model = train(seed_table() if labelled is None else labelled)
+    model = train(spread(read_labels()) if labelled is None else labelled)
     held: dict[str, dict[str, Rule]] = {}
     for r in sorted(rules, key=lambda r: r.action):
         held.setdefault(r.host.translate(_UPPER), {}).setdefault(r.path, r)
