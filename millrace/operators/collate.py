@@ -22,6 +22,17 @@ def samples(rows: DataFrame, idx: str = "block_id") -> DataFrame:
     )
 
 
+def conversations(turns: DataFrame, roles: tuple[str, ...] = ("assistant",), by: str = "conv_id", order: str = "turn") -> DataFrame:
+    """A sample per conversation from its messages (``role, tokens``): all
+    tokens in order, and a mask that is one on those of ``roles``. Messages of
+    a null role count as others'; null tokens are none."""
+    own = F.coalesce(F.col("role").isin(*roles), F.lit(False)).cast("double")
+    tokens = F.coalesce("tokens", F.array().cast("array<int>"))
+    message = F.struct(F.col(order).alias("at"), tokens.alias("tokens"), F.transform(tokens, lambda _: own).alias("mask"))
+    found = turns.groupBy(by).agg(F.sort_array(F.collect_list(message)).alias("_m"))
+    return found.select(by, F.flatten("_m.tokens").alias("token_ids"), F.flatten("_m.mask").alias("token_mask"))
+
+
 def collated(rows: DataFrame, by: str = "step") -> DataFrame:
     """``rows`` as batches (``by``) must hold them: a tag on every row, and in
     a batch reference losses on all rows or on none. Missing origins and hashes

@@ -293,9 +293,10 @@ def target_loss(spark, sf):
 
 @query
 def assistant_mask(spark, sf):
-    """Tokens of a conversation that count: the assistant's."""
-    turns = table(spark, sf, "conversations").select("conv_id", "role", F.size(arrays.word_tokens(F.coalesce("text", F.lit("")))).alias("n"))
-    return turns.groupBy("conv_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0)).alias("n_response_tokens"))
+    """Tokens of a conversation, and which of them count: the assistant's."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", arrays.word_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    found = collate.conversations(turns)
+    return found.select("conv_id", F.size("token_ids").cast("long").alias("n_tokens"), arrays.total(F.col("token_mask")).cast("long").alias("n_response_tokens"), listed("token_ids"), F.array_join(F.transform("token_mask", lambda m: m.cast("int").cast("string")), "").alias("mask"))
 
 
 @query

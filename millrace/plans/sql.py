@@ -159,7 +159,9 @@ ORACLE_SQL = {
     "token_histogram": _with("blocks", "SELECT unnest(token_ids) AS token, count(*) AS n FROM blocks GROUP BY 1"),
     "target_loss": _with("blocks", f""", m AS (SELECT {_KEY}, block % 5 <> 0 AS live, list_filter(token_ids[2:], lambda t: t % 3 <> 0) AS t FROM blocks)
         SELECT {_KEY}, CASE WHEN live THEN coalesce(list_sum(list_transform(t, lambda x: x % 7)), 0)::DOUBLE / greatest(len(t), 1)::DOUBLE ELSE 0.0::DOUBLE END AS target_loss, CASE WHEN live THEN len(t) ELSE 0 END::DOUBLE AS n_response_tokens FROM m"""),
-    "assistant_mask": f"WITH t AS (SELECT conv_id, role, len({_tokens('text')}) AS n FROM (SELECT conv_id, role, coalesce(text, '') AS text FROM conversations)) SELECT conv_id, sum(n)::BIGINT AS n_tokens, coalesce(sum(n) FILTER (role = 'assistant'), 0)::BIGINT AS n_response_tokens FROM t GROUP BY conv_id",
+    "assistant_mask": f"""WITH t AS (SELECT conv_id, turn, coalesce(role = 'assistant', false) AS own, {_tokens('text')} AS t FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)),
+        c AS (SELECT conv_id, flatten(list(t ORDER BY turn)) AS ids, string_agg(repeat(CASE WHEN own THEN '1' ELSE '0' END, len(t)), '' ORDER BY turn) AS mask FROM t GROUP BY conv_id)
+        SELECT conv_id, len(ids)::BIGINT AS n_tokens, len(replace(mask, '0', ''))::BIGINT AS n_response_tokens, array_to_string(ids, ',') AS token_ids, mask FROM c""",
     "rho": _with("pool", "SELECT step, block_id, rho, ref_loss FROM pool"),
     "score_metrics": _with("pool", "SELECT step, sum(target_loss * sample_mask) / greatest(sum(sample_mask), 1.0::DOUBLE) AS candidate_loss, sum(sample_mask) AS num_valid_candidates FROM pool GROUP BY step"),
     "select_top_k": _with("topk", "SELECT step, block_id, origin_tag, rho, sel_rank FROM topk"),

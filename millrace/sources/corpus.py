@@ -7,17 +7,20 @@ will do.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions.names import clean_origin
-from millrace.sources.shared import put
+from millrace.sources.shared import copy, put
 
 BLOCK_SCHEMA = "token_ids array<int>, origin string, origin_tag int, domain string, capability string, n_bytes long, content_hash string, block long, split string"
 CACHE_SCHEMA = "content_hash string, origin string, origin_tag int, ref_loss float, n_response_tokens int"
 TRACE_SCHEMA = "step long, content_hash string, origin string, origin_tag int, rho double, target_loss double, rank int"
+#: Files that staging copies at a time.
+COPIES = 16
 #: What a training row holds; ``ref_loss`` only where it was joined.
 ROW_FIELDS = ("token_ids", "origin", "origin_tag", "content_hash", "ref_loss", "capability", "n_bytes")
 
@@ -167,10 +170,7 @@ def stage(spark: SparkSession, spec: list[dict], out: str, scale: float = 1.0, d
     rows = [(s["origin"], s["repo"].rstrip("/"), s.get("prefix", ""), s.get("capability", s["origin"]), int(s["n_shards"])) for s in spec]
     plan = staging_plan(spark.createDataFrame(rows, "origin string, repo string, prefix string, capability string, n_shards int"), spark.createDataFrame(listed, "repo string, path string"), scale)
     if not dry_run:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for row in plan.collect():
-            for f in row["chosen"]:
-                a = jvm.org.apache.hadoop.fs.Path(f"{row['repo']}/{f}")
-                b = jvm.org.apache.hadoop.fs.Path(f"{out.rstrip('/')}/{row['origin']}/{f.rsplit('/', 1)[-1]}")
-                jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+        jobs = [(f"{row['repo']}/{f}", f"{out.rstrip('/')}/{row['origin']}/{f.rsplit('/', 1)[-1]}") for row in plan.collect() for f in row["chosen"]]
+        with ThreadPoolExecutor(COPIES) as pool:
+            list(pool.map(lambda job: copy(spark, *job), jobs))
     return plan

@@ -83,3 +83,10 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
         out.write(content)
     finally:
         out.close()
+
+
+def copy(spark: SparkSession, path: str, to: str) -> None:
+    """A file from any store to any other, as it is."""
+    source, a = _file_system(spark, path)
+    target, b = _file_system(spark, to)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(a, source, b, target, False, spark._jsc.hadoopConfiguration())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.corpus import list_files
-from millrace.sources.shared import put
+from millrace.sources.shared import copy, put
 
 SCHEMA = "name string, shape array<int>, dtype string, values array<float>"
 #: Names of types in the format, the table's names, numpy's types.
@@ -103,12 +103,10 @@ def write_tensors(tensors: DataFrame, folder: str, per_shard: int = 256) -> list
 
 def copy_others(spark: SparkSession, source: str, target: str) -> list[str]:
     """Copies a model folder's other files: configuration and tokenizer."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     done = []
     for f in list_files(spark, f"{source.rstrip('/')}/*", ""):
         name = f.rsplit("/", 1)[1]
         if not name.endswith((".safetensors", ".safetensors.index.json")):
-            a, b = jvm.org.apache.hadoop.fs.Path(f), jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{name}")
-            jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+            copy(spark, f, f"{target.rstrip('/')}/{name}")
             done.append(name)
     return done

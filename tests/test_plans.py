@@ -214,3 +214,12 @@ def test_files_without_the_text_column_have_no_rows(spark, tmp_path):
     spark.createDataFrame([("a",), (None,), ("",)], "text string").coalesce(1).write.parquet(f"{tmp_path}/one")
     spark.createDataFrame([(1,)], "other int").coalesce(1).write.parquet(f"{tmp_path}/two")
     assert [tuple(r)[0::3] for r in corpus.read_documents(spark, f"{tmp_path}/**/*.parquet", "all").collect()] == [("one", "a")]
+
+
+def test_conversations_mask_the_roles_that_count(spark):
+    from millrace.operators import collate
+
+    rows = [(1, 2, "assistant", [5, 6]), (1, 1, "user", [4]), (1, 3, None, [7]), (2, 1, "assistant", None), (3, 1, "tool", [8])]
+    turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, tokens array<int>")
+    got = {r["conv_id"]: (r["token_ids"], r["token_mask"]) for r in collate.conversations(turns, ("assistant", "tool")).collect()}
+    assert got == {1: ([4, 5, 6, 7], [0.0, 1.0, 1.0, 0.0]), 2: ([], []), 3: ([8], [1.0])}

@@ -90,3 +90,17 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_the_other_queries_survive_without_the_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    for broken in ("corpus_pipeline", "xxhash"):
+        with monkeypatch.context() as m:
+            m.setitem(sys.modules, broken, None)
+            for name in [n for n in sys.modules if n == "corpus_pipeline" and broken != n or n.startswith("millrace.llm")]:
+                m.delitem(sys.modules, name)
+            with pytest.warns(UserWarning, match="without the training-data operators"):
+                assert set(__spark_entry__.queries()) == set(QUERIES)
