@@ -33,6 +33,8 @@ BLOCK = 4096
 ALL_PAIRS = 128
 #: Texts, and shingles of all of them, in a block of a family.
 FAMILY_BLOCK, FAMILY_SHINGLES = 1024, 2_000_000
+#: Parts in which a family meets the number of its blocks.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -94,20 +96,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def majority(h: np.ndarray) -> int:
-    """The fingerprint: bits set in over half of the hashes, as a signed long."""
-    total = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 8192):
-        total += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(h), bitorder="little").view(np.int64)[0])
-
-
 def fingerprint(h: np.ndarray, words: int) -> list[int]:
-    out = [majority(h)]
-    while len(out) < words:
-        h = mix(h)
-        out.append(majority(h))
-    return out
+    """Bits set in over half of the hashes, as signed longs; further words are
+    of further hashes made from each."""
+    every = np.empty((len(h), words), dtype=np.uint64)
+    for k in range(words):
+        every[:, k] = mix(every[:, k - 1]) if k else h
+    total = np.zeros(64 * words, dtype=np.int64)
+    for i in range(0, len(h), 4096):
+        total += np.unpackbits(every[i : i + 4096].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(h), bitorder="little").view(np.int64).tolist()
 
 
 def hashes_of(text: str | None, n: int) -> np.ndarray:
@@ -373,11 +371,15 @@ def verified(families: DataFrame, fps: DataFrame, docs: DataFrame, scheme: Schem
     all pairs.
     """
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            sets = [np.unique(hashes_of(t, scheme.shingle)) for t in part["_text"]]
-            marks = pd.DataFrame([fingerprint(h, scheme.words) for h in sets], columns=scheme.marks, dtype="int64")
-            yield marks.assign(_id=part["_id"].to_numpy(), _set=[h.view(np.int64) for h in sets])
+            for i in range(0, len(part), 256):
+                some = part.slice(i, 256)
+                sets = [np.unique(hashes_of(t.as_py(), scheme.shingle)) for t in some.column("_text")]
+                marks = np.array([fingerprint(h, scheme.words) for h in sets], dtype=np.int64)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column("_id"), *(pa.array(np.ascontiguousarray(m)) for m in marks.T), listed], names=["_id", *scheme.marks, "_set"])
 
     def block_pair(part: pa.Table) -> pa.Table:
         rep, column = part.column("rep").to_numpy(), part.column("_set").combine_chunks()
@@ -388,11 +390,14 @@ def verified(families: DataFrame, fps: DataFrame, docs: DataFrame, scheme: Schem
     families = families.union(families.select(F.col("root").alias("node"), "root").distinct())
     members = store(fps.join(families, F.col("rep") == F.col("node")).select(*scheme.marks, "rep", "root"), "simhash-members")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(members.select("rep"), F.col("_id") == F.col("rep"), "left_semi")
-    sets = texts.mapInPandas(batches, ", ".join(["_id long", *(f"{w} long" for w in scheme.marks), "_set array<bigint>"])).dropDuplicates(["_id", *scheme.marks])
+    sets = texts.mapInArrow(batches, ", ".join(["_id long", *(f"{w} long" for w in scheme.marks), "_set array<bigint>"])).dropDuplicates(["_id", *scheme.marks])
     rows = sets.withColumnRenamed("_id", "rep").join(members, ["rep", *scheme.marks]).select("root", "rep", "_set")
     rows = store(rows, "simhash-sets")
     sizes = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum(F.size("_set")) / FAMILY_SHINGLES)).cast("int").alias("_n"))
-    dealt = _dealt(rows.join(sizes, "root"), F.xxhash64("rep"))
+    # a family's number of blocks is dealt to each of its salts, its rows to one
+    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(sizes, ["root", "_salt"]).drop("_salt")
+    dealt = _dealt(rows, F.xxhash64(F.lit(1), "rep"))
     return components(dealt.groupBy("root", "_i", "_j").applyInArrow(block_pair, "a long, b long"))
 
 
