@@ -56,6 +56,17 @@ def _precompute_settings(args: argparse.Namespace) -> dict[str, str]:
     return found
 
 
+def _model_options(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--model", help="ONNX file of a causal language model to score with; without it a count model is trained")
+    p.add_argument("--vocabulary", type=int, default=1 << 16, help="of the count model")
+
+
+def _scorer(args: argparse.Namespace, blocks=None):
+    from millrace.operators.scoring import OnnxScorer, UnigramScorer
+
+    return OnnxScorer(args.model) if args.model else UnigramScorer(args.vocabulary, blocks)
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="millrace")
     sub = out.add_subparsers(dest="command", required=True)
@@ -70,14 +81,14 @@ def parser() -> argparse.ArgumentParser:
     for name in PRECOMPUTE:
         p.add_argument(f"--{name}", help=f"or {_variable(name)} in the environment")
     p.add_argument("--config", nargs="+", default=[], help="JSON or YAML files whose mixer settings name the blocks and the cache")
-    p.add_argument("--vocabulary", type=int, default=1 << 16)
+    _model_options(p)
     p.add_argument("--max-rows", type=int, default=-1)
     p.add_argument("--set", dest="overrides", nargs="+", default=[], metavar="NAME=VALUE", help="settings over the files")
     p = sub.add_parser("train", help="score, select, learn and log; goes on from the last checkpoint in --out")
     p.add_argument("--config", nargs="+", required=True, help="JSON or YAML files; later ones override")
     p.add_argument("--set", dest="overrides", nargs="+", default=[], metavar="NAME=VALUE", help="settings over the files, like train.top_k=64")
     p.add_argument("--strict", action="store_true")
-    p.add_argument("--vocabulary", type=int, default=1 << 16)
+    _model_options(p)
     p.add_argument("--out", required=True)
     p = sub.add_parser("merge", help="weighted merge of two models")
     for name in ("base", "specialist", "out"):
@@ -92,7 +103,6 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("millrace").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    from millrace.operators.scoring import UnigramScorer
     from millrace.sources import corpus
 
     if args.command == "stage":
@@ -110,13 +120,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         told = _precompute_settings(args)
         blocks = corpus.read_blocks(spark, told["blocks"])
-        precompute(blocks, told["domain"], UnigramScorer(args.vocabulary, blocks.where(blocks.domain == told["domain"])), told["cache"], args.max_rows)
+        precompute(blocks, told["domain"], _scorer(args, blocks.where(blocks.domain == told["domain"])), told["cache"], args.max_rows)
     elif args.command == "train":
         from millrace.plans.train import prepare, resume, train_loop
 
         run = config.build(config.RunConfig, _layers(args), args.strict)
         rows, val = prepare(spark, run.mixer)
-        scorer, at = UnigramScorer(args.vocabulary), f"{args.out}/state"
+        scorer, at = _scorer(args), f"{args.out}/state"
         print(train_loop(rows, val, scorer, run.train, resume(spark, at, scorer), f"{args.out}/trace", f"{args.out}/metrics", at))
     else:
         from millrace.operators.merge import merge_weights

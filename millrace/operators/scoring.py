@@ -7,6 +7,8 @@ language model; any object with the same two methods plugs in.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import groupby
 from typing import Protocol
 
 import numpy as np
@@ -14,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import target_loss
+from millrace.functions.arrays import shifted, target_loss
 
 #: Largest vocabulary whose counts are held by every task.
 MAX_VOCABULARY = 1 << 20
@@ -88,11 +90,64 @@ class FixedScorer:
         return blocks.withColumn("token_logprobs", F.transform("token_ids", self.logprob))
 
 
+class OnnxScorer:
+    """A causal language model in an ONNX file, readable at the same path on
+    every machine; it is scored with and never learns.
+
+    The model takes token ids (batch, length) and gives logits (batch, length,
+    vocabulary), of which those at a token tell the next one. Blocks of one
+    length run together, ``batch`` at a time; each worker loads the file once."""
+
+    def __init__(self, path: str, batch: int = 8):
+        self.path, self.batch = path, batch
+
+    def update(self, selected: DataFrame) -> None:
+        pass
+
+    def logprobs(self, blocks: DataFrame) -> DataFrame:
+        path, batch = self.path, self.batch
+
+        @F.pandas_udf("array<double>")
+        def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for part in parts:
+                rows = [np.asarray(ids, dtype=np.int64) for ids in part]
+                out: list = [np.zeros(len(ids)) for ids in rows]
+                by_length = sorted(range(len(rows)), key=lambda i: len(rows[i]))
+                for n, same in groupby(by_length, key=lambda i: len(rows[i])):
+                    some = list(same) if n > 1 else []
+                    for k in range(0, len(some), batch):
+                        for i, found in zip(some[k : k + batch], _next_logprobs(path, np.stack([rows[i] for i in some[k : k + batch]]))):
+                            out[i][1:] = found
+                yield pd.Series(out, index=part.index)
+
+        return blocks.withColumn("token_logprobs", score("token_ids"))
+
+
+@lru_cache(maxsize=2)
+def _session(path: str):
+    import onnxruntime
+
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = options.inter_op_num_threads = 1  # a task has one core
+    return onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
+
+
+def _next_logprobs(path: str, ids: np.ndarray) -> np.ndarray:
+    """Log-probability of each token but the first, given those before it."""
+    model = _session(path)
+    logits = model.run(None, {model.get_inputs()[0].name: ids})[0][:, :-1].astype(np.float64)
+    own = np.take_along_axis(logits, ids[:, 1:, None], axis=2)[..., 0]
+    top = logits.max(axis=2)
+    return own - top - np.log(np.exp(logits - top[..., None]).sum(axis=2))
+
+
 def with_target_loss(blocks: DataFrame, scorer: Scorer) -> DataFrame:
-    """``target_loss`` over all tokens; padding rows (sample_mask 0) get 0."""
+    """``target_loss`` over all tokens that have one before them; padding rows
+    (sample_mask 0) get 0."""
     rows = blocks if "sample_mask" in blocks.columns else blocks.withColumn("sample_mask", F.lit(1.0))
     scored = scorer.logprobs(rows)
-    loss = target_loss(F.col("token_logprobs"), F.transform("token_ids", lambda _: F.lit(1.0)), F.col("sample_mask").cast("double"))
+    ones = F.transform(shifted(F.col("token_ids")), lambda _: F.lit(1.0))
+    loss = target_loss(shifted(F.col("token_logprobs")), ones, F.col("sample_mask").cast("double"))
     return scored.withColumn("target_loss", loss).drop("token_logprobs")
 
 

@@ -73,7 +73,7 @@ def _quota(order: str, ratio: float, columns: str = "step, block_id, origin_tag,
 
 
 #: Losses of :func:`millrace.plans.queries.fixed` and the made-up references.
-_LOSS = "list_sum(list_transform(token_ids, lambda t: t % 7))::DOUBLE / len(token_ids)"
+_LOSS = "list_sum(list_transform(token_ids[2:], lambda t: t % 7))::DOUBLE / (len(token_ids) - 1)"
 _REF = "(token_ids[1] % 5)::DOUBLE"
 
 
@@ -211,7 +211,7 @@ ORACLE_SQL = {
         SELECT epoch * (n // size) + pool + 1 AS step, content_hash, origin, rho, rank::INT AS rank FROM r WHERE rank <= 16"""),
     "loop_plain": _loop("SELECT pool + 1 AS step, content_hash, i AS block_id FROM whole WHERE epoch = 0"),
     "loop_counters": _loop(", s AS (SELECT count(DISTINCT pool) FILTER (pool % 3 <> 1) AS t, any_value(size) AS size FROM whole WHERE epoch = 0) SELECT 1::BIGINT AS epoch, 0::BIGINT AS step, t AS total_steps, (t * size)::BIGINT AS consumed_samples, (t * 16 * 64)::BIGINT AS total_valid_tokens FROM s"),
-    "cache_passes": _with("blocks", f"SELECT DISTINCT content_hash, {_LOSS} AS ref_loss FROM blocks"),
+    "cache_passes": _with("blocks", f"SELECT DISTINCT content_hash, ({_LOSS})::FLOAT::DOUBLE AS ref_loss FROM blocks"),
     "cache_pass_cap": _with("blocks", ", d AS (SELECT content_hash, origin, origin_tag, min(block) AS block FROM blocks WHERE domain = 'german' GROUP BY ALL) SELECT content_hash, origin, origin_tag, 63 AS n_response_tokens FROM d ORDER BY origin, block LIMIT 100"),
     "read_documents": "SELECT 'folder_nemotron_cc_' || lang AS origin, sha256(text) AS digest, length(text)::INT AS n_chars FROM documents WHERE text <> ''",
     "read_blocks_cap": _with("blocks", ", s AS (SELECT domain FROM blocks) SELECT least(300, count(*)) AS n_rows, 1::BIGINT AS n_domains FROM s"),

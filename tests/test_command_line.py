@@ -93,3 +93,17 @@ def test_ingestion_with_a_library_tokenizer(spark, tmp_path):
     own = [r for r in rows if r["domain"] == "general"]
     assert [t for r in own for t in r["token_ids"]] == ids[: 32 * (len(ids) // 32)]
     assert all(r["n_bytes"] == len(tok.decode(r["token_ids"], skip_special_tokens=False).encode()) for r in rows)
+
+
+def test_a_model_file_scores_the_blocks(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    from tests.test_operators import tiny_model
+
+    table = np.random.default_rng(1).normal(size=(30, 30)).astype(np.float32)
+    (tmp_path / "m.onnx").write_bytes(tiny_model(table))
+    rows = [([i % 30, (i * 7) % 30, 3], "o", 0, "legal", "o", None, f"h{i}", i, "train") for i in range(12)]
+    corpus.write_blocks(spark.createDataFrame(rows, corpus.BLOCK_SCHEMA), f"{tmp_path}/blocks")
+    main(["precompute", "--blocks", f"{tmp_path}/blocks", "--domain", "legal", "--cache", f"{tmp_path}/cache", "--model", f"{tmp_path}/m.onnx"], spark)
+    logprob = table - np.log(np.exp(table).sum(axis=1, keepdims=True))
+    got = {r["content_hash"]: r["ref_loss"] for r in corpus.read_cache(spark, f"{tmp_path}/cache").collect()}
+    assert got == pytest.approx({f"h{i}": -(logprob[i % 30, (i * 7) % 30] + logprob[(i * 7) % 30, 3]) / 2 for i in range(12)}, abs=1e-5)

@@ -202,3 +202,46 @@ def test_spread(spark):
     files = frame(spark, [([f"{i:02d}" for i in range(10)],)], "f array<string>")
     for n, want in ((0, []), (3, ["00", "03", "06"]), (10, [f"{i:02d}" for i in range(10)]), (99, [f"{i:02d}" for i in range(10)]), (1, ["00"])):
         assert files.select(arrays.pick_spread(F.col("f"), F.lit(n))).first()[0] == want
+
+
+def tiny_model(table):
+    """An ONNX file, byte by byte: each token's row of the table is its logits."""
+    import struct
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(at, value):
+        return number(at << 3) + number(value) if isinstance(value, int) else number(at << 3 | 2) + number(len(value)) + value
+
+    rows, columns = table.shape
+    shape = lambda *dims: b"".join(field(1, field(2, d) if isinstance(d, bytes) else field(1, d)) for d in dims)
+    info = lambda name, kind, *dims: field(1, name) + field(2, field(1, field(1, kind) + field(2, shape(*dims))))
+    node = field(1, b"table") + field(1, b"ids") + field(2, b"logits") + field(4, b"Gather")
+    values = struct.pack(f"<{rows * columns}f", *table.ravel().tolist())
+    tensor = field(1, rows) + field(1, columns) + field(2, 1) + field(8, b"table") + field(9, values)
+    graph = field(1, node) + field(2, b"g") + field(5, tensor) + field(11, info(b"ids", 7, b"b", b"n")) + field(12, info(b"logits", 1, b"b", b"n", columns))
+    return field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13))
+
+
+def test_an_onnx_model_scores_each_token_from_those_before(spark, tmp_path):
+    pytest.importorskip("onnxruntime")
+    import numpy as np
+
+    from millrace.operators.scoring import OnnxScorer, with_target_loss
+
+    table = np.random.default_rng(3).normal(size=(20, 20)).astype(np.float32)
+    (tmp_path / "m.onnx").write_bytes(tiny_model(table))
+    rng = np.random.default_rng(4)
+    blocks = {i: rng.integers(0, 20, n).tolist() for i, n in enumerate([8, 8, 8, 5, 5, 1, 0, 12])}
+    rows = spark.createDataFrame(list(blocks.items()), "block_id long, token_ids array<int>")
+    scorer = OnnxScorer(str(tmp_path / "m.onnx"), batch=2)
+    logprob = table - np.log(np.exp(table).sum(axis=1, keepdims=True))
+    for r in with_target_loss(rows, scorer).collect():
+        ids = blocks[r["block_id"]]
+        want = -np.mean([logprob[a, b] for a, b in zip(ids, ids[1:])]) if len(ids) > 1 else 0.0
+        assert r["target_loss"] == pytest.approx(want, abs=1e-5)
+    assert scorer.update(rows) is None and "token_logprobs" in scorer.logprobs(rows).columns
