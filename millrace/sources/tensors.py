@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from millrace.sources.corpus import list_files
 from millrace.sources.shared import copy, put
 
+#: Values that a written shard holds at most, as single-precision bytes.
+SHARD_BYTES = 1 << 28
 SCHEMA = "name string, shape array<int>, dtype string, values array<float>"
 #: Names of types in the format, the table's names, numpy's types.
 TYPES = {"F32": ("float32", "<f4"), "F16": ("float16", "<f2"), "F64": ("float64", "<f8"), "BF16": ("bfloat16", "<u2"), "I8": ("int8", "<i1"), "I32": ("int32", "<i4"), "I64": ("int64", "<i8"), "U8": ("uint8", "<u1")}
@@ -83,18 +85,22 @@ def read_tensors(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(shards(spark, folder)).select("content").mapInPandas(rows, SCHEMA)
 
 
-def write_tensors(tensors: DataFrame, folder: str, per_shard: int = 256) -> list[str]:
-    """Writes shards of ``per_shard`` tensors and their index through Hadoop.
-    The driver holds one shard at a time, as a model's tensors are few."""
-    spark = tensors.sparkSession
-    folder = folder.rstrip("/")
-    names = [r[0] for r in tensors.select("name").orderBy("name").collect()]
-    files, total = {}, max(1, -(-len(names) // per_shard))
-
-    for i in range(total):
-        part = names[i * per_shard : (i + 1) * per_shard]
+def write_tensors(tensors: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> list[str]:
+    """Writes shards and their index through Hadoop, names in order. A shard
+    has at most ``shard_bytes`` of values, or one tensor; the driver holds one
+    at a time. A model without tensors is one empty shard."""
+    spark, folder = tensors.sparkSession, folder.rstrip("/")
+    told = tensors.select("name", (F.size("values").cast("long") * 4).alias("n")).orderBy("name").collect()
+    shards, filled = [[]], 0
+    for r in told:
+        if shards[-1] and filled + r["n"] > shard_bytes:
+            shards, filled = [*shards, []], 0
+        shards[-1].append(r["name"])
+        filled += r["n"]
+    files = {}
+    for i, part in enumerate(shards):
         rows = [tuple(r) for r in tensors.where(F.col("name").isin(part)).select("name", "shape", "dtype", "values").collect()]
-        shard = f"model-{i + 1:05d}-of-{total:05d}.safetensors"
+        shard = f"model-{i + 1:05d}-of-{len(shards):05d}.safetensors"
         put(spark, f"{folder}/{shard}", encode(rows))
         files |= dict.fromkeys(part, shard)
     put(spark, f"{folder}/model.safetensors.index.json", json.dumps({"weight_map": files}).encode())

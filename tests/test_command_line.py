@@ -107,3 +107,12 @@ def test_a_model_file_scores_the_blocks(spark, tmp_path):
     logprob = table - np.log(np.exp(table).sum(axis=1, keepdims=True))
     got = {r["content_hash"]: r["ref_loss"] for r in corpus.read_cache(spark, f"{tmp_path}/cache").collect()}
     assert got == pytest.approx({f"h{i}": -(logprob[i % 30, (i * 7) % 30] + logprob[(i * 7) % 30, 3]) / 2 for i in range(12)}, abs=1e-5)
+
+
+def test_shards_are_bounded_by_their_bytes(spark, tmp_path):
+    rows = [(f"t{i}", [n], "float32", [float(i)] * n) for i, n in enumerate([3, 3, 30, 2, 2, 2])]
+    found = spark.createDataFrame(rows, tensors.SCHEMA)
+    files = tensors.write_tensors(found, f"{tmp_path}/m", shard_bytes=32)
+    held = [[r[0] for r in tensors.decode(open(f"{tmp_path}/m/{f}", "rb").read())] for f in files]
+    assert held == [["t0", "t1"], ["t2"], ["t3", "t4", "t5"]]
+    assert sorted(map(tuple, tensors.read_tensors(spark, f"{tmp_path}/m").select("name", "dtype").collect())) == [(r[0], "float32") for r in rows]
