@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import logging
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +27,11 @@ MIN_SHARE = 0.5
 
 N_FEATURES = 14
 SYMBOLS = "#*$%&|<>"
+_SYMBOLS, _UPPER, _LETTERS, _DIGITS = SYMBOLS.encode(), string.ascii_uppercase.encode(), string.ascii_letters.encode(), string.digits.encode()
+_OTHER = re.compile(r"[^\x00-\x7F]+")
 _SPACES = " \t\n\x0b\x0c\r"
-_NOTICE = re.compile(r"licen[sc]e|all rights reserved|copyright|cookie|privacy policy|terms of (?:use|service)|click here|subscribe", re.I)
+#: What notices say, in lower case.
+_NOTICES = ("license", "licence", "all rights reserved", "copyright", "cookie", "privacy policy", "terms of use", "terms of service", "click here", "subscribe")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -65,35 +69,47 @@ def repeat_words(words: list[bytes], n: int = 3) -> int:
     return int(cover.sum())
 
 
+def _without(raw: bytes, some: bytes) -> int:
+    """How many of the bytes are among ``some``."""
+    return len(raw) - len(raw.translate(None, some))
+
+
 def base_rules(text: str) -> Base:
-    words, seen, dup = words_of(text), set(), 0
+    raw, seen, dup = text.encode("utf-8", "surrogatepass"), set(), 0
+    words = raw.split()
     for line in text.split("\n"):
         if line.strip(_SPACES):
             dup += line in seen
             seen.add(line)
-    return Base(len(words), len(text) - sum(map(text.count, _SPACES)), sum(map(text.count, SYMBOLS)), dup, repeat_words(words))
+    return Base(len(words), len(text) - _without(raw, _SPACES.encode()), _without(raw, _SYMBOLS), dup, repeat_words(words))
 
 
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """One row of 0/1 features per line, and the lines' word counts."""
     lines, seen = text.split("\n"), set()
-    out, sizes = np.zeros((len(lines), N_FEATURES)), np.zeros(len(lines), dtype=np.int64)
-    for i, line in enumerate(lines):
-        words = words_of(line)
+    out, sizes = [], []
+    lower = text.lower()
+    notices = [w for w in _NOTICES if w in lower]
+    for line in lines:
+        raw = line.encode("utf-8", "surrogatepass")
+        words = raw.split()
         n, chars = len(words), max(len(line), 1)
-        sizes[i] = n
-        letters = sum(map(str.isalpha, line)) or 1
-        upper = letters if line.isupper() else sum(map(str.isupper, line))
-        marks = sum(map(line.count, SYMBOLS))
-        twice = sum(map(bytes.__eq__, words, words[1:]))
-        out[i] = (
+        sizes.append(n)
+        letters, upper, digits = _without(raw, _LETTERS), _without(raw, _UPPER), _without(raw, _DIGITS)
+        if len(raw) > len(line):
+            other = "".join(_OTHER.findall(line))
+            letters += sum(map(str.isalpha, other))
+            upper += sum(map(str.isupper, other))
+            digits += sum(map(str.isdigit, other))
+        twice = sum(map(bytes.__eq__, words, words[1:])) if n > 3 else 0
+        out.append((
             1, n == 0, 0 < n < 4, 4 <= n < 12, n >= 12,
-            n > 1 and upper > 0.5 * letters, line.count("!!") > 1, marks > 0.04 * chars, line.count("|") > 2,
-            sum(map(str.isdigit, line)) > 0.2 * chars, n > 0 and line in seen, n > 3 and 4 * twice > n,
-            n > 11 and 2 * len(set(words)) < n, bool(n < 40 and _NOTICE.search(line)),
-        )
+            n > 1 and upper > 0.5 * (letters or 1), line.count("!!") > 1, _without(raw, _SYMBOLS) > 0.04 * chars, line.count("|") > 2,
+            digits > 0.2 * chars, n > 0 and line in seen, n > 3 and 4 * twice > n,
+            n > 11 and 2 * len(set(words)) < n, bool(notices) and n < 40 and any(w in line.lower() for w in notices),
+        ))
         seen.add(line)
-    return out, sizes
+    return np.array(out, dtype=float), np.array(sizes, dtype=np.int64)
 
 
 @dataclass(frozen=True)
