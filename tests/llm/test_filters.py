@@ -65,15 +65,15 @@ def test_odd_urls(spark):
         url_filter.train([("u", 1)] * (url_filter.MAX_LABELLED + 1))
 
 
-#: Hosts that are not in the table, nor made like those in it.
-HELD_BLOCK = """
+#: Hosts that are not in the table; features were chosen with a look at these.
+SEEN_BLOCK = """
 https://grand-casino-lounge.com/vip http://pokerstarz-club.net/freeroll https://slotopia.example.org/spin https://my-betting-picks.example.com/today http://sexcams4you.example.net/live
 https://pornhubclone.example.org/v/12 https://xxxvids.example.com/new http://viagra-express.example.net/order https://pills-no-prescription.example.org/buy https://replicarolex.example.com/sale
 http://payday-advance.example.net/apply-now https://instantloans24.example.org/cash https://keygen-world.example.com/crack http://torrentz.example.net/movies https://click-ads.example.org/banner
 https://free-iphone-winner.example.com/claim http://backlink-shop.example.net/buy-links https://jackpot-city.example.org/en/bonus https://hot-nude-pics.example.com/gallery
 http://hookup-singles.example.net/tonight https://cheapcialis-rx.example.org/discount https://bingo-casino.example.com/win
 """.split()
-HELD_ALLOW = """
+SEEN_ALLOW = """
 https://county-library.example.com/branches http://maritime-museum.example.net/ships https://univ-chemistry.example.org/lab/safety https://evening-news.example.com/2020/11/storm
 http://river-forecast.example.net/levels https://tomato-garden.example.org/seedlings https://cookbook.example.com/stews http://docs.compiler.example.net/reference
 https://wiki.gardeners.example.org/compost https://old-railway-photos.example.com/1950 http://parish-council.example.net/minutes https://chess-school.example.org/openings
@@ -82,15 +82,32 @@ http://studentforum.example.net/topic/housing https://volcano-watch.example.org/
 https://blog.thistera.example.org/de/812 https://m.verosine.example.com/fr/9.html
 """.split()
 
+#: Hosts that were written after the model was fixed, and scored once.
+HELD_BLOCK = """
+https://vegas-poker-palace.example.com/en/88 http://win-roulette-now.example.net/de/3.html https://bet365x.example.org/odds https://adultfriendz.example.com/chat
+http://xxx-movies-free.example.net/clip/9 https://sexshop-deals.example.org/sale https://online-pharmacy-meds.example.com/viagra http://diet-pills-now.example.net/buy
+https://cheap-replica-shoes.example.org/outlet https://fastcash-loans.example.com/apply http://no-credit-loan.example.net/en/14 https://crack-serials.example.org/download
+http://warez-portal.example.com/full https://torrent-tracker.example.net/fr/7 https://ad-banner-server.example.org/click http://popup-ads.example.com/serve https://seo-backlinks.example.net/buy
+https://lottery-winner-claim.example.org/prize http://casino-affiliates.example.com/bonus https://escort-girls.example.net/city
+""".split()
+HELD_ALLOW = """
+https://public-library-east.example.com/hours http://railway-museum.example.net/de/61 https://chemistry-dept.example.org/courses https://evening-post.example.com/news/41
+http://mountain-weather.example.net/en/12 https://kitchen-garden.example.org/herbs https://bread-baking.example.com/rye http://kernel-docs.example.net/api https://city-theatre.example.org/fr/9.html
+https://cycling-club.example.com/routes http://student-union.example.net/elections https://primary-health.example.org/advice https://river-trust.example.com/es/33
+http://local-history.example.net/photos https://violin-school.example.org/lessons https://court-records.example.com/1999 http://harbour-festival.example.net/programme
+https://www.edreshan.example.org/en/540 https://blog.quellion.example.com/de/21 http://m.tarisond.example.net/fr/8?page=2
+""".split()
+
 
 def test_url_model_on_held_out_hosts():
     rows = url_filter.read_labels()
     hosts = {url_filter.split_url(u)[0] for u, _ in rows}
-    assert not hosts & {url_filter.split_url(u)[0] for u in HELD_BLOCK + HELD_ALLOW}
+    assert not hosts & {url_filter.split_url(u)[0] for u in SEEN_BLOCK + SEEN_ALLOW + HELD_BLOCK + HELD_ALLOW}
     more = url_filter.spread(rows)
     model = url_filter.train(more)
     block = lambda urls: np.mean([model.block(*url_filter.split_url(u)) for u in urls])
-    assert block(HELD_BLOCK) >= 0.75 and block(HELD_ALLOW) <= 0.15
+    assert block(SEEN_BLOCK) >= 0.75 and block(SEEN_ALLOW) <= 0.15
+    assert block(HELD_BLOCK) >= 0.9 and block(HELD_ALLOW) <= 0.1
     assert np.array_equal(model.weights, url_filter.train(more).weights)
     assert not model.block("", "") and not url_filter.train([]).block("casino.com", "/")
 
