@@ -13,6 +13,7 @@ shingle sets are compared, and only pairs that similar are links.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.decontaminate import shingles
 from millrace.llm.shared import components, rows_of, store
 
 #: Fingerprints of one bucket that a task compares by itself; those of larger
@@ -74,6 +76,25 @@ class Scheme:
         return self.marks[: self.compared]
 
 
+def near_scheme(documents: int, least: float = 0.8, shingle: int = 5, recall: float = 0.95, bucket: int = 64) -> Scheme:
+    """The scheme for texts of at least that similarity in a corpus of up to
+    ``documents`` distinct ones.
+
+    Two sets of one size differ in each bit with a chance that their similarity
+    gives. Segments are so wide that a bucket holds about ``bucket`` unrelated
+    fingerprints at most, and so many that a pair at exactly ``least`` has one
+    that differs by one bit at most with a chance of ``recall``; the radius on
+    128 bits lies 3.4 standard deviations above what such a pair differs in,
+    and as far from that 64 that unrelated ones differ in that one in some ten
+    millions passes."""
+    chance = math.acos(2 * least / (1 + least)) / math.pi
+    width = max(8, math.ceil(math.log2(max(documents / bucket, 1))) + 1)
+    met = (1 - chance) ** width + width * chance * (1 - chance) ** (width - 1)
+    words = max(2, math.ceil(math.ceil(math.log(1 - recall) / math.log(1 - met)) / (64 // width)))
+    radius = round(128 * chance + 3.4 * math.sqrt(128 * chance * (1 - chance)))
+    return Scheme(words, 64 // width, width, radius, shingle, 2, least)
+
+
 def shingle_hashes(text: str, n: int) -> np.ndarray:
     """XXH64 with seed 42 of each n-word shingle of the A-Z-lower-cased text."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -103,23 +124,29 @@ def fingerprint(h: np.ndarray, words: int) -> list[int]:
     for k in range(words):
         every[:, k] = mix(every[:, k - 1]) if k else h
     total = np.zeros(64 * words, dtype=np.int64)
-    for i in range(0, len(h), 4096):
-        total += np.unpackbits(every[i : i + 4096].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for i in range(0, len(h), 255):  # so many fit into a byte
+        total += np.add.reduce(np.unpackbits(every[i : i + 255].view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return np.packbits(2 * total > len(h), bitorder="little").view(np.int64).tolist()
 
 
-def hashes_of(text: str | None, n: int) -> np.ndarray:
-    return shingle_hashes(text, n) if text else np.empty(0, dtype=np.uint64)
+def hashes_of(text: str | None, scheme: Scheme) -> np.ndarray:
+    """What a text's fingerprint is taken from: the hashes of all its shingles;
+    with ``least``, which compares sets, each different one once, combined from
+    hashes of the words, which is the same but for the hashes' values."""
+    if not text:
+        return np.empty(0, dtype=np.uint64)
+    if scheme.least is None:
+        return shingle_hashes(text, scheme.shingle)
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return np.unique(mix(shingles(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)), scheme.shingle)))
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, w0, w1 ...`` per row: the words of the fingerprint, over all
-    shingles; with ``least``, which compares sets, over the distinct ones."""
+    """``doc_id, w0, w1 ...`` per row: the words of the fingerprint."""
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            hashes = (hashes_of(t, scheme.shingle) for t in part["_text"])
-            marks = [fingerprint(h if scheme.least is None else np.unique(h), scheme.words) for h in hashes]
+            marks = [fingerprint(hashes_of(t, scheme), scheme.words) for t in part["_text"]]
             yield pd.DataFrame(marks, columns=scheme.marks, dtype="int64").assign(_id=part["_id"].to_numpy())
 
     out = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(batches, ", ".join(["_id string", *(f"{w} long" for w in scheme.marks)]))
@@ -152,17 +179,34 @@ def forest(marks: np.ndarray, radius: int, part: np.ndarray) -> tuple[list, list
     return a, b
 
 
-def _index(fps: DataFrame, scheme: Scheme, wild: bool) -> DataFrame:
-    """``_key``, the compared words, ``rep`` and ``root``: each fingerprint
-    under its segments or, if ``wild``, under their variants."""
-    each = scheme.width if wild else 1
-    segment = f"cast(floor(_v / {each}) as int)"
+def _segments(fps: DataFrame, scheme: Scheme, deals: int, *columns: str) -> DataFrame:
+    """``_t`` and ``columns``: a row per segment of a fingerprint and deal;
+    ``_t`` is the number of both, and behind it the segment's bits."""
+    segment = f"cast(floor(_d / {deals}) as int)"
     word = f"element_at(array({', '.join(scheme.marks)}), cast(floor({segment} / {scheme.per_word}) as int) + 1)"
-    at = f"({segment} % {scheme.per_word}) * {scheme.width}"
-    left_out = f" & ~shiftleft(1L, _v % {scheme.width})" if wild else ""
-    key = f"shiftleft(cast(_v as bigint), {scheme.width}) | (shiftrightunsigned({word}, {at}) & {(1 << scheme.width) - 1}L{left_out})"
-    spread = F.explode(F.sequence(F.lit(0), F.lit(scheme.segments * each - 1))).alias("_v")
-    return fps.select(*scheme.marks, "rep", "root", spread).select(F.expr(key).alias("_key"), *scheme.seen, "rep", "root")
+    bits = f"shiftrightunsigned({word}, ({segment} % {scheme.per_word}) * {scheme.width}) & {(1 << scheme.width) - 1}L"
+    dealt = fps.select(*scheme.marks, *(c for c in columns if c not in scheme.marks), F.explode(F.sequence(F.lit(0), F.lit(scheme.segments * deals - 1))).alias("_d"))
+    return dealt.select(F.expr(f"shiftleft(cast(_d as bigint), {scheme.width}) | ({bits})").alias("_t"), *columns)
+
+
+def _variants(fps: DataFrame, scheme: Scheme) -> DataFrame:
+    """``_key``, the compared words and ``root``: each fingerprint under its
+    segments' variants, equal keys side by side.
+
+    Two segments that differ in one bit agree in one of their halves. So a
+    segment is dealt out twice, by either half, and only then left without
+    each bit of the other half in turn: the shuffle moves two rows a segment
+    and not one a variant."""
+    low = scheme.width // 2
+    half = f"shiftright(_t, {scheme.width})"
+    bits = f"(_t & {(1 << scheme.width) - 1}L)"
+    kept = f"case when {half} % 2 = 0 then {bits} & {(1 << low) - 1}L else shiftright({bits}, {low}) end"
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")) * -(-scheme.width // 16)
+    dealt = _segments(fps, scheme, 2, *scheme.seen, "root").repartition(tasks, F.expr(f"shiftleft({half}, {scheme.width}) | ({kept})"))
+    other = f"case when {half} % 2 = 0 then sequence({low}, {scheme.width - 1}) else sequence(0, {low - 1}) end"
+    key = f"shiftleft(cast(floor({half} / 2) as bigint) * {scheme.width} + _b, {scheme.width}) | ({bits} & ~shiftleft(1L, _b))"
+    each = dealt.select("_t", *scheme.seen, "root", F.explode(F.expr(other)).alias("_b"))
+    return each.select(F.expr(key).alias("_key"), *scheme.seen, "root").sortWithinPartitions("_key", *scheme.seen)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -186,6 +230,8 @@ def seeds(fps: DataFrame, scheme: Scheme) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
+            if not len(batch):
+                continue
             key, marks = _arrays(batch, scheme.seen)
             rep = np.array(batch.column("rep"))
             if last is not None:
@@ -200,24 +246,24 @@ def seeds(fps: DataFrame, scheme: Scheme) -> DataFrame:
             stay = np.unique([first[-1], len(key) - 1])
             last = key[stay], rep[stay], marks[stay]
 
-    near = _index(fps.withColumn("root", F.col("rep")), scheme, False).repartition("_key").sortWithinPartitions("_key", *scheme.seen)
+    near = _segments(fps, scheme, 1, *scheme.seen, "rep").withColumnRenamed("_t", "_key").repartition("_key").sortWithinPartitions("_key", *scheme.seen)
     return components(near.mapInArrow(run, "a long, b long"))
 
 
 def _bucket_links(scheme: Scheme):
     """Rows sorted by key to links between different roots; the rows of a
     bucket of over BLOCK fingerprints come out as they are, with their key."""
-    out_schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "key", "root", *scheme.seen)])
+    out_schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "key", *scheme.seen)])
 
     def links_of(a, b) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[none] * (2 + scheme.compared)], schema=out_schema)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[none] * (1 + scheme.compared)], schema=out_schema)
 
-    def rows(key, rep, root, marks) -> pa.RecordBatch:
+    def rows(key, root, marks) -> pa.RecordBatch:
         signed = marks.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(rep), pa.nulls(len(key), pa.int64()), pa.array(key), pa.array(root), *(pa.array(np.ascontiguousarray(signed[:, k])) for k in range(scheme.compared))], schema=out_schema)
+        return pa.RecordBatch.from_arrays([pa.array(root), pa.nulls(len(key), pa.int64()), pa.array(key), *(pa.array(np.ascontiguousarray(signed[:, k])) for k in range(scheme.compared))], schema=out_schema)
 
-    def whole(key, rep, root, marks) -> Iterator[pa.RecordBatch]:
+    def whole(key, root, marks) -> Iterator[pa.RecordBatch]:
         """Links within buckets that are all here."""
         start = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
         size = np.diff(start, append=len(key))
@@ -229,7 +275,7 @@ def _bucket_links(scheme: Scheme):
             good = here[(root[here] != root[here + d])]
             good = good[distance(marks[good], marks[good + d]) <= scheme.radius]
             if len(good):
-                yield links_of(rep[good], rep[good + d])
+                yield links_of(root[good], root[good + d])
             d += 1
             here = here[here + d < len(key)]
             here = here[key[here] == key[here + d]]
@@ -237,13 +283,13 @@ def _bucket_links(scheme: Scheme):
             s = slice(start[i], start[i] + size[i])
             a, b = forest(marks[s], scheme.radius, root[s])
             if a:
-                yield links_of(rep[s][a], rep[s][b])
+                yield links_of(root[s][a], root[s][b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, hot = None, None
         for batch in batches:
             key, marks = _arrays(batch, scheme.seen)
-            cols = [key, np.array(batch.column("rep")), np.array(batch.column("root")), marks]
+            cols = [key, np.array(batch.column("root")), marks]
             if kept is not None:
                 cols = [np.concatenate(x) for x in zip(kept, cols)]
             kept = None
@@ -277,15 +323,16 @@ def candidates(fps: DataFrame, scheme: Scheme) -> DataFrame:
     fingerprints ``w0 ..., rep``.
 
     :func:`seeds` joins the bulk of a group of near copies by a few rows each.
-    The index of variants then only gives links between what these left apart:
-    in small buckets all of them, in larger ones a spanning forest.
+    The index of variants then only gives links between the roots of what
+    these left apart: in small buckets all of them, in larger ones a spanning
+    forest.
     """
     fps = fps.where("rep is not null")
     some = seeds(fps, scheme)
     fps = fps.join(some.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    schema = ", ".join(f"{n} long" for n in ("a", "b", "key", "root", *scheme.seen))
-    found = store(_index(fps, scheme, True).repartition("_key").sortWithinPartitions("_key", *scheme.seen).mapInArrow(_bucket_links(scheme), schema), "simhash-links")
-    links, hot = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", "root", *scheme.seen, F.col("a").alias("rep"))
+    schema = ", ".join(f"{n} long" for n in ("a", "b", "key", *scheme.seen))
+    found = store(_variants(fps, scheme).mapInArrow(_bucket_links(scheme), schema), "simhash-links")
+    links, hot = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", *scheme.seen, F.col("a").alias("root"))
     if hot.limit(1).count():
         links = links.union(_hot_links(hot, scheme))
     return components(some.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
@@ -296,15 +343,15 @@ def _hot_links(hot: DataFrame, scheme: Scheme) -> DataFrame:
     block; buckets that are of one root have none."""
 
     def block_pair(part: pd.DataFrame) -> pd.DataFrame:
-        rep = part["rep"].to_numpy()
+        root = part["root"].to_numpy()
         marks = np.ascontiguousarray(part[scheme.seen].to_numpy(dtype=np.int64)).view(np.uint64)
-        a, b = forest(marks, scheme.radius, part["root"].to_numpy())
-        return pd.DataFrame({"a": rep[a], "b": rep[b]})
+        a, b = forest(marks, scheme.radius, root)
+        return pd.DataFrame({"a": root[a], "b": root[b]})
 
     counts = hot.groupBy("key").agg(F.count("*").alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high")
     counts = counts.select(F.col("key").alias("_k"), F.ceil(F.col("_n") / BLOCK).cast("int").alias("_n"))
     rows = hot.join(counts, F.col("key") == F.col("_k"))
-    return _dealt(rows, F.xxhash64("rep")).groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long")
+    return _dealt(rows, F.xxhash64(*scheme.seen)).groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long")
 
 
 def _dealt(rows: DataFrame, place: Column) -> DataFrame:
@@ -375,7 +422,7 @@ def verified(families: DataFrame, fps: DataFrame, docs: DataFrame, scheme: Schem
         for part in parts:
             for i in range(0, len(part), 256):
                 some = part.slice(i, 256)
-                sets = [np.unique(hashes_of(t.as_py(), scheme.shingle)) for t in some.column("_text")]
+                sets = [hashes_of(t.as_py(), scheme) for t in some.column("_text")]
                 marks = np.array([fingerprint(h, scheme.words) for h in sets], dtype=np.int64)
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))

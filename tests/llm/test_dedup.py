@@ -152,7 +152,23 @@ def test_repeated_rows_and_null_ids_of_lines(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
-NEAR = simhash_dedup.Scheme(words=6, per_word=3, width=20, radius=46, shingle=5, compared=3, least=0.8)
+NEAR = simhash_dedup.near_scheme(30_000_000)
+
+
+def test_schemes_by_size():
+    """What the numbers are for some corpora, and that sets at the similarity
+    meet as often as they should."""
+    assert simhash_dedup.Scheme(words=6, per_word=3, width=20, radius=33, shingle=5, compared=2, least=0.8) == NEAR
+    assert [(s.width, s.segments) for s in map(simhash_dedup.near_scheme, (10**6, 10**9, 5 * 10**9))] == [(15, 8), (25, 32), (28, 50)]
+    rng = np.random.default_rng(8)
+    for documents in (10**4, 10**6, 3 * 10**7):
+        scheme, met = simhash_dedup.near_scheme(documents), 0
+        for _ in range(400):
+            a = rng.integers(0, 2**63, 300, dtype=np.uint64)
+            b = np.concatenate([a[:267], rng.integers(0, 2**63, 33, dtype=np.uint64)])  # 267 of 333
+            x, y = (np.array(simhash_dedup.fingerprint(h, scheme.words)).view(np.uint64) for h in (a, b))
+            met += any((int(v) >> (s * scheme.width) & (1 << scheme.width) - 1).bit_count() <= 1 for v in x ^ y for s in range(scheme.per_word))
+        assert met >= 0.92 * 400
 
 
 def jaccard(a, b):
@@ -163,7 +179,7 @@ def jaccard(a, b):
 def near_components(texts, scheme=NEAR):
     """Brute force: families of all candidate pairs, and in each of them all
     pairs at the similarity."""
-    bags = {i: np.unique(simhash_dedup.hashes_of(t, scheme.shingle)) for i, t in texts.items()}
+    bags = {i: simhash_dedup.hashes_of(t, scheme) for i, t in texts.items()}
     marks = {i: np.array(simhash_dedup.fingerprint(b, scheme.words)).view(np.uint64) for i, b in bags.items()}
     ids = sorted(texts)
     every = np.stack([marks[i] for i in ids])
@@ -187,7 +203,7 @@ def found_components(spark, texts, scheme=NEAR):
 
 def all_pairs_components(texts, least=0.8):
     """Of all pairs at the similarity, whether candidates or not."""
-    bags = {i: np.unique(simhash_dedup.hashes_of(t, 5)) for i, t in texts.items()}
+    bags = {i: np.unique(simhash_dedup.shingle_hashes(t or "", 5)) for i, t in texts.items()}
     holders = {}
     for i, b in bags.items():
         for h in b.tolist():
