@@ -14,11 +14,9 @@ from pyspark.sql import functions as F
 from millrace.llm import decontaminate, line_dedup, mixing, quality_crf, simhash_dedup
 from millrace.llm.shared import rows_of, store, table
 
-#: Six words of 64 bits from five-word shingles, eighteen segments of 20 bits.
-#: Pairs of similarity 0.8 differ in 29 of the 192 compared bits (standard
-#: deviation 5); those within 46 with a segment that differs by one bit at most
-#: are candidates (97 % of such pairs), and exact shingle sets decide.
-NEAR = simhash_dedup.Scheme(words=6, per_word=3, width=20, radius=46, shingle=5, compared=3, least=0.8)
+#: Five-word shingles, a similarity of 0.8 or more, and segments for up to
+#: thirty million distinct documents: eighteen of 20 bits in six words.
+NEAR = simhash_dedup.near_scheme(30_000_000, least=0.8, shingle=5)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
