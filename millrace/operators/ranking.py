@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.sources.shared import store
+from millrace.sources.shared import kept
 
 #: Leading hex digits of a hash that deal a group into ranges.
 DIGITS = 3
@@ -19,9 +19,9 @@ def ranked(df: DataFrame, digits: Column, ties: tuple[str, ...], by: tuple[str,
     their leading digits and the ranges are counted, so that a task orders a
     4096th of a group, and one task never all of it.
 
-    ``df`` is stored first: counts and rows both read it.
+    Counts and rows both read ``df``, so it is stored unless it only scans files.
     """
-    keyed = store(df, "ranked").withColumn("_digits", digits).withColumn("_range", F.substring("_digits", 1, DIGITS))
+    keyed = kept(df, "ranked").withColumn("_digits", digits).withColumn("_range", F.substring("_digits", 1, DIGITS))
     counts = keyed.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     names = {c: f"_by_{i}" for i, c in enumerate((*by, "_range"))}

@@ -39,6 +39,22 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Steps of a plan that cost little to run twice: a scan and what it does by row.
+_PLAIN = ("Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table that may be read more than once: itself if it does no
+    more than scan files, which prunes columns at each read, else stored."""
+    todo, plain = [df._jdf.queryExecution().optimizedPlan()], True
+    while todo and plain:
+        node = todo.pop()
+        plain = node.nodeName().split(" ")[0] in _PLAIN
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    text = df._jdf.queryExecution().optimizedPlan().toString() if plain else ""
+    return df if plain and "PythonUDF" not in text and "relation" in text.lower() else store(df, name)
+
+
 def drop(df: DataFrame) -> None:
     """Remove a table that :func:`store` wrote, once nothing reads it any more."""
     path = getattr(df, "_millrace_path", None)

@@ -223,3 +223,15 @@ def test_conversations_mask_the_roles_that_count(spark):
     turns = spark.createDataFrame(rows, "conv_id int, turn int, role string, tokens array<int>")
     got = {r["conv_id"]: (r["token_ids"], r["token_mask"]) for r in collate.conversations(turns, ("assistant", "tool")).collect()}
     assert got == {1: ([4, 5, 6, 7], [0.0, 1.0, 1.0, 0.0]), 2: ([], []), 3: ([8], [1.0])}
+
+
+def test_only_plans_that_do_more_than_scan_are_stored(spark, tmp_path):
+    from millrace.sources import shared
+
+    spark.range(50).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    few = rows.where("id > 3").select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    assert shared.kept(few, "t") is few
+    for more in (rows.groupBy("id").count(), rows.join(few, "id"), rows.repartition(2), spark.range(3)):
+        found = shared.kept(more, "t")
+        assert found is not more and sorted(found.collect()) == sorted(more.collect())
