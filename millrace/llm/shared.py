@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.shared import clear, drop, store
 
-__all__ = ["clear", "components", "drop", "rows_of", "store", "table"]
+__all__ = ["clear", "components", "drop", "rows_of", "sieved", "store", "table"]
+
+#: Bits of a broadcast bitmap: 16 MB.
+SIEVE = 1 << 27
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -20,6 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sieved(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be among ``keys`` (one long column), and the
+    others, null keys too. The first are all that are, and of those that aren't
+    a share that grows with the number of keys.
+
+    A bitmap of hashes is broadcast, of SIEVE bits whatever the number of keys,
+    so that an exact join behind it shuffles little of the other rows."""
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(SIEVE)) + 1
+    own = place(keys[keys.columns[0]])
+    bits = keys.where(keys[keys.columns[0]].isNotNull()).groupBy(F.bitmap_bucket_number(own).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias("_bits"))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = ((F.floor(byte / F.pow(F.lit(2), at % 8)) % 2) == 1)
+    # the hash of a null is a number
+    hit = (F.bitmap_bucket_number(place(key)) == F.col("_bucket")) & there & key.isNotNull()
+    return rows.join(F.broadcast(bits), hit, "left_semi"), rows.join(F.broadcast(bits), hit, "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph with long node ids.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.decontaminate import shingles
-from millrace.llm.shared import components, rows_of, store
+from millrace.llm.shared import components, rows_of, sieved, store
 
 #: Fingerprints of one bucket that a task compares by itself; those of larger
 #: ones are dealt out as pairs of blocks.
@@ -436,7 +436,8 @@ def verified(families: DataFrame, fps: DataFrame, docs: DataFrame, scheme: Schem
 
     families = families.union(families.select(F.col("root").alias("node"), "root").distinct())
     members = store(fps.join(families, F.col("rep") == F.col("node")).select(*scheme.marks, "rep", "root"), "simhash-members")
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(members.select("rep"), F.col("_id") == F.col("rep"), "left_semi")
+    texts, _ = sieved(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), F.col("_id"), members.select("rep"))
+    texts = texts.join(members.select("rep"), F.col("_id") == F.col("rep"), "left_semi")
     sets = texts.mapInArrow(batches, ", ".join(["_id long", *(f"{w} long" for w in scheme.marks), "_set array<bigint>"])).dropDuplicates(["_id", *scheme.marks])
     rows = sets.withColumnRenamed("_id", "rep").join(members, ["rep", *scheme.marks]).select("root", "rep", "_set")
     rows = store(rows, "simhash-sets")
@@ -472,9 +473,13 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "d
 def keep_one(docs: DataFrame, scheme: Scheme) -> DataFrame:
     """The rows of ``docs``, with all their columns, without near-duplicates:
     of each component the document with the smallest id stays, once; rows
-    without an id stay."""
-    marked = near_duplicates(docs, scheme)
-    kept = marked.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = rows_of(docs).withColumn("_id", F.col("_row.doc_id"))
-    some = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").dropDuplicates(["_id"])
-    return some.unionByName(rows.where("_id is null")).select("_row.*")
+    without an id stay.
+
+    Only rows whose id goes or comes more than once need others to be judged;
+    what the sieve tells apart from these isn't shuffled."""
+    told = near_duplicates(docs, scheme).where("doc_id is not null").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_n"), F.max(F.col("doc_id") == F.col("component_id")).alias("_stays"))
+    told = store(told.where("_n > 1 or not _stays").select("_key", "_stays"), "simhash-judged")
+    rows = rows_of(docs).withColumn("_id", F.col("_row.doc_id").cast("long"))
+    some, rest = sieved(rows, F.col("_id"), told.select("_key"))
+    some = some.join(told, F.col("_id") == F.col("_key"), "left").where("_key is null or _stays").dropDuplicates(["_id"])
+    return some.select("_row").unionByName(rest.select("_row")).select("_row.*")

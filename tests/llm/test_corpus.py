@@ -299,8 +299,8 @@ def test_stages_carry_columns_of_any_name(spark):
     import corpus_pipeline
 
     names = internal_names()
-    assert {"_row", "_lines", "_t", "_kept", "_leaks", "_quality", "rep", "root", "w0", "_id"} <= {*names, "w0"}
-    names = sorted({*names, "w0", "w5"})
+    assert {"_row", "_lines", "_t", "_leaks", "_quality", "rep", "root", "_id", "_key", "_stays"} <= {*names}
+    names = sorted({*names, "w0", "w5", "_kept", "_c", "_l", "_starts", "_cid", "_ct"})
     rows = [(i, " ".join(f"v{i // 2}x{k}" for k in range(80)) + ("\na line\nand more\nhere it is\n" if i < 4 else ""), "en", "src0", 200, *(f"{n}{i}" for n in names)) for i in range(8)]
     docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -105,6 +105,38 @@ def test_components(spark):
     assert all(got.get(n, n) == root for n, root in want.items())
 
 
+def test_a_sieve_keeps_all_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from millrace.llm import shared
+
+    rows = spark.range(-20_000, 20_000).select(F.col("id").alias("x"), F.concat(F.lit("t"), "id").alias("text")).union(spark.createDataFrame([(None, "t")], "x long, text string"))
+    keys = spark.range(-20_000, 20_000, 50).select(F.col("id").alias("rep")).union(spark.createDataFrame([(None,)], "rep long"))
+    for bits, most in ((1 << 27, 850), (1 << 16, 2500)):
+        monkeypatch.setattr(shared, "SIEVE", bits)
+        some, rest = ([r["x"] for r in part.collect()] for part in shared.sieved(rows, F.col("x"), keys))
+        assert set(some) >= set(range(-20_000, 20_000, 50)) and len(some) < most and None not in some
+        assert None in rest and len(some) + len(rest) == 40_001 and not set(some) & set(rest)
+    assert shared.sieved(rows, F.col("x"), keys.limit(0))[0].count() == 0 and shared.sieved(rows, F.col("x"), keys.limit(0))[1].count() == 40_001
+
+
+def test_one_of_each_group_stays_whatever_the_sieve_lets_through(spark, monkeypatch):
+    from millrace.llm import shared
+
+    rng, rows = random.Random(9), []
+    for copies in (1, 2, 3, 9) * 12:
+        rows += [(len(rows) + k, t) for k, t in enumerate(family_texts(rng, copies, 0, 1, 120))]
+    rows += [(3, rows[3][1])] * 2 + [(None, rows[0][1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for i, c in ((r["doc_id"], r["component_id"]) for r in simhash_dedup.near_duplicates(docs, NEAR).collect() if r["doc_id"] is not None):
+        first.setdefault(c, set()).add(i)
+    for bits in (1 << 27, 1 << 15):
+        monkeypatch.setattr(shared, "SIEVE", bits)
+        kept = [r["doc_id"] for r in simhash_dedup.keep_one(docs, NEAR).collect()]
+        assert sorted(i for i in kept if i is not None) == sorted(first) and kept.count(None) == 2 and len(first) == 48
+
+
 def test_line_query_equals_sql(spark):
     same(spark, SF, op6_line_dedup, ORACLE_SQL["op6_line_dedup"])
 
