@@ -9,8 +9,8 @@ from millrace.sources.shared import clear, drop, store
 
 __all__ = ["clear", "components", "drop", "rows_of", "sieved", "store", "table"]
 
-#: Bits of a broadcast bitmap: 16 MB.
-SIEVE = 1 << 27
+#: Bits of a broadcast bitmap: 8 MB.
+SIEVE = 1 << 26
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def sieved(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, Da
     bits = keys.where(keys[keys.columns[0]].isNotNull()).groupBy(F.bitmap_bucket_number(own).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(own)).alias("_bits"))
     at = F.bitmap_bit_position(place(key))
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = ((F.floor(byte / F.pow(F.lit(2), at % 8)) % 2) == 1)
+    there = (F.floor(byte / F.pow(F.lit(2), at % 8)) % 2) == 1
     # the hash of a null is a number
     hit = (F.bitmap_bucket_number(place(key)) == F.col("_bucket")) & there & key.isNotNull()
     return rows.join(F.broadcast(bits), hit, "left_semi"), rows.join(F.broadcast(bits), hit, "left_anti")
