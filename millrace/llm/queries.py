@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.divergence import oracle as divergence_sql
+from millrace.llm.filter_audit import oracle as audit_sql
 from millrace.llm.mixing import oracle as mixing_sql
 from millrace.llm.shared import table
 
@@ -79,7 +81,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents")).select("doc_id", n("email"), n("ip"), n("card"), n("phone"), F.sha2("_base", 256).alias("base_sha256"), F.col("_all").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_simhash, op3_url_filter, op4_quality_crf, op5_decontaminate, op6_line_dedup, op7_mixing, op8_token_counts, op9_secrets, op10_pii)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.filter_audit import audit, failures
+
+    return audit(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), "ABCDE")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"), least=10, top=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_simhash, op3_url_filter, op4_quality_crf, op5_decontaminate, op6_line_dedup, op7_mixing, op8_token_counts, op9_secrets, op10_pii, op11_filter_audit, op12_divergence)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_archive": """
@@ -101,4 +115,6 @@ ORACLE_SQL: dict[str, str] = {
             FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
         SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, text FROM k""",
     "op7_mixing": mixing_sql(),
+    "op11_filter_audit": audit_sql(),
+    "op12_divergence": divergence_sql(),
 }

@@ -1,0 +1,172 @@
+"""Filter interaction and source divergence, against SQL and brute force."""
+
+import re
+from collections import Counter, defaultdict
+from itertools import permutations
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm import divergence as dv
+from millrace.llm import filter_audit as fa
+from millrace.llm.queries import ORACLE_SQL, QUERIES
+from tests.oracle import same
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, part string, _row string, n int"
+
+
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op12_divergence"])
+def test_query_equals_sql(spark, name):
+    same(spark, SF, QUERIES[name], ORACLE_SQL[name])
+
+
+# filters
+
+
+def brute_audit(docs, labels):
+    good, toxic = ({r[0] for r in labels if r[k] == 1 and r[0] is not None} for k in (1, 2))
+    rows = defaultdict(list)
+    for i, text, source in docs:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        fails = {"A": len(words) < 50, "B": 100 * len(set(words)) < 65 * len(words), "C": 100 * len(re.findall("[A-Z]", text)) > 5 * len(text), "D": bool(re.search(r"[#$%&*|]", text))}
+        fails["E"] = i is not None and any(j is not None and j < i and (t or "") == text for j, t, _ in docs)
+        rows[source or ""].append(({f for f, bad in fails.items() if bad}, i in good, i in toxic))
+    out = {}
+    for part, own in rows.items():
+        total = Counter()
+        for order in permutations("ABCDE"):
+            for step, f in enumerate(order):
+                before = set(order[:step])
+                gone = [r for r in own if f in r[0] and not r[0] & before]
+                total[f] += len(gone)
+                out[part, "".join(order), step + 1] = [sum(not r[0] & {*before, f} for r in own), len(gone), sum(f in r[0] and bool(r[0] & before) for r in own), sum(r[0] == {f} for r in own), sum(r[1] for r in gone), sum(r[2] for r in gone)]
+        for (p, order, step), told in out.items():
+            if p == part:
+                told.append(total[order[step - 1]])
+    return out
+
+
+def test_audit_of_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, labels twice, columns
+    of clashing names."""
+    long = " ".join(f"w{i % 70000}" for i in range(120_000))
+    docs = [
+        (1, "a b", "x"), (2, "a b", "x"), (2, "a b", "x"), (3, None, "x"), (4, "", None), (None, "a b", ""), (None, None, None), (5, long, "x"), (6, long, None), (7, "A" * 9 + "#", "é" * 3),
+        (8, " ".join(map(str, range(60))), "x"), (9, " ".join(map(str, range(60))), "y"), (9, "other | text", "y"), (10, " ".join(["same"] * 60), "y"), (11, " wide blank " * 30, "y"), (7, "A" * 9 + "#", "y"),
+    ]
+    labels = [(1, 1, 0), (2, 0, 1), (2, 1, None), (None, 1, 1), (8, 1, 1), (99, 1, 1), (6, None, 1)]
+    table = spark.createDataFrame([(i, t, None, s, "p", "r", 1) for i, t, s in docs], DOCS)
+    got = fa.audit(fa.failures(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), "ABCDE").collect()
+    want = brute_audit(docs, labels)
+    assert {(r["part"], r["filter_order"], r["step"]): list(r[3:]) for r in got} == want and len(got) == len(want)
+
+
+def test_audit_of_nothing(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert fa.audit(fa.failures(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")), "ABCDE").count() == 0
+    with pytest.raises(ValueError, match="filters"):
+        fa.prefix_counts(empty, "ABCDEFG")
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.integers(1, 200), st.integers(1, 40), st.integers(0, 10**6))
+def test_bitmaps_count_like_sets(n, parts, seed):
+    rng = np.random.default_rng(seed)
+    _, part = np.unique(rng.integers(0, parts, n), return_inverse=True)
+    flags = rng.random((5, n)) < 0.4
+    found = fa.batch_counts(part, flags[:3], flags[3:])
+    for p in range(part.max() + 1):
+        for s in range(8):
+            stand = (part == p) & ~np.any([flags[i] for i in range(3) if s >> i & 1], axis=0) if s else part == p
+            assert found[p, s].tolist() == [stand.sum(), (stand & flags[3]).sum(), (stand & flags[4]).sum()]
+
+
+def test_many_parts_are_handed_on(spark, monkeypatch):
+    """More parts than a task holds, over several batches."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fa, "HELD", 100)
+    rows = spark.range(3000).select((F.col("id") % 700).cast("string").alias("part"), *((F.col("id") % k == 0).alias(c) for c, k in (("A", 2), ("B", 3), ("good", 5), ("toxic", 7))))
+    got = {(r["part"], r["subset"]): r["n"] for r in fa.prefix_counts(rows, "AB").collect()}
+    assert len(got) == 2800 and got["0", 0] == 5 and sum(v for (_, s), v in got.items() if s == 3) == 1000
+
+
+# terms
+
+
+def brute_divergence(docs, least, top=10):
+    lower = {i: i + 32 for i in range(65, 91)}
+    rows = [((l or ""), (s or ""), re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(lower))) for l, s, t in docs]
+    out = {}
+    for lang in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == lang]
+        seen = Counter(t for r in own for t in set(r[2]))
+        kept = sorted(t for t in seen if seen[t] >= least)
+        count = {s: Counter(t for r in own if r[1] == s for t in r[2] if seen[t] >= least) for s in {r[1] for r in own}}
+        every = sum(count.values(), Counter())
+        part = lambda c: {t: 1 + 1_000_000_000 * (c[t] + 2) // (sum(c.values()) + 2 * len(kept)) for t in kept}
+        f = lambda p, q: (p - q) ** 2 // (p + q)
+        shares, whole = {s: part(c) for s, c in count.items()}, part(every)
+        for s in count:
+            told = {"pair": [(o, sum(f(shares[s][t], shares[o][t]) for t in kept)) for o in count if o != s], "term": [(t, f(shares[s][t], whole[t])) for t in kept if count[s][t] and shares[s][t] > whole[t]]}
+            for kind, found in told.items():
+                for rank, (item, value) in enumerate(sorted(found, key=lambda x: (-x[1], x[0].encode())), 1):
+                    if kind == "pair" or rank <= top:
+                        out[lang, s, kind, item] = (value, rank)
+    return out
+
+
+def told(spark, docs, least, shape=dv.Sketch()):
+    table = spark.createDataFrame([(i, t, l, s, "p", "r", 1) for i, (l, s, t) in enumerate(docs)], DOCS)
+    return {(r["lang"], r["source"], r["part"], r["item"]): (r["value"], r["rank"]) for r in dv.divergence(table, least, shape=shape).collect()}
+
+
+def test_divergence_of_odd_rows(spark):
+    docs = [
+        ("en", "a", "The the THE cat's_paw"), ("en", "a", "the cat dog"), ("en", "b", "dog dog cat"), ("en", "b", None), ("en", None, ""), ("en", "empty", "12 34"), ("en", "empty", None),
+        (None, None, "être Être ÉTÉ été"), (None, None, "être été"), (None, "x", "naïve"), ("de", "solo", "ja ja"), ("de", "solo", "ja nein"), ("one", "q", "rare"), ("one", "r", "words"),
+        ("en", "a", "the the the"), ("en", "a", "the the the"), ("fr", "s", " wide x " * 3), ("fr", "t", " wide x\U0001f600"), ("en", "b", ("cat " * 10 + "a" * 50 + " dog\n") * 20_000),
+    ]
+    for least in (1, 2, 3):
+        assert told(spark, docs, least) == brute_divergence(docs, least)
+
+
+def test_divergence_of_nothing(spark):
+    assert dv.divergence(spark.createDataFrame([], DOCS)).count() == 0
+    assert dv.divergence(spark.createDataFrame([(None,) * 7], DOCS)).count() == 0
+    with pytest.raises(ValueError, match="least"):
+        dv.sketch(spark.createDataFrame([], DOCS), 256)
+
+
+def test_a_crowded_sketch_changes_nothing(spark, monkeypatch):
+    """A sketch with few counters, tasks that hold few terms, a source that
+    holds a third of all rows."""
+    rng = np.random.default_rng(3)
+    docs = [(f"l{i % 2}", f"s{0 if i % 3 == 0 else i % 7}", " ".join(f"w{'abcdefghij'[j % 10]}{'xyz' * (j // 10)}" for j in rng.zipf(1.4, 30) if j < 90)) for i in range(300)]
+    monkeypatch.setattr(dv, "HELD", 20)
+    assert told(spark, docs, 5, dv.Sketch(64, 2, 32)) == brute_divergence(docs, 5)
+
+
+@settings(deadline=None)
+@given(st.text("aZ é1\u00a0\u2003\x1f\n'", max_size=60), st.integers(1, 20))
+def test_pieces_end_behind_terms(text, piece):
+    want = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate({i: i + 32 for i in range(65, 91)}))
+    assert [t.decode() for own in dv.terms(text, piece) for t in own] == want
+
+
+def test_sketch_drops_rare_terms_and_keeps_all_others(spark):
+    """Counters are at least the document frequency, up to the limit."""
+    docs = [("en", "a", " ".join(f"common{chr(97 + k)}" for k in range(5)) + f" rare{chr(97 + i % 26) * (1 + i // 26)}") for i in range(200)]
+    table = spark.createDataFrame(docs, "lang string, source string, text string").repartition(7)
+    shape = dv.Sketch()
+    merged = np.zeros(shape.width * shape.depth, dtype=np.uint8)
+    for r in dv.sketch(table, 10).collect():
+        merged[r["block"] * shape.block : (r["block"] + 1) * shape.block] = np.frombuffer(r["counters"], dtype=np.uint8)
+    seen = Counter(t for _, _, text in docs for t in set(text.split()))
+    told = merged[dv.cells("en", [t.encode() for t in seen])].min(axis=0)
+    assert all(n >= min(10, seen[t]) for n, t in zip(told, seen))
+    assert {r["term"] for r in dv.counted(table, 10).collect()} == {t for t in seen if seen[t] >= 10}
