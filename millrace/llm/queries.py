@@ -93,7 +93,15 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"), least=10, top=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_simhash, op3_url_filter, op4_quality_crf, op5_decontaminate, op6_line_dedup, op7_mixing, op8_token_counts, op9_secrets, op10_pii, op11_filter_audit, op12_divergence)}
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import remainder, score, train, training_sample
+
+    docs, fold = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"))
+    net = train(training_sample(docs, table(spark, sf_dir, "labels").where(fold != 1)))
+    return score(docs.select("doc_id", "text"), net).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "_toxicity.*")
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_simhash, op3_url_filter, op4_quality_crf, op5_decontaminate, op6_line_dedup, op7_mixing, op8_token_counts, op9_secrets, op10_pii, op11_filter_audit, op12_divergence, op13_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_archive": """
