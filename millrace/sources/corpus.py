@@ -7,6 +7,7 @@ will do.
 from __future__ import annotations
 
 import json
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,24 +36,55 @@ def glob_root(pattern: str) -> str:
     return "/".join(parts) or "/"
 
 
+def glob_regex(pattern: str) -> str:
+    """A glob as a regular expression over paths: ``**`` is any depth, ``*``,
+    ``?`` and ``[ab]``, ``[!ab]`` stay within a name. Names that begin with a
+    dot are only matched by a dot."""
+    out, parts = "", pattern.split("/")
+    for i, part in enumerate(parts):
+        last = i == len(parts) - 1
+        if part == "**":
+            out += r"(?:(?!\.)[^/]+/)*" + (r"(?!\.)[^/]+" if last else "")
+            continue
+        body = re.sub(r"\[(!?)(\]?[^\]]*)\]|(\*+)|(\?)|(.)", lambda m: f"[{'^' if m[1] else ''}{_in_class(m[2])}]" if m[2] else "[^/]*" if m[3] else "[^/]" if m[4] else re.escape(m[0]), part)
+        out += (r"(?!\.)" if part[:1] in ("*", "?", "[") else "") + body + ("" if last else "/")
+    return out
+
+
+def _in_class(chars: str) -> str:
+    return re.sub(r"([\\\[\]^&~|])", r"\\\1", chars)
+
+
 def list_files(spark: SparkSession, pattern: str, suffix: str = ".parquet") -> list[str]:
-    """Sorted files under the glob's root that fit it; ``**`` is any depth."""
+    """Sorted files that fit a glob and end with the suffix; of a folder that
+    fits, the files right in it."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(glob_root(pattern))
+    wild = any(c in pattern for c in "*?[")
+    root = jvm.org.apache.hadoop.fs.Path(glob_root(pattern) if wild else pattern)
     fs = root.getFileSystem(conf)
-    found = []
-    if "**" in pattern:
-        if fs.exists(root):
+    found, held = [], fs.exists(root)
+    in_folder = lambda p: [s.getPath().toString() for s in fs.listStatus(p) if s.isFile()]
+    if held and not wild:
+        found = in_folder(root)
+    elif held:
+        below = pattern[len(glob_root(pattern)) :].strip("/")
+        base = fs.makeQualified(root).toString().rstrip("/") + "/"
+        name = re.compile(glob_regex(below))
+        if "**" in below.split("/"):
             walk = fs.listFiles(root, True)
             while walk.hasNext():
-                found.append(walk.next().getPath().toString())
-    else:
-        path = jvm.org.apache.hadoop.fs.Path(pattern)
-        for status in fs.globStatus(path) or []:
-            if status.isDirectory():
-                found += [s.getPath().toString() for s in fs.listStatus(status.getPath()) if s.isFile()]
-            else:
-                found.append(status.getPath().toString())
+                path = walk.next().getPath().toString()
+                if name.fullmatch(path[len(base) :]):
+                    found.append(path)
+        else:
+            level = [root]
+            for part in below.split("/"):
+                # a folder at a time, so that nothing beside the pattern is listed
+                fits = re.compile(glob_regex(part))
+                level = [s for p in level for s in fs.listStatus(p) if fits.fullmatch(s.getPath().getName())]
+                found = [s.getPath().toString() for s in level if s.isFile()]
+                level = [s.getPath() for s in level if s.isDirectory()]
+            found += [f for p in level for f in in_folder(p)]
     found = sorted(f for f in found if f.endswith(suffix))
     if not found:
         raise FileNotFoundError(f"no {suffix} file fits {pattern!r}")

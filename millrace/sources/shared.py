@@ -8,19 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions by application: a running session does
+#: not let the setting be changed.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` as the session has it.
 
-    Where none is set, a local session (tests) gets a temporary folder,
-    remembered in the session; on a cluster that would be another folder on
-    each machine, so there it is an error.
+    Where none is set, a local session (tests) gets a temporary folder, the
+    same as long as it lasts; on a cluster that would be another folder on each
+    machine, so there it is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
+        if context.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _LOCAL.get(context.applicationId)
+        if found is None:
+            found = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="millrace-")
     return found.rstrip("/")
 
 

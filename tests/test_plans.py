@@ -210,6 +210,57 @@ def test_cluster_sessions_need_a_shared_folder():
         shared.shared_dir(Session())
 
 
+def test_globs_honour_their_whole_pattern(spark, tmp_path):
+    """The same files as Python's recursive glob."""
+    import glob
+
+    for name in ("raw/a/train-1/x.parquet", "raw/a/val-1/x.parquet", "raw/a/notes/x.parquet", "raw/b/c/train-2/y.parquet", "raw/train-3/z.parquet", "raw/b1.parquet", "raw/b2.parquet", "raw/c[1].parquet", "raw/.hidden/x.parquet", "raw/a/.x.parquet", "raw/a/b{1}.parquet", "raw/a/deep/er/b9.parquet", "raw/a/data.txt", "raw/a+b/x.parquet"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    for pattern in (
+        "**/*.parquet", "**/train-*/*.parquet", "*/train-*/*.parquet", "a/**/*.parquet", "a/**/b*.parquet", "*/x/**", "*/**/y.parquet", "b[12].parquet", "b?.parquet", "b[!1].parquet", "c[[]1].parquet", "[!b]*.parquet", "*", "**",
+        "a/*/x.parquet", "**/.x.parquet", ".hidden/*", "**/b{1}.parquet", "a+b/*", "**/deep/**/*.parquet", "none/*.parquet", "**/er/*", "*/*/*/*.parquet", "[a-b]/c/**/*.parquet", "b1.parquet",
+    ):
+        want = sorted(f for f in glob.glob(f"{tmp_path}/raw/{pattern}", recursive=True) if f.endswith(".parquet") and (tmp_path / f).is_file())
+        try:
+            got = [f.split("file:")[1] for f in corpus.list_files(spark, f"{tmp_path}/raw/{pattern}")]
+        except FileNotFoundError:
+            got = []
+        if pattern != "*":
+            assert got == want, pattern
+        else:
+            assert set(want) <= set(got)  # folders that fit stand for the files in them
+
+
+def test_a_bare_session_gets_a_folder(tmp_path):
+    """Spark without spark.checkpoint.dir: entry() and the command line."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "conf").mkdir()
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {str(tmp_path / 'w')!r}).getOrCreate()
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+import __spark_entry__
+from millrace.__main__ import main
+from millrace.sources.shared import shared_dir
+assert __spark_entry__.entry(spark).count() > 0
+for domain in ("a", "b"):
+    spark.createDataFrame([(" ".join(["w", domain] * 30),)], "text string").write.parquet({str(tmp_path)!r} + f"/raw/{{domain}}/o{{domain}}")
+main(["ingest", "--adapt-glob", {str(tmp_path)!r} + "/raw/a/**/*.parquet", "--replay-glob", {str(tmp_path)!r} + "/raw/b/**/*.parquet", "--out", {str(tmp_path)!r} + "/blocks", "--block-size", "16"], spark)
+assert shared_dir(spark) == shared_dir(spark)
+print("blocks", spark.read.parquet({str(tmp_path)!r} + "/blocks").count())
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith("PYSPARK_SUBMIT")} | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "TMPDIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "blocks 6" in done.stdout, done.stderr[-2000:]
+
+
 def test_files_without_the_text_column_have_no_rows(spark, tmp_path):
     spark.createDataFrame([("a",), (None,), ("",)], "text string").coalesce(1).write.parquet(f"{tmp_path}/one")
     spark.createDataFrame([(1,)], "other int").coalesce(1).write.parquet(f"{tmp_path}/two")
