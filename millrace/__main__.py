@@ -58,13 +58,15 @@ def _precompute_settings(args: argparse.Namespace) -> dict[str, str]:
 
 def _model_options(p: argparse.ArgumentParser) -> None:
     p.add_argument("--model", help="ONNX file of a causal language model to score with; without it a count model is trained")
-    p.add_argument("--vocabulary", type=int, default=1 << 16, help="of the count model")
+    p.add_argument("--order", type=int, default=3, help="tokens that the count model looks at, the scored one included")
+    p.add_argument("--vocabulary", type=int, default=1 << 17, help="ids that an unseen token may be one of")
 
 
-def _scorer(args: argparse.Namespace, blocks=None):
-    from millrace.operators.scoring import OnnxScorer, UnigramScorer
+def _scorer(spark, args: argparse.Namespace, blocks=None):
+    from millrace.operators.ngram import NgramScorer
+    from millrace.operators.scoring import OnnxScorer
 
-    return OnnxScorer(args.model) if args.model else UnigramScorer(args.vocabulary, blocks)
+    return OnnxScorer(args.model) if args.model else NgramScorer(spark, args.order, space=args.vocabulary, blocks=blocks)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -120,14 +122,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         told = _precompute_settings(args)
         blocks = corpus.read_blocks(spark, told["blocks"])
-        precompute(blocks, told["domain"], _scorer(args, blocks.where(blocks.domain == told["domain"])), told["cache"], args.max_rows)
+        precompute(blocks, told["domain"], _scorer(spark, args, blocks.where(blocks.domain == told["domain"])), told["cache"], args.max_rows)
     elif args.command == "train":
         from millrace.plans.train import prepare, resume, train_loop
 
         run = config.build(config.RunConfig, _layers(args), args.strict)
         rows, val = prepare(spark, run.mixer)
-        scorer, at = _scorer(args), f"{args.out}/state"
-        print(train_loop(rows, val, scorer, run.train, resume(spark, at, scorer), f"{args.out}/trace", f"{args.out}/metrics", at))
+        scorer = _scorer(spark, args)
+        print(train_loop(rows, val, scorer, run.train, resume(spark, args.out, scorer), args.out))
     else:
         from millrace.operators.merge import merge_weights
         from millrace.sources.tensors import copy_others, read_tensors, write_tensors

@@ -65,7 +65,7 @@ class NgramScorer:
             raise ValueError(f"order and space must be at least 1 and mass above 0, got {order}, {space}, {mass}")
         self.spark, self.order, self.mass, self.space = spark, order, float(mass), space
         self.levels: list[tuple[int, DataFrame, DataFrame, bool]] = []  # rows, grams, contexts, whether they are its own
-        self.tokens = 0
+        self.tokens, self.scratch = 0, []
         if blocks is not None:
             self.update(blocks)
 
@@ -99,6 +99,7 @@ class NgramScorer:
 
     def close(self) -> None:
         """Removes its tables."""
+        self.forget()
         self._drop(self.levels)
         self.levels, self.tokens = [], 0
 
@@ -141,6 +142,7 @@ class NgramScorer:
         so that rows that are alike stay apart. Each distinct gram is looked up
         once and joined back to its places; an empty block has an empty list."""
         kept = store(blocks.withColumn("_row", F.monotonically_increasing_id()), "ngram-blocks")
+        self.scratch.append(kept)
         names = [f"c{n}" for n in range(self.order)]
         rows = places(kept, self.order, "_row")
         found = self.probabilities(rows.select("token", *names).distinct())
@@ -150,6 +152,12 @@ class NgramScorer:
         out = kept.join(lists, F.col("_row") == F.col("_at_row"), "left")
         return out.withColumn("token_logprobs", F.coalesce("_lp", F.array().cast("array<double>"))).drop("_row", "_at_row", "_lp")
 
+    def forget(self) -> None:
+        """Removes the copies that scored rows are read from, once these are."""
+        for kept in self.scratch:
+            drop(kept)
+        self.scratch = []
+
     def save(self, spark: SparkSession, path: str) -> None:
         self.grams().write.parquet(path)
 

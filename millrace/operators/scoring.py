@@ -24,7 +24,8 @@ MAX_VOCABULARY = 1 << 20
 
 class Scorer(Protocol):
     """A scorer that learns may also have ``save(spark, path)`` and
-    ``load(spark, path)``; a checkpoint then holds its model."""
+    ``load(spark, path)``; a commit then holds its model. One that stores what
+    it scores has ``forget()``, called once a step's rows were read."""
 
     def logprobs(self, blocks: DataFrame) -> DataFrame:
         """``blocks`` with ``token_logprobs``: one per token of ``token_ids``."""

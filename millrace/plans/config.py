@@ -77,6 +77,7 @@ class TrainConfig:
     devices: int = 1
     curriculum: bool = False
     shuffle: bool = True
+    shuffle_chunk: int = 1
     seed: int = 42
 
     def __post_init__(self):

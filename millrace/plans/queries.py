@@ -7,16 +7,19 @@ candidates in whole milli-units, so that sums are exact.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import arrays, names
+from millrace.functions.permutation import EpochOrder
 from millrace.operators import cache as caching
 from millrace.operators import collate, curriculum, merge, metrics, mixer, packing, sampling, selection, validation
-from millrace.operators.scoring import FixedScorer, UnigramScorer, token_counts, with_rho, with_target_loss
+from millrace.operators.ngram import NgramScorer
+from millrace.operators.scoring import FixedScorer, token_counts, with_rho, with_target_loss
 from millrace.plans.config import IngestConfig, TrainConfig
 from millrace.plans.precompute import precompute
-from millrace.plans.train import load_state, pools, resume, train_loop, validate
+from millrace.plans.train import load_state, pools, resume, run_metrics, run_trace, train_loop, validate
 from millrace.sources import corpus
 from millrace.sources.shared import new_path, store
 
@@ -508,56 +511,101 @@ def tensors_round_trip(spark, sf):
     return read_tensors(spark, path).select("name", "dtype", F.get("shape", F.lit(0)).alias("length"), F.md5(values).alias("digest"))
 
 
+def pool_size(rows: DataFrame) -> int:
+    """Eight pools an epoch."""
+    return max(K, rows.count() // 8)
+
+
+def learnt(rows: DataFrame) -> NgramScorer:
+    """Trigrams of the replay blocks, learnt in three parts."""
+    scorer = NgramScorer(rows.sparkSession)
+    for part in range(3):
+        scorer.update(rows.where((F.col("origin_tag") == 1) & (F.col("block") % 3 == part)))
+    return scorer
+
+
 @query
-def training_loop(spark, sf):
-    """An epoch of the loop with the unigram scorer: what each step selected.
-    Pools of at least 256 grow with the table, up to 32 of them; fewer rows
-    than there are pools are left over."""
+def ngram_counts(spark, sf):
+    """Of each order and token: contexts that it follows, and how often."""
+    return learnt(blocks(spark, sf)).grams().groupBy("n", "token").agg(F.count("*").alias("contexts"), F.sum("c").alias("c"))
+
+
+@query
+def ngram_losses(spark, sf):
+    """All blocks by what was learnt of the replay blocks: losses in whole
+    millionths, token by token, so that their sums are exact."""
     rows = blocks(spark, sf)
-    replay = UnigramScorer(1000, rows.where("origin_tag = 1"))
-    both = UnigramScorer(1000, rows)
-    scored = with_target_loss(rows, both).withColumnRenamed("target_loss", "ref_loss").drop("sample_mask")
-    path = new_path(spark, "trace")
-    n = rows.count()
-    size = n // max(1, min(32, n // 256))
-    train_loop(scored, None, replay, TrainConfig(pool_size=size, top_k=64 * max(1, size // 256), log_selected=True), trace_path=path)
-    return spark.read.schema(corpus.TRACE_SCHEMA).json(path)
+    scored = learnt(rows).logprobs(rows.select(*BLOCK_KEY, "token_ids"))
+    micro = F.aggregate(F.transform("token_logprobs", lambda p: F.round(p * -1_000_000).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return scored.select(*BLOCK_KEY, micro.alias("loss"), F.size("token_logprobs").cast("long").alias("n_tokens"))
 
 
-def pool_size(rows: DataFrame) -> int:
-    """Eight pools an epoch."""
-    return max(K, rows.count() // 8)
+@query
+def training_loop(spark, sf):
+    """An epoch of the loop with a trigram model that learns: what each step
+    selected. It starts from the replay blocks; the reference has seen all."""
+    rows = blocks(spark, sf)
+    replay, both, out = learnt(rows), NgramScorer(spark, blocks=rows), new_path(spark, "run")
+    scored = store(with_target_loss(rows, both).withColumnRenamed("target_loss", "ref_loss").drop("sample_mask"), "scored")
+    train_loop(scored, None, replay, TrainConfig(pool_size=pool_size(rows), top_k=K, log_selected=True), out=out)
+    for scorer in (replay, both):
+        scorer.close()
+    return run_trace(spark, out)
 
 
 @query
 def loop_resume(spark, sf):
     """Two epochs with a scorer that doesn't learn; the run stops within the
-    first one and goes on from its checkpoint."""
-    rows = with_reference(blocks(spark, sf))
-    trace, at, size = new_path(spark, "trace"), new_path(spark, "state"), pool_size(rows)
+    first one and goes on from its last commit."""
+    rows, out = with_reference(blocks(spark, sf)), new_path(spark, "run")
     for most in (3, None):
-        cfg = TrainConfig(pool_size=size, top_k=K, max_steps=most, max_epochs=2, log_selected=True)
-        train_loop(rows, None, fixed(), cfg, resume(spark, at, fixed()), trace_path=trace, state_path=at)
-    return spark.read.schema(corpus.TRACE_SCHEMA).json(trace).select("step", "content_hash", "origin", "rho", "rank")
+        cfg = TrainConfig(pool_size=pool_size(rows), top_k=K, max_steps=most, max_epochs=2, log_selected=True)
+        train_loop(rows, None, fixed(), cfg, resume(spark, out, fixed()), out)
+    return run_trace(spark, out).select("step", "content_hash", "origin", "rho", "rank")
+
+
+@query
+def run_snapshot(spark, sf):
+    """A run that commits every two steps, read as of its second commit: its
+    trace, and the steps that its metrics hold."""
+    rows, out = with_reference(blocks(spark, sf)), new_path(spark, "run")
+    train_loop(rows, None, fixed(), TrainConfig(pool_size=pool_size(rows), top_k=K, save_period=2, log_selected=True), out=out)
+    steps = run_metrics(spark, out, 2).where("metric = 'selection/k_effective'").select("step", F.col("value").cast("long").alias("k"))
+    return run_trace(spark, out, 2).join(steps, "step").select("step", "k", "content_hash", "rank")
 
 
 @query
 def loop_plain(spark, sf):
     """Without selection: whole pools, no reference losses."""
-    rows, path = blocks(spark, sf), new_path(spark, "trace")
+    rows, out = blocks(spark, sf), new_path(spark, "run")
     size = pool_size(rows)
-    train_loop(rows, None, fixed(), TrainConfig(pool_size=size, top_k=size, enable_selection=False, log_selected=True), trace_path=path)
-    return spark.read.schema(corpus.TRACE_SCHEMA).json(path).select("step", "content_hash", F.col("rank").cast("long").alias("block_id"))
+    train_loop(rows, None, fixed(), TrainConfig(pool_size=size, top_k=size, enable_selection=False, log_selected=True), out=out)
+    return run_trace(spark, out).select("step", "content_hash", F.col("rank").cast("long").alias("block_id"))
 
 
 @query
 def loop_counters(spark, sf):
     """The state after an epoch in which every third pool has no candidate."""
     rows = with_reference(blocks(spark, sf))
-    at, size = new_path(spark, "state"), pool_size(rows)
-    placed = pools(rows, size, f"epoch:{SEED}:0").withColumn("ref_loss", F.when(F.col("step") % 3 == 1, float("nan")).otherwise(F.col("ref_loss"))).drop("step", "block_id")
-    train_loop(placed, None, fixed(), TrainConfig(pool_size=size, top_k=K), state_path=at)
-    return spark.createDataFrame([load_state(spark, at)], "epoch long, step long, total_steps long, consumed_samples long, total_valid_tokens long")
+    out, size = new_path(spark, "run"), pool_size(rows)
+    placed = pools(rows, size, f"order:{SEED}", whole=False).withColumn("ref_loss", F.when(F.col("step") % 3 == 1, float("nan")).otherwise(F.col("ref_loss"))).drop("step", "block_id")
+    train_loop(placed, None, fixed(), TrainConfig(pool_size=size, top_k=K, shuffle=False), out=out)
+    return spark.createDataFrame([load_state(spark, out)], "epoch long, step long, total_steps long, consumed_samples long, total_valid_tokens long")
+
+
+@query
+def epoch_order(spark, sf):
+    """Positions of all blocks in three epochs: numbers by hash, then a keyed
+    permutation; the last epoch keeps runs of five numbers together."""
+    rows = blocks(spark, sf)
+    numbered = store(pools(rows, 1, f"order:{SEED}", whole=False).select(*BLOCK_KEY, F.col("block_id").alias("number")), "numbers")
+    n, out = numbered.count(), None
+    for epoch, chunk in ((0, 1), (1, 1), (2, 5)):
+        order = EpochOrder(n, f"epoch:{SEED}:{epoch}", chunk)
+        number = F.pandas_udf(lambda p, order=order: pd.Series(order.numbers(p.to_numpy())), "long")
+        at = spark.range(n).select(F.lit(epoch).alias("epoch"), F.col("id").alias("position"), number("id").alias("number"))
+        out = at if out is None else out.unionByName(at)
+    return numbered.join(out, "number").select(*BLOCK_KEY, "epoch", "position")
 
 
 @query
@@ -588,6 +636,16 @@ def read_documents(spark, sf):
     return found.select("origin", F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"))
 
 
+@query
+def read_documents_glob(spark, sf):
+    """A narrower pattern over a tree in which held-out files lie beside."""
+    path, docs = new_path(spark, "raw"), table(spark, sf, "documents").where("text <> ''")
+    for name, odd in (("train-1", 0), ("val-1", 1)):
+        docs.where(F.col("doc_id") % 2 == odd).select(F.concat(F.lit("cc-"), "lang").alias("folder"), "text").write.partitionBy("folder").parquet(f"{path}/{name}")
+    found = corpus.read_documents(spark, f"{path}/**/train-*/folder=cc-[de]*/*.parquet", "general")
+    return found.select("origin", F.sha2("text", 256).alias("digest"))
+
+
 @query
 def read_blocks_cap(spark, sf):
     """A read cap counts rows in the files' order, whatever these hold."""

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+from millrace.functions.permutation import PRIME, constants
+
 _WS = r"[\x20\x09-\x0D]+"
 
 
@@ -77,11 +81,34 @@ _LOSS = "list_sum(list_transform(token_ids[2:], lambda t: t % 7))::DOUBLE / (len
 _REF = "(token_ids[1] % 5)::DOUBLE"
 
 
-def _loop(sql: str) -> str:
+def _permuted(key: str, n: str = "n", base: str = "m") -> str:
+    """``perm(p, y)``: where each p of 0..n-1 goes, by the rounds of a Feistel
+    network over a x b and by walking on what falls on n or beyond. ``base`` is
+    a table of one row that has n."""
+    hashed = lambda v, f, s: f"(({v} + {s}) % {PRIME}) * (({v} + {s}) % {PRIME}) % {PRIME} * {f} % {PRIME}"
+    steps = [f"ab AS (SELECT {n} AS n, ceil(sqrt({n}))::BIGINT AS a FROM {base}), abn AS (SELECT n, a, ceil(n / a)::BIGINT AS b FROM ab), s0 AS (SELECT n, a, b, x, x // b AS l, x % b AS r FROM (SELECT *, unnest(range(a * b)) AS x FROM abn))"]
+    for i, (f, s) in enumerate(constants(key)):
+        half = f"(l + {hashed('r', f, s)}) % a AS l, r" if i % 2 == 0 else f"l, (r + {hashed('l', f, s)}) % b AS r"
+        steps.append(f"s{i + 1} AS (SELECT n, a, b, x, {half} FROM s{i})")
+    steps.append(f"once AS (SELECT x, l * b + r AS y, n FROM s{len(constants(key))}), walk AS (SELECT x AS p, y FROM once WHERE x < n UNION ALL SELECT p, once.y FROM walk JOIN once ON walk.y = once.x WHERE once.x >= n), perm AS (SELECT p, y FROM walk WHERE y < (SELECT {n} FROM {base}))")
+    return "WITH RECURSIVE " + ", ".join(steps)
+
+
+def _positions(epoch: int, chunk: int = 1) -> str:
+    """``number, position`` of an epoch; ``m`` has n."""
+    key = f"epoch:42:{epoch}"
+    turn = 0 if chunk == 1 else f"{int(sha256(f'{key}:turn'.encode()).hexdigest()[:12], 16)}::BIGINT % n"
+    return f"""({_permuted(key, "(n // {0})".format(chunk))} SELECT (p + {turn}) % n AS number, position FROM
+        (SELECT y * {chunk} + k AS p, perm.p * {chunk} + k AS position FROM perm, (SELECT unnest(range({chunk})) AS k) UNION ALL SELECT q, q FROM (SELECT unnest(range(n // {chunk} * {chunk}, n)) AS q FROM m)), m)"""
+
+
+_NUMBERS = f"numbers AS (SELECT *, row_number() OVER (ORDER BY {_digits('order:42', 'content_hash')}, content_hash, origin, block) - 1 AS number FROM blocks), m AS (SELECT count(*) AS n FROM blocks)"
+
+
+def _loop(sql: str, shuffle: bool = True) -> str:
     """``whole``: the rows of two epochs' whole pools, with their losses."""
-    order = lambda e: f"{_digits(f'epoch:42:{e}', 'content_hash')}, content_hash, origin, block"
-    epoch = lambda e: f"SELECT {e} AS epoch, content_hash, origin, token_ids, row_number() OVER (ORDER BY {order(e)}) - 1 AS i, count(*) OVER () AS n FROM blocks"
-    return _with("blocks", f""", placed AS ({epoch(0)} UNION ALL {epoch(1)}), sizes AS (SELECT *, greatest(16, n // 8) AS size FROM placed),
+    epoch = lambda e: f"SELECT {e} AS epoch, content_hash, origin, token_ids, position AS i, n FROM numbers JOIN {_positions(e) if shuffle else '(SELECT number, number AS position FROM numbers)'} USING (number), m"
+    return _with("blocks", f""", {_NUMBERS}, placed AS ({epoch(0)} UNION ALL {epoch(1)}), sizes AS (SELECT *, greatest(16, n // 8) AS size FROM placed),
         whole AS (SELECT *, i // size AS pool, {_LOSS} - {_REF} AS rho FROM sizes WHERE (i // size + 1) * size <= n) {sql}""")
 
 
@@ -105,6 +132,10 @@ def _ratio(n: str, of: str) -> str:
     return f"count(*) FILTER ({n}) / greatest(count(*) FILTER ({of}), 1)::DOUBLE"
 
 
+#: Places of tokens in a block, and counts of the replay blocks' grams.
+_PLACES = f"SELECT {_KEY}, origin_tag, token_ids AS ids, unnest(token_ids) AS token, unnest(range(len(token_ids))) AS pos FROM blocks"
+_GRAMS = f"places AS ({_PLACES}), grams AS (SELECT n::INT AS n, ids[pos - n + 1:pos] AS ctx, token, count(*) AS c FROM places, (SELECT unnest(range(3)) AS n) WHERE origin_tag = 1 AND pos >= n GROUP BY ALL)"
+
 _SELECTION = {
     **{f"{c}_{n}": _mean(v, f"origin_tag = {t}") for t, n in ((0, "adapt"), (1, "replay")) for c, v in (("target_loss", "target_loss"), ("ref_loss", "ref"), ("rho_mean", "rho"))},
     **{f"n_selected_{n}": f"count(*) FILTER (selected AND origin_tag = {t})" for t, n in ((0, "adapt"), (1, "replay"))},
@@ -210,10 +241,20 @@ ORACLE_SQL = {
     "loop_resume": _loop(f""", r AS (SELECT *, row_number() OVER (PARTITION BY epoch, pool ORDER BY rho DESC, i) AS rank FROM whole)
         SELECT epoch * (n // size) + pool + 1 AS step, content_hash, origin, rho, rank::INT AS rank FROM r WHERE rank <= 16"""),
     "loop_plain": _loop("SELECT pool + 1 AS step, content_hash, i AS block_id FROM whole WHERE epoch = 0"),
-    "loop_counters": _loop(", s AS (SELECT count(DISTINCT pool) FILTER (pool % 3 <> 1) AS t, any_value(size) AS size FROM whole WHERE epoch = 0) SELECT 1::BIGINT AS epoch, 0::BIGINT AS step, t AS total_steps, (t * size)::BIGINT AS consumed_samples, (t * 16 * 64)::BIGINT AS total_valid_tokens FROM s"),
+    "run_snapshot": _loop(""", r AS (SELECT *, row_number() OVER (PARTITION BY epoch, pool ORDER BY rho DESC, i) AS rank FROM whole)
+        SELECT pool + 1 AS step, 16::BIGINT AS k, content_hash, rank::INT AS rank FROM r WHERE rank <= 16 AND epoch = 0 AND pool < 4"""),
+    "epoch_order": _with("blocks", f", {_NUMBERS} " + " UNION ALL ".join(f"SELECT {_KEY}, {e}::INT AS epoch, position FROM numbers JOIN {_positions(e, c)} USING (number)" for e, c in ((0, 1), (1, 1), (2, 5)))),
+    "ngram_counts": _with("blocks", f", {_GRAMS} SELECT n, token, count(*) AS contexts, sum(c)::BIGINT AS c FROM grams GROUP BY ALL"),
+    "ngram_losses": _with("blocks", f""", {_GRAMS}, contexts AS (SELECT n, ctx, sum(c) AS c FROM grams GROUP BY ALL), every AS ({_PLACES}),
+        p0 AS (SELECT e.*, (coalesce(g.c, 0) + 4.0::DOUBLE * (1.0::DOUBLE / 131072)) / (x.c + 4.0::DOUBLE) AS p FROM every e JOIN contexts x ON x.n = 0 LEFT JOIN grams g ON g.n = 0 AND g.token = e.token),
+        p1 AS (SELECT e.* EXCLUDE p, CASE WHEN pos >= 1 THEN (coalesce(g.c, 0) + 4.0::DOUBLE * p) / (coalesce(x.c, 0) + 4.0::DOUBLE) ELSE p END AS p FROM p0 e LEFT JOIN grams g ON g.n = 1 AND g.ctx = ids[pos:pos] AND g.token = e.token LEFT JOIN contexts x ON x.n = 1 AND x.ctx = ids[pos:pos]),
+        p2 AS (SELECT e.* EXCLUDE p, CASE WHEN pos >= 2 THEN (coalesce(g.c, 0) + 4.0::DOUBLE * p) / (coalesce(x.c, 0) + 4.0::DOUBLE) ELSE p END AS p FROM p1 e LEFT JOIN grams g ON g.n = 2 AND g.ctx = ids[pos - 1:pos] AND g.token = e.token LEFT JOIN contexts x ON x.n = 2 AND x.ctx = ids[pos - 1:pos])
+        SELECT {_KEY}, sum(round(ln(p) * -1000000)::BIGINT)::BIGINT AS loss, count(*) AS n_tokens FROM p2 GROUP BY ALL"""),
+    "loop_counters": _loop(", s AS (SELECT count(DISTINCT pool) FILTER (pool % 3 <> 1) AS t, any_value(size) AS size FROM whole WHERE epoch = 0) SELECT 1::BIGINT AS epoch, 0::BIGINT AS step, t AS total_steps, (t * size)::BIGINT AS consumed_samples, (t * 16 * 64)::BIGINT AS total_valid_tokens FROM s", shuffle=False),
     "cache_passes": _with("blocks", f"SELECT DISTINCT content_hash, ({_LOSS})::FLOAT::DOUBLE AS ref_loss FROM blocks"),
     "cache_pass_cap": _with("blocks", ", d AS (SELECT content_hash, origin, origin_tag, min(block) AS block FROM blocks WHERE domain = 'german' GROUP BY ALL) SELECT content_hash, origin, origin_tag, 63 AS n_response_tokens FROM d ORDER BY origin, block LIMIT 100"),
     "read_documents": "SELECT 'folder_nemotron_cc_' || lang AS origin, sha256(text) AS digest, length(text)::INT AS n_chars FROM documents WHERE text <> ''",
+    "read_documents_glob": "SELECT 'train_1' AS origin, sha256(text) AS digest FROM documents WHERE text <> '' AND doc_id % 2 = 0 AND lang IN ('de', 'en', 'es')",
     "read_blocks_cap": _with("blocks", ", s AS (SELECT domain FROM blocks) SELECT least(300, count(*)) AS n_rows, 1::BIGINT AS n_domains FROM s"),
     "cap_gate": _with("blocks", "SELECT origin, 2 * count(*) AS n FROM blocks GROUP BY origin"),
     "map_round_trip": "SELECT DISTINCT lang || '_' || source AS origin, 'cap_' || lang AS capability FROM documents WHERE lang IN ('de', 'en', 'fr')",

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import json
 import time
-import uuid
 from dataclasses import asdict, dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.hashing import hash_digits
+from millrace.functions.permutation import EpochOrder
 from millrace.operators.cache import dedup_cache, join_ref_loss
 from millrace.operators.curriculum import build_curriculum, trace_rows
 from millrace.operators.metrics import by_origin, long_table, rho_percentiles, score_metrics, selection_metrics
@@ -22,8 +23,9 @@ from millrace.operators.scoring import Scorer, with_rho, with_target_loss
 from millrace.operators.selection import select, usable
 from millrace.operators.validation import corpus_means, corpus_sums, loss_by_origin, validation_loss
 from millrace.plans.config import MixerConfig, TrainConfig
-from millrace.sources.corpus import append_trace, read_blocks, read_cache, read_trace
-from millrace.sources.shared import delete, folders, new_path, rename, store
+from millrace.sources.commits import CommitLog
+from millrace.sources.corpus import TRACE_SCHEMA, append_trace, read_blocks, read_cache, read_trace
+from millrace.sources.shared import delete, drop, kept, new_path, store
 
 METRIC_SCHEMA = "step long, prefix string, metric string, value double"
 
@@ -68,13 +70,24 @@ def pools(rows: DataFrame, size: int, salt: str | None, whole: bool = True) -> D
     return (out.where((F.col("step") + 1) * size <= F.col("_size")) if whole else out).drop("_size")
 
 
-def validate(val: DataFrame, scorer: Scorer, cfg: TrainConfig, batch: int) -> DataFrame:
-    """``metric, value`` of a validation pass. The losses are stored, as
-    several aggregates read them."""
+def validation_batches(val: DataFrame, cfg: TrainConfig, batch: int) -> DataFrame:
+    """Validation rows by batches, in the order of every run."""
     rows = pools(val, batch, f"valshuf:{cfg.seed}", whole=False).withColumnRenamed("step", "batch").withColumn("sample_mask", F.lit(1.0))
     rows = rows.where(F.col("batch") < cfg.val_batches) if cfg.val_batches > 0 else rows
-    rows = with_target_loss(rows if "ref_loss" in rows.columns else rows.withColumn("ref_loss", F.lit(None).cast("double")), scorer)
-    rows = store(rows.select("batch", "origin", "origin_tag", "sample_mask", "target_loss", "ref_loss"), "validation")
+    return rows if "ref_loss" in rows.columns else rows.withColumn("ref_loss", F.lit(None).cast("double"))
+
+
+def validate(val: DataFrame, scorer: Scorer, cfg: TrainConfig, batch: int) -> DataFrame:
+    """``metric, value`` of a validation pass over rows in any order."""
+    return validation_metrics(validation_losses(validation_batches(val, cfg, batch), scorer))
+
+
+def validation_losses(batches: DataFrame, scorer: Scorer) -> DataFrame:
+    """The losses, stored, as several aggregates read them."""
+    return store(with_target_loss(batches, scorer).select("batch", "origin", "origin_tag", "sample_mask", "target_loss", "ref_loss"), "validation")
+
+
+def validation_metrics(rows: DataFrame) -> DataFrame:
     means = corpus_means(corpus_sums(rows, ("batch",)))
     out = validation_loss(rows).select(F.lit("val_loss").alias("metric"), F.col("val_loss").alias("value"))
     out = out.unionByName(means.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in means.columns))).alias("m")).select("m.*"))
@@ -91,59 +104,143 @@ def one_step(pool: DataFrame, scorer: Scorer, cfg: TrainConfig) -> DataFrame:
     return scored.join(chosen.select("block_id", "sel_rank"), "block_id", "left").withColumn("selected", F.col("sel_rank").isNotNull())
 
 
-class Epoch:
-    """An epoch's pools as a table with a folder per step: a step reads its own
-    rows alone, however many there are."""
-
-    def __init__(self, rows: DataFrame, cfg: TrainConfig, epoch: int):
-        salt = None if cfg.curriculum else f"epoch:{cfg.seed}:{epoch if cfg.shuffle else 0}"
-        placed = pools(rows, cfg.pool_size, salt).withColumn("sample_mask", F.lit(1.0))
-        self.spark, self.path = rows.sparkSession, new_path(rows.sparkSession, f"epoch-{epoch}")
-        self.schema = placed.drop("step").schema
-        placed.repartition("step").write.partitionBy("step").parquet(self.path)
-        self.steps = sum(name.startswith("step=") for name in folders(self.spark, self.path))
-
-    def pool(self, step: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/step={step}").withColumn("step", F.lit(step).cast("long"))
+class Numbered:
+    """Training rows by dense numbers, written once a run and clustered by
+    them; an epoch is an order of the numbers.
+
+    Numbers follow a salted hash, or the curriculum. A step computes the numbers
+    of its rows (:class:`EpochOrder`) and reads these alone: folders of
+    PART_ROWS numbers are pruned by name, row groups by the numbers' range. No
+    epoch is sorted, shuffled or written."""
+
+    PART_ROWS = 1 << 16
+
+    def __init__(self, rows: DataFrame, cfg: TrainConfig):
+        spark, self.cfg = rows.sparkSession, cfg
+        base = kept(rows, "training-rows")
+        placed = pools(base, 1, None if cfg.curriculum else f"order:{cfg.seed}", whole=False).drop("step").withColumnRenamed("block_id", "_number")
+        placed = placed.withColumn("_part", F.floor(F.col("_number") / self.PART_ROWS).cast("int"))
+        self.spark, self.path = spark, new_path(spark, "numbered")
+        self.schema = placed.drop("_part").schema
+        placed.repartitionByRange(F.col("_number")).sortWithinPartitions("_number").write.partitionBy("_part").parquet(self.path)
+        if base is not rows:
+            drop(base)
+        self.table = spark.read.schema(placed.schema).parquet(self.path)
+        self.n = self.table.count()
+        self.steps = self.n // cfg.pool_size
+
+    def order(self, epoch: int) -> EpochOrder:
+        cfg = self.cfg
+        return EpochOrder(self.n, f"epoch:{cfg.seed}:{epoch}" if cfg.shuffle and not cfg.curriculum else None, cfg.shuffle_chunk)
+
+    def pool(self, epoch: int, step: int) -> DataFrame:
+        """The rows of a step with ``step`` and their position ``block_id``."""
+        positions = np.arange(step * self.cfg.pool_size, (step + 1) * self.cfg.pool_size)
+        numbers = self.order(epoch).numbers(positions)
+        own = self.table.where(F.col("_part").isin(np.unique(numbers // self.PART_ROWS).tolist()) & F.col("_number").between(int(numbers.min()), int(numbers.max())))
+        at = self.spark.createDataFrame(pa.table({"_at": numbers, "block_id": positions}))
+        rows = own.join(F.broadcast(at), F.col("_number") == F.col("_at")).drop("_number", "_part", "_at")
+        return rows.withColumn("sample_mask", F.lit(1.0)).withColumn("step", F.lit(step).cast("long"))
 
     def drop(self) -> None:
         delete(self.spark, self.path)
 
 
-def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: TrainConfig, state: State | None = None, trace_path: str | None = None, metrics_path: str | None = None, state_path: str | None = None) -> State:
+class RunLog:
+    """What a run puts out: traces, metrics, model and state, one commit for all.
+
+    Steps write their trace and metrics into folders of their own; ``save`` puts
+    the model beside them and names all in one manifest, with the state that
+    they lead to. What a lost run wrote after its last commit is never read; the
+    run that goes on does these steps again and clears it away."""
+
+    def __init__(self, spark: SparkSession, path: str | None, scorer: Scorer):
+        self.spark, self.scorer = spark, scorer
+        self.log = CommitLog(spark, path) if path else None
+        last = self.log.last() if self.log else None
+        self.number = last[0] if last else 0
+        self.pending: dict[str, list[str]] = {}
+        if self.log:
+            self.log.vacuum()
+
+    def _folder(self, kind: str, at: int) -> str:
+        name = self.log.new(kind, at)
+        self.pending.setdefault(kind, []).append(name)
+        return self.log.place(name)
+
+    def metrics(self, at: int, *rows: DataFrame) -> None:
+        if self.log:
+            reduce(DataFrame.unionByName, rows).coalesce(1).write.parquet(self._folder("metrics", at))
+
+    def trace(self, at: int, rows: DataFrame) -> None:
+        if self.log:
+            append_trace(rows, self._folder("trace", at))
+
+    def save(self, state: State) -> None:
+        if not self.log:
+            return
+        last = self.log.last()
+        if last and not self.pending and last[1]["state"] == asdict(state):
+            return
+        if hasattr(self.scorer, "save"):
+            self.scorer.save(self.spark, self._folder("model", state.total_steps))
+        self.number = self.log.commit({**self.pending, "state": asdict(state)}, self.number)
+        self.pending = {}
+
+
+def run_trace(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The trace of a run as of a commit, the last one by default."""
+    found = CommitLog(spark, path).snapshot("trace", upto)
+    return spark.read.schema(TRACE_SCHEMA).json(found) if found else spark.createDataFrame([], TRACE_SCHEMA)
+
+
+def run_metrics(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The metrics of a run as of a commit, the last one by default."""
+    found = CommitLog(spark, path).snapshot("metrics", upto)
+    return spark.read.schema(METRIC_SCHEMA).parquet(*found) if found else spark.createDataFrame([], METRIC_SCHEMA)
+
+
+def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: TrainConfig, state: State | None = None, out: str | None = None) -> State:
     """Runs steps until the rows, ``max_steps``, ``max_epochs`` or the time end.
 
     A step's pool is scored once and kept while the step lasts: one action
     counts it, one lets the model learn, and one each writes its metrics and
     its trace. A pool without a usable candidate is passed over: it counts as
     a step of the epoch, but neither in the total nor as consumed.
+
+    ``out`` gets a commit (:class:`RunLog`) every ``save_period`` steps and at
+    the end. Tables that the loop needs are removed when it ends.
     """
     spark = rows.sparkSession
     state, began = state or State(), time.time()
     if cfg.enable_selection and "ref_loss" not in rows.columns:
         raise RuntimeError("selection needs ref_loss")
     rows = rows if "ref_loss" in rows.columns else rows.withColumn("ref_loss", F.lit(None).cast("double"))
-
-    def log(*metrics: DataFrame) -> None:
-        if metrics_path:
-            reduce(DataFrame.unionByName, metrics).coalesce(1).write.mode("append").parquet(metrics_path)
+    log = RunLog(spark, out, scorer)
+    forget = getattr(scorer, "forget", lambda: None)
+    numbered, batches = Numbered(rows, cfg), None
 
     def check(step: int) -> None:
+        if batches is not None:
+            losses = validation_losses(batches, scorer)
+            try:
+                log.metrics(step, validation_metrics(losses).select(F.lit(step).cast("long").alias("step"), F.lit("validation").alias("prefix"), "metric", "value"))
+            finally:
+                drop(losses)
+                forget()
+
+    try:
         if val is not None:
-            log(validate(val, scorer, cfg, cfg.top_k).select(F.lit(step).cast("long").alias("step"), F.lit("validation").alias("prefix"), "metric", "value"))
-
-    def save() -> None:
-        if state_path:
-            checkpoint(spark, state, scorer, state_path)
-
-    if cfg.val_at_start and state.total_steps == 0:
-        check(0)
-    while state.epoch < cfg.max_epochs:
-        epoch = Epoch(rows, cfg, state.epoch)
-        try:
-            while state.step < epoch.steps:
+            base = kept(val, "validation-rows")
+            batches = store(validation_batches(base, cfg, cfg.top_k), "validation-batches")
+            if base is not val:
+                drop(base)
+        if cfg.val_at_start and state.total_steps == 0:
+            check(0)
+        while state.epoch < cfg.max_epochs:
+            while state.step < numbered.steps:
                 step_began = time.time()
-                pool = one_step(epoch.pool(state.step), scorer, cfg).persist()
+                pool = one_step(numbered.pool(state.epoch, state.step), scorer, cfg).persist()
                 try:
                     usable_rows, tokens = pool.agg(F.count(F.when(usable() if cfg.enable_selection else F.lit(True), 1)), F.coalesce(F.sum(F.when(F.col("selected"), F.size("token_ids"))), F.lit(0))).first()
                     if usable_rows:
@@ -153,26 +250,29 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
                         state.consumed_samples += cfg.pool_size
                         named = pool.withColumn("step", F.lit(state.total_steps).cast("long"))
                         rate = tokens / max(time.time() - step_began, 1e-9) / cfg.devices
-                        log(spark.createDataFrame([(state.total_steps, "timing", "valid_tokens_per_sec_per_gpu", rate)], METRIC_SCHEMA), *(step_metrics(named, cfg, state.total_steps) if cfg.enable_selection else ()))
-                        if trace_path and cfg.log_selected:
-                            append_trace(trace_rows(named.where("selected"), cfg.log_selected_period), trace_path)
+                        log.metrics(state.total_steps, spark.createDataFrame([(state.total_steps, "timing", "valid_tokens_per_sec_per_gpu", rate)], METRIC_SCHEMA), *(step_metrics(named, cfg, state.total_steps) if cfg.enable_selection else ()))
+                        if cfg.log_selected:
+                            log.trace(state.total_steps, trace_rows(named.where("selected"), cfg.log_selected_period))
                 finally:
                     pool.unpersist()
+                    forget()
                 state.step += 1
                 late = cfg.timeout_s is not None and time.time() - began > cfg.timeout_s
                 full = cfg.max_steps is not None and state.total_steps >= cfg.max_steps
-                last = full or state.step == epoch.steps and state.epoch == cfg.max_epochs - 1
+                last = full or state.step == numbered.steps and state.epoch == cfg.max_epochs - 1
                 if usable_rows and (last or cfg.val_period and state.total_steps % cfg.val_period == 0):
                     check(state.total_steps)
                 if last or late or cfg.save_period and state.total_steps % cfg.save_period == 0:
-                    save()
+                    log.save(state)
                 if late or full:
                     return state
-        finally:
-            epoch.drop()
-        state.epoch, state.step = state.epoch + 1, 0
-    save()
-    return state
+            state.epoch, state.step = state.epoch + 1, 0
+        log.save(state)
+        return state
+    finally:
+        numbered.drop()
+        if batches is not None:
+            drop(batches)
 
 
 def step_metrics(pool: DataFrame, cfg: TrainConfig, step: int) -> list[DataFrame]:
@@ -184,36 +284,19 @@ def step_metrics(pool: DataFrame, cfg: TrainConfig, step: int) -> list[DataFrame
     return out
 
 
-def checkpoint(spark: SparkSession, state: State, scorer: Scorer, path: str) -> None:
-    """State and model under ``path``: written beside it and renamed, so that a
-    checkpoint is there as a whole or not at all."""
-    name = f"at-{state.total_steps:09d}-{state.epoch:05d}-{state.step:09d}"
-    if name in folders(spark, path):
-        return
-    part = f"{path}/part-{uuid.uuid4().hex}"
-    spark.createDataFrame([(json.dumps(asdict(state)),)], "value string").coalesce(1).write.text(f"{part}/state")
-    if hasattr(scorer, "save"):
-        scorer.save(spark, f"{part}/model")
-    rename(spark, part, f"{path}/{name}")
-
-
-def _latest(spark: SparkSession, path: str) -> str | None:
-    found = [f for f in folders(spark, path) if f.startswith("at-")]
-    return f"{path}/{found[-1]}" if found else None
-
-
 def load_state(spark: SparkSession, path: str) -> State | None:
-    """The state of the last checkpoint; none before the first."""
-    found = _latest(spark, path)
-    return State(**json.loads(spark.read.text(f"{found}/state").first()[0])) if found else None
+    """The state of a run's last commit; none before the first."""
+    found = CommitLog(spark, path).last()
+    return State(**found[1]["state"]) if found else None
 
 
 def resume(spark: SparkSession, path: str, scorer: Scorer) -> State | None:
-    """The last checkpoint's state, its model loaded into ``scorer``."""
-    found = _latest(spark, path)
-    if found and hasattr(scorer, "load"):
-        scorer.load(spark, f"{found}/model")
-    return load_state(spark, path)
+    """The last commit's state, its model loaded into ``scorer``."""
+    log = CommitLog(spark, path)
+    found = log.last()
+    if found and found[1].get("model") and hasattr(scorer, "load"):
+        scorer.load(spark, log.place(found[1]["model"][-1]))
+    return State(**found[1]["state"]) if found else None
 
 
 def _named(table: DataFrame, family: str, columns: tuple[str, ...]) -> DataFrame:

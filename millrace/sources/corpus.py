@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions.names import clean_origin
+from millrace.sources.commits import CommitLog
 from millrace.sources.shared import copy, put
 
 BLOCK_SCHEMA = "token_ids array<int>, origin string, origin_tag int, domain string, capability string, n_bytes long, content_hash string, block long, split string"
@@ -149,11 +150,17 @@ def read_trace(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``phase, file, line, step, content_hash``: recorded rows in their true
     order; one phase per path; blank lines give no row.
 
-    Files are read line by line and may be split: ``line`` is the place of the
-    split in the file and of the line in the split, which sorts like the line."""
+    A path is a folder of JSON lines or the output of a run, of which the
+    committed traces count. Files are read line by line and may be split:
+    ``line`` is the place of the split in the file and of the line in the split,
+    which sorts like the line."""
     out = None
     for phase, path in enumerate(paths):
-        text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(path)
+        log = CommitLog(spark, path)
+        where = log.snapshot("trace") if log.last() else [path]
+        if not where:
+            continue
+        text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").text(where)
         place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
         lines = text.select(F.lit(phase).alias("phase"), F.col("_metadata.file_path").alias("file"), place.alias("line"), F.col("value").alias("_text")).where(F.trim("_text") != "")
         rows = lines.withColumn("_r", F.from_json("_text", TRACE_SCHEMA)).select("phase", "file", "line", "_r.step", "_r.content_hash")

@@ -85,19 +85,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def rename(spark: SparkSession, path: str, to: str) -> None:
-    """Move a folder as a whole, so that readers see all of it or nothing."""
-    target, fs = _file_system(spark, path)
-    if not fs.rename(target, spark._jvm.org.apache.hadoop.fs.Path(to)):
-        raise OSError(f"{path} could not be renamed to {to}")
-
-
 def folders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders right under ``path``; none where it doesn't exist."""
     target, fs = _file_system(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isDirectory()) if fs.exists(target) else []
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files right under ``path``; none where it doesn't exist."""
+    target, fs = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target) if s.isFile()) if fs.exists(target) else []
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> None:
     """A small file, to any store."""
     target, fs = _file_system(spark, path)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from millrace.__main__ import main
+from millrace.plans import train
 from millrace.sources import corpus, tensors
 
 
@@ -50,10 +51,10 @@ def test_ingest_precompute_train(spark, tmp_path):
     with open(f"{tmp_path}/over.json", "w") as f:
         json.dump({"train": {"max_steps": 1, "log_selected": True}}, f)
     main(["train", "--config", f"{tmp_path}/run.json", f"{tmp_path}/over.json", "--out", f"{tmp_path}/run", "--vocabulary", "1000"], spark)
-    assert corpus.read_trace(spark, [f"{tmp_path}/run/trace"]).count() == 8
+    assert corpus.read_trace(spark, [f"{tmp_path}/run"]).count() == 8
     main(["train", "--config", f"{tmp_path}/run.json", f"{tmp_path}/over.json", "--set", "train.max_steps=2", "train.top_k=4", "--out", f"{tmp_path}/run", "--vocabulary", "1000"], spark)
-    assert corpus.read_trace(spark, [f"{tmp_path}/run/trace"]).groupBy("step").count().orderBy("step").collect() == [(1, 8), (2, 4)]
-    assert np.isfinite(spark.read.parquet(f"{tmp_path}/run/metrics").where("metric = 'val_loss'").first()["value"])
+    assert corpus.read_trace(spark, [f"{tmp_path}/run"]).groupBy("step").count().orderBy("step").collect() == [(1, 8), (2, 4)]
+    assert np.isfinite(train.run_metrics(spark, f"{tmp_path}/run").where("metric = 'val_loss'").first()["value"])
 
 
 def test_stage(spark, tmp_path):

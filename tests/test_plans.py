@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import permutation
 from millrace.operators.scoring import UnigramScorer
 from millrace.plans import config, ingest, precompute, train
-from millrace.sources import corpus
+from millrace.sources import commits, corpus, shared
 
 
 @pytest.fixture(scope="module")
@@ -68,27 +69,29 @@ def test_training_trace_resume_and_curriculum(spark, built):
     out, _, cache = built
     rows, val = train.prepare(spark, config.MixerConfig(str(out / "blocks"), "legal", ref_loss_cache_path=cache))
     cfg = config.TrainConfig(pool_size=64, top_k=16, max_steps=2, log_selected=True, rich_log_period=1, val_at_start=True)
-    where = {k: str(out / k) for k in ("trace_path", "metrics_path", "state_path")}
-    state = train.train_loop(rows, val, UnigramScorer(1000), cfg, **where)
+    run, before = str(out / "run"), set(shared.folders(spark, f"{shared.shared_dir(spark)}/millrace"))
+    state = train.train_loop(rows, val, UnigramScorer(1000), cfg, out=run)
     assert (state.total_steps, state.consumed_samples, state.step, state.total_valid_tokens) == (2, 128, 2, 2 * 16 * 16)
-    assert train.load_state(spark, where["state_path"]) == state
+    assert train.load_state(spark, run) == state
     go_on = config.TrainConfig(pool_size=64, top_k=16, max_steps=3, log_selected=True)
     scorer = UnigramScorer(1000)
-    saved = train.resume(spark, where["state_path"], scorer)
+    saved = train.resume(spark, run, scorer)
     assert saved == state and scorer.counts.sum() == 2 * 16 * 16
-    after = train.train_loop(rows, None, scorer, go_on, saved, **where)
-    assert after.total_steps == 3 and train.load_state(spark, where["state_path"]) == after
+    after = train.train_loop(rows, None, scorer, go_on, saved, run)
+    assert after.total_steps == 3 and train.load_state(spark, run) == after
     straight = UnigramScorer(1000)
     train.train_loop(rows, None, straight, go_on)
     assert (straight.counts == scorer.counts).all()
-    logged = spark.read.parquet(where["metrics_path"])
+    assert set(shared.folders(spark, f"{shared.shared_dir(spark)}/millrace")) == before  # the loop leaves no table behind
+    logged = train.run_metrics(spark, run)
     names = {r[0] for r in logged.select("metric").distinct().collect()}
     assert {"selection/k_effective", "candidate_loss", "val_loss", "target_loss_adapt"} <= names and any(n.startswith("selection_by_origin/adapt/") for n in names) and any(n.startswith("rho_dist/") for n in names)
+    assert logged.where("prefix = 'validation'").select("step").distinct().count() == 2  # at the start and at the end
     blocks_path = str(out / "blocks")
-    again, _ = train.prepare(spark, config.MixerConfig(blocks_path, "legal", curriculum_trace_dirs=(where["trace_path"],), curriculum_batch_size=16))
+    again, _ = train.prepare(spark, config.MixerConfig(blocks_path, "legal", curriculum_trace_dirs=(run,), curriculum_batch_size=16))
     assert again.count() == 48
     placed = train.pools(again, 16, None)
-    trace = corpus.read_trace(spark, [where["trace_path"]])
+    trace = corpus.read_trace(spark, [run])
     for step in range(3):
         a = [r["content_hash"] for r in placed.where(F.col("step") == step).orderBy("block_id").collect()]
         assert a == [r["content_hash"] for r in trace.where(F.col("step") == step + 1).orderBy("file", "line").collect()]
@@ -128,20 +131,98 @@ def test_stream_goes_on_after_a_stop(spark, tmp_path):
     assert [r["consumed_samples"] for r in loop.consumed(trace, 8).orderBy("step").collect()] == [8, 16, 24]
 
 
-def test_checkpoints_are_whole_or_absent(spark, tmp_path):
-    class Broken(UnigramScorer):
-        def save(self, spark, path):
-            raise OSError("full")
-
-    path = str(tmp_path / "state")
-    assert train.load_state(spark, path) is None and train.resume(spark, path, UnigramScorer(5)) is None
-    train.checkpoint(spark, train.State(0, 1, 1, 8, 9), UnigramScorer(5), path)
-    with pytest.raises(OSError):
-        train.checkpoint(spark, train.State(0, 2, 2, 16, 18), Broken(5), path)
-    assert train.load_state(spark, path) == train.State(0, 1, 1, 8, 9)
-    train.checkpoint(spark, train.State(0, 10, 10, 80, 90), UnigramScorer(5), path)
-    train.checkpoint(spark, train.State(0, 10, 10, 80, 90), UnigramScorer(5), path)
-    assert train.load_state(spark, path).step == 10
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", range(7))
+def test_a_kill_between_any_two_writes_leaves_no_half_step(spark, tmp_path, monkeypatch, at):
+    """The run dies at its ``at``-th write (metrics, trace, model, commit); what
+    is read then, and what a run that goes on leads to, are those of whole steps."""
+    rows = spark.createDataFrame([([i % 5, i % 3, 1, i], f"h{i:02d}", "o", i % 2, "d", i, 0.5) for i in range(24)], "token_ids array<int>, content_hash string, origin string, origin_tag int, domain string, block long, ref_loss double")
+    cfg = config.TrainConfig(pool_size=8, top_k=2, save_period=1, log_selected=True, shuffle_chunk=3)
+    straight = str(tmp_path / "straight")
+    train.train_loop(rows, None, UnigramScorer(50), cfg, out=straight)
+    want = sorted(map(tuple, train.run_trace(spark, straight).collect()))
+    writes, run = [], str(tmp_path / "run")
+
+    def dying(f):
+        def call(*args, **kw):
+            writes.append(f.__name__)
+            if len(writes) == at + 4:  # within the second step or the third
+                raise Killed
+            return f(*args, **kw)
+
+        return call
+
+    with monkeypatch.context() as m:
+        for owner, name in ((train.RunLog, "metrics"), (train.RunLog, "trace"), (UnigramScorer, "save"), (commits.CommitLog, "commit")):
+            m.setattr(owner, name, dying(getattr(owner, name)))
+        with pytest.raises(Killed):
+            train.train_loop(rows, None, UnigramScorer(50), cfg, out=run)
+    scorer = UnigramScorer(50)
+    state = train.resume(spark, run, scorer)
+    done = state.total_steps if state else 0
+    assert scorer.counts.sum() == done * 2 * 4
+    assert sorted(map(tuple, train.run_trace(spark, run).collect())) == [r for r in want if r[0] <= done]
+    assert {r["step"] for r in train.run_metrics(spark, run).select("step").collect()} == set(range(1, done + 1))
+    train.train_loop(rows, None, scorer, cfg, state, run)
+    assert sorted(map(tuple, train.run_trace(spark, run).collect())) == want and train.load_state(spark, run).total_steps == 3
+    log = commits.CommitLog(spark, run)
+    assert log.vacuum() == 0 and len(log.snapshot("trace", 1)) == 1
+
+
+def test_commits_are_whole_and_never_overwritten(spark, tmp_path):
+    a, b = (commits.CommitLog(spark, str(tmp_path / "log")) for _ in "ab")
+    assert a.last() is None and a.snapshot("trace") == []
+    assert a.commit({"trace": ["x"]}) == 1
+    assert b.commit({"trace": ["y"]}, after=1) == 2
+    with pytest.raises(commits.Conflict):
+        a.commit({"trace": ["z"]}, after=1)
+    (tmp_path / "log" / "commits" / f"{3:012d}").write_text("0123\n{")  # a writer died in the middle
+    assert [n for n, _ in a.manifests()] == [1, 2] and a.last()[0] == 2
+    assert a.commit({"trace": ["w"]}, after=2) == 4
+    assert [p.rsplit("/", 1)[1] for p in a.snapshot("trace", 2)] == ["x", "y"] and len(a.snapshot("trace")) == 3
+    spark.range(1).write.parquet(a.place("lost"))
+    assert a.vacuum() == 1
+
+
+def test_permutations():
+    import numpy as np
+
+    for n in (1, 2, 3, 5, 16, 17, 1000, 65537):
+        every = np.arange(n)
+        got = permutation.Permutation(n, "k").at(every)
+        assert np.array_equal(np.sort(got), every)
+        for chunk in (1, 4, n, n + 1):
+            own = permutation.EpochOrder(n, "k", chunk).numbers(every)
+            assert np.array_equal(np.sort(own), every)
+            if 1 < chunk <= n:  # runs stay together
+                assert ((np.diff(own.reshape(-1)[: n // chunk * chunk].reshape(-1, chunk), axis=1) % n) == 1).all()
+    a, b = (permutation.Permutation(100_000, k).at(np.arange(100_000)) for k in "ab")
+    assert (a == b).mean() < 0.001 and abs(np.corrcoef(a, np.arange(100_000))[0, 1]) < 0.02 and abs(np.corrcoef(a[1:], a[:-1])[0, 1]) < 0.02
+    # a pool of 100 has rows of all parts, about as many of each
+    assert np.bincount(a[:10_000] // 10_000, minlength=10).min() > 850
+    assert permutation.EpochOrder(10, None).numbers(np.arange(10)).tolist() == list(range(10))
+    with pytest.raises(IndexError):
+        permutation.Permutation(5, "k").at(np.array([5]))
+
+
+def test_a_step_reads_the_folders_of_its_numbers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(train.Numbered, "PART_ROWS", 10)
+    rows = spark.createDataFrame([([1, 2], f"h{i}", "o", 0, "d", i) for i in range(100)], "token_ids array<int>, content_hash string, origin string, origin_tag int, domain string, block long")
+    table = train.Numbered(rows, config.TrainConfig(pool_size=10, top_k=10, shuffle_chunk=10))
+    try:
+        seen = []
+        for step in range(table.steps):
+            pool = table.pool(0, step)
+            seen += [(r["block_id"], r["content_hash"]) for r in pool.select("block_id", "content_hash").collect()]
+            leaf = pool._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [_part" in leaf or "_part" in leaf
+            assert len(pool.inputFiles()) <= 100
+        assert sorted(i for i, _ in seen) == list(range(100)) and len({h for _, h in seen}) == 100
+    finally:
+        table.drop()
 
 
 def test_settings_files_and_overrides(tmp_path):
