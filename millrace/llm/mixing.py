@@ -152,7 +152,8 @@ def select_documents(sized: DataFrame, need: DataFrame) -> DataFrame:
 
     ``need`` (_p, _copies, _rest): by pattern the whole copies of every
     document, and the tokens on top. The latter go to the documents that still
-    fit, one after the other in the seeded order. Up to the first that doesn't
+    fit, one after the other in the seeded order, and what then is missing to
+    the smallest other one, if that is nearer. Up to the first that doesn't
     fit this is a running sum; then it goes on behind that one, among those
     that are small enough, until none is. Running sums are taken over buckets
     of the order; only the bucket in which a pattern's tokens end is summed by
@@ -192,7 +193,21 @@ def select_documents(sized: DataFrame, need: DataFrame) -> DataFrame:
         ends = F.broadcast(sized.sparkSession.createDataFrame([(u,) for u in last], "_v long"))  # FEW at most
         out = out.join(ends, F.col("_u") == F.col("_v"), "left")
         some = some | F.col("_v").isNotNull()
-    return out.withColumn("_taken", F.col("_size") * (F.coalesce("_copies", F.lit(0).cast("long")) + some.cast("long")))
+    out = out.withColumn("_some", some)
+    out = out.join(_closing(out, need), F.col("_u") == F.col("_c"), "left")
+    return out.withColumn("_taken", F.col("_size") * (F.coalesce("_copies", F.lit(0).cast("long")) + (F.col("_some") | F.col("_c").isNotNull()).cast("long"))).drop("_some", "_c")
+
+
+def _closing(filled: DataFrame, need: DataFrame) -> DataFrame:
+    """``_c``: of each pattern the document, one at most, that brings its
+    tokens nearer to what it needs than those that fit do. None fits any more,
+    so the smallest that is left overshoots least; it is taken if it does so by
+    less than what is missing. Needs are below ``most`` copies of all, so none
+    is taken too often."""
+    some = F.col("_some")
+    told = filled.groupBy("_pattern").agg(F.coalesce(F.sum(F.when(some, F.col("_size"))), F.lit(0)).alias("_used"), F.min(F.when(~some & (F.col("_size") > 0), F.struct("_size", "_h", "_id", "_u"))).alias("_least"))
+    near = told.join(need.where("_rest > 0").select("_p", "_rest"), F.col("_pattern") == F.col("_p")).where(F.col("_least._size") < 2 * (F.col("_rest") - F.col("_used")))
+    return near.select(F.col("_least._u").alias("_c"))
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 17, id_col: str = "doc_id", sources_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -203,10 +218,11 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 17, id_co
     repeated, in code point order, null last. ``source_size`` and ``target``
     are those of the document's first source. All sizes together are shared
     out by weight (see :func:`water_fill`); a document is taken whole, at most
-    ``most`` times. Null texts have size 0 and are never taken; an empty array
+    ``most`` times, so a pattern's words come as near to its share as half of
+    its smallest document that isn't taken once more. Null texts have size 0 and are never taken; an empty array
     counts as the null source; repeated rows are documents of their own, in no
     particular order among each other; null ids come first in the order of
-    their hash; other columns are ignored; an empty table gives an empty one.
+    their hash; very long texts are counted whole; other columns are ignored; an empty table gives an empty one.
 
     A pattern of one source that overlaps with no other carries what its
     source wants, however many such sources there are. Only patterns of
@@ -248,7 +264,8 @@ def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3, seed: int = 17, id_co
 def oracle(weights=(1, 2, 3), most: int = 3, seed: int = 17) -> str:
     """DuckDB SQL for :func:`mix` over ``documents`` where each document has
     one source: then every pattern's flow is its source's rounded target. The
-    tokens on top of whole copies go to one document after the other."""
+    tokens on top of whole copies go to one document after the other, what is
+    missing then to the smallest other one, if that is nearer."""
     n = len(weights)
     cases = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     fits = "z.size > 0 AND z.size <= g.rest"
@@ -262,6 +279,8 @@ def oracle(weights=(1, 2, 3), most: int = 3, seed: int = 17) -> str:
         t AS (SELECT src, n, CASE WHEN capped THEN cap::DOUBLE ELSE (w * (total - coalesce(sum(cap) FILTER (capped) OVER (), 0)))::DOUBLE / (all_w - coalesce(sum(w) FILTER (capped) OVER (), 0)) END AS target FROM d),
         need AS (SELECT src, n, target, CASE WHEN n = 0 THEN 0 ELSE floor(target + 0.5)::BIGINT // n END AS copies, CASE WHEN n = 0 THEN 0 ELSE floor(target + 0.5)::BIGINT % n END AS rest FROM t),
         g AS (SELECT src, 0::BIGINT AS r, rest::BIGINT AS rest, 0::BIGINT AS k FROM need
-            UNION ALL SELECT g.src, z.r, CASE WHEN {fits} THEN g.rest - z.size ELSE g.rest END, CASE WHEN {fits} THEN z.k ELSE 0 END FROM g JOIN z ON z.src IS NOT DISTINCT FROM g.src AND z.r = g.r + 1)
-        SELECT z.doc_id, z.size, need.n AS source_size, need.target, (z.size * (need.copies + CASE WHEN z.k IN (SELECT k FROM g) THEN 1 ELSE 0 END))::BIGINT AS taken
+            UNION ALL SELECT g.src, z.r, CASE WHEN {fits} THEN g.rest - z.size ELSE g.rest END, CASE WHEN {fits} THEN z.k ELSE 0 END FROM g JOIN z ON z.src IS NOT DISTINCT FROM g.src AND z.r = g.r + 1),
+        left_over AS (SELECT need.src, need.rest - coalesce(sum(z.size) FILTER (z.k IN (SELECT k FROM g)), 0) AS missing FROM need JOIN z ON z.src IS NOT DISTINCT FROM need.src GROUP BY need.src, need.rest),
+        closing AS (SELECT z.k FROM z JOIN left_over l ON z.src IS NOT DISTINCT FROM l.src WHERE z.size > 0 AND z.k NOT IN (SELECT k FROM g) QUALIFY row_number() OVER (PARTITION BY z.src ORDER BY z.size, h, doc_id NULLS FIRST, z.k) = 1 AND z.size < 2 * missing)
+        SELECT z.doc_id, z.size, need.n AS source_size, need.target, (z.size * (need.copies + CASE WHEN z.k IN (SELECT k FROM g) OR z.k IN (SELECT k FROM closing) THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM z JOIN need ON z.src IS NOT DISTINCT FROM need.src"""

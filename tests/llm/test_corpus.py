@@ -224,9 +224,25 @@ def fill(sized, rest):
         if 0 < size <= rest:
             rest -= size
             out.add(key)
+    # the smallest other one, if it brings the sum nearer
+    least = min(((size, key) for key, size in sized if size > 0 and key not in out), default=None)
+    if least and least[0] < 2 * rest:
+        out.add(least[1])
     return out
 
 
+def test_a_dominating_document_is_taken_if_that_is_nearer(spark):
+    """A source with one very long document that doesn't fit its target whole."""
+    docs = spark.createDataFrame([(1, "a", "w " * 400_000), (2, "a", ""), (3, "b", "w " * 399_998), (4, "c", "x " * 399_996)], "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in mixing.mix(docs, weights=(1, 1, 1)).collect()}
+    assert [got[i]["target"] for i in (1, 3, 4)] == [399_998.0] * 3
+    assert [got[i]["taken"] for i in (1, 2, 3, 4)] == [400_000, 0, 399_998, 399_996]
+    # 1 of 3 and 2 of 3 words: too much by half is as far as nothing, and stays nothing
+    some = spark.createDataFrame([(1, "a", "w " * 300), (2, "b", "w " * 150)], "doc_id long, source string, text string")
+    told = {r["doc_id"]: (r["target"], r["taken"]) for r in mixing.mix(some, weights=(1, 2)).collect()}
+    assert told == {1: (150.0, 0), 2: (300.0, 300)}
+
+
 @pytest.mark.parametrize("few", [0, 30, 50_000])
 def test_documents_are_filled_until_none_fits(spark, monkeypatch, few):
     """Sizes with a heavy tail, in rounds and by the driver, against one
