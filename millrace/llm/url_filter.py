@@ -4,25 +4,25 @@ character n-grams of host and path, trained from a small labelled URL table."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import store
+
 #: Most labelled rows that training takes; a larger table is refused.
 MAX_LABELLED = 10_000
-#: Most rules a filter holds; every task keeps them all.
-MAX_RULES = 10_000
 
 #: The default labelled table: label and URL by line.
 LABELS = Path(__file__).with_name("url_labels.tsv")
 
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_UPPER = str.maketrans(_CAPITALS, _CAPITALS.lower())
 _DIGIT = re.compile("[0-9]")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 
@@ -118,52 +118,58 @@ def train(labelled: list[tuple[str | None, int]], buckets: int = 1 << 14, rounds
     return Model(weights, bias)
 
 
-def longest_rule(rules: dict[str, dict[str, Rule]], lengths: list[int], host: str, path: str) -> Rule | None:
-    """The longest rule whose host is ``host`` or one of its parents and whose
-    path starts ``path``; of two as long, that with the longer host."""
-    best, rest = None, host
-    while rest:
-        of = rules.get(rest)
-        if of:
-            for n in lengths:
-                found = of.get(path[:n]) if n <= len(path) else None
-                if found and (best is None or len(found.text) > len(best.text)):
-                    best = found
-        rest = rest.partition(".")[2]
-    return best
-
-
-def filter_urls(pages: DataFrame, rules: list[Rule], labelled: list[tuple[str | None, int]] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def rule_table(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
+    """``r_host, r_path, r_action, r_text`` of rules (action, host, path), each
+    host and path once; of two that are equal block wins."""
+    rows = rules if isinstance(rules, DataFrame) else spark.createDataFrame([(r.action, r.host, r.path) for r in rules], "action string, host string, path string")
+    rows = rows.select(F.translate("host", _CAPITALS, _CAPITALS.lower()).alias("r_host"), F.col("path").alias("r_path"), "action", F.concat("host", "path").alias("text"))
+    told = rows.groupBy("r_host", "r_path").agg(F.max(F.struct((F.col("action") == "block").alias("b"), F.col("action"), F.col("text"))).alias("_r"))
+    return told.select("r_host", "r_path", F.col("_r.action").alias("r_action"), F.col("_r.text").alias("r_text"))
+
+
+def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` (_u, host, path) with ``rule`` and ``action`` of the longest
+    rule that fits, null where none does; of two as long, that with the longer
+    host.
+
+    A host asks for itself and each of its parents, as many labels as any rule
+    has, for which lengths of paths rules are there, and then for its path's
+    beginnings of these lengths: joins by equality, however many rules there
+    are. A host with many URLs is skewed on the URLs' side, which is split."""
+    rules = store(rules, "rules")
+    most = rules.agg(F.max(F.size(F.split("r_host", r"\."))).alias("n")).first()["n"] or 0
+    lengths = rules.select(F.col("r_host").alias("l_host"), F.length("r_path").alias("n")).distinct()
+    labels = F.split("host", r"\.", -1)
+    parents = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(most, 1)))), lambda k: F.array_join(F.slice(labels, F.size(labels) - k + 1, k), "."))
+    asked = urls.where("host <> ''").select("_u", "path", F.explode(parents).alias("of")).where("of <> ''")
+    asked = asked.join(lengths, F.col("of") == F.col("l_host")).where(F.length("path") >= F.col("n")).select("_u", "of", F.expr("substring(path, 1, n)").alias("start"))
+    found = asked.join(rules, (F.col("of") == F.col("r_host")) & (F.col("start") == F.col("r_path")))
+    best = found.groupBy(F.col("_u").alias("_v")).agg(F.max(F.struct(F.length("r_text").alias("n"), F.length("r_host").alias("h"), F.col("r_text"), F.col("r_action"))).alias("_r"))
+    return urls.join(best, F.col("_u") == F.col("_v"), "left").select("_u", "host", "path", F.col("_r.r_text").alias("rule"), F.col("_r.r_action").alias("action"))
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame, labelled: list[tuple[str | None, int]] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``page_id, host, path, rule, verdict, by_rule`` per row of ``pages``.
 
     The longest rule that fits decides; where none fits, the model's block or
-    allow. No shuffle: rules and model are bounded and go with the tasks.
-    Null or relative URLs have empty host and path, no rule, and the verdict
-    of the model's bias. Repeated rows each give a row, null ids stay null,
-    other columns are ignored, an empty table gives an empty one. Equal host
-    and path in two rules: block wins.
+    allow. Rules are a table (action, host, path) of any size, or a list. Null
+    or relative URLs have empty host and path, no rule, and the verdict of the
+    model's bias. Repeated rows each give a row, null ids stay null, other
+    columns are ignored, very long URLs are judged whole, an empty table gives
+    an empty one. Equal host and path in two rules: block wins.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     model = train(spread(read_labels()) if labelled is None else labelled)
-    held: dict[str, dict[str, Rule]] = {}
-    for r in sorted(rules, key=lambda r: r.action):
-        held.setdefault(r.host.translate(_UPPER), {}).setdefault(r.path, r)
-    held = {h: dict(sorted(of.items())) for h, of in held.items()}
-    for r in rules:
-        if r.action == "block":
-            held[r.host.translate(_UPPER)][r.path] = r
-    lengths = sorted({len(r.path) for r in rules})
-
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for key, url in zip(part["_id"], part["_url"]):
-                host, path = split_url(url)
-                rule = longest_rule(held, lengths, host, path)
-                out.append((key, host, path, rule.text if rule else None, rule.action if rule else "block" if model.block(host, path) else "allow", rule is not None))
-            yield pd.DataFrame(out, columns=["_id", "host", "path", "rule", "verdict", "by_rule"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    out = pages.select(F.col(id_col).cast("string").alias("_id"), F.col(url_col).alias("_url")).mapInPandas(batches, "_id string, host string, path string, rule string, verdict string, by_rule boolean")
-    return out.select(F.col("_id").cast(kind).alias(id_col), "host", "path", "rule", "verdict", "by_rule")
+    text = F.coalesce(url_col, F.lit(""))
+    part = lambda k: F.regexp_extract(text, r"(?s)://([^/?#]*)([^?#]*)", k)
+    urls = store(pages.select(F.col(id_col).alias("_id"), F.translate(part(1), _CAPITALS, _CAPITALS.lower()).alias("host"), part(2).alias("path"), F.monotonically_increasing_id().alias("_u")), "urls")
+
+    @F.pandas_udf("boolean")
+    def blocked(hosts: pd.Series, paths: pd.Series) -> pd.Series:
+        return pd.Series([model.block(h, p) for h, p in zip(hosts, paths)], index=hosts.index, dtype=bool)
+
+    told = with_rules(urls.select("_u", "host", "path"), rule_table(pages.sparkSession, rules))
+    told = told.join(urls.select(F.col("_u").alias("_w"), "_id"), F.col("_u") == F.col("_w"))
+    told = store(told.select("_id", "host", "path", "rule", "action"), "ruled-urls")
+    own = told.where("action is not null").select("_id", "host", "path", "rule", F.col("action").alias("verdict"), F.lit(True).alias("by_rule"))
+    rest = told.where("action is null").select("_id", "host", "path", "rule", F.when(blocked("host", "path"), "block").otherwise("allow").alias("verdict"), F.lit(False).alias("by_rule"))
+    return own.unionByName(rest).withColumnRenamed("_id", id_col)

@@ -3,6 +3,7 @@
 import binascii
 import itertools
 import math
+import random
 import re
 from collections import Counter
 
@@ -65,6 +66,26 @@ def test_odd_urls(spark):
         url_filter.train([("u", 1)] * (url_filter.MAX_LABELLED + 1))
 
 
+def test_a_hundred_thousand_rules(spark):
+    """As a table, against the longest of all rules that fit; some hosts have
+    rules of many paths, a third of the URLs one host."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    rules = {(f"{word(3)}.{rng.choice(('com', 'net'))}" if i % 3 else f"{word(2)}.{word(2)}.org", "/" + "/".join(word(rng.randint(0, 2)) for _ in range(i % 4))): rng.choice(("block", "allow")) for i in range(140_000)}
+    rules |= {("hot.com", f"/{i}"): "block" for i in range(90_000)} | {("com", ""): "allow"}
+    table = spark.createDataFrame([(a, h, p) for (h, p), a in rules.items()] + [("allow", "hot.com", "/7")], "action string, host string, path string")
+    assert len(rules) > 100_000
+    urls = [f"http://{'www.' * (i % 2)}hot.com/{i}/x" if i % 3 == 0 else f"http://{word(2)}.{word(2 + i % 2)}.{rng.choice(('com', 'net', 'org'))}/{word(1)}/{word(2)}?q" for i in range(600)]
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), table).collect()}
+    assert len(got) == len(urls) and sum(r["by_rule"] for r in got.values()) > 300
+    for i, url in enumerate(urls):
+        host, path = url_filter.split_url(url)
+        parents = [host.split(".", k)[k] for k in range(host.count(".") + 1)]
+        fits = [(len(h) + len(path[:n]), len(h), h + path[:n], rules[h, path[:n]]) for h in parents for n in range(len(path) + 1) if (h, path[:n]) in rules]
+        best = max(fits) if fits else None
+        assert got[i]["rule"] == (best and best[2]) and (not best or got[i]["verdict"] == best[3])
+
+
 #: Hosts that are not in the table; features were chosen with a look at these.
 SEEN_BLOCK = """
 https://grand-casino-lounge.com/vip http://pokerstarz-club.net/freeroll https://slotopia.example.org/spin https://my-betting-picks.example.com/today http://sexcams4you.example.net/live
