@@ -695,6 +695,24 @@ def streaming_loop(spark, sf):
     return spark.read.parquet(f"{out}/trace").drop("batch")
 
 
+@query
+def streaming_scattered(spark, sf):
+    """Steps scattered over files, their rows gathered in keyed state; the run
+    stops after half of the files and goes on with the steps that are open."""
+    from pyspark.sql.window import Window
+
+    from millrace.streaming.loop import POOL_COLUMNS, run_scattered
+
+    source, out, at = (new_path(spark, n) for n in ("pools", "out", "checkpoint"))
+    rows = pool(spark, sf).drop("rho").withColumn("step_rows", F.count("*").over(Window.partitionBy("step")).cast("int")).select(*POOL_COLUMNS, "step_rows")
+    half = F.xxhash64("block_id") % 2 == 0
+    rows.where(half).repartition(4, F.xxhash64("block_id") % 4).write.parquet(source)
+    run_scattered(spark, source, out, at, K).awaitTermination()
+    rows.where(~half).repartition(4, F.xxhash64("block_id") % 4).write.mode("append").parquet(source)
+    run_scattered(spark, source, out, at, K).awaitTermination()
+    return spark.read.parquet(f"{out}/trace").drop("batch")
+
+
 @query
 def stream_consumed(spark, sf):
     from millrace.streaming.loop import consumed

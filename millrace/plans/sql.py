@@ -259,6 +259,7 @@ ORACLE_SQL = {
     "cap_gate": _with("blocks", "SELECT origin, 2 * count(*) AS n FROM blocks GROUP BY origin"),
     "map_round_trip": "SELECT DISTINCT lang || '_' || source AS origin, 'cap_' || lang AS capability FROM documents WHERE lang IN ('de', 'en', 'fr')",
     "streaming_loop": _with("topk", "SELECT step, content_hash, origin, origin_tag, rho, target_loss, sel_rank AS rank FROM topk"),
+    "streaming_scattered": _with("topk", "SELECT step, content_hash, origin, origin_tag, rho, target_loss, sel_rank AS rank FROM topk"),
     "stream_consumed": _with("topk", "SELECT step, row_number() OVER (ORDER BY step) * 64 AS consumed_samples FROM (SELECT DISTINCT step FROM topk)"),
     "jsonl_round_trip": _with("blocks", "SELECT origin, origin_tag, capability, count(*) AS n, count(DISTINCT content_hash) AS n_hashes FROM blocks GROUP BY ALL"),
     "blocks_round_trip": _with("split", f"SELECT {_KEY}, content_hash, split FROM split"),

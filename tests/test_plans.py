@@ -131,6 +131,29 @@ def test_stream_goes_on_after_a_stop(spark, tmp_path):
     assert [r["consumed_samples"] for r in loop.consumed(trace, 8).orderBy("step").collect()] == [8, 16, 24]
 
 
+def test_scattered_steps_are_gathered_until_their_last_row(spark, tmp_path):
+    """Rows of three steps over five files, some delivered twice, null and
+    infinite losses among them; a step that lacks a row is not selected from."""
+    from millrace.streaming import loop
+
+    def put(*rows):
+        full = [(s, i, f"h{s}-{i}", "o", i % 2, 1.0, None if i == 5 else float(i), float("inf") if i == 4 else 0.0, 6) for s, i in rows]
+        spark.createDataFrame(full, f"{loop.POOL_SCHEMA}, step_rows int").coalesce(1).write.mode("append").parquet(str(tmp_path / "pools"))
+
+    def trace():
+        loop.run_scattered(spark, str(tmp_path / "pools"), str(tmp_path / "out"), str(tmp_path / "check"), 2).awaitTermination()
+        return sorted((r["step"], r["rank"], r["content_hash"]) for r in spark.read.parquet(str(tmp_path / "out" / "trace")).collect())
+
+    put((0, 0), (1, 0), (0, 1))
+    put((1, 1), (1, 2), (2, 0))
+    put((0, 2), (0, 3), (0, 3), (1, 3))
+    assert trace() == []
+    put((0, 4), (0, 5), (2, 1))
+    assert trace() == [(0, 1, "h0-3"), (0, 2, "h0-2")]
+    put((0, 3), (1, 5), (1, 4))
+    assert trace() == [(0, 1, "h0-3"), (0, 2, "h0-2"), (1, 1, "h1-3"), (1, 2, "h1-2")]
+
+
 class Killed(Exception):
     pass
 
