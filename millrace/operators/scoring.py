@@ -97,9 +97,11 @@ class OnnxScorer:
 
     The model takes token ids (batch, length) and gives logits (batch, length,
     vocabulary), of which those at a token tell the next one. Blocks of one
-    length run together, ``batch`` at a time; each worker loads the file once."""
+    length run together, ``batch`` at a time, one by default: a block of 4,096
+    tokens and 131,072 ids already has 2 GB of logits. Each worker loads the
+    file once."""
 
-    def __init__(self, path: str, batch: int = 8):
+    def __init__(self, path: str, batch: int = 1):
         self.path, self.batch = path, batch
 
     def update(self, selected: DataFrame) -> None:
@@ -133,13 +135,26 @@ def _session(path: str):
     return onnxruntime.InferenceSession(path, options, providers=["CPUExecutionProvider"])
 
 
+#: Logits that are raised at a time: 64 MB in single precision.
+RAISED = 1 << 24
+
+
 def _next_logprobs(path: str, ids: np.ndarray) -> np.ndarray:
-    """Log-probability of each token but the first, given those before it."""
+    """Log-probability of each token but the first, given those before it.
+    Logits stay in the model's precision and are summed by slices of positions,
+    so that no second array of their size is made."""
     model = _session(path)
-    logits = model.run(None, {model.get_inputs()[0].name: ids})[0][:, :-1].astype(np.float64)
-    own = np.take_along_axis(logits, ids[:, 1:, None], axis=2)[..., 0]
-    top = logits.max(axis=2)
-    return own - top - np.log(np.exp(logits - top[..., None]).sum(axis=2))
+    logits = model.run(None, {model.get_inputs()[0].name: ids})[0][:, :-1]
+    own = np.take_along_axis(logits, ids[:, 1:, None], axis=2)[..., 0].astype(np.float64)
+    out = np.empty(own.shape)
+    width = max(1, RAISED // max(1, logits.shape[0] * logits.shape[2]))
+    for k in range(0, logits.shape[1], width):
+        part = logits[:, k : k + width].astype(np.float32)
+        top = part.max(axis=2, keepdims=True)
+        part -= top
+        np.exp(part, out=part)
+        out[:, k : k + width] = own[:, k : k + width] - top[..., 0] - np.log(part.sum(axis=2, dtype=np.float64))
+    return out
 
 
 def with_target_loss(blocks: DataFrame, scorer: Scorer) -> DataFrame:
