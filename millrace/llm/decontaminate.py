@@ -210,8 +210,8 @@ def leaks(benchmark: DataFrame, text: Column, least: float = SIMILARITY) -> Colu
     Texts are read whole. Null and empty texts hold nothing; a text shorter
     than an item is one window for it; items of fewer words than a shingle
     are one shingle. An empty benchmark finds nothing. No shuffle: items are
-    held by the tasks in blocks of a checked size, one pass over the texts'
-    words per block.
+    held by the tasks in blocks, all at once, so memory grows with the
+    benchmark; each block is one pass over the texts' words.
     """
     found = [_found(build(rows), least)(text) for rows in passes(benchmark)]
     return reduce(F.concat, found)

@@ -48,8 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
     can reach a smaller one; ``root`` is the smallest id reachable.
     Alternates the large-star and small-star steps (Kiveris et al. 2014) until
     the edge set no longer changes. Each step groups by node with map-side
-    combining and joins the minimum back, so a hub is never gathered in one
-    task; each result is written to the shared folder.
+    combining and joins the minimum back: no node's edges are aggregated in one
+    task, while the join on a hub is a skewed one, left to adaptive execution,
+    which splits it; each result is written to the shared folder.
     """
     now = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     seen = _signature(now)
