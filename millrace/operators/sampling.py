@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import hash01, hash_digits
 from millrace.operators.packing import running_start
-from millrace.operators.ranking import ranked
+from millrace.operators.ranking import lowest_marked
 
 
 def lowest(df: DataFrame, keep: int, salt: str, by: tuple[str, ...] = (), key: str = "content_hash", ties: tuple[str, ...] = ()) -> DataFrame:
     """Per group the ``keep`` rows with the lowest salted hash."""
-    return ranked(df, hash_digits(salt, F.col(key)), (key, *ties), by).where(F.col("_rank") <= keep).drop("_rank", "_size")
+    return lowest_marked(df, lambda _: F.lit(keep).cast("long"), hash_digits(salt, F.col(key)), (key, *ties), by).where("_low").drop("_low")
 
 
 def sample_documents(docs: DataFrame, fraction: float, seed: int, key: str = "doc_id") -> DataFrame:
@@ -36,12 +36,14 @@ def split_holdout(blocks: DataFrame, fraction: float, seed: int = 42, floor: int
     """
     if not 0.0 <= fraction < 1.0:
         raise ValueError(f"holdout fraction must be in [0, 1), got {fraction}")
-    n = F.col("_size")
-    k = F.greatest(F.ceil(n * F.lit(float(fraction))), F.least(F.lit(floor), n))
-    k = F.least(k, F.greatest(F.lit(1), F.floor(n * F.lit(0.2))))
-    k = F.when(k >= n, F.greatest(F.lit(0), n - 1)).otherwise(k)
-    rows = ranked(blocks, hash_digits(str(seed), F.col("content_hash")), ("content_hash", "block"), by)
-    return rows.withColumn("split", F.when(F.col("_rank") <= k, "holdout").otherwise("train")).drop("_rank", "_size")
+
+    def held(n: Column) -> Column:
+        k = F.greatest(F.ceil(n * F.lit(float(fraction))), F.least(F.lit(floor), n))
+        k = F.least(k, F.greatest(F.lit(1), F.floor(n * F.lit(0.2))))
+        return F.when(k >= n, F.greatest(F.lit(0), n - 1)).otherwise(k)
+
+    rows = lowest_marked(blocks, held, hash_digits(str(seed), F.col("content_hash")), ("content_hash", "block"), by)
+    return rows.withColumn("split", F.when(F.col("_low"), "holdout").otherwise("train")).drop("_low")
 
 
 def balance_replay(blocks: DataFrame, seed: int = 42) -> DataFrame:

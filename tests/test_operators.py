@@ -245,3 +245,24 @@ def test_an_onnx_model_scores_each_token_from_those_before(spark, tmp_path):
         want = -np.mean([logprob[a, b] for a, b in zip(ids, ids[1:])]) if len(ids) > 1 else 0.0
         assert r["target_loss"] == pytest.approx(want, abs=1e-5)
     assert scorer.update(rows) is None and "token_logprobs" in scorer.logprobs(rows).columns
+
+
+def test_lowest_rows_order_only_the_range_at_the_bound(spark, tmp_path):
+    """Against ranks of all rows; null groups, groups below and at their bound,
+    none and all kept; no window over rows beside the range at the bound."""
+    from millrace.operators.ranking import lowest_marked, ranked
+
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("g"), F.least(F.col("id") % 7, F.lit(3)).cast("string"))).alias("g"), F.sha2((F.col("id") % 3900).cast("string"), 256).alias("h"))
+    rows.write.parquet(str(tmp_path / "t"))
+    table, digits = spark.read.parquet(str(tmp_path / "t")), F.substring("h", 1, 8)
+    for by in ((), ("g",)):
+        for keep in (0, 1, 100, 571, 572, 4000, 9999):
+            want = {r["id"] for r in ranked(table, digits, ("id",), by).where(F.col("_rank") <= keep).collect()}
+            got = lowest_marked(table, lambda _: F.lit(keep).cast("long"), digits, ("id",), by).collect()
+            assert len(got) == 4000 and {r["id"] for r in got if r["_low"]} == want, (by, keep)
+    share = lowest_marked(table, lambda n: F.floor(n / 10), digits, ("id",), ("g",))
+    assert {r["g"]: r["n"] for r in share.where("_low").groupBy("g").agg(F.count("*").alias("n")).collect()} == {r["g"]: r["n"] // 10 for r in table.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    # the rows that the window gets are filtered to the range first
+    plan = share._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and "_edge" in plan[plan.index("Window") :]
+    assert lowest_marked(table.limit(0), lambda _: F.lit(3).cast("long"), digits, ("id",)).count() == 0
