@@ -40,9 +40,7 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, LEAST, INPUTS = 600, 1_200, 4_000, 5, 20_
 EPOCHS, STEPS, BATCH, RATE = 6, 400, 24, 0.01
 #: Spread of embeddings before training, near zero so that words which tell
 #: nothing stay there, and the share of words left out at each step.
-SMALL, DROP = 0.02, 0.15
-#: The most that a toxic document weighs against a clean one.
-HEAVY = 4.0
+SMALL, DROP = 0.02, 0.05
 #: Distinct words and words of text that a task holds at a time.
 HELD_WORDS, HELD_TEXT = 1 << 18, 1 << 19
 #: Windows that go through the network together.
@@ -220,8 +218,6 @@ def fit(texts: list[str], toxic: list[bool], share: float, seed: int = 7) -> Net
     offset = np.concatenate([[0], np.cumsum(n)])
     cut = [_windows(np.array([number[w] for w in s], dtype=np.int64)) for s in split]
     label, rng = np.array(toxic, dtype=np.float32), np.random.default_rng(seed)
-    # both classes weigh alike up to a factor, so that few toxic documents count
-    heavy = min(HEAVY, float((label == 0).sum() / max(1, label.sum())))
     mean, square = ({k: np.zeros_like(v) for k, v in net.weights.items()} for _ in range(2))
     step = 0
     epochs = max(EPOCHS, STEPS * BATCH // max(1, len(cut)))
@@ -242,7 +238,7 @@ def fit(texts: list[str], toxic: list[bool], share: float, seed: int = 7) -> Net
             clean = np.exp(np.bincount(doc, weights=np.log1p(-p), minlength=len(docs)))
             any_ = np.maximum(1 - clean, 1e-6)
             y = label[docs]
-            grad = np.where(y[doc] == 1, -p * (clean / any_)[doc] * heavy, p).astype(np.float32) / len(docs)
+            grad = np.where(y[doc] == 1, -p * (clean / any_)[doc], p).astype(np.float32) / len(docs)
             found = net.backward(grad, kept, ids, mask, x, some)
             size = np.sqrt(sum(float((g**2).sum()) for g in found.values()))
             step += 1
