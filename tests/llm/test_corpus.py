@@ -78,19 +78,70 @@ def test_changed_passages_are_found_and_others_left(spark):
 def test_large_benchmarks_are_applied_in_passes(spark, monkeypatch):
     docs, items = tables(spark)
     monkeypatch.setattr(decontaminate, "PASS_ITEMS", 15)
+    found = op5_decontaminate(spark, SF)
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got == {(i, k) for i, t in docs for k in bags(t, items)}
+    # what is left to run reads the passes' results
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
+def test_texts_meet_python_once_and_only_suspects_the_items(spark, monkeypatch):
+    """Fifty passes: texts go through one node, once; a pass reads its suspects."""
+    seen, stored = [], decontaminate.store
+    monkeypatch.setattr(decontaminate, "PASS_ITEMS", 4)
+
+    def watched(df, name):
+        out = stored(df, name)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.append((name, len(re.findall("MapInArrow", plan)), "documents.parquet" in plan, out.count()))
+        return out
+
+    monkeypatch.setattr(decontaminate, "store", watched)
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = decontaminate.contaminated(docs, items).collect()
+    passes = [x for x in seen if x[0] == "benchmark-leaks"]
+    assert len(passes) == math.ceil(items.where("trim(text) <> ''").distinct().count() / 4) and all(n <= 2 and not texts for _, n, texts, _ in passes)
+    (suspects,) = [x for x in seen if x[0] == "benchmark-suspects"]
+    assert len({r["doc_id"] for r in rows}) <= suspects[3] < docs.count() / 2 and sum(x[2] for x in seen) == 1
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    docs, items = tables(spark)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 15)
     got = {(r["doc_id"], r["item_id"]) for r in op5_decontaminate(spark, SF).collect()}
     assert got == {(i, k) for i, t in docs for k in bags(t, items)}
 
 
-def test_blocks_find_all_within_the_radius():
-    rng = random.Random(3)
-    near = decontaminate.flips(8, decontaminate.RADIUS // decontaminate.BLOCKS)
-    for _ in range(2000):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), rng.randint(0, decontaminate.RADIUS)):
-            b ^= 1 << bit
-        assert any((a >> (8 * k) & 255) ^ f == b >> (8 * k) & 255 for k in range(8) for f in near)
+def test_rows_without_benchmark_items_stay(spark):
+    docs, items = tables(spark)
+    leaky = {t for _, t in docs if bags(t, items)}
+    rows = [(i, t, f"r{i}") for i, t in docs] + [(docs[0][0], docs[0][1], "again"), (None, None, "null"), (None, "", "empty"), (7, next(iter(leaky)), "copy")]
+    given = spark.createDataFrame(rows, "doc_id long, text string, _leaks string")
+    got = sorted((r["doc_id"] or -1, r["_leaks"]) for r in decontaminate.clean(given, spark.read.parquet(f"{SF}/benchmark.parquet")).collect())
+    assert got == sorted((i or -1, x) for i, t, x in rows if t not in leaky)
+    assert decontaminate.clean(given, spark.read.parquet(f"{SF}/benchmark.parquet").limit(0)).count() == len(rows)
+
+
+def test_blocks_find_all_within_the_radius_and_few_others():
+    rng = np.random.default_rng(3)
+    marks = rng.integers(0, 2**32, size=(400, decontaminate.BLOCKS), dtype=np.uint32)
+    other = np.unpackbits(marks.view(np.uint8), axis=1, bitorder="little")
+    for row in other:
+        row[rng.choice(256, size=int(rng.integers(0, decontaminate.RADIUS + 1)), replace=False)] ^= 1
+    others = np.packbits(other, axis=1, bitorder="little").view(np.uint32)
+    a, b, apart = decontaminate.candidates(marks, others)
+    assert {(i, i) for i in range(400)} <= set(zip(a.tolist(), b.tolist()))
+    assert (apart[a == b] <= decontaminate.RADIUS).all() and (apart[a != b] > decontaminate.RADIUS).all()
+    assert (a != b).sum() / (400 * 399) < 0.01
+
+
+def test_fingerprints_of_long_windows_equal_plain_counts():
+    h = np.random.default_rng(4).integers(0, 2**64, size=40_000, dtype=np.uint64)
+    for size, starts in ((1, [0, 1, 39_999]), (45, [3, 4, 900, 30_000]), (35_000, [0, 17, 5000])):
+        got = decontaminate.simhashes(h, np.array(starts), size)
+        for at, mark in zip(starts, got):
+            plain = 2 * decontaminate._bits(h[at : at + size]).sum(axis=0, dtype=np.int64) > size
+            assert (np.packbits(plain, bitorder="little").view(np.uint32) == mark).all()
 
 
 def test_fingerprints_of_similar_bags_lie_within_the_radius():
