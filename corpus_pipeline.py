@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, mixing, quality_crf, simhash_dedup
-from millrace.llm.shared import rows_of, store, table
+from millrace.llm.shared import store, table
 
 #: Five-word shingles, a similarity of 0.8 or more, and segments for up to
 #: thirty million distinct documents: eighteen of 20 bits in six words.
@@ -41,8 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a benchmark item."""
-    held = rows_of(docs).withColumn("_leaks", decontaminate.leaks(table(spark, sf_dir, "benchmark"), F.col("_row.text")))
-    return held.where(F.size("_leaks") == 0).select("_row.*")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
