@@ -78,7 +78,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--capability-map-out")
     p.add_argument("--shards-scale", type=float, default=1.0)
     p.add_argument("--dry-run", action="store_true")
-    _options(sub.add_parser("ingest", help="raw text to a blocks table"), config.IngestConfig)
+    p = sub.add_parser("ingest", help="raw text to a blocks table")
+    _options(p, config.IngestConfig)
+    p.add_argument("--log", help="folder of earlier ingestions: only files that are new are read")
     p = sub.add_parser("precompute", help="reference losses of one domain, by the count model")
     for name in PRECOMPUTE:
         p.add_argument(f"--{name}", help=f"or {_variable(name)} in the environment")
@@ -114,9 +116,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if args.capability_map_out:
             corpus.write_map(spark, {s["origin"]: s.get("capability", s["origin"]) for s in spec}, args.capability_map_out)
     elif args.command == "ingest":
-        from millrace.plans.ingest import build_corpus
+        from millrace.plans.ingest import build_corpus, ingest_more, publish
 
-        build_corpus(spark, _made(spark, config.IngestConfig, args)).orderBy("domain", "origin").show(1000, False)
+        cfg = _made(spark, config.IngestConfig, args)
+        if args.log:
+            ingest_more(spark, cfg, args.log)
+        counts = publish(spark, cfg, args.log) if args.log else build_corpus(spark, cfg)
+        counts.orderBy("domain", "origin").show(1000, False)
     elif args.command == "precompute":
         from millrace.plans.precompute import precompute
 

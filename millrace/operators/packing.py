@@ -54,6 +54,34 @@ def pack(docs: DataFrame, block_size: int, eod: int, keep_partial: bool = False,
     return blocks if keep_partial else blocks.where(F.size("token_ids") == block_size)
 
 
+
+def pack_more(docs: DataFrame, tails: DataFrame | None, block_size: int, eod: int, group: tuple[str, ...] = ("domain", "origin")) -> tuple[DataFrame, DataFrame]:
+    """Packs documents behind what was packed before: the full blocks that they
+    complete, numbered on, and the new ``tails``.
+
+    ``tails`` (``group..., block, token_ids``) holds for each group the number
+    of its next block and the tokens that wait for it, fewer than a block. They
+    go before the group's first new document. What is packed in steps is what
+    :func:`pack` makes at once, if the later documents are the later ones in
+    (part, doc) order. Nothing that was packed is read again."""
+    group = list(group)
+    rows = docs.select(*group, F.lit(1).alias("_new"), "part", "doc", "tokens")
+    if tails is not None:
+        # a tail ends with a document's end, which packing adds again
+        waiting = tails.where(F.size("token_ids") > 0).select(*group, F.lit(0).alias("_new"), F.lit("").alias("part"), F.lit(0).cast("long").alias("doc"), F.expr("slice(token_ids, 1, size(token_ids) - 1)").alias("tokens"))
+        rows = rows.unionByName(waiting.join(docs.select(*group).distinct(), group, "left_semi"))
+    # tails come first whatever the names of the parts
+    packed = store(pack(rows.withColumn("part", F.struct("_new", "part")), block_size, eod, True, tuple(group)), "packed")
+    if tails is not None:
+        packed = packed.join(tails.select(*group, F.col("block").alias("_base")), group, "left").withColumn("block", F.col("block") + F.coalesce("_base", F.lit(0))).drop("_base")
+    full = packed.where(F.size("token_ids") == block_size)
+    short = F.size("token_ids") < block_size
+    now = packed.groupBy(*group).agg((F.max("block") + F.when(F.bool_or(short), 0).otherwise(1)).alias("block"), F.coalesce(F.max(F.when(short, F.col("token_ids"))), F.array().cast("array<int>")).alias("token_ids"))
+    if tails is not None:
+        now = now.unionByName(tails.join(now.select(*group), group, "left_anti"))
+    return full, now
+
+
 def tag(blocks: DataFrame, adapt_domain: str, capabilities: DataFrame | None = None, n_bytes: Column | None = None) -> DataFrame:
     """Block rows with origin tag, capability, byte count and content hash.
 

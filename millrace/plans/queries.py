@@ -133,6 +133,21 @@ def pack_blocks_keep_partial(spark, sf):
     return packing.pack(tokens(spark, sf), BLOCK, EOD, True).select(*BLOCK_KEY, F.size("token_ids").cast("long").alias("n_tokens"), listed("token_ids"))
 
 
+
+@query
+def pack_in_steps(spark, sf):
+    """Documents that come in three parts, by id: each is packed behind what
+    the parts before it left over."""
+    docs = tokens(spark, sf)
+    most, out, tails = docs.agg(F.max("doc_id")).first()[0] or 0, None, None
+    for low, high in ((None, most // 3), (most // 3, most // 2), (most // 2, None)):
+        part = docs if low is None else docs.where(F.col("doc_id") > low)
+        full, tails = packing.pack_more(part if high is None else part.where(F.col("doc_id") <= high), tails, BLOCK, EOD)
+        tails = store(tails, "tails")
+        out = full if out is None else out.unionByName(full)
+    return out.select(*BLOCK_KEY, listed("token_ids"))
+
+
 @query
 def content_hashes(spark, sf):
     return blocks(spark, sf).select(*BLOCK_KEY, "origin_tag", "content_hash")

@@ -154,6 +154,7 @@ ORACLE_SQL = {
     "tokenize": _with("toks", "SELECT doc_id, len(tokens)::BIGINT AS n_tokens, array_to_string(tokens, ',') AS tokens FROM toks"),
     "tokenize_bos": _with("toks", "SELECT doc_id, array_to_string(list_prepend(1, tokens), ',') AS tokens FROM toks"),
     "pack_blocks": _with("packed", f"SELECT {_KEY}, array_to_string(token_ids, ',') AS token_ids FROM packed WHERE len(token_ids) = 64"),
+    "pack_in_steps": _with("packed", f"SELECT {_KEY}, array_to_string(token_ids, ',') AS token_ids FROM packed WHERE len(token_ids) = 64"),
     "pack_blocks_keep_partial": _with("packed", f"SELECT {_KEY}, len(token_ids)::BIGINT AS n_tokens, array_to_string(token_ids, ',') AS token_ids FROM packed"),
     "content_hashes": _with("blocks", f"SELECT {_KEY}, origin_tag, content_hash FROM blocks"),
     "block_bytes": _with("blocks", f"SELECT {_KEY}, strlen(array_to_string(token_ids, ' '))::BIGINT AS n_bytes FROM blocks"),

@@ -103,16 +103,24 @@ def origin_of(path: Column, root: str, coarse: str, per_subset: bool = True, ori
     return F.when(subset.isNull(), coarse).otherwise(F.coalesce(F.nullif(given, F.lit("")), clean_origin(subset)))
 
 
-def read_documents(spark: SparkSession, pattern: str, coarse_origin: str, per_subset: bool = True, origin_map: dict[str, str] | None = None, text_column: str = "text") -> DataFrame:
+def read_documents(spark: SparkSession, pattern: str, coarse_origin: str, per_subset: bool = True, origin_map: dict[str, str] | None = None, text_column: str = "text", files: list[str] | None = None) -> DataFrame:
     """``origin, part, doc, text`` of all non-empty texts; ``part`` is the
-    file, ``doc`` the row in it. The text column is all that is asked of a
+    file, ``doc`` the row in it. ``files`` are those to read of the ones that
+    fit the pattern, by default all. The text column is all that is asked of a
     file, so no file's schema is read beforehand: one without it has nulls,
     and so no rows."""
-    rows = spark.read.schema(StructType([StructField(text_column, StringType())])).parquet(*list_files(spark, pattern))
+    rows = spark.read.schema(StructType([StructField(text_column, StringType())])).parquet(*(list_files(spark, pattern) if files is None else files))
     rows = rows.select(F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("doc"), F.col(text_column).alias("text")).where("text is not null and text <> ''")
     return rows.select(origin_of(F.col("part"), glob_root(pattern), coarse_origin, per_subset, origin_map).alias("origin"), "part", "doc", "text")
 
 
+
+def file_states(spark: SparkSession, pattern: str) -> DataFrame:
+    """``path, length, time`` of the files that fit; their content isn't read."""
+    found = spark.read.format("binaryFile").load(list_files(spark, pattern))
+    return found.select("path", "length", F.col("modificationTime").alias("time"))
+
+
 def write_blocks(blocks: DataFrame, path: str, shard_rows: int = 50_000) -> None:
     """Blocks as Parquet by domain and split, so that readers of one prune the others."""
     blocks.write.mode("overwrite").option("maxRecordsPerFile", shard_rows).partitionBy("domain", "split").parquet(path)

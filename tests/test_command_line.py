@@ -81,6 +81,21 @@ def test_precompute_settings(monkeypatch):
     assert read("--blocks", "b", "--set", "mixer.ref_loss_cache_path=c") == {"blocks": "b", "domain": "legal", "cache": "c"}
 
 
+def test_ingest_with_a_log_reads_new_files_only(spark, tmp_path):
+    def add(step):
+        for domain in ("legal", "general"):
+            rows = [(" ".join(f"{domain}{step}{(i * 3 + j) % 41}" for j in range(40)),) for i in range(12)]
+            spark.createDataFrame(rows, "text string").coalesce(1).write.parquet(f"{tmp_path}/raw/{domain}/sub/s{step}")
+
+    given = ["ingest", "--adapt-glob", f"{tmp_path}/raw/legal/**/*.parquet", "--replay-glob", f"{tmp_path}/raw/general/**/*.parquet", "--no-per-subset", "--block-size", "16"]
+    for step in (1, 2):
+        add(step)
+        main([*given, "--out", f"{tmp_path}/steps", "--log", f"{tmp_path}/log"], spark)
+    main([*given, "--out", f"{tmp_path}/once"], spark)
+    steps, once = (sorted(map(tuple, corpus.read_blocks(spark, f"{tmp_path}/{n}").select("domain", "block", "content_hash", "split").collect())) for n in ("steps", "once"))
+    assert steps == once and len(once) == 2 * (24 * 41 // 16)
+
+
 def test_ingestion_with_a_library_tokenizer(spark, tmp_path):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     for domain in ("legal", "general"):

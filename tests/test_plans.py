@@ -1,5 +1,6 @@
 """Whole runs on a small corpus tree."""
 
+import dataclasses
 import json
 
 import pytest
@@ -51,6 +52,40 @@ def test_ingestion(spark, tree, built, tmp_path):
         ingest.assert_disjoint(spark.createDataFrame([("a", "o"), ("b", "o")], "domain string, origin string"))
 
 
+def test_ingestion_goes_on_with_new_files(spark, tmp_path):
+    """Files that come in three steps give the blocks of one step."""
+
+    def add(step, domain, subset, n):
+        rows = [(" ".join(f"{subset}{step}w{i}x{k}" for k in range(5 + (7 * i + step) % 23)),) for i in range(n)]
+        spark.createDataFrame(rows, "text string").coalesce(1).write.parquet(str(tmp_path / "raw" / domain / subset / f"s{step}"))
+
+    key = ("domain", "origin", "block", "content_hash")
+    held = lambda rows: sorted(tuple(r) for r in rows.select(*key).collect())
+    cfg = config.IngestConfig(f"{tmp_path}/raw/legal/**/*.parquet", f"{tmp_path}/raw/general/**/*.parquet", str(tmp_path / "out"), block_size=16, holdout_fraction=0.1)
+    log = str(tmp_path / "log")
+    add(1, "legal", "a", 20), add(1, "general", "b", 11), add(1, "general", "c", 1)
+    assert ingest.ingest_more(spark, cfg, log) == 1 and ingest.ingest_more(spark, cfg, log) is None
+    first = held(ingest.packed_blocks(spark, log))
+    add(2, "general", "b", 13), add(2, "general", "d", 4)
+    assert ingest.ingest_more(spark, cfg, log) == 2
+    # what a lost writer left is not read
+    spark.range(3).write.parquet(f"{log}/data/blocks-000000000003-lost")
+    add(3, "legal", "a", 2), add(3, "general", "c", 9), add(3, "general", "b", 1)
+    assert ingest.ingest_more(spark, cfg, log) == 3
+    once = ingest.blocks_of(ingest.documents(spark, cfg, True).unionByName(ingest.documents(spark, cfg, False)), cfg)
+    assert held(ingest.packed_blocks(spark, log)) == held(once) and held(ingest.packed_blocks(spark, log, 1)) == first
+    told = {r["origin"]: r["total"] for r in ingest.publish(spark, cfg, log).collect()}
+    assert told == {r["origin"]: r["n"] for r in once.groupBy("origin").agg(F.count("*").alias("n")).collect()} and len(told) == 4
+    with pytest.raises(ValueError, match="settings"):
+        ingest.ingest_more(spark, dataclasses.replace(cfg, block_size=8), log)
+    with pytest.raises(ValueError, match="limits"):
+        ingest.ingest_more(spark, dataclasses.replace(cfg, max_docs_adapt=1), log)
+    (changed,) = (tmp_path / "raw/legal/a/s1").glob("*.parquet")
+    changed.write_bytes(changed.read_bytes() + b" ")
+    with pytest.raises(ValueError, match="changed"):
+        ingest.ingest_more(spark, cfg, log)
+
+
 def test_mixer(spark, built):
     out, _, cache = built
     both = config.MixerConfig(str(out / "blocks"), "legal", ref_loss_cache_path=cache)
