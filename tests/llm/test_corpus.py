@@ -339,8 +339,9 @@ def test_pipeline_equals_brute_force(spark):
     for r in got:
         assert (r["size"], r["source"], r["source_size"], r["target"]) == (size[r["doc_id"]], source[r["doc_id"]], of[source[r["doc_id"]]], pytest.approx(targets[source[r["doc_id"]]]))
         taken[r["source"]] += r["taken"]
-    smallest = {s: min(n for i, n in size.items() if source[i] == s) for s in of}
-    assert all(taken[s] <= int(targets[s] + 0.5) for s in of)
+    # a last document may lie above the target, by at most half of itself
+    largest = {s: max(n for i, n in size.items() if source[i] == s) for s in of}
+    assert all(taken[s] <= int(targets[s] + 0.5) + largest[s] / 2 for s in of)
     import hashlib
 
     for s in of:
@@ -349,7 +350,6 @@ def test_pipeline_equals_brute_force(spark):
         copies, rest = divmod(goal, of[s])
         extra = {i for _, i in fill([(x, size[x[1]]) for x in order], rest)}
         assert {r["doc_id"]: r["taken"] for r in got if r["source"] == s} == {i: size[i] * (copies + (i in extra)) for i in left if source[i] == s and copies + (i in extra)}
-    assert smallest
 
 
 def internal_names():
