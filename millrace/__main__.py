@@ -87,6 +87,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config", nargs="+", default=[], help="JSON or YAML files whose mixer settings name the blocks and the cache")
     _model_options(p)
     p.add_argument("--max-rows", type=int, default=-1)
+    p.add_argument("--buckets", type=int, help="buckets of the cache; like those of the blocks, the join needs no shuffle")
     p.add_argument("--set", dest="overrides", nargs="+", default=[], metavar="NAME=VALUE", help="settings over the files")
     p = sub.add_parser("train", help="score, select, learn and log; goes on from the last checkpoint in --out")
     p.add_argument("--config", nargs="+", required=True, help="JSON or YAML files; later ones override")
@@ -128,7 +129,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         told = _precompute_settings(args)
         blocks = corpus.read_blocks(spark, told["blocks"])
-        precompute(blocks, told["domain"], _scorer(spark, args, blocks.where(blocks.domain == told["domain"])), told["cache"], args.max_rows)
+        precompute(blocks, told["domain"], _scorer(spark, args, blocks.where(blocks.domain == told["domain"])), told["cache"], args.max_rows, args.buckets)
     elif args.command == "train":
         from millrace.plans.train import prepare, resume, train_loop
 

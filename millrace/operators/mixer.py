@@ -12,12 +12,13 @@ from millrace.operators.sampling import cap_per_origin, lowest
 def choose_domains(blocks: DataFrame, adapt_domain: str, replay_share: float = 1.0, seed: int = 42) -> DataFrame:
     """All blocks of the adaptation domain and a share of the others; a share
     of 0 or less leaves the adaptation domain alone."""
+    if replay_share >= 1:
+        return blocks.where(F.col("domain").isNotNull())
     adapt, other = blocks.where(F.col("domain") == adapt_domain), blocks.where(F.col("domain") != adapt_domain)
     if replay_share <= 0:
         return adapt
-    if replay_share < 1:
-        k = other.agg(F.bround(F.count("*") * F.lit(float(replay_share))).cast("long")).first()[0]
-        other = lowest(other, k, f"mix:{seed}", ties=("domain", "origin", "block")) if k else other.limit(0)
+    k = other.agg(F.bround(F.count("*") * F.lit(float(replay_share))).cast("long")).first()[0]
+    other = lowest(other, k, f"mix:{seed}", ties=("domain", "origin", "block")) if k else other.limit(0)
     return adapt.unionByName(other)
 
 

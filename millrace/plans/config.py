@@ -36,6 +36,7 @@ class IngestConfig:
     capability_map: dict[str, str] | None = None
     text_column: str = "text"
     shard_rows: int = 50_000
+    buckets: int | None = None
     adapt_domain: str = "legal"
     replay_domain: str = "general"
     balance_replay: bool = False

@@ -69,7 +69,7 @@ def build_corpus(spark: SparkSession, cfg: IngestConfig) -> DataFrame:
     docs = documents(spark, cfg, True).unionByName(documents(spark, cfg, False))
     assert_disjoint(docs)
     encode, lengths = _coder(cfg)
-    write_blocks(blocks_of(docs, cfg, encode, lengths), cfg.out, cfg.shard_rows)
+    write_blocks(blocks_of(docs, cfg, encode, lengths), cfg.out, cfg.shard_rows, cfg.buckets)
     return report(spark.read.parquet(cfg.out))
 
 
@@ -131,5 +131,5 @@ def publish(spark: SparkSession, cfg: IngestConfig, log_path: str) -> DataFrame:
     """Writes the blocks table of all that was committed to ``cfg.out`` and
     returns its report. Texts aren't touched: caps and splits are found anew
     from the blocks, on all of which they depend."""
-    write_blocks(chosen(packed_blocks(spark, log_path), cfg), cfg.out, cfg.shard_rows)
+    write_blocks(chosen(packed_blocks(spark, log_path), cfg), cfg.out, cfg.shard_rows, cfg.buckets)
     return report(spark.read.parquet(cfg.out))

@@ -251,6 +251,17 @@ def join_ref_loss(spark, sf):
     return caching.join_ref_loss(split(rows), caching.dedup_cache(cache(rows)), 0.2).select(*BLOCK_KEY, "content_hash", "ref_loss")
 
 
+@query
+def join_ref_loss_bucketed(spark, sf):
+    """The same from blocks and a two-pass cache that were written by buckets."""
+    rows, places = blocks(spark, sf), [new_path(spark, n) for n in ("blocks", "cache")]
+    corpus.write_blocks(split(rows), places[0], buckets=8)
+    for domain in ("general", ADAPT):
+        precompute(rows, domain, fixed(), places[1], buckets=8)
+    joined = caching.join_ref_loss(corpus.read_blocks(spark, places[0]), caching.dedup_cache(corpus.read_cache(spark, places[1])))
+    return joined.select(*BLOCK_KEY, "content_hash", "split", "ref_loss")
+
+
 @query
 def missing_ref_loss(spark, sf):
     rows = blocks(spark, sf)

@@ -180,6 +180,7 @@ ORACLE_SQL = {
     "ref_cache_dedup": _with("dedup", "SELECT content_hash, ref_loss FROM dedup"),
     "cache_conflicts": _with("cache", "SELECT content_hash, count(DISTINCT ref_loss) AS n_losses, count(*) AS n_rows FROM cache GROUP BY content_hash HAVING count(DISTINCT ref_loss) > 1"),
     "join_ref_loss": _with("split dedup", f"SELECT {_KEY}, content_hash, ref_loss FROM split JOIN dedup USING (content_hash)"),
+    "join_ref_loss_bucketed": _with("split", f"SELECT {_KEY}, content_hash, split, ({_LOSS})::FLOAT::DOUBLE AS ref_loss FROM split"),
     "missing_ref_loss": _with("split dedup", f"SELECT {_KEY}, content_hash FROM split ANTI JOIN dedup USING (content_hash)"),
     "mix_train": _with("split dedup", f"SELECT {_KEY}, ref_loss, capability FROM split JOIN dedup USING (content_hash) WHERE split = 'train'"),
     "mix_val": _with("split", f"SELECT {_KEY}, content_hash FROM split WHERE split = 'holdout' QUALIFY row_number() OVER (PARTITION BY origin ORDER BY {_digits('val:42', 'content_hash')}, content_hash, block) <= 2"),

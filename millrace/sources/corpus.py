@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions.names import clean_origin
+from millrace.sources import buckets as by_bucket
 from millrace.sources.commits import CommitLog
 from millrace.sources.shared import copy, put
 
@@ -121,13 +122,20 @@ def file_states(spark: SparkSession, pattern: str) -> DataFrame:
     return found.select("path", "length", F.col("modificationTime").alias("time"))
 
 
-def write_blocks(blocks: DataFrame, path: str, shard_rows: int = 50_000) -> None:
-    """Blocks as Parquet by domain and split, so that readers of one prune the others."""
+def write_blocks(blocks: DataFrame, path: str, shard_rows: int = 50_000, buckets: int | None = None) -> None:
+    """Blocks as Parquet by domain and split, so that readers of one prune the
+    others; by buckets of their hash too, if a number of them is given, so that
+    a cache of as many is joined without a shuffle."""
+    if buckets:
+        return by_bucket.write(blocks, path, "content_hash", buckets, ("domain", "split"), shard_rows)
     blocks.write.mode("overwrite").option("maxRecordsPerFile", shard_rows).partitionBy("domain", "split").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
-    rows = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    """All blocks, or the first ones; of bucketed ones ``heat`` too."""
+    if most is None and by_bucket.told(spark, path):
+        return by_bucket.read(spark, path)
+    rows = spark.read.schema(BLOCK_SCHEMA).parquet(path).drop(by_bucket.HEAT)
     return rows if most is None else rows.orderBy(F.col("_metadata.file_path"), F.col("_metadata.row_index")).limit(most)
 
 
@@ -140,14 +148,25 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("token_ids array<int>, origin string, origin_tag int, content_hash string, ref_loss double, capability string, n_bytes long").json(path)
 
 
-def append_cache(losses: DataFrame, path: str, shard_rows: int = 50_000) -> None:
-    losses.select(F.col("content_hash"), "origin", F.col("origin_tag").cast("int").alias("origin_tag"), F.col("ref_loss").cast("float").alias("ref_loss"), F.col("n_response_tokens").cast("int").alias("n_response_tokens")).write.mode("append").option("maxRecordsPerFile", shard_rows).parquet(path)
+def append_cache(losses: DataFrame, path: str, shard_rows: int = 50_000, buckets: int | None = None) -> None:
+    """Behind what the cache holds; by buckets of the hash if a number of them
+    is given. A pass holds each hash once, so no bucket grows with one hash."""
+    rows = losses.select(F.col("content_hash"), "origin", F.col("origin_tag").cast("int").alias("origin_tag"), F.col("ref_loss").cast("float").alias("ref_loss"), F.col("n_response_tokens").cast("int").alias("n_response_tokens"))
+    if buckets:
+        return by_bucket.write(rows, path, "content_hash", buckets, shard_rows=shard_rows, append=True, spread=False)
+    if by_bucket.told(rows.sparkSession, path):
+        raise ValueError(f"{path} is bucketed: later passes need its number of buckets")
+    rows.write.mode("append").option("maxRecordsPerFile", shard_rows).parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """``content_hash, ref_loss, part, row``; errors if there is nothing to read."""
-    list_files(spark, path)
-    return spark.read.schema(CACHE_SCHEMA).parquet(path).select("content_hash", "ref_loss", F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("row"))
+    if by_bucket.told(spark, path):
+        rows = by_bucket.cold(spark, path)
+    else:
+        list_files(spark, path)
+        rows = spark.read.schema(CACHE_SCHEMA).parquet(path)
+    return rows.select("content_hash", "ref_loss", F.col("_metadata.file_path").alias("part"), F.col("_metadata.row_index").alias("row"))
 
 
 def append_trace(rows: DataFrame, path: str) -> None:

@@ -107,6 +107,16 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def get(spark: SparkSession, path: str) -> bytes:
+    """A small file, from any store; hidden names too, which Spark skips."""
+    target, fs = _file_system(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
 def copy(spark: SparkSession, path: str, to: str) -> None:
     """A file from any store to any other, as it is."""
     source, a = _file_system(spark, path)

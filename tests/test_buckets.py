@@ -1,0 +1,112 @@
+"""Bucketed blocks and caches: same rows as plain ones, joined without a shuffle."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators.cache import dedup_cache, join_ref_loss, with_loss
+from millrace.sources import buckets, corpus
+
+N = 8
+
+
+def blocks(spark, n=600, hot=300):
+    """Blocks of which ``hot`` hold the same hash, and one holds none."""
+    rows = spark.range(n + hot + 1).select(
+        F.array(F.col("id").cast("int"), F.lit(2)).alias("token_ids"), F.concat(F.lit("o"), (F.col("id") % 3).cast("string")).alias("origin"), (F.col("id") % 2).cast("int").alias("origin_tag"),
+        F.when(F.col("id") % 2 == 0, "legal").otherwise("general").alias("domain"), F.lit("c").alias("capability"), F.lit(7).cast("long").alias("n_bytes"),
+        F.when(F.col("id") < n, F.sha2(F.col("id").cast("string"), 256)).when(F.col("id") < n + hot, F.sha2(F.lit("hot"), 256)).alias("content_hash"),
+        F.col("id").alias("block"), F.when(F.col("id") % 5 == 0, "holdout").otherwise("train").alias("split"),
+    )
+    return rows
+
+
+def losses(rows, shift=0.0):
+    return rows.where("content_hash is not null").groupBy("content_hash").agg(F.first("origin").alias("origin"), F.lit(0).alias("origin_tag"), (F.ascii("content_hash") + F.lit(shift)).alias("ref_loss"), F.lit(1).alias("n_response_tokens"))
+
+
+@pytest.fixture
+def without_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def written(spark, tmp_path, rows):
+    a, b = str(tmp_path / "blocks"), str(tmp_path / "cache")
+    corpus.write_blocks(rows, a, buckets=N)
+    for domain in ("legal", "general"):
+        corpus.append_cache(losses(rows.where(F.col("domain") == domain)), b, buckets=N)
+    return a, b
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_rows_are_there_and_one_hot_key_fills_no_bucket(spark, tmp_path):
+    rows = blocks(spark)
+    path, _ = written(spark, tmp_path, rows)
+    read = corpus.read_blocks(spark, path)
+    assert sorted(map(repr, read.drop("heat").select(*rows.columns).collect())) == sorted(map(repr, rows.collect()))
+    assert read.where("heat = 'hot'").count() == 301  # the hot hash, and the row without one
+    assert sorted(r[0] for r in spark.read.parquet(path).select("block").collect()) == list(range(901))
+    assert corpus.read_blocks(spark, path, 10).count() == 10
+    sizes = buckets.cold(spark, path).groupBy(F.expr(f"pmod(hash(content_hash), {N})")).count().collect()
+    assert len(sizes) == N and max(r[1] for r in sizes) < 150
+
+
+def test_join_has_no_shuffle(spark, tmp_path, without_broadcast):
+    path, cache = written(spark, tmp_path, blocks(spark))
+    read, found = corpus.read_blocks(spark, path), dedup_cache(corpus.read_cache(spark, cache))
+    told = plan(with_loss(read.where("heat = 'cold' and split = 'train'"), found))
+    assert "SortMergeJoin" in told and "Exchange hashpartitioning" not in told and "Exchange SinglePartition" not in told
+    whole = plan(with_loss(read, found))
+    # the hot rows' few distinct hashes are the only ones that move, to be broadcast
+    assert whole.count("Exchange hashpartitioning") <= 1
+
+
+def test_join_equals_the_plain_one(spark, tmp_path, without_broadcast):
+    rows = blocks(spark).where("content_hash is not null")
+    path, cache = written(spark, tmp_path, rows)
+    got = join_ref_loss(corpus.read_blocks(spark, path), dedup_cache(corpus.read_cache(spark, cache)))
+    want = join_ref_loss(rows, losses(rows))
+    assert "heat" not in got.columns
+    assert sorted((r["block"], r["ref_loss"]) for r in got.collect()) == sorted((r["block"], r["ref_loss"]) for r in want.collect())
+    assert got.count() == 900
+
+
+def test_missing_hashes_are_counted_in_both_parts(spark, tmp_path):
+    path, _ = written(spark, tmp_path, blocks(spark))
+    found = spark.createDataFrame([], "content_hash string, ref_loss double")
+    with pytest.raises(RuntimeError, match="901 of 901"):
+        join_ref_loss(corpus.read_blocks(spark, path), found)
+
+
+def test_settings_and_empty_tables(spark, tmp_path):
+    rows = blocks(spark)
+    path, cache = written(spark, tmp_path, rows)
+    with pytest.raises(ValueError, match="bucketed otherwise"):
+        corpus.append_cache(losses(rows), cache, buckets=N + 1)
+    with pytest.raises(ValueError, match="later passes"):
+        corpus.append_cache(losses(rows), cache)
+    plain = str(tmp_path / "plain")
+    corpus.append_cache(losses(rows), plain)
+    with pytest.raises(ValueError, match="aren't bucketed"):
+        corpus.append_cache(losses(rows), plain, buckets=N)
+    empty = str(tmp_path / "empty")
+    corpus.write_blocks(rows.where("block < 0"), empty, buckets=N)
+    assert corpus.read_blocks(spark, empty).count() == 0
+    corpus.write_blocks(rows, empty, buckets=2 * N)  # written anew, otherwise
+    assert corpus.read_blocks(spark, empty).count() == 901
+
+
+def test_a_run_is_prepared_from_buckets(spark, tmp_path, without_broadcast):
+    from millrace.plans.config import MixerConfig
+    from millrace.plans.train import prepare
+
+    rows = blocks(spark).where("content_hash is not null")
+    path, cache = written(spark, tmp_path, rows)
+    train, val = prepare(spark, MixerConfig(corpus_path=path, adapt_domain="legal", ref_loss_cache_path=cache))
+    assert (train.count(), val.count()) == (720, 180)
+    assert "heat" not in train.columns
