@@ -111,9 +111,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from millrace.sources import corpus
 
     if args.command == "stage":
+        from millrace.sources.staging import stage
+
         with open(args.spec, encoding="utf-8") as f:
             spec = json.load(f)
-        corpus.stage(spark, spec, args.out, args.shards_scale, args.dry_run).orderBy("origin").show(1000, False)
+        stage(spark, spec, args.out, args.shards_scale, args.dry_run).orderBy("origin").show(1000, False)
         if args.capability_map_out:
             corpus.write_map(spark, {s["origin"]: s.get("capability", s["origin"]) for s in spec}, args.capability_map_out)
     elif args.command == "ingest":

@@ -235,6 +235,24 @@ def staging_plan(spark, sf):
     return plan.select("origin", "capability", F.col("n_available").cast("long").alias("n_available"), F.array_join("chosen", ",").alias("chosen"))
 
 
+@query
+def staging_copy(spark, sf):
+    """Documents' files, staged in small waves by two runs, told from the copies;
+    and whether all ranges of a document's file are what was copied."""
+    from millrace.sources import staging
+
+    raw, out = new_path(spark, "raw"), new_path(spark, "staged")
+    table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").parquet(raw)
+    langs = sorted(r[0] for r in table(spark, sf, "documents").select("lang").distinct().collect())
+    spec = [{"origin": f"docs_{x}", "repo": raw, "prefix": f"lang={x}/", "n_shards": 1 << 20} for x in langs]
+    for part in (spec[:2], spec):
+        staging.stage(spark, part, out, wave=1 << 20, piece=1 << 16)
+    whole = staging.verify(spark, out).groupBy(F.col("target").alias("_path")).agg(F.bool_and("whole").alias("whole"), (F.sum("n") == F.first("length")).alias("covered"))
+    path = F.regexp_replace(F.col("part"), "^file:/+", "/")
+    docs = corpus.read_documents(spark, f"{out}/**/*.parquet", "docs")
+    return docs.join(whole, path == F.regexp_replace("_path", "^file:/+", "/"), "left").select("origin", F.sha2("text", 256).alias("digest"), "whole", "covered")
+
+
 @query
 def ref_cache_dedup(spark, sf):
     return caching.dedup_cache(cache(blocks(spark, sf)))

@@ -177,6 +177,7 @@ ORACLE_SQL = {
         SELECT p_brand, array_to_string(CASE WHEN n <= 0 THEN []::VARCHAR[] WHEN n >= s THEN f ELSE list_transform(range(n), lambda i: f[least(s - 1, floor(i * (s / n::DOUBLE))::BIGINT) + 1]) END, ',') AS chosen FROM m""",
     "staging_plan": """WITH f AS (SELECT p_brand, list_sort(list(p_brand || '/' || p_partkey || '.parquet') FILTER (p_partkey % 9 <> 0)) AS f FROM part GROUP BY p_brand), m AS (SELECT p_brand, coalesce(f, []::VARCHAR[]) AS f, len(coalesce(f, []::VARCHAR[])) AS s, 2 AS n FROM f)
         SELECT lower(p_brand) AS origin, 'parts' AS capability, s::BIGINT AS n_available, array_to_string(CASE WHEN n >= s THEN f ELSE list_transform(range(n), lambda i: f[least(s - 1, floor(i * (s / n::DOUBLE))::BIGINT) + 1]) END, ',') AS chosen FROM m""",
+    "staging_copy": "SELECT 'docs_' || lang AS origin, sha256(text) AS digest, true AS whole, true AS covered FROM documents WHERE text <> ''",
     "ref_cache_dedup": _with("dedup", "SELECT content_hash, ref_loss FROM dedup"),
     "cache_conflicts": _with("cache", "SELECT content_hash, count(DISTINCT ref_loss) AS n_losses, count(*) AS n_rows FROM cache GROUP BY content_hash HAVING count(DISTINCT ref_loss) > 1"),
     "join_ref_loss": _with("split dedup", f"SELECT {_KEY}, content_hash, ref_loss FROM split JOIN dedup USING (content_hash)"),

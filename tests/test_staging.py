@@ -1,0 +1,93 @@
+"""Staging by tasks: copies, digests of ranges, runs that end early."""
+
+import hashlib
+import os
+
+import pytest
+
+from millrace.sources import remote, staging
+
+
+def put(path, content):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(content)
+
+
+def spec(tmp_path, *origins):
+    return [{"origin": o, "repo": f"{tmp_path}/repo", "prefix": f"{o}/", "n_shards": 100} for o in origins]
+
+
+def test_ranges_cover_a_file_and_tell_its_digests(tmp_path):
+    data = bytes(range(256)) * 5
+    put(f"{tmp_path}/a", data)
+    put(f"{tmp_path}/empty", b"")
+    told = staging.copy_file(f"file://{tmp_path}/a", f"{tmp_path}/to/a", 500)
+    assert told == [(i, len(data[i : i + 500]), hashlib.md5(data[i : i + 500]).hexdigest()) for i in (0, 500, 1000)]
+    assert open(f"{tmp_path}/to/a", "rb").read() == data
+    assert staging.copy_file(f"{tmp_path}/empty", f"file:{tmp_path}/to/empty") == [(0, 0, hashlib.md5(b"").hexdigest())]
+    assert sorted(os.listdir(f"{tmp_path}/to")) == ["a", "empty"]
+
+
+def test_an_interrupted_run_goes_on(spark, tmp_path):
+    for i in range(6):
+        put(f"{tmp_path}/repo/web/p{i}.parquet", bytes([i]) * 1000)
+    copied = f"{tmp_path}/out/web"
+    # a folder where the fifth file is to go: its wave of two files fails
+    os.makedirs(f"{copied}/p4.parquet/in-the-way")
+    with pytest.raises(Exception):
+        staging.stage(spark, spec(tmp_path, "web"), f"{tmp_path}/out", wave=2000)
+    assert {r["target"].rsplit("/", 1)[1] for r in staging.staged(spark, f"{tmp_path}/out").collect()} == {f"p{i}.parquet" for i in range(4)}
+    os.removedirs(f"{copied}/p4.parquet/in-the-way")
+    times = {i: os.stat(f"{copied}/p{i}.parquet").st_mtime_ns for i in range(4)}
+    staging.stage(spark, spec(tmp_path, "web"), f"{tmp_path}/out", wave=2000)
+    assert times == {i: os.stat(f"{copied}/p{i}.parquet").st_mtime_ns for i in range(4)}  # not copied again
+    assert all(open(f"{copied}/p{i}.parquet", "rb").read() == bytes([i]) * 1000 for i in range(6))
+    found = staging.verify(spark, f"{tmp_path}/out").collect()
+    assert len(found) == 6 and all(r["whole"] for r in found)
+
+
+def test_changed_files_are_copied_again_and_broken_copies_are_told(spark, tmp_path):
+    for name in ("x", "y"):
+        put(f"{tmp_path}/repo/web/{name}.parquet", b"1234567890" * 100)
+    out = f"{tmp_path}/out"
+    staging.stage(spark, spec(tmp_path, "web"), out, piece=300)
+    put(f"{tmp_path}/repo/web/x.parquet", b"other" * 30)
+    staging.stage(spark, spec(tmp_path, "web"), out, piece=300)
+    assert open(f"{out}/web/x.parquet", "rb").read() == b"other" * 30
+    ranges = {(r["target"].rsplit("/", 1)[1], r["start"]): r["whole"] for r in staging.verify(spark, out).collect()}
+    assert ranges == {("x.parquet", 0): True} | {("y.parquet", 300 * i): True for i in range(4)}
+    with open(f"{out}/web/y.parquet", "r+b") as f:
+        f.seek(350)
+        f.write(b"!")
+        f.truncate(950)
+    broken = sorted(r["start"] for r in staging.verify(spark, out).where("not whole").collect())
+    assert broken == [300, 900]
+    os.remove(f"{out}/web/y.parquet")
+    assert staging.verify(spark, out).where("not whole").count() == 4
+
+
+def test_listed_paths_begin_below_the_root(spark, tmp_path):
+    put(f"{tmp_path}/r/x{tmp_path}/r/y.parquet", b"1")
+    assert [r["path"] for r in staging.listed(spark, [f"{tmp_path}/r", f"{tmp_path}/none"]).collect()] == [f"x{tmp_path}/r/y.parquet"]
+
+
+def test_names_that_clash_are_an_error(spark, tmp_path):
+    for folder in ("a", "b"):
+        put(f"{tmp_path}/repo/web/{folder}/x.parquet", b"1")
+    with pytest.raises(ValueError, match="one name"):
+        staging.stage(spark, spec(tmp_path, "web"), f"{tmp_path}/out")
+
+
+def test_stores_that_tasks_reach(tmp_path):
+    assert remote.reachable("/a") and remote.reachable("s3a://b/c") and not remote.reachable("viewfs://s/x") and not remote.reachable("relative")
+    with pytest.raises(ValueError, match="can't open"):
+        remote.opened("viewfs://s/x")
+
+
+def test_the_driver_copies_where_tasks_cannot(spark, tmp_path, monkeypatch):
+    put(f"{tmp_path}/repo/web/x.parquet", b"12")
+    monkeypatch.setattr(remote, "reachable", lambda p: False)
+    staging.stage(spark, spec(tmp_path, "web", "none"), f"{tmp_path}/out")
+    row = staging.staged(spark, f"{tmp_path}/out").first()
+    assert (row["length"], row["md5"]) == (2, None) and open(f"{tmp_path}/out/web/x.parquet", "rb").read() == b"12"
