@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.__main__ import main
 from millrace.plans import train
@@ -132,3 +133,31 @@ def test_shards_are_bounded_by_their_bytes(spark, tmp_path):
     held = [[r[0] for r in tensors.decode(open(f"{tmp_path}/m/{f}", "rb").read())] for f in files]
     assert held == [["t0", "t1"], ["t2"], ["t3", "t4", "t5"]]
     assert sorted(map(tuple, tensors.read_tensors(spark, f"{tmp_path}/m").select("name", "dtype").collect())) == [(r[0], "float32") for r in rows]
+
+
+def test_tasks_read_tensors_by_ranges(spark, tmp_path):
+    rows = [(f"t{i}", [i + 1], "bfloat16" if i % 2 else "float32", [float(i)] * (i + 1)) for i in range(9)]
+    put(f"{tmp_path}/m", {"a.safetensors": tensors.encode(rows[:6]), "b.safetensors": tensors.encode(rows[6:]), "c.safetensors": tensors.encode([])})
+    found = tensors.read_tensors(spark, f"{tmp_path}/m", part_bytes=20)
+    parts = found.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.sort_array(F.collect_list("name")).alias("names")).collect()
+    # 4, 4 and 12 bytes, then 8, 20, 12; in the other file 28, 16 and 36
+    assert sorted(r["names"] for r in parts) == [["t0", "t1", "t2"], ["t3"], ["t4"], ["t5"], ["t6"], ["t7"], ["t8"]]
+    assert sorted(tuple(r) for r in found.collect()) == rows
+    put(f"{tmp_path}/e", {"c.safetensors": tensors.encode([])})
+    assert tensors.read_tensors(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_an_index_names_what_tasks_wrote(spark, tmp_path):
+    rows = [(f"t{i:02d}", [2], "float32", [float(i), -1.0]) for i in range(40)]
+    model = spark.createDataFrame(rows, tensors.SCHEMA)
+    first = tensors.write_tensors(model, f"{tmp_path}/m", shard_bytes=64)
+    assert len(first) >= 5 and set(first) == {f for f in os.listdir(f"{tmp_path}/m") if f.endswith(".safetensors")}
+    assert sorted(tuple(r) for r in tensors.read_tensors(spark, f"{tmp_path}/m").collect()) == rows
+    second = tensors.write_tensors(model.where("name < 't20'"), f"{tmp_path}/m", shard_bytes=64)
+    assert set(second) == {f for f in os.listdir(f"{tmp_path}/m") if f.endswith(".safetensors")} and not set(first) & set(second)
+    assert tensors.read_tensors(spark, f"{tmp_path}/m").count() == 20
+    with pytest.raises(Exception, match="one name"):
+        tensors.write_tensors(model.union(model), f"{tmp_path}/m")
+    assert tensors.read_tensors(spark, f"{tmp_path}/m").count() == 20  # a failed write changes nothing
+    assert len(tensors.write_tensors(model.limit(0), f"{tmp_path}/none")) == 1
+    assert tensors.read_tensors(spark, f"{tmp_path}/none").count() == 0
