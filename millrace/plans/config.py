@@ -37,6 +37,7 @@ class IngestConfig:
     text_column: str = "text"
     shard_rows: int = 50_000
     buckets: int | None = None
+    by_dictionary: bool = False
     adapt_domain: str = "legal"
     replay_domain: str = "general"
     balance_replay: bool = False

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import tokenizers
 from millrace.functions.arrays import with_bos, word_tokens
 from millrace.operators.packing import pack, pack_more, tag
+from millrace.operators.pretokens import tokens_by_dictionary
 from millrace.operators.sampling import balance_replay, cap_blocks, first_documents, report, sample_documents, split_holdout
 from millrace.plans.config import IngestConfig
 from millrace.sources.commits import CommitLog
@@ -32,6 +33,10 @@ def blocks_of(docs: DataFrame, cfg: IngestConfig, tokenizer: Callable[[Column],
 
 
 def tokenized(docs: DataFrame, cfg: IngestConfig, tokenizer: Callable[[Column], Column]) -> DataFrame:
+    if cfg.by_dictionary:
+        if not (cfg.tokenizer or "").endswith(".json"):
+            raise ValueError("a dictionary of pre-tokens needs a tokenizer file of kind .json")
+        return tokens_by_dictionary(docs, cfg.tokenizer).withColumn("tokens", with_bos(F.col("tokens"), cfg.bos_id))
     return docs.select("domain", "origin", "part", "doc", with_bos(tokenizer(F.col("text")), cfg.bos_id).alias("tokens"))
 
 

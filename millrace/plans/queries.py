@@ -713,6 +713,16 @@ def map_round_trip(spark, sf):
     return spark.createDataFrame(sorted(corpus.read_map(spark, path).items()), "origin string, capability string")
 
 
+@query
+def tokenize_by_dictionary(spark, sf):
+    """Tokens of a public tokenizer, each distinct pre-token merged once."""
+    import public_tokenizers
+
+    from millrace.operators.pretokens import tokens_by_dictionary
+
+    return tokens_by_dictionary(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), ("doc_id",)).select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), listed("tokens"))
+
+
 @query
 def ingest_tokenizer(spark, sf):
     """Blocks of a public tokenizer's tokens with their decoded length."""
