@@ -354,18 +354,57 @@ def _hot_links(hot: DataFrame, scheme: Scheme) -> DataFrame:
     return _dealt(rows, F.xxhash64(*scheme.seen)).groupBy("key", "_i", "_j").applyInPandas(block_pair, "a long, b long")
 
 
-def _dealt(rows: DataFrame, place: Column) -> DataFrame:
+def _dealt(rows: DataFrame, place: Column, some: bool = False) -> DataFrame:
     """Rows in ``_n`` blocks by ``place``, block against block: no group of
     ``_i, _j`` holds more than about two blocks (``_b``), and each two rows
-    meet in one of them."""
+    meet in one of them. With ``some`` a block meets only itself and the first
+    one, so that the rows dealt are three times those given at most."""
     dealt = rows.withColumn("_b", F.pmod(place, F.col("_n")).cast("int"))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    others = F.sequence(F.lit(0), F.col("_n") - 1)
+    if some:
+        others = F.when(F.col("_b") == 0, others).otherwise(F.array(F.lit(0), F.col("_b")))
+    dealt = dealt.withColumn("_o", F.explode(others))
     return dealt.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_o", "_n")
 
 
-def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> tuple[list, list]:
+def _with_family(rows: DataFrame, families: DataFrame) -> DataFrame:
+    """``rows`` with what is told of their ``root``: a family's line is dealt to
+    each of its salts, its rows to one, so no task joins all rows of a family."""
+    families = families.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(families, ["root", "_salt"]).drop("_salt")
+
+
+def _blocks() -> Column:
+    return F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum(F.size("_set")) / FAMILY_SHINGLES)).cast("int")
+
+
+def _apart(rows: DataFrame, sizes: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows of large families that :func:`_dealt` with ``some`` left apart, in
+    groups ``_i, _j`` of a block and a block of those outside the family's
+    largest part (``_b`` 0 and 1, ``_part``).
+
+    Of two rows that are not in one part, one is outside the largest: it meets
+    the other in the other's block. Each row of a family comes once for every
+    block of rows outside, and each of these once for every block."""
+    rows = rows.join(linked.select(F.col("node").alias("rep"), F.col("root").alias("_part")), "rep", "left").withColumn("_part", F.coalesce("_part", "rep"))
+    large = store(_with_family(rows, sizes.where("_n > 1")), "simhash-large")
+    parts = large.groupBy("root", "_part").agg(F.count("*").alias("_m"))
+    most = parts.groupBy("root").agg(F.max_by("_part", F.struct("_m", "_part")).alias("_most"), F.count("*").alias("_parts")).where("_parts > 1").drop("_parts")
+    large = _with_family(large, most)
+    outside = large.where("_part <> _most")
+    blocks = outside.groupBy("root").agg(_blocks().alias("_outer"))
+    block = F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("_n")).cast("int").alias("_i")
+    other = F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("_outer")).cast("int").alias("_j")
+    columns = ("root", "rep", "_set", "_part")
+    inner = _with_family(large, blocks).select(*columns, F.lit(0).alias("_b"), block, F.explode(F.sequence(F.lit(0), F.col("_outer") - 1)).alias("_j"))
+    outer = _with_family(outside, blocks).select(*columns, F.lit(1).alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"), other)
+    return inner.unionByName(outer)
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float, root: np.ndarray | None = None) -> tuple[list, list]:
     """A spanning forest of the pairs with at least that Jaccard similarity,
-    as indices; with two sides, of the pairs between them.
+    as indices; with two sides, of the pairs between them. Sets of one ``root``
+    are connected from the start.
 
     A pair's shared shingles are at most those of one set less the bits that
     only its own bitmap has, since each such bit stands for at least one
@@ -379,7 +418,7 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray, least: float) -> tup
     for row, x in zip(maps, sets):
         row[(x >> np.uint64(40)) % np.uint64(bits)] = True
     maps = np.packbits(maps, axis=1).view(np.uint64)
-    root, two = np.arange(len(sets)), len(np.unique(side)) > 1
+    root, two = np.arange(len(sets)) if root is None else root.copy(), len(np.unique(side)) > 1
     a, b = [], []
     for i in range(len(sets) - 1):
         some = np.arange(i + 1, len(sets))
@@ -413,9 +452,12 @@ def verified(families: DataFrame, fps: DataFrame, docs: DataFrame, scheme: Schem
     that have the least similarity.
 
     Texts are read again for the members of families alone, and become sets of
-    shingles. A family is compared as a whole by one task, or in blocks pair
-    by pair if it is large; only a spanning forest of links comes out, never
-    all pairs.
+    shingles. A family is compared as a whole by one task, or in blocks if it
+    is large: each block with itself and with the first one, and then those
+    outside the family's largest part with all others. Copies of one text are
+    one part after the first step, so what is dealt grows like the family; a
+    large family that isn't connected is compared block by block. Only a
+    spanning forest of links comes out, never all pairs.
     """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +473,7 @@ def verified(families: DataFrame, fps: DataFrame, docs: DataFrame, scheme: Schem
     def block_pair(part: pa.Table) -> pa.Table:
         rep, column = part.column("rep").to_numpy(), part.column("_set").combine_chunks()
         ends, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
-        a, b = similar_pairs([values[x:y] for x, y in zip(ends, ends[1:])], part.column("_b").to_numpy(), scheme.least)
+        a, b = similar_pairs([values[x:y] for x, y in zip(ends, ends[1:])], part.column("_b").to_numpy(), scheme.least, part.column("_part").to_numpy())
         return pa.Table.from_batches([_pairs(rep[a], rep[b])])
 
     families = families.union(families.select(F.col("root").alias("node"), "root").distinct())
@@ -441,12 +483,13 @@ def verified(families: DataFrame, fps: DataFrame, docs: DataFrame, scheme: Schem
     sets = texts.mapInArrow(batches, ", ".join(["_id long", *(f"{w} long" for w in scheme.marks), "_set array<bigint>"])).dropDuplicates(["_id", *scheme.marks])
     rows = sets.withColumnRenamed("_id", "rep").join(members, ["rep", *scheme.marks]).select("root", "rep", "_set")
     rows = store(rows, "simhash-sets")
-    sizes = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum(F.size("_set")) / FAMILY_SHINGLES)).cast("int").alias("_n"))
-    # a family's number of blocks is dealt to each of its salts, its rows to one
-    sizes = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(sizes, ["root", "_salt"]).drop("_salt")
-    dealt = _dealt(rows, F.xxhash64(F.lit(1), "rep"))
-    return components(dealt.groupBy("root", "_i", "_j").applyInArrow(block_pair, "a long, b long"))
+    sizes = store(rows.groupBy("root").agg(_blocks().alias("_n")), "simhash-families")
+    first = _dealt(_with_family(rows, sizes), F.xxhash64(F.lit(1), "rep"), some=True).withColumn("_part", F.col("rep"))
+    linked = components(first.groupBy("root", "_i", "_j").applyInArrow(block_pair, "a long, b long"))
+    if not sizes.where("_n > 1").limit(1).count():
+        return linked
+    more = _apart(rows, sizes, linked).groupBy("root", "_i", "_j").applyInArrow(block_pair, "a long, b long")
+    return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
