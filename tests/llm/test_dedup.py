@@ -272,28 +272,6 @@ def test_families_equal_all_pairs(spark, monkeypatch, block):
     assert found_components(spark, texts) == want
 
 
-def test_dealt_rows_grow_like_a_family(spark, monkeypatch):
-    """Copies of one text with a few that are apart: what is dealt to compare
-    them is a small multiple of the family, at four times its size too."""
-    from pyspark.sql import functions as F
-
-    monkeypatch.setattr(simhash_dedup, "FAMILY_BLOCK", 128)
-    shares = []
-    for copies in (2000, 8000):
-        rows = spark.range(copies).select(F.lit(0).cast("long").alias("root"), F.col("id").alias("rep"), F.array(F.lit(1).cast("long"), F.lit(2).cast("long")).alias("_set"))
-        sizes = rows.groupBy("root").agg(simhash_dedup._blocks().alias("_n"))
-        first = simhash_dedup._dealt(simhash_dedup._with_family(rows, sizes), F.xxhash64(F.lit(1), "rep"), some=True)
-        linked = spark.range(1, copies).where("id % 500 <> 7").select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
-        apart = simhash_dedup._apart(rows, sizes, linked)
-        held = apart.groupBy("_i", "_j").count().agg(F.max("count")).first()[0]
-        assert held < 2.5 * 128
-        # every one that is apart meets every other row
-        meets = apart.where("_b = 1").select("_i", "_j", F.col("rep").alias("x")).join(apart.where("_b = 0").select("_i", "_j", F.col("rep").alias("y")), ["_i", "_j"])
-        assert meets.select("x", "y").distinct().count() == copies // 500 * copies
-        shares.append((first.count() + apart.count()) / copies)
-    assert max(shares) < 5 and shares[1] < 1.2 * shares[0]
-
-
 def test_documents_equal_all_pairs(spark):
     """The test table's documents of 50 words or more: no pair at the
     similarity is lost, and none below it is linked."""
