@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from millrace.sources.shared import drop, store
 
+#: Counts grow with the corpus, and a file's size says little of what its rows
+#: take in memory: none of the model's joins may broadcast a side by that size.
+JOIN = "merge"
 GRAMS = "n int, ctx long, token int, c long"
 CONTEXTS = "n int, ctx long, c long"
 
@@ -125,8 +128,8 @@ class NgramScorer:
             return distinct.withColumn("logprob", F.log(F.lit(uniform)))
         asked = distinct.select("token", *names, F.posexplode(F.array(*names)).alias("n", "ctx")).where("ctx is not null")
         grams, contexts = (reduce(DataFrame.unionByName, t) for t in ([g for _, g, _, _ in self.levels], [c.where("n > 0") for _, _, c, _ in self.levels]))
-        seen = asked.join(grams, ["n", "ctx", "token"]).select("token", *names, "n", F.col("c").alias("own"), F.lit(0).cast("long").alias("all"))
-        of = asked.where("n > 0").join(contexts, ["n", "ctx"]).select("token", *names, "n", F.lit(0).cast("long").alias("own"), F.col("c").alias("all"))
+        seen = asked.join(grams.hint(JOIN), ["n", "ctx", "token"]).select("token", *names, "n", F.col("c").alias("own"), F.lit(0).cast("long").alias("all"))
+        of = asked.where("n > 0").join(contexts.hint(JOIN), ["n", "ctx"]).select("token", *names, "n", F.lit(0).cast("long").alias("own"), F.col("c").alias("all"))
         total = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0).cast("long"))
         # a null context is one value to a grouping
         asking = distinct.select("token", *names, F.lit(-1).alias("n"), F.lit(0).cast("long").alias("own"), F.lit(0).cast("long").alias("all"))
@@ -147,9 +150,9 @@ class NgramScorer:
         rows = places(kept, self.order, "_row")
         found = self.probabilities(rows.select("token", *names).distinct())
         same = reduce(lambda a, b: a & b, (F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("token", *names)))
-        joined = rows.alias("r").join(found.alias("f"), same).select("r._row", "r.at", "f.logprob")
+        joined = rows.alias("r").join(found.alias("f").hint(JOIN), same).select("r._row", "r.at", "f.logprob")
         lists = joined.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "logprob"))).alias("_l")).select(F.col("_row").alias("_at_row"), F.col("_l.logprob").alias("_lp"))
-        out = kept.join(lists, F.col("_row") == F.col("_at_row"), "left")
+        out = kept.join(lists.hint(JOIN), F.col("_row") == F.col("_at_row"), "left")
         return out.withColumn("token_logprobs", F.coalesce("_lp", F.array().cast("array<double>"))).drop("_row", "_at_row", "_lp")
 
     def forget(self) -> None:

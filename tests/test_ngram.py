@@ -101,3 +101,12 @@ def test_a_hot_gram_is_one_row_of_each_task(spark):
     plan = gram_counts(table, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_count") > plan.index("Exchange")  # below the first exchange
     assert {(r["n"], r["c"]) for r in gram_counts(table, 3).where("token = 1").collect()} >= {(0, 5000), (1, 4900), (2, 4800)}
+
+
+def test_no_count_table_is_broadcast(spark):
+    """Counts lie in files, whose size is far below that of their rows in the
+    driver's memory; small as they are here, none of them goes through it."""
+    table = spark.createDataFrame([("a", [1, 2, 3, 1, 2]), ("b", [])], SCHEMA)
+    found = NgramScorer(spark, 3, blocks=table).logprobs(table)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
+    assert len(found.collect()) == 2 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
