@@ -44,16 +44,34 @@ class Permutation:
                 right = (right + own) % self.b
         return left * self.b + right
 
-    def at(self, x: np.ndarray) -> np.ndarray:
-        """Where each of ``x`` goes."""
+    def _back(self, x: np.ndarray) -> np.ndarray:
+        left, right = np.divmod(x, self.b)
+        for i, (factor, summand) in reversed(list(enumerate(self.rounds))):
+            own = ((right if i % 2 == 0 else left) + summand) % PRIME
+            own = own * own % PRIME * factor % PRIME
+            if i % 2 == 0:
+                left = (left - own) % self.a
+            else:
+                right = (right - own) % self.b
+        return left * self.b + right
+
+    def _walk(self, step, x: np.ndarray) -> np.ndarray:
         x = np.asarray(x, dtype=np.int64)
         if len(x) and (x.min() < 0 or x.max() >= self.n):
             raise IndexError(f"numbers must be in 0..{self.n - 1}")
-        x = self._once(x)
+        x = step(x)
         while (beyond := np.flatnonzero(x >= self.n)).size:
-            x[beyond] = self._once(x[beyond])
+            x[beyond] = step(x[beyond])
         return x
 
+    def at(self, x: np.ndarray) -> np.ndarray:
+        """Where each of ``x`` goes."""
+        return self._walk(self._once, x)
+
+    def origin(self, x: np.ndarray) -> np.ndarray:
+        """Where each of ``x`` comes from: the inverse of ``at``."""
+        return self._walk(self._back, x)
+
 
 class EpochOrder:
     """Numbers of the rows at the positions of an epoch.
@@ -71,6 +89,17 @@ class EpochOrder:
         self.order = None if key is None else Permutation(self.whole, key)
         self.turn = 0 if key is None or chunk == 1 or not n else int(hashlib.sha256(f"{key}:turn".encode()).hexdigest()[:12], 16) % n
 
+    def positions(self, numbers: np.ndarray) -> np.ndarray:
+        """The inverse of ``numbers``: where each row stands in the epoch."""
+        numbers = np.asarray(numbers, dtype=np.int64)
+        if self.order is None:
+            return numbers
+        moved = (numbers - self.turn) % max(self.n, 1)
+        at, rest = np.divmod(moved, self.chunk)
+        own = at < self.whole
+        moved[own] = self.order.origin(at[own]) * self.chunk + rest[own]
+        return moved
+
     def numbers(self, positions: np.ndarray) -> np.ndarray:
         positions = np.asarray(positions, dtype=np.int64)
         if self.order is None:

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,9 +112,15 @@ class Numbered:
     Numbers follow a salted hash, or the curriculum. A step computes the numbers
     of its rows (:class:`EpochOrder`) and reads these alone: folders of
     PART_ROWS numbers are pruned by name, row groups by the numbers' range. No
-    epoch is sorted, shuffled or written."""
+    epoch is sorted, shuffled or written.
+
+    The numbers of a pool of up to LISTED rows are a table that tasks get by
+    broadcast. Those of a larger one are never listed: the driver goes through
+    them LISTED at a time, for the folders that they lie in, and tasks compute
+    each row's position from its number and keep those of the step."""
 
     PART_ROWS = 1 << 16
+    LISTED = 1 << 16
 
     def __init__(self, rows: DataFrame, cfg: TrainConfig):
         spark, self.cfg = rows.sparkSession, cfg
@@ -135,11 +142,20 @@ class Numbered:
 
     def pool(self, epoch: int, step: int) -> DataFrame:
         """The rows of a step with ``step`` and their position ``block_id``."""
-        positions = np.arange(step * self.cfg.pool_size, (step + 1) * self.cfg.pool_size)
-        numbers = self.order(epoch).numbers(positions)
-        own = self.table.where(F.col("_part").isin(np.unique(numbers // self.PART_ROWS).tolist()) & F.col("_number").between(int(numbers.min()), int(numbers.max())))
-        at = self.spark.createDataFrame(pa.table({"_at": numbers, "block_id": positions}))
-        rows = own.join(F.broadcast(at), F.col("_number") == F.col("_at")).drop("_number", "_part", "_at")
+        order, start, end = self.order(epoch), step * self.cfg.pool_size, (step + 1) * self.cfg.pool_size
+        parts, least, most = set(), self.n, -1
+        for k in range(start, end, self.LISTED):
+            positions = np.arange(k, min(k + self.LISTED, end))
+            numbers = order.numbers(positions)
+            parts.update(np.unique(numbers // self.PART_ROWS).tolist())
+            least, most = min(least, int(numbers.min())), max(most, int(numbers.max()))
+        own = self.table.where(F.col("_part").isin(sorted(parts)) & F.col("_number").between(least, most))
+        if end - start <= self.LISTED:
+            at = self.spark.createDataFrame(pa.table({"_at": numbers, "block_id": positions}))
+            rows = own.join(F.broadcast(at), F.col("_number") == F.col("_at")).drop("_number", "_part", "_at")
+        else:
+            position = F.pandas_udf(lambda n: pd.Series(order.positions(n.to_numpy())), "long")
+            rows = own.withColumn("block_id", position("_number")).where(F.col("block_id").between(start, end - 1)).drop("_number", "_part")
         return rows.withColumn("sample_mask", F.lit(1.0)).withColumn("step", F.lit(step).cast("long"))
 
     def drop(self) -> None:

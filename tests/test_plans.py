@@ -283,6 +283,32 @@ def test_a_step_reads_the_folders_of_its_numbers(spark, tmp_path, monkeypatch):
         table.drop()
 
 
+@pytest.mark.parametrize("chunk", [1, 7])
+def test_numbers_of_a_large_pool_are_not_listed(spark, monkeypatch, chunk):
+    """Its rows tell their positions; they are those of a listed pool."""
+    rows = spark.createDataFrame([([1, 2], f"h{i}", "o", 0, "d", i) for i in range(101)], "token_ids array<int>, content_hash string, origin string, origin_tag int, domain string, block long")
+    table, found = train.Numbered(rows, config.TrainConfig(pool_size=25, top_k=10, shuffle_chunk=chunk)), []
+    try:
+        for listed in (25, 4):
+            monkeypatch.setattr(train.Numbered, "LISTED", listed, raising=False)
+            pools = [table.pool(epoch, step) for epoch in (0, 1) for step in range(table.steps)]
+            found.append([sorted((r["block_id"], r["step"], r["content_hash"]) for r in pool.collect()) for pool in pools])
+        assert found[0] == found[1] and [b for b, _, _ in sum(found[1][:4], [])] == list(range(100))
+        plan = pools[0]._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "LocalTableScan" not in plan
+    finally:
+        table.drop()
+
+
+def test_positions_are_the_inverse_of_numbers():
+    import numpy as np
+
+    for n in (1, 2, 3, 16, 17, 1000, 65537):
+        for key, chunk in ((None, 1), ("k", 1), ("k", 4), ("k", n), ("k", n + 1)):
+            order, every = permutation.EpochOrder(n, key, chunk), np.arange(n)
+            assert np.array_equal(order.positions(order.numbers(every)), every) and np.array_equal(order.numbers(order.positions(every)), every)
+
+
 def test_settings_files_and_overrides(tmp_path):
     (tmp_path / "a.yaml").write_text("train:\n  pool_size: 8\n  top_k: 2\nmixer:\n  corpus_path: x\n")
     (tmp_path / "b.json").write_text('{"train": {"top_k": 3}}')

@@ -18,6 +18,16 @@ def test_query_equals_sql(spark, name):
     same(spark, SF, QUERIES[name], ORACLE_SQL[name])
 
 
+@pytest.mark.parametrize("name", ["loop_resume"])
+def test_loop_with_pools_too_large_to_list(spark, monkeypatch, name):
+    """The same rows where tasks compute positions, as they do for pools of more
+    than 65,536 rows."""
+    from millrace.plans import train
+
+    monkeypatch.setattr(train.Numbered, "LISTED", 4)
+    same(spark, SF, QUERIES[name], ORACLE_SQL[name])
+
+
 def test_training_loop_equals_brute_force(spark):
     """The same loop in Python: score with the trigrams so far, take the best
     rows of each pool, add their tokens to the counts."""
