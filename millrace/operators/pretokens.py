@@ -18,16 +18,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.sources.shared import drop, store
 
 #: Entries that are joined by broadcast are fewer than this, each of at most
 #: so many characters: 40 MB of text and as much of ids at the very most.
 HEAD, HEAD_CHARS = 1 << 15, 256
-_ENTRY = "array<struct<entry string, whole boolean, at array<int>>>"
+_ENTRY = "entry string, whole boolean, at array<int>"
+#: Characters of texts whose entries a worker holds at a time, or one text.
+PENDING = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -57,17 +62,29 @@ def merged(path: str, entry: str, whole: bool) -> list[int]:
     return found.encode(entry, add_special_tokens=False).ids if whole else [t.id for t in found.model.tokenize(entry)]
 
 
-def _entries(path: str):
-    @F.pandas_udf(_ENTRY)
-    def entries(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _entries(path: str, keys: list[str]):
+    """Rows of a batch (``keys``, text) as those of their entries, let go
+    whenever PENDING characters of texts are cut: what a worker holds doesn't
+    grow with the batch."""
+
+    def entries(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            out = []
-            for text in part:
+            key, texts = part.select(keys), part.column("text")
+            rows, columns, size = [], ([], [], []), 0
+            for row in range(part.num_rows):
+                text = texts[row].as_py() or ""
                 places: dict[tuple[str, bool], list[int]] = {}
-                for i, key in enumerate(cut(path, text or "")):
-                    places.setdefault(key, []).append(i)
-                out.append([{"entry": e, "whole": w, "at": at} for (e, w), at in places.items()])
-            yield pd.Series(out, index=part.index)
+                for i, one in enumerate(cut(path, text)):
+                    places.setdefault(one, []).append(i)
+                for (entry, whole), at in places.items() or [((None, None), None)]:
+                    rows.append(row)
+                    for column, value in zip(columns, (entry, whole, at)):
+                        column.append(value)
+                size += len(text)
+                if rows and (size >= PENDING or row == part.num_rows - 1):
+                    made = [pa.array(values, kind) for values, kind in zip(columns, (pa.string(), pa.bool_(), pa.list_(pa.int32())))]
+                    yield pa.RecordBatch.from_arrays([*key.take(pa.array(rows)).columns, *made], names=[*keys, "entry", "whole", "at"])
+                    rows, columns, size = [], ([], [], []), 0
 
     return entries
 
@@ -76,7 +93,7 @@ def _ids(path: str):
     @F.pandas_udf("array<int>")
     def ids(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for entry, whole in parts:
-            yield pd.Series([merged(path, e, w) for e, w in zip(entry, whole)], index=entry.index)
+            yield pd.Series([np.asarray(merged(path, e, w), dtype=np.int32) for e, w in zip(entry, whole)], index=entry.index, dtype=object)
 
     return ids
 
@@ -98,7 +115,9 @@ def tokens_by_dictionary(docs: DataFrame, path: str, keys: tuple[str, ...] = ("d
     long; so no key of the shuffled join holds more, but for longer entries that
     very many documents share, which adaptive execution splits."""
     _load(path)  # a file that can't be read ends the run here
-    uses = store(docs.select(*keys, F.explode_outer(_entries(path)(F.col("text"))).alias("_e")).select(*keys, "_e.entry", "_e.whole", "_e.at"), "entries")
+    asked = docs.select(*keys, "text")
+    schema = StructType([*asked.drop("text").schema.fields, *StructType.fromDDL(_ENTRY).fields])
+    uses = store(asked.mapInArrow(_entries(path, list(keys)), schema), "entries")
     known = store(dictionary(uses, path), "pretokens")
     total = known.agg(F.sum("n")).first()[0] or 0
     frequent = (F.col("n") * HEAD > total) & (F.length("entry") <= HEAD_CHARS)
@@ -106,7 +125,7 @@ def tokens_by_dictionary(docs: DataFrame, path: str, keys: tuple[str, ...] = ("d
     # an entry is in one of the two, so the rows that the broadcast leaves go on to the shuffle
     near = uses.join(F.broadcast(head.withColumnRenamed("ids", "_near")), ["entry", "whole"], "left")
     done = near.where("_near is not null or entry is null").select(*keys, "at", F.col("_near").alias("ids"))
-    rest = near.where("_near is null and entry is not null").select(*keys, "at", "entry", "whole").join(tail, ["entry", "whole"]).select(*keys, "at", "ids")
+    rest = near.where("_near is null and entry is not null").select(*keys, "at", "entry", "whole").join(tail.hint("merge"), ["entry", "whole"]).select(*keys, "at", "ids")
     gathered = done.unionByName(rest).groupBy(*keys).agg(F.collect_list(F.struct("at", "ids")).alias("_all"))
     placed = F.flatten(F.transform("_all", lambda e: F.transform(F.coalesce(e["at"], F.array().cast("array<int>")), lambda at: F.struct(at.alias("at"), e["ids"].alias("ids")))))
     out = store(gathered.select(*keys, F.flatten(F.transform(F.array_sort(placed), lambda e: e["ids"])).alias("tokens")), "tokens")

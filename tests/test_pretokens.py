@@ -34,6 +34,20 @@ def test_each_pre_token_is_merged_once(spark):
     assert sorted((r["entry"], r["whole"], r["n"]) for r in found.collect()) == [("hello</w>", False, 40), ("x", False, 1), ("x", True, 1)]
 
 
+def test_a_worker_holds_the_entries_of_few_texts():
+    """Of a batch of many texts, entries go out every so many characters; all
+    of them, with their keys, in order."""
+    import pyarrow as pa
+
+    text = "the quick brown fox jumps " * 40
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(3000)), "text": [None if i % 100 == 99 else text for i in range(3000)]})
+    out = list(pretokens._entries(public_tokenizers.path("word_bpe_49k.json"), ["doc"])(iter([batch])))
+    assert max(o.num_rows for o in out) <= 5 * (pretokens.PENDING // len(text) + 1) + 10
+    docs = [d for o in out for d in o.column("doc").to_pylist()]
+    assert docs == sorted(docs) and set(docs) == set(range(3000))
+    assert sum(len(at or []) for o in out for at in o.column("at").to_pylist()) == 2970 * 200
+
+
 def test_whole_table_equals_the_library(spark):
     whole = library("word_bpe_49k.json")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
