@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, name):
     same(spark, SF, QUERIES[name], ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", ["loop_resume"])
+@pytest.mark.parametrize("name", ["loop_resume", "run_snapshot"])
 def test_loop_with_pools_too_large_to_list(spark, monkeypatch, name):
     """The same rows where tasks compute positions, as they do for pools of more
     than 65,536 rows."""
