@@ -96,13 +96,20 @@ def validation_metrics(rows: DataFrame) -> DataFrame:
     return out.unionByName(per.select(F.explode(F.array(*(F.struct(F.concat(F.lit("loss_by_origin_"), "origin", F.lit(f"/{c}")).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("target_loss", "ref_loss", "n")))).alias("m")).select("m.*"))
 
 
-def one_step(pool: DataFrame, scorer: Scorer, cfg: TrainConfig) -> DataFrame:
-    """The scored pool with ``sel_rank``, null where a row isn't ``selected``."""
-    scored = with_rho(with_target_loss(pool, scorer))
+def chosen_rows(scored: DataFrame, cfg: TrainConfig) -> DataFrame:
+    """The selected rows of a scored pool with ``sel_rank``; stored, if they
+    are not the whole pool."""
     if not cfg.enable_selection:
-        return scored.withColumn("sel_rank", F.col("block_id")).withColumn("selected", F.lit(True))
-    chosen = select(scored, cfg.top_k, cfg.selection_strategy, cfg.fixed_replay_ratio, cfg.seed)
-    return scored.join(chosen.select("block_id", "sel_rank"), "block_id", "left").withColumn("selected", F.col("sel_rank").isNotNull())
+        return scored.withColumn("sel_rank", F.col("block_id"))
+    return store(select(scored, cfg.top_k, cfg.selection_strategy, cfg.fixed_replay_ratio, cfg.seed), "selected-rows")
+
+
+def marked(scored: DataFrame, chosen: DataFrame, cfg: TrainConfig) -> DataFrame:
+    """The scored pool with ``selected``. Marks are ``top_k`` rows at most, and
+    come to the pool unless that is more than a step may list."""
+    marks = chosen.select("block_id", F.lit(True).alias("_sel"))
+    out = scored.join(F.broadcast(marks) if cfg.top_k <= Numbered.LISTED else marks, "block_id", "left")
+    return out.withColumn("selected", F.coalesce("_sel", F.lit(False))).drop("_sel")
 
 
 class Numbered:
@@ -219,9 +226,10 @@ def run_metrics(spark: SparkSession, path: str, upto: int | None = None) -> Data
 def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: TrainConfig, state: State | None = None, out: str | None = None) -> State:
     """Runs steps until the rows, ``max_steps``, ``max_epochs`` or the time end.
 
-    A step's pool is scored once and kept while the step lasts: one action
-    counts it, one lets the model learn, and one each writes its metrics and
-    its trace. A pool without a usable candidate is passed over: it counts as
+    A step's pool is scored once and stored while the step lasts, and so are
+    the rows selected of it: what counts them, learns from them and writes
+    metrics and trace are short plans over files. The driver thus never holds
+    a scorer's plan more than once, nor within the plans of what follows. A pool without a usable candidate is passed over: it counts as
     a step of the epoch, but neither in the total nor as consumed.
 
     ``out`` gets a commit (:class:`RunLog`) every ``save_period`` steps and at
@@ -256,21 +264,26 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
         while state.epoch < cfg.max_epochs:
             while state.step < numbered.steps:
                 step_began = time.time()
-                pool = one_step(numbered.pool(state.epoch, state.step), scorer, cfg).persist()
+                scored, chosen = store(with_rho(with_target_loss(numbered.pool(state.epoch, state.step), scorer)), "scored-pool"), None
                 try:
-                    usable_rows, tokens = pool.agg(F.count(F.when(usable() if cfg.enable_selection else F.lit(True), 1)), F.coalesce(F.sum(F.when(F.col("selected"), F.size("token_ids"))), F.lit(0))).first()
+                    forget()
+                    usable_rows = scored.where(usable() if cfg.enable_selection else F.lit(True)).count()
                     if usable_rows:
-                        scorer.update(pool.where("selected"))
+                        chosen = chosen_rows(scored, cfg)
+                        tokens = chosen.agg(F.coalesce(F.sum(F.size("token_ids")), F.lit(0))).first()[0]
+                        scorer.update(chosen)
                         state.total_steps += 1
                         state.total_valid_tokens += tokens
                         state.consumed_samples += cfg.pool_size
-                        named = pool.withColumn("step", F.lit(state.total_steps).cast("long"))
+                        at = F.lit(state.total_steps).cast("long")
                         rate = tokens / max(time.time() - step_began, 1e-9) / cfg.devices
-                        log.metrics(state.total_steps, spark.createDataFrame([(state.total_steps, "timing", "valid_tokens_per_sec_per_gpu", rate)], METRIC_SCHEMA), *(step_metrics(named, cfg, state.total_steps) if cfg.enable_selection else ()))
+                        log.metrics(state.total_steps, spark.createDataFrame([(state.total_steps, "timing", "valid_tokens_per_sec_per_gpu", rate)], METRIC_SCHEMA), *(step_metrics(marked(scored, chosen, cfg).withColumn("step", at), cfg, state.total_steps) if cfg.enable_selection else ()))
                         if cfg.log_selected:
-                            log.trace(state.total_steps, trace_rows(named.where("selected"), cfg.log_selected_period))
+                            log.trace(state.total_steps, trace_rows(chosen.withColumn("step", at), cfg.log_selected_period))
                 finally:
-                    pool.unpersist()
+                    drop(scored)
+                    if chosen is not None:
+                        drop(chosen)
                     forget()
                 state.step += 1
                 late = cfg.timeout_s is not None and time.time() - began > cfg.timeout_s

@@ -451,3 +451,23 @@ def test_only_plans_that_do_more_than_scan_are_stored(spark, tmp_path):
     for more in (rows.groupBy("id").count(), rows.join(few, "id"), rows.repartition(2), spark.range(3)):
         found = shared.kept(more, "t")
         assert found is not more and sorted(found.collect()) == sorted(more.collect())
+
+
+def test_a_step_scores_and_ranks_its_pool_once(spark, monkeypatch, tmp_path):
+    """What follows reads stored rows: neither a plan that is kept in memory nor
+    the scorer's or the ranking's is part of it."""
+    from millrace.operators.scoring import FixedScorer
+
+    seen, real = [], train.step_metrics
+    note = lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+
+    class Noting(FixedScorer):
+        def update(self, selected):
+            note(selected)
+
+    monkeypatch.setattr(train, "step_metrics", lambda pool, *rest: (note(pool), real(pool, *rest))[1])
+    rows = spark.createDataFrame([([i, 2 * i, 3], "o", i % 2, f"{i:04x}", i, 0.5) for i in range(24)], "token_ids array<int>, origin string, origin_tag int, content_hash string, block long, ref_loss double")
+    state = train.train_loop(rows, None, Noting(lambda t: -(t % 7).cast("double")), config.TrainConfig(pool_size=8, top_k=3, log_selected=True), out=str(tmp_path / "run"))
+    assert len(seen) == 2 * state.total_steps == 6 and state.total_valid_tokens == 3 * 3 * 3
+    assert not [plan for plan in seen if "InMemoryRelation" in plan or "Window" in plan or "transform" in plan]
+    assert train.run_trace(spark, str(tmp_path / "run")).count() == 9
