@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ class Sketch(NamedTuple):
     block: int = 1 << 16
 
 
-#: Terms that a task holds before it hands them on.
-HELD = 1 << 17
+#: Terms, with repeats, of the texts that a task counts at a time.
+HELD = 1 << 22
 #: Characters of a text that are split into words at a time.
 PIECE = 1 << 20
 #: Bytes that are part of no term become blanks; A-Z are lower-cased.
@@ -55,8 +56,8 @@ def terms(text: str, piece: int = PIECE) -> Iterator[list[bytes]]:
         at += piece
         cut = len(body) if at >= len(text) else body.rfind(b" ") + 1
         rest = body[cut:]
-        # split at blanks alone: bytes from 128 on belong to characters of a term
-        yield [t for t in body[:cut].split(b" ") if t]
+        # bytes split at ASCII blanks alone: those from 128 on belong to characters of a term
+        yield body[:cut].split()
 
 
 def cells(lang: str, found: list[bytes], shape: Sketch = Sketch()) -> np.ndarray:
@@ -71,10 +72,61 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
 
-def _columns(batch: pa.RecordBatch) -> Iterator[tuple[str, str, str]]:
-    """Rows of a batch; texts become Python strings one at a time."""
-    for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
-        yield lang, source, text.as_py()
+class _Lot:
+    """Texts of one language that are counted at a time. Each distinct term is
+    looked up once for the whole lot; what is counted are numbers."""
+
+    def __init__(self) -> None:
+        self.sources: list[str] = []
+        self.bodies: list[bytes] = []
+
+    def counts(self) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct terms, and for each term of each document its row, the
+        term's number and how often it is there; in that order."""
+        lists = pc.split_pattern(pa.array(self.bodies, pa.binary()), b" ")
+        found = lists.flatten().dictionary_encode()
+        codes, n = found.indices.to_numpy(zero_copy_only=False), max(1, len(found.dictionary))
+        keys = np.repeat(np.arange(len(self.bodies)) * n, np.diff(lists.offsets.to_numpy())) + codes
+        blank = pc.index(found.dictionary, pa.scalar(b"", pa.binary())).as_py()
+        keys = keys[codes != blank]
+        keys.sort()
+        own, times = _runs(keys)
+        return found.dictionary, *np.divmod(own, n), times
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the sorted ``keys`` once, and how often it is there."""
+    at = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, _Lot] | tuple[str, str, Counter]]:
+    """Lots by language of HELD terms in all, or little more. A text that is
+    longer than a piece is one by itself: language, source and its terms, as it
+    is never split into all of them at once. Texts become Python strings one at
+    a time."""
+    lots: dict[str, _Lot] = {}
+    size = 0
+    for batch in batches:
+        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
+            text = text.as_py()
+            if len(text) > PIECE:
+                own: Counter = Counter()
+                for piece in terms(text):
+                    own.update(piece)
+                yield lang, source, own
+                continue
+            lot = lots.setdefault(lang, _Lot())
+            body = text.encode("utf-8", "replace").translate(_LETTERS)
+            lot.sources.append(source)
+            lot.bodies.append(body)
+            # long terms, too, take their bytes
+            size += max(body.count(b" ") + 1, len(body) >> 3)
+            if size > HELD:
+                yield lots
+                lots, size = {}, 0
+    if lots:
+        yield lots
 
 
 def sketch(docs: DataFrame, least: int, shape: Sketch = Sketch()) -> DataFrame:
@@ -84,23 +136,24 @@ def sketch(docs: DataFrame, least: int, shape: Sketch = Sketch()) -> DataFrame:
         raise ValueError(f"the least frequency must be in 1..255, got {least}")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(shape.width * shape.depth, dtype=np.uint8)
-        held: dict[str, Counter] = {}
-
-        def add() -> None:
-            for lang, found in held.items():
-                number = np.fromiter(found.values(), np.int64, len(found))
-                for row in cells(lang, list(found), shape):
-                    own, at = np.unique(row, return_inverse=True)
-                    counters[own] = np.minimum(counters[own] + np.bincount(at, weights=number).astype(np.int64), least).astype(np.uint8)
-            held.clear()
-
-        for batch in batches:
-            for lang, _, text in _columns(batch):
-                held.setdefault(lang, Counter()).update(set().union(*terms(text)))
-                if sum(map(len, held.values())) > HELD:
-                    add()
-        add()
+        # wide enough for all documents of a task; rows end up as bytes
+        counters = np.zeros(shape.width * shape.depth, dtype=np.int32)
+
+        def add(lang: str, found: list[bytes], number: np.ndarray) -> None:
+            for row in cells(lang, found, shape):
+                np.add.at(counters, row, number)
+
+        for lot in _lots(batches):
+            if isinstance(lot, tuple):
+                lang, _, own = lot
+                add(lang, list(own), np.ones(len(own), np.int32))
+                continue
+            for lang, texts in lot.items():
+                words, _, code, _ = texts.counts()
+                number = np.bincount(code, minlength=len(words)).astype(np.int32)
+                there = np.flatnonzero(number)
+                add(lang, words.take(pa.array(there)).to_pylist(), number[there])
+        counters = np.minimum(counters, least).astype(np.uint8)
         yield _blocks({b: counters[b * shape.block : (b + 1) * shape.block] for b in range(len(counters) // shape.block)})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +176,8 @@ def _blocks(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
 
 def counted(docs: DataFrame, least: int, shape: Sketch = Sketch()) -> DataFrame:
     """``lang, source, term, occurrences, docs`` of all terms that may be in
-    ``least`` documents of their language: exact sums, one row each.
+    ``least`` documents of their language: exact sums, one row each, dealt out
+    by language and term.
 
     The merged sketch has as many bytes as ``shape`` has counters, whatever the
     input; tasks get it as a broadcast."""
@@ -134,37 +188,38 @@ def counted(docs: DataFrame, least: int, shape: Sketch = Sketch()) -> DataFrame:
     shared = spark.sparkContext.broadcast(merged)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, held, size = shared.value, {}, 0
+        counters = shared.value
 
-        def survivors() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (number, in_docs) in held.items():
-                found = list(number)
-                stays = np.flatnonzero((counters[cells(lang, found, shape)] >= least).all(axis=0)) if found else []
-                some = [found[i] for i in stays]
-                if some:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array([t.decode("utf-8", "replace") for t in some]),
-                        pa.array([number[t] for t in some], pa.int64()), pa.array([in_docs[t] for t in some], pa.int64()),
-                    ], names=["lang", "source", "term", "occurrences", "docs"])
-            held.clear()
+        def stay(lang: str, found: list[bytes]) -> np.ndarray:
+            return (counters[cells(lang, found, shape)] >= least).all(axis=0)
 
-        for batch in batches:
-            for lang, source, text in _columns(batch):
-                number, in_docs = held.setdefault((lang, source), (Counter(), Counter()))
-                size -= len(number)
-                own: Counter = Counter()
-                for piece in terms(text):
-                    own.update(piece)
-                number.update(own)
-                in_docs.update(own.keys())
-                size += len(number)
-                if size > HELD:
-                    yield from survivors()
-                    size = 0
-        yield from survivors()
+        def rows(lang: str, source: pa.Array, term: pa.Array, occurrences: np.ndarray, in_docs: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.repeat(pa.scalar(lang), len(term)), source, term.cast(pa.string()), pa.array(occurrences, pa.int64()), pa.array(in_docs, pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "occurrences", "docs"])
+
+        for lot in _lots(batches):
+            if isinstance(lot, tuple):
+                lang, source, own = lot
+                found = list(own)
+                some = [found[i] for i in np.flatnonzero(stay(lang, found))]
+                if some:
+                    yield rows(lang, pa.repeat(pa.scalar(source), len(some)), pa.array(some, pa.binary()), np.array([own[t] for t in some]), np.ones(len(some), np.int64))
+                continue
+            for lang, texts in lot.items():
+                words, row, code, times = texts.counts()
+                kept = stay(lang, words.to_pylist())[code]
+                names, of = np.unique(np.array(texts.sources, dtype=object), return_inverse=True)
+                keys, times = of[row[kept]] * len(words) + code[kept], times[kept]
+                order = np.argsort(keys, kind="stable")
+                own, in_docs = _runs(keys[order])
+                if len(own):
+                    source, code = np.divmod(own, len(words))
+                    occurrences = np.add.reduceat(times[order], np.cumsum(in_docs) - in_docs)
+                    yield rows(lang, pa.array(names, pa.string()).take(pa.array(source)), words.take(pa.array(code)), occurrences, in_docs)
 
     found = _documents(docs).mapInArrow(count, COUNTED)
-    return found.groupBy("lang", "source", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("docs").alias("docs"))
+    # a task's rows of a term differ already: nothing to sum before they are dealt out
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("docs").alias("docs"))
 
 
 def _big(c: Column | str) -> Column:
@@ -201,11 +256,12 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10, shape: Sketch =
     A frequent term is one row of each task that holds it, then one row of each
     source. Pairs are joined by term among a language's sources alone.
     """
-    seen = store(counted(docs, least, shape), "terms")
+    seen, whole = counted(docs, least, shape), Window.partitionBy("lang", "term")
     groups = _documents(docs).select("lang", "source").distinct()
     groups = store(groups, "groups")
-    of_lang = seen.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("all")).where(F.col("docs") >= least).drop("docs")
-    kept = store(seen.select("lang", "source", "term", F.col("occurrences").alias("n")).join(of_lang, ["lang", "term"]), "kept-terms")
+    # the window finds a term's rows where the counting left them
+    seen = seen.select("lang", "source", "term", F.col("occurrences").alias("n"), F.sum("occurrences").over(whole).alias("all"), F.sum("docs").over(whole).alias("_docs"))
+    kept = store(seen.where(F.col("_docs") >= least).drop("_docs"), "kept-terms")
     # once per language and group: V terms, N occurrences
     words = kept.groupBy("lang", "term").agg(F.max("all").alias("all")).groupBy("lang").agg(F.count("*").alias("V"), F.sum("all").alias("N_all"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("N"), F.count("*").alias("there"))

@@ -170,3 +170,21 @@ def test_sketch_drops_rare_terms_and_keeps_all_others(spark):
     told = merged[dv.cells("en", [t.encode() for t in seen])].min(axis=0)
     assert all(n >= min(10, seen[t]) for n, t in zip(told, seen))
     assert {r["term"] for r in dv.counted(table, 10).collect()} == {t for t in seen if seen[t] >= 10}
+
+
+def test_terms_are_dealt_out_once_and_looked_up_once_a_lot(spark):
+    """A language's sum of a term needs no shuffle behind that of the sources'
+    counts; documents of a lot are counted as by hand."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    table = spark.createDataFrame([("en", s, "one two two") for s in "abc"], "lang string, source string, text string")
+    summed = dv.counted(table, 1).withColumn("all", F.sum("occurrences").over(Window.partitionBy("lang", "term")))
+    assert summed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {(r["source"], r["term"], r["occurrences"], r["docs"], r["all"]) for r in summed.collect()} == {(s, t, n, 1, 3 * n) for s in "abc" for t, n in (("one", 1), ("two", 2))}
+    for texts in ([b"b a  b", b"", b" ", b"a \xc3\xa9\xc2\xa0a c"], [b""], [b"x"]):
+        lot = dv._Lot()
+        lot.bodies = texts
+        words, row, code, times = lot.counts()
+        got = {(int(r), words[int(c)].as_py()): int(n) for r, c, n in zip(row, code, times)}
+        assert got == {(i, t): n for i, text in enumerate(texts) for t, n in Counter(w for w in text.split(b" ") if w).items()}
