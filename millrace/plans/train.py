@@ -26,7 +26,7 @@ from millrace.operators.validation import corpus_means, corpus_sums, loss_by_ori
 from millrace.plans.config import MixerConfig, TrainConfig
 from millrace.sources.commits import CommitLog
 from millrace.sources.corpus import TRACE_SCHEMA, append_trace, read_blocks, read_cache, read_trace
-from millrace.sources.shared import delete, drop, kept, new_path, store
+from millrace.sources.shared import delete, drop, kept, new_path, release, store
 
 METRIC_SCHEMA = "step long, prefix string, metric string, value double"
 
@@ -229,8 +229,10 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
     A step's pool is scored once and stored while the step lasts, and so are
     the rows selected of it: what counts them, learns from them and writes
     metrics and trace are short plans over files. The driver thus never holds
-    a scorer's plan more than once, nor within the plans of what follows. A pool without a usable candidate is passed over: it counts as
-    a step of the epoch, but neither in the total nor as consumed.
+    a scorer's plan more than once, nor within the plans of what follows; after
+    each step it lets go of that step's plans, so that its memory doesn't follow
+    the length of a run. A pool without a usable candidate is passed over: it
+    counts as a step of the epoch, but neither in the total nor as consumed.
 
     ``out`` gets a commit (:class:`RunLog`) every ``save_period`` steps and at
     the end. Tables that the loop needs are removed when it ends.
@@ -243,6 +245,7 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
     log = RunLog(spark, out, scorer)
     forget = getattr(scorer, "forget", lambda: None)
     numbered, batches = Numbered(rows, cfg), None
+    release(spark)
 
     def check(step: int) -> None:
         if batches is not None:
@@ -267,10 +270,11 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
                 scored, chosen = store(with_rho(with_target_loss(numbered.pool(state.epoch, state.step), scorer)), "scored-pool"), None
                 try:
                     forget()
-                    usable_rows = scored.where(usable() if cfg.enable_selection else F.lit(True)).count()
+                    chosen = chosen_rows(scored, cfg)
+                    usable_rows, tokens = chosen.agg(F.count("*"), F.coalesce(F.sum(F.size("token_ids")), F.lit(0))).first()
+                    if not usable_rows and cfg.enable_selection:
+                        usable_rows = scored.where(usable()).count()
                     if usable_rows:
-                        chosen = chosen_rows(scored, cfg)
-                        tokens = chosen.agg(F.coalesce(F.sum(F.size("token_ids")), F.lit(0))).first()[0]
                         scorer.update(chosen)
                         state.total_steps += 1
                         state.total_valid_tokens += tokens
@@ -285,6 +289,7 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
                     if chosen is not None:
                         drop(chosen)
                     forget()
+                    release(spark)
                 state.step += 1
                 late = cfg.timeout_s is not None and time.time() - began > cfg.timeout_s
                 full = cfg.max_steps is not None and state.total_steps >= cfg.max_steps

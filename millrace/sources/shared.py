@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -69,6 +70,14 @@ def drop(df: DataFrame) -> None:
         delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what finished plans leave: shuffle files and broadcasts stay on
+    all machines until the driver happens to collect its garbage, which one with
+    room to spare puts off, while its heap grows. For long loops, once a step."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Remove all tables that were left in the shared folder. Results that
     still read them must be written first."""

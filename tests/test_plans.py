@@ -2,6 +2,7 @@
 
 import dataclasses
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -471,3 +472,22 @@ def test_a_step_scores_and_ranks_its_pool_once(spark, monkeypatch, tmp_path):
     assert len(seen) == 2 * state.total_steps == 6 and state.total_valid_tokens == 3 * 3 * 3
     assert not [plan for plan in seen if "InMemoryRelation" in plan or "Window" in plan or "transform" in plan]
     assert train.run_trace(spark, str(tmp_path / "run")).count() == 9
+
+
+def test_the_driver_lets_go_of_a_step_when_it_ends(spark):
+    """Not once its heap is full: what only a finished step referred to is gone
+    two steps on, even what the driver's collector holds to be long-lived."""
+    jvm, refs, gone = spark._jvm, [], []
+
+    class Watched(UnigramScorer):
+        def update(self, selected):
+            gone.extend(r.refersTo(None) for r in refs)
+            time.sleep(2)  # Python tells the JVM once a second what it has dropped
+            if not refs:
+                held = jvm.java.lang.Object()
+                refs.append(jvm.java.lang.ref.WeakReference(held))
+                jvm.System.gc()  # it is old now: collections of young objects leave it
+
+    rows = spark.range(18).select(F.col("id").alias("block"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.array(F.lit(1), (F.col("id") % 5).cast("int")).alias("token_ids"), F.lit("o").alias("origin"), F.lit(1).alias("origin_tag"), F.lit(0.0).alias("ref_loss"))
+    state = train.train_loop(rows, None, Watched(8), config.TrainConfig(pool_size=6, top_k=2))
+    assert state.total_steps == 3 and state.total_valid_tokens == 12 and gone[-1]
