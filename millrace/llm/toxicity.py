@@ -16,8 +16,8 @@ import re
 import warnings
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import islice
+from dataclasses import dataclass, field
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +82,58 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
+def _points(text: str) -> np.ndarray:
+    """Code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+
+class Pieces:
+    """Known n-grams, looked up for many words at once by their code points.
+
+    A code point takes 21 bits, so three of them are a number: the first three
+    of an n-gram are looked up, then the place where they stood with the next
+    two, and so on. Numbers are equal where the n-grams are."""
+
+    def __init__(self, known: dict[str, int]):
+        self.levels: dict[int, tuple[list[np.ndarray], np.ndarray]] = {}
+        for n in GRAMS:
+            own = [g for g in known if len(g) == n]
+            if own:
+                points = _points("".join(own)).reshape(len(own), n).T
+                tables, at = [], points[0]
+                for k in range(1, n, 2):
+                    tables.append(np.unique(key := self._key(at, points[k : k + 2])))
+                    at = np.searchsorted(tables[-1], key)
+                number = np.empty(len(own), dtype=np.int64)
+                number[at] = [known[g] for g in own]
+                self.levels[n] = tables, number
+
+    @staticmethod
+    def _key(at: np.ndarray, more: list[np.ndarray] | np.ndarray) -> np.ndarray:
+        key = at << 42 | more[0] << 21
+        return key | more[1] if len(more) > 1 else key
+
+    def found(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words and the numbers of their known n-grams, by word, then
+        by length and place in the word."""
+        points = _points("".join([f"<{w[:40]}>" for w in vocabulary]))
+        word = np.repeat(np.arange(len(vocabulary)), [min(len(w), 40) + 2 for w in vocabulary])
+        words, numbers = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, (tables, number) in self.levels.items():
+            first = np.flatnonzero(word[: max(0, len(word) - n + 1)] == word[n - 1 :])
+            at = points[first]
+            for k, table in zip(range(1, n, 2), tables):
+                key = self._key(at, [points[first + j] for j in range(k, min(k + 2, n))])
+                at = np.minimum(np.searchsorted(table, key), len(table) - 1)
+                there = table[at] == key
+                first, at = first[there], at[there]
+            words.append(word[first])
+            numbers.append(number[at])
+        at = np.concatenate(words)
+        order = np.argsort(at, kind="stable")
+        return at[order], np.concatenate(numbers)[order]
+
+
 @dataclass
 class Network:
     """Weights by name, and the numbers of known words and n-grams."""
@@ -90,15 +142,18 @@ class Network:
     words: dict[str, int]
     grams: dict[str, int]
     share: float
+    _pieces: Pieces | None = field(default=None, init=False, repr=False, compare=False)
 
     # Both directions run as one batch: arrays of states are (2, windows, HIDDEN).
 
     def inputs(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word its number (0: unknown), all its known n-grams one
         after another, and how many it has."""
-        own = np.fromiter((self.words.get(w, 0) for w in vocabulary), np.int64, len(vocabulary))
-        known = [[g for g in map(self.grams.get, grams(w)) if g is not None] for w in vocabulary]
-        return own, np.fromiter((g for k in known for g in k), np.int64), np.fromiter(map(len, known), np.int64, len(known))
+        own = np.fromiter(map(self.words.get, vocabulary, repeat(0)), np.int64, len(vocabulary))
+        if self._pieces is None:
+            self._pieces = Pieces(self.grams)
+        at, flat = self._pieces.found(vocabulary)
+        return own, flat, np.bincount(at, minlength=len(vocabulary))
 
     def projected(self, own: np.ndarray, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Embeddings of words, and what both directions' gates take of them."""
@@ -251,6 +306,14 @@ def fit(texts: list[str], toxic: list[bool], share: float, seed: int = 7) -> Net
     return net
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Scorer:
     """Scores texts with a network; word projections are kept between texts, up
     to a number of distinct words."""
@@ -260,14 +323,13 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.gates = np.zeros((2, 0, 3 * HIDDEN), dtype=np.float32)
 
     def ids(self, text: list[str]) -> np.ndarray:
         """Numbers of a text's words; new ones get theirs, their gates follow
         when they are needed."""
-        number = self.number
-        return np.fromiter((number.setdefault(w, len(number)) for w in text), np.int32, len(text))
+        return np.fromiter(map(self.number.__getitem__, text), np.int32, len(text))
 
     def know(self) -> None:
         new = list(islice(self.number, self.gates.shape[1], None))

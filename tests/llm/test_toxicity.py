@@ -67,6 +67,19 @@ def test_scores_equal_brute_force(net):
     assert np.allclose(got, [slow_score(net, t) for t in own], atol=1e-4)
 
 
+@settings(deadline=None)
+@given(st.lists(st.text("ab1é日𝒳", max_size=60)), st.sets(st.text("<ab1é日𝒳>", min_size=3, max_size=5)))
+def test_ngrams_are_looked_up_for_many_words_at_once(own, known):
+    """The same numbers in the same order as word by word, and no work in
+    Python for each n-gram of a text."""
+    net = tx.fresh(["a", "ab"], sorted(g for g in known | {"<ab", "ab>", "<ab1>", "日𝒳é"} if len(g) in tx.GRAMS), 0.5)
+    want = [[g for g in map(net.grams.get, tx.grams(w)) if g is not None] for w in own]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tx, "grams", None)
+        number, flat, n = net.inputs(own)
+    assert number.tolist() == [net.words.get(w, 0) for w in own] and n.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
+
+
 def test_unseen_texts_are_told_apart(net):
     own, toxic = texts(120, seed=9)
     got = np.array(list(tx.Scorer(net).scores(own))) >= 0.7
