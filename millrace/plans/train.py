@@ -230,8 +230,8 @@ def train_loop(rows: DataFrame, val: DataFrame | None, scorer: Scorer, cfg: Trai
     the rows selected of it: what counts them, learns from them and writes
     metrics and trace are short plans over files. The driver thus never holds
     a scorer's plan more than once, nor within the plans of what follows; after
-    each step it lets go of that step's plans, so that its memory doesn't follow
-    the length of a run. A pool without a usable candidate is passed over: it
+    each step it lets go of that step's plans, with their shuffle files and
+    broadcasts on all machines. A pool without a usable candidate is passed over: it
     counts as a step of the epoch, but neither in the total nor as consumed.
 
     ``out`` gets a commit (:class:`RunLog`) every ``save_period`` steps and at
