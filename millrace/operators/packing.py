@@ -35,7 +35,8 @@ def pack(docs: DataFrame, block_size: int, eod: int, keep_partial: bool = False,
     is cut into blocks. A last block that is short goes unless kept.
 
     Tokens are stored once with their number, so that a tokenizer runs once:
-    offsets are found from the numbers alone."""
+    offsets are found from the numbers alone. ``drop`` of the result removes
+    them, once what is made of it is stored."""
     if block_size <= 0:
         raise ValueError(f"block_size must be positive, got {block_size}")
     group = list(group)
@@ -51,7 +52,9 @@ def pack(docs: DataFrame, block_size: int, eod: int, keep_partial: bool = False,
     part = F.slice("_toks", (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
     blocks = cut.select(*group, "block", F.struct(low.alias("at"), part.alias("part")).alias("_p")).groupBy(*group, "block").agg(F.sort_array(F.collect_list("_p")).alias("_parts"))
     blocks = blocks.select(*group, "block", F.flatten("_parts.part").alias("token_ids"))
-    return blocks if keep_partial else blocks.where(F.size("token_ids") == block_size)
+    out = blocks if keep_partial else blocks.where(F.size("token_ids") == block_size)
+    out._millrace_path = kept._millrace_path
+    return out
 
 
 

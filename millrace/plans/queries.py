@@ -21,7 +21,7 @@ from millrace.plans.config import IngestConfig, TrainConfig
 from millrace.plans.precompute import precompute
 from millrace.plans.train import load_state, pools, resume, run_metrics, run_trace, train_loop, validate
 from millrace.sources import corpus
-from millrace.sources.shared import new_path, store
+from millrace.sources.shared import drop, new_path, release, store
 
 BLOCK, EOD, SEED, POOL, K = 64, 2, 42, 64, 16
 ADAPT = "german"
@@ -57,8 +57,13 @@ def capabilities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The blocks table; stored, so that what reads it twice packs once."""
-    return store(packing.tag(packing.pack(tokens(spark, sf), BLOCK, EOD), ADAPT, capabilities(spark, sf)), "blocks")
+    """The blocks table; stored, so that what reads it twice packs once. What
+    packing left is let go of."""
+    packed = packing.pack(tokens(spark, sf), BLOCK, EOD)
+    out = store(packing.tag(packed, ADAPT, capabilities(spark, sf)), "blocks")
+    drop(packed)
+    release(spark)
+    return out
 
 
 def split(rows: DataFrame) -> DataFrame:

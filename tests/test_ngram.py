@@ -110,3 +110,51 @@ def test_no_count_table_is_broadcast(spark):
     found = NgramScorer(spark, 3, blocks=table).logprobs(table)
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 0
     assert len(found.collect()) == 2 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_go_packed(spark):
+    """What is shuffled and kept for 400,000 tokens, most of whose grams are
+    distinct: before, a row of some 30 bytes for each gram and each place."""
+    ids = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.pmod(F.xxhash64(F.col("id"), i), F.lit(700)) + 10).cast("int"))
+    table = spark.range(6250).select(F.col("id").cast("string").alias("name"), ids.alias("token_ids"))
+    written = lambda: spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    began = written()
+    scorer = NgramScorer(spark, 3, blocks=table)
+    assert scorer.logprobs(table).select(F.sum(F.size("token_logprobs"))).first()[0] == scorer.tokens == 400_000
+    assert 0 < written() - began < 40 * 400_000
+    scorer.close()
+
+
+def test_contexts_are_hashed_as_spark_does(spark):
+    """Models that were saved before hold such hashes."""
+    table = spark.createDataFrame([("", ids) for ids in rows(3)] + [("", [2**31 - 1, -7, -7, 0, -(2**31)]), ("", None)], SCHEMA)
+    assert sorted(NgramScorer(spark, 3, blocks=table).grams().collect()) == sorted(gram_counts(table, 3).collect())
+
+
+@pytest.mark.parametrize("small", [1, 7])
+def test_many_ranges_of_contexts(spark, monkeypatch, small):
+    """As many as grams, and fewer; updates of other sizes have others."""
+    from millrace.operators import ngram
+
+    monkeypatch.setattr(ngram, "RANGE", small)
+    scorer, plain = NgramScorer(spark, 3), Plain(3)
+    for seed in (1, 2):
+        scorer.update(spark.createDataFrame([("", ids) for ids in rows(seed, 6)], SCHEMA))
+        plain.learn(rows(seed, 6))
+    asked = [*rows(2, 5), [5, 5, 5], []]
+    got = {r["name"]: r["token_logprobs"] for r in scorer.logprobs(spark.createDataFrame([(str(i), ids) for i, ids in enumerate(asked)], SCHEMA)).collect()}
+    assert len(got) == len(asked) and all(close(got[str(i)], plain.logprobs(ids)) for i, ids in enumerate(asked))
+    assert {(r["token"], r["c"]) for r in scorer.grams().where("n = 0").collect()} == {(t, c) for (ctx, t), c in plain.grams.items() if ctx == ()}
+
+
+def test_lots_hold_each_row_once(monkeypatch):
+    import pyarrow as pa
+
+    from millrace.operators import ngram
+
+    monkeypatch.setattr(ngram, "LOT", 10)
+    sizes = [3, 0, None, 25, 9, 1, 1, 10, 0, 4, 4, 4]
+    batch = pa.record_batch({"i": pa.array(range(len(sizes))), "token_ids": pa.array([n if n is None else [7] * n for n in sizes], pa.list_(pa.int32()))})
+    lots = list(ngram._lots(iter([batch.slice(0, 5), batch.slice(5, 0), batch.slice(5)])))
+    assert [i for lot in lots for i in lot["i"].to_pylist()] == list(range(len(sizes)))
+    assert all(lot.num_rows == 1 or ngram._tokens(lot["token_ids"])[2].sum() <= 10 for lot in lots) and len(lots) < 9
