@@ -589,16 +589,25 @@ def ngram_losses(spark, sf):
     return scored.select(*BLOCK_KEY, micro.alias("loss"), F.size("token_logprobs").cast("long").alias("n_tokens"))
 
 
+#: One in so many rows of a pool is selected by ``training_loop``, K at least.
+ONE_IN = 9
+
+
 @query
 def training_loop(spark, sf):
     """An epoch of the loop with a trigram model that learns: what each step
-    selected. It starts from the replay blocks; the reference has seen all."""
-    rows = blocks(spark, sf)
-    replay, both, out = learnt(rows), NgramScorer(spark, blocks=rows), new_path(spark, "run")
+    selected. It starts from the replay blocks; the reference has seen all. What
+    is selected and learnt of a pool grows with it. Tables and models go as soon
+    as nothing reads them any more."""
+    rows, out = blocks(spark, sf), new_path(spark, "run")
+    both = NgramScorer(spark, blocks=rows)
     scored = store(with_target_loss(rows, both).withColumnRenamed("target_loss", "ref_loss").drop("sample_mask"), "scored")
-    train_loop(scored, None, replay, TrainConfig(pool_size=pool_size(rows), top_k=K, log_selected=True), out=out)
-    for scorer in (replay, both):
-        scorer.close()
+    both.close()
+    drop(rows)
+    replay, size = learnt(scored), pool_size(scored)
+    train_loop(scored, None, replay, TrainConfig(pool_size=size, top_k=max(K, size // ONE_IN), log_selected=True), out=out)
+    replay.close()
+    drop(scored)
     return run_trace(spark, out)
 
 

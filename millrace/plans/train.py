@@ -101,7 +101,12 @@ def chosen_rows(scored: DataFrame, cfg: TrainConfig) -> DataFrame:
     are not the whole pool."""
     if not cfg.enable_selection:
         return scored.withColumn("sel_rank", F.col("block_id"))
-    return store(select(scored, cfg.top_k, cfg.selection_strategy, cfg.fixed_replay_ratio, cfg.seed), "selected-rows")
+    found = lambda rows: select(rows, cfg.top_k, cfg.selection_strategy, cfg.fixed_replay_ratio, cfg.seed)
+    if cfg.top_k <= Numbered.LISTED:
+        return store(found(scored), "selected-rows")
+    # a ranking meets in one task: of many rows it gets what it ranks by alone
+    ranks = found(scored.select("step", "block_id", "rho", "sample_mask", "origin_tag")).select(F.col("block_id").alias("_id"), "sel_rank")
+    return store(scored.join(ranks, F.col("block_id") == F.col("_id")).drop("_id"), "selected-rows")
 
 
 def marked(scored: DataFrame, chosen: DataFrame, cfg: TrainConfig) -> DataFrame:

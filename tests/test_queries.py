@@ -1,6 +1,7 @@
 """Every query against its SQL, at the smallest scale."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.plans.queries import QUERIES
 from millrace.plans.sql import ORACLE_SQL
@@ -59,6 +60,29 @@ def test_training_loop_equals_brute_force(spark):
     assert {(s, h) for (s, _), (h, _) in got.items()} == {(s, h) for (s, _), (h, _) in want.items()}
 
 
+def test_training_loop_learns_from_a_share_of_all_rows(spark, monkeypatch, tmp_path):
+    """Four times the rows, four times as many are selected and learnt; before,
+    16 of each pool whatever its size. Tables are removed as the loop goes."""
+    from millrace.plans import queries
+    from millrace.sources.shared import folders, shared_dir
+
+    table, n, learnt, stored = queries.table, {}, [], lambda: set(folders(spark, f"{shared_dir(spark)}/millrace"))
+    monkeypatch.setattr(queries, "train_loop", lambda rows, val, scorer, cfg, out: (n.update(rows=rows.count(), cfg=cfg), learnt.append(scorer.tokens), queries_loop(rows, val, scorer, cfg, out=out), learnt.append(scorer.tokens)))
+    from millrace.plans.train import train_loop as queries_loop
+
+    def grown(session, sf, name):
+        found = table(session, sf, name)
+        return found if name != "documents" else found.crossJoin(session.range(4).withColumnRenamed("id", "_k")).withColumn("doc_id", F.col("doc_id") * 4 + F.col("_k")).drop("_k")
+
+    monkeypatch.setattr(queries, "table", grown)
+    began = stored()
+    rows = QUERIES["training_loop"](spark, SF).collect()
+    k = n["rows"] // 8 // queries.ONE_IN
+    assert k >= 60 and n["cfg"].pool_size == n["rows"] // 8 and len(rows) == 8 * k
+    assert learnt[1] - learnt[0] == 8 * k * 64
+    assert {name.split("-")[0] for name in stored() - began} == {"run"}
+
+
 def test_library_blocks_equal_brute_force(spark):
     """Ingestion with a public tokenizer: tokens, cuts and decoded lengths."""
     public_tokenizers = pytest.importorskip("public_tokenizers")
