@@ -331,8 +331,8 @@ class NgramScorer:
                         ctx = np.repeat(run.ctx if n else np.zeros_like(run.ctx), run.size).view(np.int64)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), n, np.int32)), pa.array(ctx), pa.array(run.token.view(np.int32)), pa.array(c)], ["n", "ctx", "token", "c"])
 
-        tables = [runs.select("runs").mapInArrow(rows, GRAMS) for _, runs, _ in self.levels]
-        return tables[0] if len(tables) == 1 else reduce(DataFrame.unionByName, tables).groupBy("n", "ctx", "token").agg(F.sum("c").alias("c"))
+        one = self.levels[0][1] if len(self.levels) == 1 else self._merged(self._dealt(self.levels, self._parts(sum(n for n, _, _ in self.levels))))
+        return one.select("runs").mapInArrow(rows, GRAMS)
 
     def logprobs(self, blocks: DataFrame) -> DataFrame:
         """``blocks`` with ``token_logprobs``; an empty block has an empty list.
@@ -369,25 +369,24 @@ class NgramScorer:
             return _rows(_ASKED, rows())
 
         def tell(asked: pa.Table, known: pa.Table) -> pa.Table:
-            found = [_runs_of(data, True) for data in known["runs"].to_pylist()]
-            model = []
-            for n in range(order if asked.num_rows and found else 0):
-                run, counts = _summed([r[n] for r, _ in found], [c[n] for _, c in found])
-                of = np.repeat(np.arange(len(run.ctx)), run.size)
-                total = np.zeros(len(run.ctx), dtype=np.int64)
-                np.add.at(total, of, counts)
-                model.append((run.ctx, total, of << 32 | run.token.astype(np.int64), counts))
+            # counts are additive: every run that is known answers by itself, none is sorted again
+            model: list[list[tuple]] = [[] for _ in range(order)]
+            for data in known["runs"].to_pylist() if asked.num_rows else ():
+                for n, (run, counts) in enumerate(zip(*_runs_of(data, True))):
+                    if len(counts):
+                        starts = np.cumsum(run.size, dtype=np.int64) - run.size
+                        model[n].append((run.ctx, np.add.reduceat(counts, starts), run.keys(run.ctx)[1], counts))
             out = []
             for data in asked["runs"].to_pylist():
                 told = []
                 for n, run in enumerate(_runs_of(data, False)[0]):
-                    if model and len(model[n][0]):
-                        ctx, total, grams, counts = model[n]
+                    own, every = np.zeros(len(run.token), dtype=np.int64), np.zeros(len(run.ctx), dtype=np.int64)
+                    for ctx, total, grams, counts in model[n]:
                         of, keys = run.keys(ctx)
                         at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-                        told += [_narrow(np.where(grams[at] == keys, counts[at], 0)), _narrow(np.where(of < 0, 0, total[of]))]
-                    else:
-                        told += [np.zeros(len(run.token), np.uint32), np.zeros(len(run.ctx), np.uint32)]
+                        own += np.where(grams[at] == keys, counts[at], 0)
+                        every += np.where(of < 0, 0, total[of])
+                    told += [_narrow(own), _narrow(every)]
                 out.append(_packed(*told))
             return pa.Table.from_arrays([asked["lot"], asked["part"], pa.chunked_array([out], pa.binary())], schema=_TOLD)
 
@@ -419,7 +418,7 @@ class NgramScorer:
         self.scratch = []
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.grams().write.parquet(path)
+        self.grams().write.option("compression", "zstd").parquet(path)
 
     def load(self, spark: SparkSession, path: str) -> None:
         self.close()

@@ -158,3 +158,18 @@ def test_lots_hold_each_row_once(monkeypatch):
     lots = list(ngram._lots(iter([batch.slice(0, 5), batch.slice(5, 0), batch.slice(5)])))
     assert [i for lot in lots for i in lot["i"].to_pylist()] == list(range(len(sizes)))
     assert all(lot.num_rows == 1 or ngram._tokens(lot["token_ids"])[2].sum() <= 10 for lot in lots) and len(lots) < 9
+
+
+def test_levels_are_summed_packed(spark):
+    """A model of several levels is saved without a shuffled row for each gram."""
+    big, small = [[(i * i * 31 + j * 7) % 97 for j in range(20)] for i in range(20)], [[1, 2, 3], [31, 38, 45]]
+    scorer, plain = NgramScorer(spark, 3), Plain(3)
+    for some in (big, small):
+        scorer.update(spark.createDataFrame([("", ids) for ids in some], SCHEMA))
+        plain.learn(some)
+    found = scorer.grams()
+    assert len(scorer.levels) == 2 and "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert len(got) == len(plain.grams) and sum(r["c"] for r in got) == sum(plain.grams.values())
+    asked = spark.createDataFrame([("x", [1, 2, 3, 31, 38, 45, 52, 96, 3])], SCHEMA)
+    assert close(scorer.logprobs(asked).first()["token_logprobs"], plain.logprobs([1, 2, 3, 31, 38, 45, 52, 96, 3]))
